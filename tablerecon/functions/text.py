@@ -18,7 +18,8 @@ NO_WORDS = ("否", "N")
 ILLEGAL_NAME_CHARS = '\\/:*?"<>|'
 
 # Unicode-wide edges: SQL trim() only removes U+0020.
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# The look-behind lets a run be tried only at its start: linear on long texts.
+_EDGE_SPACE = r"(?U)^\s++|(?<!\s)\s++$"
 _ANY_SPACE = r"(?U)\s+"
 
 

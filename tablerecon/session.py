@@ -45,7 +45,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The planner's size estimate, the same figure it picks broadcasts by."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_threshold(spark: SparkSession) -> int:
