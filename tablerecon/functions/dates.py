@@ -33,20 +33,18 @@ def _parsed(text: Column) -> Column:
     one pattern its shape allows, instead of failing through seven patterns.
     """
     fifth = F.substring(text, 5, 1)
-    has_time = F.instr(text, ":") > 0
+    dash, slash = F.instr(text, "-") > 0, F.instr(text, "/") > 0
 
     def by(pattern: str) -> Column:
         return F.try_to_timestamp(text, F.lit(pattern))
 
     return (
-        F.when((fifth == "-") & has_time, by("yyyy-M-d H:m:s"))
-        .when(fifth == "-", by("yyyy-M-d"))
+        F.when(fifth == "-", F.when(F.instr(text, ":") > 0, by("yyyy-M-d H:m:s")).otherwise(by("yyyy-M-d")))
         .when(fifth == "/", by("yyyy/M/d"))
         .when(fifth == "年", by("yyyy年M月d日"))
-        .when(F.length(text) == 8, F.when(text.rlike(r"^\d{8}$"), by("yyyyMMdd"))
-              .when(F.instr(text, "-") > 0, by("M-d-yyyy")).otherwise(by("M/d/yyyy")))
-        .when(F.instr(text, "-") > 0, by("M-d-yyyy"))
-        .when(F.instr(text, "/") > 0, by("M/d/yyyy"))
+        .when(dash, by("M-d-yyyy"))
+        .when(slash, by("M/d/yyyy"))
+        .when(F.length(text) == 8, by("yyyyMMdd"))
     )
 
 

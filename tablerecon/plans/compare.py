@@ -7,7 +7,7 @@ columns that output needs.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Container, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -120,9 +120,15 @@ def number_differs(a: Column, b: Column, rule: Rule, options: Options, ta: T.Dat
     return num_differs(left, right, rule.tolerance, options.one_sided_null, exact)
 
 
-def field_differs(rule: Rule, options: Options, ta: T.DataType, tb: T.DataType, target: str | None = None) -> Column:
-    """The rule as a Column over ``src_*`` and ``tgt_*``."""
-    a, b = col(SRC + rule.source), col(target or TGT + rule.source)
+def field_differs(
+    rule: Rule, options: Options, ta: T.DataType, tb: T.DataType, target: str | None = None, texts: Container[str] = ()
+) -> Column:
+    """The rule as a Column over ``src_*`` and ``tgt_*``.
+
+    ``texts`` names the columns that hold already normalized dates.
+    """
+    names = [SRC + rule.source, target or TGT + rule.source]
+    a, b = [col(f"_text_{n}" if f"_text_{n}" in texts else n) for n in names]
     if rule.kind == "number":
         return number_differs(a, b, rule, options, ta, tb)
     if rule.kind == "date":
@@ -183,6 +189,16 @@ def compare(
         on_duplicates=options.on_duplicates,
     )
     types = {f.name: f.dataType for f in frame.schema.fields}
+    # Dates in text form are looked at many times while they are parsed, so
+    # their normalized text is a column of its own.
+    texts = {}
+    for rule in checked:
+        if rule.kind == "date":
+            for c in (SRC + rule.source, TGT + rule.source):
+                if isinstance(types[c], T.StringType):
+                    texts[f"_text_{c}"] = norm(col(c))
+    if texts:
+        frame = frame.withColumns(texts)
     both = F.col(IN_SRC) & F.col(IN_TGT)
     marks: dict[str, Column] = {}
     for rule in checked:
@@ -197,9 +213,9 @@ def compare(
             coded = replace(rule, source=f"_code_{rule.source}")
             mark = field_differs(coded, options, types[source], types[target], target)
         else:
-            mark = field_differs(rule, options, types[source], types[target], target)
+            mark = field_differs(rule, options, types[source], types[target], target, texts)
         marks[differs_name(rule.source)] = both & mark
-    frame = frame.withColumns(marks).drop(*[f"_allow_{r.source}" for r in checked])
+    frame = frame.withColumns(marks).drop(*[f"_allow_{r.source}" for r in checked], *texts)
     return Comparison(frame, tuple(keys), tuple(r.source for r in checked), tuple(lacking))
 
 

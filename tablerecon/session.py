@@ -22,6 +22,8 @@ def recommended_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.session.timeZone": "UTC",
+        # Call sites of Column expressions are only wanted when debugging.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
 
 

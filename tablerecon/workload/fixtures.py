@@ -53,11 +53,11 @@ def orders_target(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 13 == 0, price + F.lit(0.004).cast("decimal(18,3)"))
         .otherwise(price)
     ).cast("decimal(18,3)")
-    day = F.to_date("o_orderdate")
-    day = F.when(k % 37 == 0, F.date_add(day, 40)).when(k % 31 == 0, F.date_add(day, 1)).otherwise(day)
-    spelled = F.date_format(day, DATE_SPELLINGS[0])
+    days = F.when(k % 37 == 0, 40).when(k % 31 == 0, 1).otherwise(0)
+    o = o.withColumn("_day", F.date_add(F.to_date("o_orderdate"), days))
+    spelled = F.date_format("_day", DATE_SPELLINGS[0])
     for i, pattern in enumerate(DATE_SPELLINGS[1:], 1):
-        spelled = F.when(k % 6 == i, F.date_format(day, pattern)).otherwise(spelled)
+        spelled = F.when(k % 6 == i, F.date_format("_day", pattern)).otherwise(spelled)
     p = F.col("o_orderpriority")
     priority = (
         F.when(k % 19 == 0, F.lit(None)).when(k % 23 == 0, "  ").when(k % 29 == 0, F.concat(F.lit("  "), p, F.lit(" ")))

@@ -6,8 +6,13 @@ from __future__ import annotations
 DATE_FORMATS = ["%Y-%m-%d", "%Y/%m/%d", "%Y年%m月%d日", "%m-%d-%Y", "%m/%d/%Y", "%Y%m%d", "%Y-%m-%d %H:%M:%S"]
 
 
+SPACES = " || ".join(
+    f"chr({n})" for n in [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+)
+
+
 def norm(x: str) -> str:
-    return rf"coalesce(regexp_replace(cast({x} AS VARCHAR), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '')"
+    return f"coalesce(trim(CAST({x} AS VARCHAR), {SPACES}), '')"
 
 
 def yes_no(x: str) -> str:
