@@ -213,8 +213,6 @@ def _(spark, sf):
 
 # --- matching -------------------------------------------------------------------------------------------------------
 
-TARGET_AS_SOURCE = "b2 AS (SELECT key AS o_orderkey, price AS o_totalprice, order_dt AS o_orderdate FROM b)"
-
 
 def _target(spark, sf) -> DataFrame:
     return fx.orders_target(spark, sf).withColumnsRenamed(dict(zip(fx.TARGET_FIELDS, fx.ORDER_FIELDS)))
@@ -265,16 +263,13 @@ def _(spark, sf):
 @query(
     "missing_rows_text_key",
     f"""WITH {fx.ORDERS_SQL} SELECT o_orderkey, o_orderpriority FROM a
-      WHERE o_orderpriority NOT IN (SELECT {sq.norm('priority')} FROM b WHERE key % 5 = 0 AND priority LIKE '%-%')""",
+      WHERE o_orderpriority NOT IN (SELECT {sq.norm('priority')} FROM b WHERE price > 499900)""",
 )
 def _(spark, sf):
-    b = _target(spark, sf).where((F.col("o_orderkey") % 5 == 0) & F.col("o_orderpriority").contains("-"))
+    b = _target(spark, sf).where("o_totalprice > 499900")
     return m.missing_rows(fx.orders_source(spark, sf), b, ["o_orderpriority"]).select("o_orderkey", "o_orderpriority")
 
 
-KEY_SETS = """SELECT o_orderkey, CASE WHEN key IS NULL THEN 'missing' WHEN o_orderkey IS NULL THEN 'extra' ELSE 'common' END AS key_set"""
-
-
 @query(
     "key_sets",
     f"""WITH {fx.ORDERS_SQL} SELECT coalesce(o_orderkey, key) AS o_orderkey, CASE WHEN key IS NULL THEN 'missing'
@@ -407,9 +402,6 @@ def _(spark, sf):
     return rep.summarize(cmp.compare(a, b, rules, Options().for_sql()))
 
 
-BLANKED = """SELECT CASE WHEN k % 10 = 0 THEN ' ' ELSE CAST(k AS VARCHAR) END AS k, * EXCLUDE (k)"""
-
-
 @query(
     "sql_mode_blank_keys",
     f"""WITH {fx.ORDERS_SQL},

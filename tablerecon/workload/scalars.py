@@ -70,11 +70,11 @@ def _(spark, sf):
 
 @query(
     "fill_missing_columns",
-    "SELECT o_orderkey, o_orderpriority, '' AS o_orderstatus, '' AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0",
+    "SELECT o_orderkey, o_orderpriority, '' AS o_orderstatus, '' AS o_totalprice FROM orders",
 )
 def _(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
-    b = orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderpriority")
+    b = orders.select("o_orderkey", "o_orderpriority")
     return co.fill_missing_columns(b, orders)[0]
 
 
