@@ -53,19 +53,21 @@ def parse_date(
     mode: str = "ladder",
     keep_time: bool = False,
     dtype: T.DataType | None = None,
+    clean: bool = False,
 ) -> Column:
     """A date as ``yyyy-MM-dd`` text (``yyyy-MM-dd HH:mm:ss`` with ``keep_time``).
 
     Unparsable text is kept as it is in mode ``ladder`` and becomes null in
     mode ``free``; a blank gives ``''`` (``ladder``) or null (``free``).
-    Columns of a date type are formatted without parsing.
+    Columns of a date type are formatted without parsing; ``clean`` text is
+    normalized already.
     """
     c = F.col(c) if isinstance(c, str) else c
     pattern = _SECOND if keep_time else _DAY
     if isinstance(dtype, _DATE_TYPES):
         shown = F.date_format(c, pattern)
         return shown if mode == "free" else F.coalesce(shown, F.lit(""))
-    text = norm(c)
+    text = c if clean else norm(c)
     shown = F.date_format(_parsed(text), pattern)
     return shown if mode == "free" else F.coalesce(shown, text)
 
@@ -104,15 +106,16 @@ def comparable_date(
     default: str = "day",
     mode: str = "ladder",
     dtype: T.DataType | None = None,
+    clean: bool = False,
 ) -> Column:
     """The text two dates are compared by (null only in mode ``sql``)."""
     name = precision_name(precision) or default
     if mode == "prefix":
-        return cut_date(norm(c), name)
+        return cut_date(c if clean else norm(c), name)
     if mode == "sql":
-        return parse_date(c, mode="free", dtype=dtype)
+        return parse_date(c, mode="free", dtype=dtype, clean=clean)
     keep_time = PRECISION_CHARS[name] > PRECISION_CHARS["day"]
-    shown = parse_date(c, mode="free" if mode == "free" else "ladder", keep_time=keep_time, dtype=dtype)
+    shown = parse_date(c, mode="free" if mode == "free" else "ladder", keep_time=keep_time, dtype=dtype, clean=clean)
     return F.coalesce(cut_date(shown, name), F.lit(""))
 
 
@@ -124,10 +127,11 @@ def date_differs(
     mode: str = "ladder",
     a_type: T.DataType | None = None,
     b_type: T.DataType | None = None,
+    clean: bool = False,
 ) -> Column:
     """Whether two dates differ at a precision; two blanks are equal."""
-    left = comparable_date(a, precision, default, mode, a_type)
-    right = comparable_date(b, precision, default, mode, b_type)
+    left = comparable_date(a, precision, default, mode, a_type, clean)
+    right = comparable_date(b, precision, default, mode, b_type, clean)
     if mode == "sql":
         # A side that is no date is no difference.
         return F.coalesce(left != right, F.lit(False))

@@ -35,6 +35,11 @@ def strip(c: Column | str) -> Column:
     return F.trim(_col(c).cast("string"), F.lit(WHITESPACE))
 
 
+def _text(c: Column | str, clean: bool) -> Column:
+    """The normalized text, or the column itself when it is ``clean`` already."""
+    return _col(c) if clean else norm(c)
+
+
 def norm(c: Column | str, nulls: Sequence[str] = (), ci: bool = False) -> Column:
     """One spelling for "no value": null, NaN text and blanks become ``''``.
 
@@ -54,9 +59,12 @@ def strip_all_space(c: Column | str) -> Column:
     return F.translate(_col(c).cast("string"), WHITESPACE, "")
 
 
-def norm_bool(c: Column | str) -> Column:
-    """Unify yes/no spellings to 是 / 否; other text is only normalized."""
-    text = norm(c)
+def norm_bool(c: Column | str, clean: bool = False) -> Column:
+    """Unify yes/no spellings to 是 / 否; other text is only normalized.
+
+    ``clean``, here and below, says that the text is normalized already.
+    """
+    text = _text(c, clean)
     upper = F.upper(text)
     return (
         F.when(upper.isin(*YES_WORDS), F.lit(YES_WORDS[0]))
@@ -65,9 +73,9 @@ def norm_bool(c: Column | str) -> Column:
     )
 
 
-def norm_synonym(c: Column | str, mapping: Mapping[str, str]) -> Column:
+def norm_synonym(c: Column | str, mapping: Mapping[str, str], clean: bool = False) -> Column:
     """Replace a value by its preferred synonym (``{'直线法': '年限平均法'}``)."""
-    text = norm(c)
+    text = _text(c, clean)
     out = None
     for variant, preferred in mapping.items():
         hit = text == F.lit(variant)
@@ -75,13 +83,13 @@ def norm_synonym(c: Column | str, mapping: Mapping[str, str]) -> Column:
     return text if out is None else out.otherwise(text)
 
 
-def last_segment(c: Column | str, sep: str | None = None) -> Column:
+def last_segment(c: Column | str, sep: str | None = None, clean: bool = False) -> Column:
     """The part after the last separator.
 
     Without ``sep`` a value holding a backslash is cut there, any other at
     its last hyphen.
     """
-    text = norm(c)
+    text = _text(c, clean)
     if sep is not None:
         return norm(F.substring_index(text, sep, -1))
     cut = F.when(F.instr(text, "\\") > 0, F.substring_index(text, "\\", -1)).otherwise(
@@ -90,9 +98,9 @@ def last_segment(c: Column | str, sep: str | None = None) -> Column:
     return norm(cut)
 
 
-def prefix(c: Column | str, length: int, digits_only: bool = False) -> Column:
+def prefix(c: Column | str, length: int, digits_only: bool = False, clean: bool = False) -> Column:
     """First ``length`` characters; with ``digits_only`` other text is kept whole."""
-    text = norm(c)
+    text = _text(c, clean)
     cut = F.substring(text, 1, length)
     return F.when(text.rlike(r"^\d+$"), cut).otherwise(text) if digits_only else cut
 

@@ -7,7 +7,7 @@ columns that output needs.
 
 from __future__ import annotations
 
-from collections.abc import Container, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -86,23 +86,24 @@ class Comparison:
         return replace(self, frame=self.frame.sparkSession.read.parquet(path))
 
 
-def text_differs(a: Column, b: Column, rule: Rule, options: Options) -> Column:
-    """Normalized inequality, then the exceptions the rule's comparator allows."""
-    left = norm(a, options.null_words, options.null_words_any_case)
-    right = norm(b, options.null_words, options.null_words_any_case)
+def text_differs(left: Column, right: Column, rule: Rule, options: Options) -> Column:
+    """Normalized texts are unequal, but for what the rule's comparator allows."""
     unequal = left != right
     match rule.comparator:
         case "last_segment":
-            return last_segment(left, rule.separators[0]) != last_segment(right, rule.separators[1])
+            a, b = rule.separators
+            return last_segment(left, a, clean=True) != last_segment(right, b, clean=True)
         case "prefix":
-            return prefix(left, rule.length, rule.digits_only) != prefix(right, rule.length, rule.digits_only)
+            n, digits = rule.length, rule.digits_only
+            return prefix(left, n, digits, clean=True) != prefix(right, n, digits, clean=True)
         case "coded":
             return unequal
         case "synonym":
-            return unequal & (norm_synonym(left, rule.synonyms) != norm_synonym(right, rule.synonyms))
+            words = rule.synonyms
+            return unequal & (norm_synonym(left, words, clean=True) != norm_synonym(right, words, clean=True))
         case None | "text" | "bool":
             if options.yes_no or rule.comparator == "bool":
-                return unequal & (norm_bool(left) != norm_bool(right))
+                return unequal & (norm_bool(left, clean=True) != norm_bool(right, clean=True))
             return unequal
     raise ValueError(f"unknown comparator {rule.comparator!r} for {rule.source}")
 
@@ -120,22 +121,30 @@ def number_differs(a: Column, b: Column, rule: Rule, options: Options, ta: T.Dat
     return num_differs(left, right, rule.tolerance, options.one_sided_null, exact)
 
 
+def _text_name(column: str) -> str:
+    return f"_text_{column}"
+
+
 def field_differs(
-    rule: Rule, options: Options, ta: T.DataType, tb: T.DataType, target: str | None = None, texts: Container[str] = ()
+    rule: Rule, options: Options, source: str, target: str, types: Mapping[str, T.DataType]
 ) -> Column:
-    """The rule as a Column over ``src_*`` and ``tgt_*``.
+    """The rule as a Column over two named columns.
 
-    ``texts`` names the columns that hold already normalized dates.
+    Texts, and dates that are text, are read from their normalized copies.
     """
-    names = [SRC + rule.source, target or TGT + rule.source]
-    a, b = [col(f"_text_{n}" if f"_text_{n}" in texts else n) for n in names]
+    ta, tb = types[source], types[target]
     if rule.kind == "number":
-        return number_differs(a, b, rule, options, ta, tb)
+        return number_differs(col(source), col(target), rule, options, ta, tb)
+    a, b = [col(_text_name(c) if _is_text(rule, types[c]) else c) for c in (source, target)]
     if rule.kind == "date":
-        return date_differs(a, b, rule.precision, options.default_precision, options.date_mode, ta, tb)
+        return date_differs(a, b, rule.precision, options.default_precision, options.date_mode, ta, tb, clean=True)
     return text_differs(a, b, rule, options)
 
 
+def _is_text(rule: Rule, dtype: T.DataType) -> bool:
+    return rule.kind == "text" or rule.kind == "date" and isinstance(dtype, T.StringType)
+
+
 def _lookup_frame(df: DataFrame, rule: Rule) -> DataFrame:
     if isinstance(rule.lookup, Mapping):
         return map_frame(df.sparkSession, rule.lookup)
@@ -152,14 +161,13 @@ def _coded_source(a: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return a
 
 
-def _allowed_flag(frame: DataFrame, rule: Rule) -> DataFrame:
+def _allowed_flag(frame: DataFrame, rule: Rule, source: str, target: str) -> DataFrame:
     """Mark the pairs of values that a rule's multimap allows."""
     table = _lookup_frame(frame, rule)
     left, right = f"_allow_key_{rule.source}", f"_allow_value_{rule.source}"
     pairs = table.select(norm("key").alias(left), norm("value").alias(right)).distinct()
     pairs = pairs.withColumn(f"_allow_{rule.source}", F.lit(True))
-    probe = frame.withColumns({"_probe_0": norm(col(SRC + rule.source)), "_probe_1": norm(col(TGT + rule.source))})
-    return attach(probe, pairs, [("_probe_0", left), ("_probe_1", right)]).drop("_probe_0", "_probe_1")
+    return attach(frame, pairs, [(source, left), (target, right)])
 
 
 def compare(
@@ -189,31 +197,32 @@ def compare(
         on_duplicates=options.on_duplicates,
     )
     types = {f.name: f.dataType for f in frame.schema.fields}
-    # Dates in text form are looked at many times while they are parsed, so
-    # their normalized text is a column of its own.
-    texts = {}
+    sides: dict[str, tuple[str, str]] = {}
     for rule in checked:
-        if rule.kind == "date":
-            for c in (SRC + rule.source, TGT + rule.source):
-                if isinstance(types[c], T.StringType):
-                    texts[f"_text_{c}"] = norm(col(c))
-    if texts:
-        frame = frame.withColumns(texts)
+        coded = f"{SRC}_code_{rule.source}"
+        sides[rule.source] = (
+            coded if coded in types else SRC + rule.source,
+            f"{TGT}_against_{rule.source}" if rule.against else TGT + rule.source,
+        )
+    # Normalized texts are used several times over: as columns of their own
+    # they are made once per row, and the comparisons stay short.
+    texts = {
+        _text_name(c): norm(col(c), options.null_words, options.null_words_any_case)
+        for rule in checked
+        for c in sides[rule.source]
+        if _is_text(rule, types[c])
+    }
+    frame = frame.withColumns(texts) if texts else frame
     both = F.col(IN_SRC) & F.col(IN_TGT)
     marks: dict[str, Column] = {}
     for rule in checked:
-        source, target = SRC + rule.source, TGT + rule.source
-        if rule.against:
-            target = f"{TGT}_against_{rule.source}"
+        source, target = sides[rule.source]
         if rule.comparator == "allowed":
-            frame = _allowed_flag(frame, rule)
-            blank = (norm(col(source)) == "") & (norm(col(target)) == "")
+            frame = _allowed_flag(frame, rule, _text_name(source), _text_name(target))
+            blank = (col(_text_name(source)) == "") & (col(_text_name(target)) == "")
             mark = ~(blank | F.coalesce(col(f"_allow_{rule.source}"), F.lit(False)))
-        elif f"{SRC}_code_{rule.source}" in types:
-            coded = replace(rule, source=f"_code_{rule.source}")
-            mark = field_differs(coded, options, types[source], types[target], target)
         else:
-            mark = field_differs(rule, options, types[source], types[target], target, texts)
+            mark = field_differs(rule, options, source, target, types)
         marks[differs_name(rule.source)] = both & mark
     frame = frame.withColumns(marks).drop(*[f"_allow_{r.source}" for r in checked], *texts)
     return Comparison(frame, tuple(keys), tuple(r.source for r in checked), tuple(lacking))

@@ -79,20 +79,24 @@ def _shown(result: Comparison, tag: str, field: str) -> Column:
 
 
 def diff_records(result: Comparison) -> DataFrame:
-    """One row per differing field: key, field, both values."""
+    """One row per differing field: key, field, both values.
+
+    The fields are unfolded without filtering the rows first: a filter would
+    evaluate every comparison a second time below the match.
+    """
     entries = [
-        F.struct(
-            F.lit(f).alias("field"),
-            _shown(result, SRC, f).alias("source_value"),
-            _shown(result, TGT, f).alias("target_value"),
-            col(differs_name(f)).alias("differs"),
+        F.when(
+            col(differs_name(f)),
+            F.struct(
+                F.lit(f).alias("field"),
+                _shown(result, SRC, f).alias("source_value"),
+                _shown(result, TGT, f).alias("target_value"),
+            ),
         )
         for f in result.fields
     ]
-    rows = result.differing().select(
-        *result.key_columns, F.inline(F.filter(F.array(*entries), lambda x: x["differs"]))
-    )
-    return rows.drop("differs")
+    rows = result.frame.select(*result.key_columns, F.explode(F.array(*entries)).alias("_record"))
+    return rows.where(F.col("_record").isNotNull()).select(*[col(k) for k in result.keys], "_record.*")
 
 
 def diff_pairs(result: Comparison) -> DataFrame:

@@ -22,6 +22,9 @@ def recommended_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.session.timeZone": "UTC",
+        # Comparisons of many fields make long generated methods.  Beyond this
+        # size the JVM would interpret them, while smaller functions compile.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         # Call sites of Column expressions are only wanted when debugging.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
