@@ -51,8 +51,7 @@ def value_counts(df: DataFrame, name: str) -> DataFrame:
 def split_by_value(df: DataFrame, name: str, part: str = "part", length: int = 200) -> DataFrame:
     """Rows with a non-blank value and the name of the part they belong to.
 
-    Write the result with ``write_parts``: no shuffle is needed, every task
-    writes its share of each part, so a hot value stays spread out.
+    Write the result with ``write_parts``, which keeps hot values spread out.
     """
     return df.where(norm(col(name)) != "").withColumn(part, safe_name(col(name), length))
 
@@ -63,9 +62,13 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_no") -
     The rows are range-sorted once and checkpointed, because sorting again
     could cut the ranges elsewhere.  Then each partition's row count gives
     the next one's start: only one number per partition is gathered.
+
+    Rows with the same place in ``order`` may be many: their contents and
+    their input partition cut them into further ranges.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    ordered = df.orderBy(*[col(o) for o in order]).checkpoint()
+    ties = {"_tie_hash": F.xxhash64(*[col(c) for c in df.columns]), "_tie_part": F.spark_partition_id()}
+    ordered = df.withColumns(ties).orderBy(*[col(o) for o in order], *ties).drop(*ties).checkpoint()
     placed = ordered.withColumn("_part", F.spark_partition_id()).withColumn(
         "_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     )
@@ -83,8 +86,7 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_no") -
 def split_by_rows(df: DataFrame, rows: int, order: Sequence[str], part: str = "part") -> DataFrame:
     """Number chunks of ``rows`` rows in ``order``, starting at 1."""
     numbered = with_row_number(df, order, "_row_no")
-    chunk = F.floor((F.col("_row_no") - 1) / F.lit(rows)) + 1
-    return numbered.withColumn(part, chunk.cast("long")).drop("_row_no")
+    return numbered.withColumn(part, F.expr(f"(_row_no - 1) DIV {int(rows)} + 1")).drop("_row_no")
 
 
 def fill_right(df: DataFrame, row: Sequence[str], position: str, value: str, name: str = "filled") -> DataFrame:

@@ -165,10 +165,11 @@ def common_rows(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, _condition(names, other, texts, True), "inner").drop(*other)
 
 
-def missing_rows(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+def missing_rows(a: DataFrame, b: DataFrame, keys: Sequence[str], unique_keys: bool = False) -> DataFrame:
     """Source rows without a target key, all columns kept.
 
-    Blank keys match each other, whether null or empty text.
+    Blank keys match each other, whether null or empty text.  ``unique_keys``
+    says that no source key repeats, so none has to be checked for being hot.
     """
     left_keys, right_keys, texts = key_columns(a, b, keys)
     names = [key_name(i) for i in range(len(keys))]
@@ -184,12 +185,12 @@ def missing_rows(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
         return df.select(*(["*"] if keep else []), *chosen)
 
     known = keyed(b, right_keys, False).distinct()
-    return attach(keyed(a, left_keys, True), known, names + marks, "left_anti", unique_left=True).drop(*names, *marks)
+    return attach(keyed(a, left_keys, True), known, names + marks, "left_anti", unique_left=unique_keys).drop(*names, *marks)
 
 
-def extra_rows(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+def extra_rows(a: DataFrame, b: DataFrame, keys: Sequence[str], unique_keys: bool = False) -> DataFrame:
     """Target rows without a source key."""
-    return missing_rows(b, a, keys)
+    return missing_rows(b, a, keys, unique_keys)
 
 
 def key_sets(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

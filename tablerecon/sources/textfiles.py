@@ -122,9 +122,17 @@ def write_statements(df: DataFrame, path: str, name: str = "statement") -> None:
     df.select(F.col(name).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_parts(df: DataFrame, path: str, part: str = "part", fmt: str = "parquet", rows_per_file: int = 0) -> None:
-    """One folder per part; ``rows_per_file`` limits the size of single files."""
-    writer = df.write.mode("overwrite").partitionBy(part)
+def write_parts(
+    df: DataFrame, path: str, part: str = "part", fmt: str = "parquet", rows_per_file: int = 0, rebalance: bool = True
+) -> None:
+    """One folder per part; ``rows_per_file`` limits the size of single files.
+
+    Rebalancing brings the rows of a part together, so that thousands of
+    tasks do not each leave a small file in every folder; adaptive execution
+    cuts a part that holds too many rows into several tasks again.  Switch it
+    off to write without a shuffle when there are few parts.
+    """
+    writer = (df.hint("rebalance", part) if rebalance else df).write.mode("overwrite").partitionBy(part)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.format(fmt).save(path)

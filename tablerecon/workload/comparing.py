@@ -248,7 +248,7 @@ def _(spark, sf):
     f"WITH {fx.ORDERS_SQL} SELECT o_orderkey, o_totalprice, o_orderpriority, o_orderstatus FROM a WHERE o_orderkey NOT IN (SELECT key FROM b)",
 )
 def _(spark, sf):
-    return m.missing_rows(fx.orders_source(spark, sf), _target(spark, sf), ["o_orderkey"]).drop("o_orderdate")
+    return m.missing_rows(fx.orders_source(spark, sf), _target(spark, sf), ["o_orderkey"], unique_keys=True).drop("o_orderdate")
 
 
 @query(
@@ -257,7 +257,7 @@ def _(spark, sf):
       priority AS o_orderpriority, status AS o_orderstatus FROM b WHERE key NOT IN (SELECT o_orderkey FROM a)""",
 )
 def _(spark, sf):
-    return m.extra_rows(fx.orders_source(spark, sf), _target(spark, sf), ["o_orderkey"])
+    return m.extra_rows(fx.orders_source(spark, sf), _target(spark, sf), ["o_orderkey"], unique_keys=True)
 
 
 @query(

@@ -45,8 +45,7 @@ def frame(spark):
     """Build a small DataFrame of text columns: ``frame('a, b', [(..), ..])``."""
 
     def make(names: str, rows):
-        fields = [(n.strip() + " string").split(" ")[:2] for n in names.split(",")]
-        schema = ", ".join(f"`{name}` {kind}" for name, kind in fields)
+        schema = ", ".join(f"`{n.strip()}` string" for n in names.split(","))
         return spark.createDataFrame(rows, schema)
 
     return make
