@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablerecon.functions.names import col
 from tablerecon.functions.numbers import num_or_zero
 
 _PREFIX = re.compile(r"^\s*(?P<field>.+?)\s*\[:\s*(?P<n>\d+)\s*\]\s*$")
@@ -76,7 +77,7 @@ def _arithmetic(df: DataFrame, rule: str, abs_if_name_contains: Sequence[str]) -
                 return build(operand)
             case ast.Name(id=slot):
                 name = by_slot[slot]
-                value = num_or_zero(F.col(f"`{name}`"), types[name])
+                value = num_or_zero(col(name), types[name])
                 return F.abs(value) if any(w in name for w in abs_if_name_contains) else value
             case ast.Constant(value=int() | float() as number) if not isinstance(number, bool):
                 return F.lit(float(number))
@@ -99,11 +100,11 @@ def calc(
     if cut:
         field = cut.group("field")
         _need(df, [field], rule)
-        return calc_prefix(F.col(f"`{field}`"), int(cut.group("n")))
+        return calc_prefix(col(field), int(cut.group("n")))
     if kind == "text":
         fields = [f.strip() for f in rule.split("+")]
         _need(df, fields, rule)
-        return calc_concat([F.col(f"`{f}`") for f in fields], null_safe)
+        return calc_concat([col(f) for f in fields], null_safe)
     if kind == "number":
         value = _arithmetic(df, rule, abs_if_name_contains)
         return value if decimal_scale is None else value.cast(f"decimal(20,{decimal_scale})")

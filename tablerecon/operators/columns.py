@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerecon.functions.text import norm
-from tablerecon.operators.keyed import col
+from tablerecon.functions.names import col
 
 
 class SchemaError(ValueError):

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablerecon.functions.names import col
 from tablerecon.session import broadcast_threshold, estimated_bytes
 
 On = Sequence[str | tuple[str, str]]
@@ -30,10 +31,6 @@ def key_pairs(on: On | str) -> list[tuple[str, str]]:
     return [(o, o) if isinstance(o, str) else (o[0], o[1]) for o in on]
 
 
-def col(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 def heavy_keys(df: DataFrame, keys: Sequence[Column], shuffle_partitions: int) -> dict[int, int]:
     """Hash of each heavy key -> number of tasks its rows should spread over.
 

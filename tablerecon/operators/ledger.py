@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablerecon.operators.keyed import attach, col
+from tablerecon.functions.names import col
+from tablerecon.operators.keyed import attach
 from tablerecon.operators.lookup import keep_known
 
 

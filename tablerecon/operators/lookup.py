@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablerecon.functions.names import col
 from tablerecon.functions.text import norm
-from tablerecon.operators.keyed import On, attach, col, first_per_key, key_pairs
+from tablerecon.operators.keyed import On, attach, first_per_key, key_pairs
 
 
 def _keys_of(b: DataFrame, on: On | str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerecon.functions.text import norm, strip_all_space
-from tablerecon.operators.keyed import col
+from tablerecon.functions.names import col
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:

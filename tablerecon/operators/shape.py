@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablerecon.functions.text import norm, safe_name
-from tablerecon.operators.keyed import col
+from tablerecon.functions.names import col
 from tablerecon.session import ensure_checkpoint_dir
 
 

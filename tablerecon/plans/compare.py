@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerecon.functions.dates import date_differs
+from tablerecon.functions.names import col
 from tablerecon.functions.numbers import num_differs, rounded_differs, to_num
 from tablerecon.functions.text import last_segment, norm, norm_bool, norm_synonym, prefix
 from tablerecon.operators.columns import clean_columns, fill_missing_columns
-from tablerecon.operators.keyed import attach, col
+from tablerecon.operators.keyed import attach
 from tablerecon.operators.lookup import map_frame, map_values
 from tablerecon.plans.match import IN_SRC, IN_TGT, PAIRS, SRC, TGT, key_name, match
 from tablerecon.plans.prepare import is_absolute, prepare
@@ -176,11 +177,13 @@ def compare(
     rules: Sequence[Rule],
     options: Options = Options(),
     keep_all: bool = False,
+    keys_complete: bool = False,
 ) -> Comparison:
     """Compare two tables by rules; see ``Comparison`` for what comes back.
 
     The keys are expected to be unique per side; ``reconcile`` checks that
-    first.  ``keep_all`` carries columns without a rule along for reports.
+    first.  ``keep_all`` carries columns without a rule along for reports,
+    ``keys_complete`` says that no key is blank.
     """
     a, b, lacking = prepare(a, b, rules, options, keep_all)
     keys = [r.source for r in key_rules(rules)]
@@ -195,6 +198,7 @@ def compare(
         integral_keys=options.integral_keys,
         blank_keys_match=options.mode != "sql",
         on_duplicates=options.on_duplicates,
+        keys_complete=keys_complete,
     )
     types = {f.name: f.dataType for f in frame.schema.fields}
     sides: dict[str, tuple[str, str]] = {}

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablerecon.functions.names import col
 from tablerecon.functions.text import display_key, norm
-from tablerecon.operators.keyed import attach, col
+from tablerecon.operators.keyed import attach
 
 SRC, TGT = "src_", "tgt_"
 IN_SRC, IN_TGT, PAIRS = "_in_src", "_in_tgt", "_pairs"
@@ -33,8 +34,8 @@ def key_columns(
     for k in keys:
         ta, tb = a.schema[k].dataType, b.schema[k].dataType
         if isinstance(ta, T.IntegralType) and isinstance(tb, T.IntegralType):
-            left.append(col(k).cast("long"))
-            right.append(col(k).cast("long"))
+            left.append(col(k) if ta == tb else col(k).cast("long"))
+            right.append(col(k) if ta == tb else col(k).cast("long"))
             texts.append(False)
             continue
         pair = [norm(col(k)), norm(col(k))]
@@ -64,7 +65,7 @@ def _pad(df: DataFrame, like: DataFrame) -> DataFrame:
     have = set(df.columns)
     return df.select(
         *[
-            F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+            col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
             for f in like.schema.fields
         ]
     )
@@ -77,6 +78,7 @@ def match(
     integral_keys: bool = False,
     blank_keys_match: bool = True,
     on_duplicates: str = "stop",
+    keys_complete: bool = False,
 ) -> DataFrame:
     """Every key of either table with the row of both sides.
 
@@ -84,6 +86,10 @@ def match(
     ``_in_tgt`` and ``_pairs``, the number of row pairs a result row stands
     for.  One shuffle per side on the key.
 
+    ``keys_complete`` says that no key is blank (the gate counts them): then
+    the join is on the bare key columns, and tables bucketed or already
+    partitioned on whole-number keys are not shuffled again.
+
     The keys must be unique per side (the gate makes sure), so no join key
     can be hot.  ``on_duplicates='fanout'`` accepts repeated keys and pairs
     their rows as an SQL join does; copies of one row are counted first
@@ -99,13 +105,14 @@ def match(
         return _fanout(left, right, names, other, blank_keys_match)
 
     lone_left = lone_right = None
-    if not blank_keys_match:
+    if not blank_keys_match and not keys_complete:
         # Rows with a blank key match nothing: they bypass the shuffle, where
         # all of them would meet in one task.
         blank_left, blank_right = _is_blank(names, texts), _is_blank(other, texts)
         lone_left, left = left.where(blank_left), left.where(~blank_left)
         lone_right, right = right.where(blank_right), right.where(~blank_right)
-    joined = left.join(right, _condition(names, other, texts, blank_keys_match), "full")
+    null_safe = blank_keys_match and not keys_complete
+    joined = left.join(right, _condition(names, other, texts, null_safe), "full")
     out = _finish(joined, names, other).withColumn(PAIRS, F.lit(1).cast("long"))
     if lone_left is not None:
         lone = [lone_left.withColumn(IN_TGT, F.lit(False)), _named(lone_right, names, other).withColumn(IN_SRC, F.lit(False))]
@@ -114,10 +121,10 @@ def match(
     return out
 
 
-def _condition(names, other, texts, blank_keys_match: bool) -> Column:
+def _condition(names, other, texts, null_safe: bool) -> Column:
     parts = []
     for n, o, text in zip(names, other, texts):
-        safe = blank_keys_match and not text
+        safe = null_safe and not text
         parts.append(F.col(n).eqNullSafe(F.col(o)) if safe else F.col(n) == F.col(o))
     return reduce(lambda x, y: x & y, parts)
 
@@ -141,8 +148,8 @@ def _fanout(left, right, names, other, blank_keys_match) -> DataFrame:
         return df.withColumns(keys if blank_keys_match else {c: F.nullif(k, F.lit("")) for c, k in keys.items()})
 
     left, right = texts(left, names), texts(right, other)
-    left = left.groupBy(*left.columns).agg(F.count(F.lit(1)).alias(n_left))
-    right = right.groupBy(*right.columns).agg(F.count(F.lit(1)).alias(n_right))
+    left = left.groupBy(*[col(c) for c in left.columns]).agg(F.count(F.lit(1)).alias(n_left))
+    right = right.groupBy(*[col(c) for c in right.columns]).agg(F.count(F.lit(1)).alias(n_right))
     condition = reduce(lambda x, y: x & y, [F.col(n) == F.col(o) for n, o in zip(names, other)])
     paired = left.join(right, condition, "inner").withColumn(PAIRS, F.col(n_left) * F.col(n_right))
     out = _finish(paired, names, other).drop(n_left, n_right)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablerecon.functions.calc import calc
 from tablerecon.operators.columns import SchemaError, clean_columns, missing_columns
-from tablerecon.operators.keyed import col
+from tablerecon.functions.names import col
 from tablerecon.plans.rules import Options, Rule
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablerecon.operators.columns import SchemaError
-from tablerecon.operators.keyed import col
+from tablerecon.functions.names import col
 from tablerecon.plans.compare import Comparison, compare
 from tablerecon.plans.match import key_columns, key_profile
 from tablerecon.plans.prepare import prepare
@@ -118,4 +118,5 @@ def reconcile(
     report = gate(a, b, rules, options)
     if report.stopped:
         return Reconciliation(report, None)
-    return Reconciliation(report, compare(a, b, rules, options, keep_all))
+    blank = report.counts["blank_any_source"] or report.counts["blank_any_target"]
+    return Reconciliation(report, compare(a, b, rules, options, keep_all, keys_complete=not blank))

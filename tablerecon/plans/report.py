@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablerecon.functions.text import display_key, norm
-from tablerecon.operators.keyed import col
+from tablerecon.functions.names import col
 from tablerecon.plans.compare import Comparison, differs_name
 from tablerecon.plans.match import IN_SRC, IN_TGT, PAIRS, SRC, TGT, key_name
 
@@ -71,7 +71,7 @@ def summarize(result: Comparison) -> DataFrame:
 def field_counts(result: Comparison) -> DataFrame:
     """Differing rows per field, from one pass."""
     sums = result.frame.agg(*[F.count_if(col(differs_name(f))).alias(f) for f in result.fields])
-    return sums.unpivot([], list(result.fields), "field", "differing")
+    return sums.unpivot([], [col(f) for f in result.fields], "field", "differing")
 
 
 def _shown(result: Comparison, tag: str, field: str) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablerecon.operators.keyed import attach, col
+from tablerecon.functions.names import col
+from tablerecon.operators.keyed import attach
 
 # What generated columns are filled with.
 VALUES = ("A", "B", "C", "D", "E")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablerecon.functions.names import col
+
 # The order in which encodings are tried.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "utf-16")
 
@@ -106,11 +110,47 @@ def read_csv_text(
     for (encoding, multiline), files in groups.items():
         rows = _reader(spark, encoding, multiline).option("header", True).option("enforceSchema", True).schema(schema)
         decode = _decoder(encoding) if encoding in _DECODED_LATER else (lambda c: c)
-        texts = [F.coalesce(decode(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names]
+        texts = [F.coalesce(decode(col(n)), F.lit("")).alias(n) for n in names]
         parts.append(rows.csv(files).select(*texts, F.col("_metadata.file_path").alias("_file")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _header(text: str) -> list[str]:
+    first = next(csv.reader(io.StringIO(text.removeprefix(BOM), newline="")), [])
+    return [n for n in first if n.strip()]
+
+
+def csv_catalog(spark: SparkSession, paths: Sequence[str], encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """Every CSV file with its encoding and its non-blank header columns.
+
+    Headers are first lines; only UTF-16 files, whose bytes cannot be cut at
+    line ends, are opened as a whole.
+    """
+
+    @F.pandas_udf("array<string>")
+    def of_line(line: pd.Series, encoding: pd.Series) -> pd.Series:
+        return pd.Series([_header(t.encode("latin-1").decode(e)) for t, e in zip(line, encoding)])
+
+    @F.pandas_udf("array<string>")
+    def of_file(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: _header(c.decode("utf-16")))
+
+    known = probe_encodings(spark, paths, encodings).where("encoding IS NOT NULL").select("file", "encoding")
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    as_latin = F.decode(F.col("line").cast("binary"), "ISO-8859-1")
+    out = known.where("encoding <> 'utf-16'").join(first, "file")
+    out = out.select("file", "encoding", of_line(as_latin, "encoding").alias("columns"))
+    wide = [r["file"] for r in known.where("encoding = 'utf-16'").collect()]
+    if not wide:
+        return out
+    whole = spark.read.format("binaryFile").load(wide)
+    return out.unionByName(
+        whole.select(F.col("_metadata.file_path").alias("file"), F.lit("utf-16").alias("encoding"), of_file("content").alias("columns"))
+    )
+
+
 def write_csv_bom(df: DataFrame, path: str) -> None:
     """CSV with a byte order mark in front of the header of each part file."""
     first = df.columns[0]

@@ -483,3 +483,8 @@ def _(spark, sf):
         F.nullif("key", F.lit(8)).alias("l_orderkey"), (F.col("key") % 7 + 1).cast("int").alias("l_linenumber")
     )
     return rec.gate_counts(a, b, fx.LINE_KEYS)
+
+
+@query("reconcile_orders", marked() + ORDER_COUNTS)
+def _(spark, sf):
+    return rep.summarize(rec.reconcile(fx.orders_source(spark, sf), fx.orders_target(spark, sf), fx.ORDER_RULES).result)

@@ -213,3 +213,41 @@ def test_scan_reads_only_rule_columns(spark, sf_dir):
     text = plan(m.missing_rows(lines.select("l_orderkey", "l_linenumber"), lines.where("l_quantity > 10"), ["l_orderkey"]))
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in text and "l_comment" not in text
     assert "l_extendedprice" not in text
+
+
+def test_bucketed_tables_are_not_shuffled(spark, sf_dir, tmp_path):
+    from tablerecon.plans.compare import compare
+    from tablerecon.plans.report import summarize
+    from tablerecon.plans.rules import Rule
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    for name in ("left_orders", "right_orders"):
+        writer = orders.write.mode("overwrite").bucketBy(4, "o_orderkey").option("path", str(tmp_path / name))
+        writer.saveAsTable(name)
+    rules = [Rule("o_orderkey", key=True), Rule("o_totalprice", kind="number")]
+    a, b = spark.table("left_orders"), spark.table("right_orders")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        result = compare(a, b, rules, keys_complete=True)
+        assert "Exchange hashpartitioning" not in plan(summarize(result))
+        assert summarize(result).first().equal == 1500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE left_orders")
+        spark.sql("DROP TABLE right_orders")
+
+
+def test_names_with_dots(frame):
+    from tablerecon.plans.compare import compare
+    from tablerecon.plans.report import annotate, diff_records, field_counts, summarize
+    from tablerecon.plans.rules import Options, Rule
+
+    a, b = frame("k.1, v.x", [("1", "a"), ("2", "b")]), frame("k.1, v.x", [("1", "a"), ("2", "c")])
+    rules = [Rule("k.1", key=True), Rule("v.x")]
+    for options in (Options(), Options(on_duplicates="fanout")):
+        result = compare(a, b, rules, options)
+        assert summarize(result).first().differing == 1
+        assert diff_records(result).first().asDict() == {"k.1": "2", "field": "v.x", "source_value": "b", "target_value": "c"}
+        assert field_counts(result).first().differing == 1
+        assert annotate(result).count() == 2

@@ -60,6 +60,8 @@ def test_csv_encodings(spark, tmp_path):
     assert probed == {
         "a.csv": ("utf-8", True), "b.csv": ("gbk", True), "c.csv": ("utf-16", True),
         "d.csv": ("utf-8", True), "e.csv": ("gbk", False)}
+    heads = {r["file"][-5:]: r["columns"] for r in tf.csv_catalog(spark, [str(tmp_path)]).collect()}
+    assert heads == {f"{n}.csv": ["编码", "名称", "备注"] for n in "abcd"} | {"e.csv": ["其他", "表头"]}
     df = tf.read_csv_text(spark, [str(tmp_path)])
     assert df.columns == ["编码", "名称", "备注", "_file"]
     rows = {(r["编码"], r["名称"], r["备注"]) for r in df.collect()}
