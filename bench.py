@@ -24,6 +24,7 @@ HEADLINE = [
     "orders_report_sections",
     "lines_summary",
     "sql_mode_fanout",
+    "sql_mode_pair_summary",
     "compare_text_records",
     "gate_counts",
     "duplicate_keys",

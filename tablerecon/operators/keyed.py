@@ -19,8 +19,8 @@ from tablerecon.session import broadcast_threshold, estimated_bytes
 
 On = Sequence[str | tuple[str, str]]
 
-_TRACKED_KEYS = 64
-_SKETCH_ITEMS = 8192
+_TRACKED_KEYS = 256
+_SKETCH_ITEMS = 65_536
 _HASH, _SLICE = "_key_hash", "_key_slice"
 
 

@@ -152,7 +152,7 @@ def _lookup_frame(df: DataFrame, rule: Rule) -> DataFrame:
     return rule.lookup
 
 
-def _coded_source(a: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def coded_source(a: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Add the looked-up code of each coded field; the raw value stays for display."""
     for rule in rules:
         if rule.lookup is not None and rule.comparator in ("coded", "prefix"):
@@ -162,7 +162,7 @@ def _coded_source(a: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return a
 
 
-def _allowed_flag(frame: DataFrame, rule: Rule, source: str, target: str) -> DataFrame:
+def allowed_flag(frame: DataFrame, rule: Rule, source: str, target: str) -> DataFrame:
     """Mark the pairs of values that a rule's multimap allows."""
     table = _lookup_frame(frame, rule)
     left, right = f"_allow_key_{rule.source}", f"_allow_value_{rule.source}"
@@ -190,7 +190,7 @@ def compare(
     if not keys:
         raise ValueError("no rule is marked as key")
     checked = field_rules(rules, options)
-    a = _coded_source(a, checked)
+    a = coded_source(a, checked)
     frame = match(
         a,
         b,
@@ -222,7 +222,7 @@ def compare(
     for rule in checked:
         source, target = sides[rule.source]
         if rule.comparator == "allowed":
-            frame = _allowed_flag(frame, rule, _text_name(source), _text_name(target))
+            frame = allowed_flag(frame, rule, _text_name(source), _text_name(target))
             blank = (col(_text_name(source)) == "") & (col(_text_name(target)) == "")
             mark = ~(blank | F.coalesce(col(f"_allow_{rule.source}"), F.lit(False)))
         else:

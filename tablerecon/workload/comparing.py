@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablerecon.plans import compare as cmp
 from tablerecon.plans import match as m
+from tablerecon.plans import pairs as prs
 from tablerecon.plans import reconcile as rec
 from tablerecon.plans import report as rep
 from tablerecon.plans.rules import Options, Rule
@@ -422,23 +423,37 @@ def _(spark, sf):
     return rep.summarize(cmp.compare(a, b, rules, Options().for_sql()))
 
 
-@query(
-    "sql_mode_fanout",
-    f"""WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem),
-      b AS (SELECT l_orderkey, l_linenumber, l_quantity + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS l_quantity, l_returnflag
-            FROM lineitem WHERE l_orderkey % 97 <> 0),
-      r AS (SELECT a.l_orderkey IS NOT NULL AS in_a, b.l_orderkey IS NOT NULL AS in_b,
-        coalesce(a.l_orderkey IS NOT NULL AND b.l_orderkey IS NOT NULL AND
-          (abs(a.l_quantity - b.l_quantity) > 0.01::DOUBLE OR a.l_returnflag <> b.l_returnflag), false) AS d
-        FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber)
-    """ + COUNTS.format(keys="l_orderkey + l_linenumber", missing=""),
-)
-def _(spark, sf):
+FANOUT_ROWS = """WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem),
+  b AS (SELECT l_orderkey, l_linenumber, l_quantity + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS l_quantity, l_returnflag
+        FROM lineitem WHERE l_orderkey % 97 <> 0),
+  r AS (SELECT a.l_orderkey AS ka, b.l_orderkey AS kb, a.l_orderkey IS NOT NULL AS in_a, b.l_orderkey IS NOT NULL AS in_b,
+    coalesce(a.l_orderkey IS NOT NULL AND b.l_orderkey IS NOT NULL AND
+      (abs(a.l_quantity - b.l_quantity) > 0.01::DOUBLE OR a.l_returnflag <> b.l_returnflag), false) AS d
+    FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber)"""
+FANOUT_OPTIONS = replace(Options().for_sql(), on_duplicates="fanout")
+
+
+def _fanout_inputs(spark, sf):
     lines = fx.table(spark, sf, "lineitem")
     raised = F.col("l_quantity") + F.when(F.col("l_partkey") % 5 == 0, 1).otherwise(0)
     b = lines.where("l_orderkey % 97 <> 0").withColumn("l_quantity", raised)
-    rules = [r for r in fx.LINE_RULES if r.source in (*fx.LINE_KEYS, "l_quantity", "l_returnflag")]
-    return rep.summarize(cmp.compare(lines, b, rules, replace(Options().for_sql(), on_duplicates="fanout")))
+    return lines, b, [r for r in fx.LINE_RULES if r.source in (*fx.LINE_KEYS, "l_quantity", "l_returnflag")]
+
+
+@query("sql_mode_fanout", FANOUT_ROWS + COUNTS.format(keys="l_orderkey + l_linenumber", missing=""))
+def _(spark, sf):
+    return rep.summarize(cmp.compare(*_fanout_inputs(spark, sf), FANOUT_OPTIONS))
+
+
+@query(
+    "sql_mode_pair_summary",
+    FANOUT_ROWS + COUNTS.format(keys="l_orderkey + l_linenumber", missing="")
+    .replace("count_if(in_a) AS total_source", "(SELECT count(*) FROM a) AS total_source")
+    .replace("count_if(in_b) AS total_target", "(SELECT count(*) FROM b) AS total_target")
+    .replace("count_if(in_a) <> count_if(in_b)", "(SELECT count(*) FROM a) <> (SELECT count(*) FROM b)"),
+)
+def _(spark, sf):
+    return prs.pair_summary(*_fanout_inputs(spark, sf), FANOUT_OPTIONS)
 
 
 UNTYPED = [("o_totalprice", "price"), ("o_orderpriority", "priority"), ("o_orderstatus", "status")]

@@ -1,5 +1,7 @@
 """Rules, gate, comparison and reports on hand-written rows, and what must always hold."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from tablerecon.operators.columns import SchemaError
 from tablerecon.plans import compare as cmp
 from tablerecon.plans import match as m
 from tablerecon.plans import report as rep
+from tablerecon.plans.pairs import pair_summary
 from tablerecon.plans.reconcile import gate, reconcile
 from tablerecon.plans.rules import Options, Rule
 from tablerecon.workload import fixtures as fx
@@ -187,3 +190,52 @@ def test_properties_on_orders(spark, sf_dir):
     back = b.withColumnsRenamed(dict(zip(fx.TARGET_FIELDS, fx.ORDER_FIELDS)))
     swapped = counts(cmp.compare(back, a, same))
     assert (swapped["missing"], swapped["extra"], swapped["differing"]) == (c["extra"], c["missing"], c["differing"])
+
+
+PAIR_RULES = [
+    Rule("k", key=True),
+    Rule("n", kind="number", tolerance=0.5),
+    Rule("m", kind="number"),
+    Rule("d", kind="date", precision="month"),
+    Rule("t"),
+    Rule("s", comparator="allowed", lookup={"a": "A", "b": "B"}),
+    Rule("c", comparator="coded", lookup={"x": "1", "y": "2"}),
+]
+
+
+@pytest.mark.parametrize(
+    "options",
+    [
+        Options(on_duplicates="fanout"),
+        Options(on_duplicates="fanout", one_sided_null="ignore"),
+        Options(on_duplicates="fanout", yes_no=False, date_mode="free"),
+        Options(mode="sql", date_mode="sql", on_duplicates="fanout"),
+    ],
+)
+def test_pair_summary_against_the_pairs(spark, options):
+    rng = random.Random(11)
+
+    def rows(texts, codes, count):
+        return [
+            (
+                rng.choice(["hot", "hot ", "p", "q", None, " "]),
+                rng.choice(["1", "1.5", "2.0", "-3", None, "x", "1.2"]),
+                rng.choice(["7", "7.0", "8", None]),
+                rng.choice(["2024-01-05", "2024/1/9", "20240205", "soon", None]),
+                rng.choice(["是", "Y", "n", "N ", "否", None]),
+                rng.choice(texts),
+                rng.choice(codes),
+            )
+            for _ in range(count)
+        ]
+
+    schema = "k string, n string, m string, d string, t string, s string, c string"
+    a = spark.createDataFrame(rows(["a", "b", "", None], ["x", "y", "1"], 120), schema)
+    b = spark.createDataFrame(rows(["A", "B", "a", None], ["1", "2", " 1"], 90), schema)
+    for n_rules in (2, 4, 7):
+        rules = PAIR_RULES[:n_rules]
+        want = counts(cmp.compare(a, b, rules, options))
+        got = pair_summary(a, b, rules, options).first().asDict()
+        for name in ("missing", "extra", "common", "differing", "equal"):
+            assert got[name] == want[name], (name, n_rules)
+        assert (got["total_source"], got["total_target"]) == (120, 90)
