@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablerecon.functions.names import col
 from tablerecon.session import broadcast_threshold, estimated_bytes
@@ -75,37 +76,44 @@ def attach(
 
     spark = left.sparkSession
     small = estimated_bytes(right) <= broadcast_threshold(spark)
-    heavy: dict[int, int] = {}
     if not small and not unique_left:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        heavy = heavy_keys(left, _same_types(left, right, pairs, renamed, left_side=True), partitions)
-    if not heavy:
-        joined = left.join(right, condition, how)
-        return joined.drop(*renamed.values())
-    return _sliced_join(left, right, pairs, renamed, condition, how, heavy)
-
-
-def _same_types(left, right, pairs, renamed, left_side: bool) -> list[Column]:
-    """Key columns cast alike on both sides, so that equal keys hash alike."""
-    out = []
-    for l, r in pairs:
-        same = left.schema[l].dataType == right.schema[renamed[r]].dataType
-        c = col(l) if left_side else F.col(renamed[r])
-        out.append(c if same else c.cast("string"))
+        hashed = _hashable(left, right, [(l, renamed[r]) for l, r in pairs])
+        if hashed:
+            partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            heavy = heavy_keys(left, hashed[0], partitions)
+            if heavy:
+                return _sliced_join(left, right, hashed, condition, how, heavy).drop(*renamed.values())
+    return left.join(right, condition, how).drop(*renamed.values())
+
+
+def _hashable(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> tuple[list[Column], list[Column]] | None:
+    """Key columns of both sides whose hashes agree when the keys are equal.
+
+    That needs equal types; whole numbers are brought to one.  ``None`` when
+    other types would have to be converted for the comparison.
+    """
+    out: tuple[list[Column], list[Column]] = ([], [])
+    for l, r in keys:
+        tl, tr = left.schema[l].dataType, right.schema[r].dataType
+        whole = isinstance(tl, T.IntegralType) and isinstance(tr, T.IntegralType)
+        if tl != tr and not whole:
+            return None
+        out[0].append(col(l).cast("long") if whole else col(l))
+        out[1].append(col(r).cast("long") if whole else col(r))
     return out
 
 
-def _sliced_join(left, right, pairs, renamed, condition, how, heavy) -> DataFrame:
+def _sliced_join(left, right, hashed, condition, how, heavy) -> DataFrame:
     # The input partition's number spreads a heavy key's rows, identical ones
     # too, and stays the same when a lost task runs again.
-    wide = left.withColumn(_HASH, F.xxhash64(*_same_types(left, right, pairs, renamed, True)))
+    wide = left.withColumn(_HASH, F.xxhash64(*hashed[0]))
     wide = wide.withColumn(_SLICE, F.pmod(F.spark_partition_id(), _slices(F.col(_HASH), heavy)))
-    repeated = right.withColumn(_HASH, F.xxhash64(*_same_types(left, right, pairs, renamed, False)))
+    repeated = right.withColumn(_HASH, F.xxhash64(*hashed[1]))
     repeated = repeated.withColumn(
         "_right_slice", F.explode(F.sequence(F.lit(0), _slices(F.col(_HASH), heavy) - 1))
     ).drop(_HASH)
     joined = wide.join(repeated, condition & (F.col(_SLICE) == F.col("_right_slice")), how)
-    return joined.drop(_HASH, _SLICE, "_right_slice", *renamed.values())
+    return joined.drop(_HASH, _SLICE, "_right_slice")
 
 
 def first_per_key(

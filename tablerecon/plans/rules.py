@@ -90,8 +90,13 @@ def load_rules(df: DataFrame) -> list[Rule]:
 
     Source field, target field, data type, tolerance or precision, key mark
     and (optional) calculation; rows that lack a field name are skipped.  The
-    last row for a source field counts, at the place of the first.
+    last row for a source field counts, at the place of the first.  The
+    columns ``_file``, ``_sheet`` and ``_row`` of a sheet that was read as a
+    workbook only serve to keep the rows in order.
     """
+    places = [c for c in ("_file", "_sheet", "_row") if c in df.columns]
+    if places:
+        df = df.orderBy(*places).drop(*places)
     names = [f"_{i}" for i in range(len(df.columns))]
     sheet = df.toDF(*names).select(*[norm(n).alias(n) for n in names])
     rows = sheet.where((F.col("_0") != "") & (F.col("_1") != "")).limit(_MAX_RULES + 1).collect()

@@ -41,13 +41,16 @@ class Layout:
 
     ``two_level`` reads a group title row above the header: titles fill to
     the right over their merged cells (or over blank ones when nothing is
-    merged) and are joined to the column title with ``-``.
+    merged) and are joined to the column title with ``-``.  ``display`` shows
+    numbers as their format does.  Rows without any value are left out unless
+    ``keep_blank_rows`` is set.
     """
 
     header_row: int = 1
     data_row: int | None = None
     two_level: bool = False
     display: bool = False
+    keep_blank_rows: bool = False
 
     @property
     def first_data_row(self) -> int:
@@ -293,7 +296,9 @@ def read_workbooks(
             picked = [places.get(n) for n in wanted]
             rows: list[tuple] = []
             for number, cells in book.rows(name, layout.display):
-                if number < layout.first_data_row or not any(c not in (None, "") for c in cells):
+                if number < layout.first_data_row:
+                    continue
+                if not layout.keep_blank_rows and all(c in (None, "") for c in cells):
                     continue
                 rows.append((path, name, number, *[cells[i] if i is not None and i < len(cells) else None for i in picked]))
                 if len(rows) == _BATCH_ROWS:

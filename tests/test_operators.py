@@ -137,6 +137,20 @@ def test_hot_keys_give_the_same_join(spark, hot, shuffled_joins, how):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_hot_keys_of_other_types(spark, hot, shuffled_joins):
+    left, right = hot
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        for kind, sliced in (("int", True), ("decimal(12,2)", False), ("string", False)):
+            other = right.withColumn("rk", F.col("rk").cast(kind))
+            out = keyed.attach(left, other, [("k", "rk")])
+            plain = left.join(other, F.col("k") == F.col("rk"), "left").drop("rk")
+            assert ("_right_slice" in out._jdf.queryExecution().toString()) == sliced
+            assert Counter(out.collect()) == Counter(plain.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_hot_rows_spread_over_tasks(spark, hot, shuffled_joins):
     left, right = hot
     spark.conf.set("spark.sql.shuffle.partitions", "50")

@@ -38,6 +38,8 @@ def test_workbooks_header_offset_display_and_catalog(spark, tmp_path):
     write_workbook(path, {"s": (rows, []), "t": ([["x"], [], ["p", "q"]], [])}, ["0.0%", "#,##0.00"])
     df = wb.read_workbooks(spark, [path], "s", wb.Layout(header_row=3, display=True))
     assert df.select("k", "rate", "sum").collect()[0] == ("1", "12.5%", "1234.50")
+    kept = wb.read_workbooks(spark, [path], "t", wb.Layout(header_row=3, data_row=1, keep_blank_rows=True))
+    assert [r["p"] for r in kept.orderBy("_row").collect()] == ["x", None, "p"]
     dropped = wb.read_workbooks(spark, [path], "s", wb.Layout(header_row=1, data_row=4))
     assert dropped.count() == 1
     catalog = {r["sheet"]: r["columns"] for r in wb.workbook_catalog(spark, [path], wb.Layout(header_row=3)).collect()}
@@ -115,7 +117,7 @@ def test_rule_sheet(spark, tmp_path):
     ]
     path = str(tmp_path / "rules.xlsx")
     write_workbook(path, {"比对规则": (rows, [])})
-    sheet = wb.read_workbooks(spark, [path], "比对规则").drop("_file", "_sheet", "_row")
+    sheet = wb.read_workbooks(spark, [path], "比对规则")
     rules = {r.source: r for r in load_rules(sheet)}
     assert list(rules) == ["编码", "原值", "日期", "类别"]
     assert rules["编码"].key and not rules["原值"].key
