@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +30,19 @@ END_ID = 1
 #: Parts into which a bucket is dealt for numbering.
 CHUNKS = 1024
 #: Words whose ids a worker keeps, and bytes of text it looks up at once.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 LOOKUP_BYTES = 4 << 20
+#: Signs that are looked up apart when they end a word.
+SIGNS = ".,;:!?"
 
 
 class WordIds:
     """Token ids of texts, encoding each distinct run of non-space only once.
 
-    Exact for tokenizers whose pre-tokenizer drops white space, since then no
-    token reaches across it.  Only ASCII white space is cut here; other kinds
-    are left to the tokenizer.
+    Exact for tokenizers that lower letters, drop white space and end a token
+    run between letters and other signs: no token then reaches across a space,
+    nor from a letter into the punctuation after it.  Only ASCII white space is
+    cut and only ASCII letters are lowered here; the rest is left to the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,16 +51,40 @@ class WordIds:
 
         self.encoder = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+
+    def _encode_stems(self, stems: list[str]) -> None:
+        # A run of letters is one unit of the tokenizer, so many go in one call.
+        letters = [s for s in stems if s.isalpha()]
+        others = [s for s in stems if not s.isalpha()]
+        for at in range(0, len(letters), 1024):
+            part = letters[at : at + 1024]
+            encoding = self.encoder.encode(" ".join(part), add_special_tokens=False)
+            units, ids = np.array(encoding.word_ids, np.int64), np.array(encoding.ids, "<u4")
+            starts = np.flatnonzero(np.diff(units, prepend=-1))
+            if len(starts) == len(part):
+                cuts = [*(starts * 4).tolist(), len(ids) * 4]
+                data = ids.tobytes()
+                self.stems.update((s, data[a:b]) for s, a, b in zip(part, cuts, cuts[1:]))
+            else:
+                others += part
+        for stem in others:
+            self.stems[stem] = array("I", self.encoder.encode(stem, add_special_tokens=False).ids).tobytes()
 
     def learn(self, split: list[list[str]]) -> None:
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > KEPT_WORDS:
+        used = set().union(*split)
+        if len(self.known) + len(used) > KEPT_WORDS:
             self.known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, enc in zip(part, self.encoder.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(enc.ids, "<u4").tobytes()
+        if len(self.stems) + len(used) > KEPT_WORDS:
+            self.stems = {"": b""}
+        words = list(used.difference(self.known))
+        bare = [w.rstrip(SIGNS) for w in words]
+        bare = [b if b[-1:].isalpha() else w for b, w in zip(bare, words)]
+        stems = [b.lower() if b.isascii() else b for b in bare]
+        signs = [w[len(b) :] for b, w in zip(bare, words)]
+        self._encode_stems(list(set(stems).union(signs).difference(self.stems)))
+        get = self.stems.__getitem__
+        self.known.update(zip(words, map(add, map(get, stems), map(get, signs))))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
