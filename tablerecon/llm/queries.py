@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerecon.llm import decontaminate, packing, warc
+from tablerecon.llm import decontaminate, packing, quality, toxicity, warc
 from tablerecon.llm.common import new_folder, table
+from tablerecon.llm.sampling import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,6 +39,27 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _judged(scored: DataFrame, folds: int, held: int) -> DataFrame:
+    """The columns that the queries on classifiers return."""
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    return _judged(toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"]), 5, 0)
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
+    return _judged(quality.score(docs, quality.fit(docs, labels, "quality"), keep=["doc_id"]), 3, 1)
+
+
 #: DuckDB's digest is hex: five digits make four letters of base 32.
 _BASE32_SQL = (
     "array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST("
