@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerecon.llm import decontaminate, packing, quality, toxicity, warc
+from tablerecon.llm import decontaminate, jaccard_join, packing, quality, toxicity, warc
 from tablerecon.llm.common import new_folder, table
 from tablerecon.llm.sampling import fold
 
@@ -83,6 +83,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved_records(warc.read_archives(spark, folder, payload=False))
 
 
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
