@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerecon.llm import decontaminate, jaccard_join, packing, quality, toxicity, warc
+from tablerecon.llm import decontaminate, jaccard_join, packing, pii, quality, toxicity, url_templates, warc
 from tablerecon.llm.common import new_folder, table
 from tablerecon.llm.sampling import fold
 
@@ -53,6 +53,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"]), 5, 0)
 
 
+@query("op4_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS[:4])
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.concat("base", "terms")).alias("spans")
+    )
+
+
 @query("op5_quality")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,6 +94,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved_records(warc.read_archives(spark, folder, payload=False))
 
 
+#: Rules given for the pages, as (verdict, host, path).
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+@query("op7_url_templates")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query("op9_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
