@@ -81,15 +81,17 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def non_negative_pu(toxic: list[set[str]], other: list[set[str]], prior: float, seed: int = 3) -> Model:
+def non_negative_pu(toxic: list[frozenset[str]], other: list[frozenset[str]], prior: float, seed: int = 3) -> Model:
     """Minimise prior * R+(toxic) + max(0, R-(unlabelled) - prior * R-(toxic)) with the sigmoid loss."""
     if not toxic or not 0 < prior < 1:
         return Model()
     counts: dict[str, list[int]] = {}
-    for side, rows in enumerate((toxic, other)):
-        for row in rows:
-            for word in row:
-                counts.setdefault(word, [0, 0])[side] += 1
+    for row in toxic:
+        for word in row:
+            counts.setdefault(word, [0, 0])[0] += 1
+    for row in other:
+        for word in row & counts.keys():
+            counts[word][1] += 1
     least = max(min(LEAST_DOCUMENTS, len(toxic)), LEAST_SHARE * len(toxic))
     ratio = {
         w: math.log((p + 0.5) / (len(toxic) + 1)) - math.log((u + 0.5) / (len(other) + 1))
@@ -159,17 +161,23 @@ def fit(
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1), batch.column(2)], names=["words", "y", "o"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides: tuple[list, list] = ([], [])
+        # Toxic rows come first; of the others only features that those hold matter.
+        toxic_sets: list[frozenset[str]] = []
+        other_sets: list[frozenset[str]] = []
+        names: dict[str, str] = {}
         for batch in batches:
-            for found, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sides[1 - y].append(set(found))
-        m = non_negative_pu(*sides, prior)
+            for found, y in zip(batch.column(0), batch.column(1).to_pylist()):
+                if y:
+                    toxic_sets.append(frozenset(names.setdefault(w, w) for w in found.as_py()))
+                else:
+                    other_sets.append(frozenset(names[w] for w in found.as_py() if w in names))
+        m = non_negative_pu(toxic_sets, other_sets, prior)
         rows = [{"word": k, "weight": w} for k, w in m.weights.items()] + [{"word": None, "weight": m.bias}]
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("word", pa.string()), ("weight", pa.float64())]))
 
     order = F.xxhash64("doc_id", "text").alias("o")
     both = toxic.select("text", "y", order).unionAll(other.select("text", "y", order))
-    fed = both.mapInArrow(featurise, "words array<string>, y int, o long").repartition(1).sortWithinPartitions("o", "y")
+    fed = both.mapInArrow(featurise, "words array<string>, y int, o long").repartition(1).sortWithinPartitions(F.desc("y"), "o")
     got = fed.select("words", "y").mapInArrow(run, "word string, weight double").collect()
     return Model({r.word: r.weight for r in got if r.word is not None}, next((r.weight for r in got if r.word is None), -60.0))
 
