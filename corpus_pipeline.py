@@ -3,10 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablerecon.llm import decontaminate, jaccard_join, packing, pii, quality
 from tablerecon.llm.common import new_folder, table
+from tablerecon.llm.sampling import fold
 
-STAGES: list = []
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality classifier gives label 0."""
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
+    model = quality.fit(docs, labels, "quality")
+    return quality.score(docs, model, name="_quality").where("_quality >= 0.5").select(*_names(docs))
+
+
+def keep_one_of_a_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies (five-word shingles, similarity 0.8) keep the one with the smallest id.
+
+    A document without id is kept: no group can name it.
+    """
+    groups = jaccard_join.near_duplicates(docs, width=5, percent=80)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), prefix="_")
+    return found.where("_n_hit = 0").select(*_names(docs))
+
+
+def take_out_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Generalise personal data and remove terms that give it away; ``n_chars`` follows."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*_names(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of power-of-two length, without padding."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _names(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near duplicates", keep_one_of_a_group),
+    ("decontamination", drop_contaminated),
+    ("personal data", take_out_personal_data),
+    ("packing", pack),
+]
 
 #: Learned models, an automaton and a tokenizer are beyond SQL.
 ORACLE_SQL = None

@@ -34,6 +34,8 @@ TRAIN_ROWS = 4000
 BUCKETS = 1 << 16
 DIM = 16
 EPOCHS = 6
+#: Updates at least, so that a small sample is gone over more often.
+LEAST_STEPS = 12_000
 RATE = 4.0
 NGRAMS = (3, 4)
 #: Distinct words whose value a worker keeps.
@@ -106,8 +108,9 @@ def descend(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer = np.zeros((DIM, 2), np.float32)
     bias = np.log(np.array([1 - prior, prior], np.float32))
-    steps, done = EPOCHS * len(documents), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // len(documents)))
+    steps, done = epochs * len(documents), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(documents)):
             rows, shares = documents[i]
             rate = RATE * (1 - done / steps)
