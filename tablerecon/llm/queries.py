@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerecon.llm import decontaminate, jaccard_join, packing, pii, quality, toxicity, url_templates, warc
+from tablerecon.llm import decontaminate, hnsw, jaccard_join, packing, pii, quality, toxicity, url_templates, warc
 from tablerecon.llm.common import new_folder, table
 from tablerecon.llm.sampling import fold
 
@@ -113,3 +113,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query("op1_hnsw")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
