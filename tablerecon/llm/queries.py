@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerecon.llm import decontaminate, hnsw, jaccard_join, packing, pii, quality, toxicity, url_templates, warc
+from tablerecon.llm import decontaminate, hnsw, jaccard_join, packing, pii, quality, substring_dedup, toxicity, url_templates, warc
 from tablerecon.llm.common import new_folder, table
 from tablerecon.llm.sampling import fold
 
@@ -103,6 +103,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op9_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
