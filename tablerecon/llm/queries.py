@@ -73,7 +73,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB's digest is hex: five digits make four letters of base 32.
 _BASE32_SQL = (
-    "array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST("
+    "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST("
     "(CAST('0x' || substr({h}, CAST((i // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT) // CAST(pow(32, 3 - i % 4) AS BIGINT)) % 32 + 1 AS BIGINT), 1)), '')"
 )
 
