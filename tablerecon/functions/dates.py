@@ -29,25 +29,35 @@ def _parsed(text: Column) -> Column:
 
     The accepted spellings are ``Y-m-d`` with or without ``H:M:S``, ``Y/m/d``,
     ``Y年m月d日``, ``m-d-Y``, ``m/d/Y`` and ``Ymd``.  They exclude each other
-    by the place of their separators, so each value is parsed once, with the
+    by the place of their first separator: a year before it is four characters
+    long, a month or day at most two.  So each value is parsed once, with the
     one pattern its shape allows, instead of failing through seven patterns.
     """
-    fifth = F.substring(text, 5, 1)
-    dash, slash = F.instr(text, "-") > 0, F.instr(text, "/") > 0
+    dash, slash = F.instr(text, "-"), F.instr(text, "/")
 
     def by(pattern: str) -> Column:
         return F.try_to_timestamp(text, F.lit(pattern))
 
     return (
-        F.when(fifth == "-", F.when(F.instr(text, ":") > 0, by("yyyy-M-d H:m:s")).otherwise(by("yyyy-M-d")))
-        .when(fifth == "/", by("yyyy/M/d"))
-        .when(fifth == "年", by("yyyy年M月d日"))
-        .when(dash, by("M-d-yyyy"))
-        .when(slash, by("M/d/yyyy"))
+        F.when(dash == 5, F.when(F.instr(text, ":") > 0, by("yyyy-M-d H:m:s")).otherwise(by("yyyy-M-d")))
+        .when(slash == 5, by("yyyy/M/d"))
+        .when(F.instr(text, "年") == 5, by("yyyy年M月d日"))
+        .when(dash > 0, by("M-d-yyyy"))
+        .when(slash > 0, by("M/d/yyyy"))
         .when(F.length(text) == 8, by("yyyyMMdd"))
     )
 
 
+def _parsed_freely(text: Column) -> Column:
+    """As ``_parsed``, and year-first dates with any of ``- / .``, a ``T`` or a time of day.
+
+    Fractions of a second and a zone may follow the time.
+    """
+    spelled = F.regexp_replace(text, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?=$|[ T])", "$1-$2-$3")
+    looks = text.rlike(r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:$|[ T]+\d{1,2}:\d{1,2}(?::\d{1,2})?)")
+    return F.coalesce(_parsed(text), F.when(looks, spelled.try_cast("timestamp")))
+
+
 def parse_date(
     c: Column | str,
     mode: str = "ladder",
@@ -58,7 +68,8 @@ def parse_date(
     """A date as ``yyyy-MM-dd`` text (``yyyy-MM-dd HH:mm:ss`` with ``keep_time``).
 
     Unparsable text is kept as it is in mode ``ladder`` and becomes null in
-    mode ``free``; a blank gives ``''`` (``ladder``) or null (``free``).
+    the modes ``strict`` and ``free``; a blank gives ``''`` (``ladder``) or
+    null.  ``free`` accepts more spellings (``_parsed_freely``).
     Columns of a date type are formatted without parsing; ``clean`` text is
     normalized already.
     """
@@ -66,10 +77,10 @@ def parse_date(
     pattern = _SECOND if keep_time else _DAY
     if isinstance(dtype, _DATE_TYPES):
         shown = F.date_format(c, pattern)
-        return shown if mode == "free" else F.coalesce(shown, F.lit(""))
+        return F.coalesce(shown, F.lit("")) if mode == "ladder" else shown
     text = c if clean else norm(c)
-    shown = F.date_format(_parsed(text), pattern)
-    return shown if mode == "free" else F.coalesce(shown, text)
+    shown = F.date_format(_parsed_freely(text) if mode == "free" else _parsed(text), pattern)
+    return F.coalesce(shown, text) if mode == "ladder" else shown
 
 
 def norm_date_digits(c: Column | str) -> Column:
@@ -113,7 +124,7 @@ def comparable_date(
     if mode == "prefix":
         return cut_date(c if clean else norm(c), name)
     if mode == "sql":
-        return parse_date(c, mode="free", dtype=dtype, clean=clean)
+        return parse_date(c, mode="strict", dtype=dtype, clean=clean)
     keep_time = PRECISION_CHARS[name] > PRECISION_CHARS["day"]
     shown = parse_date(c, mode="free" if mode == "free" else "ladder", keep_time=keep_time, dtype=dtype, clean=clean)
     return F.coalesce(cut_date(shown, name), F.lit(""))

@@ -15,7 +15,7 @@ from tablerecon.plans.rules import Rule
 EXTRA_SHIFT = 100_000_000
 
 # Spellings of a date in the target, picked by key % 6.
-DATE_SPELLINGS = ["yyyy-M-d", "yyyy/MM/dd", "yyyyMMdd", "MM-dd-yyyy", "MM/dd/yyyy", "yyyy年M月d日"]
+DATE_SPELLINGS = ["yyyy-M-d", "yyyy/MM/dd", "yyyyMMdd", "MM-dd-yyyy", "MM/dd/yyyy", "yyyy年M月d日", "M-d-yyyy", "M/d/yyyy"]
 SQL_SPELLINGS = ["%Y-%-m-%-d", "%Y/%m/%d", "%Y%m%d", "%m-%d-%Y", "%m/%d/%Y", "%Y年%-m月%-d日"]
 
 ORDER_FIELDS = ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderstatus"]

@@ -148,3 +148,17 @@ def test_update_statement(spark):
 def test_rewrite_timestamps(spark):
     rows = ["x TIMESTAMP '2024-11-06 09:52:36', TIMESTAMP '2024-11-06'"]
     assert values(spark, st.rewrite_timestamps("v"), rows) == ["x TO_DATE('2024-11-06', 'yyyy-MM-dd'), TIMESTAMP '2024-11-06'"]
+
+
+def test_months_and_days_of_one_digit(spark):
+    from tablerecon.functions.dates import parse_date
+
+    spelled = ["12-5-2024", "1-15-2024", "12/5/2024", "1/15/2024", "1/5/2024", "01-05-2024", "2024-1-5", "2024/12/5", "2024-1-5 3:4:5"]
+    days = ["2024-12-05", "2024-01-15", "2024-12-05", "2024-01-15", "2024-01-05", "2024-01-05", "2024-01-05", "2024-12-05", "2024-01-05"]
+    df = spark.createDataFrame([(s,) for s in spelled], "d string")
+    for mode in ("ladder", "strict", "free"):
+        assert [r[0] for r in df.select(parse_date("d", mode)).collect()] == days
+    free = ["2024-01-05T03:04:05", "2024.1.5", "2024/1/5 03:04", "2024-01-05 03:04:05.25", "5 o'clock", "2024.1.5.6"]
+    df = spark.createDataFrame([(s,) for s in free], "d string")
+    assert [r[0] for r in df.select(parse_date("d", "free")).collect()] == ["2024-01-05"] * 4 + [None] * 2
+    assert [r[0] for r in df.select(parse_date("d", "strict")).collect()][1] is None
