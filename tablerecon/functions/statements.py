@@ -55,11 +55,12 @@ def render_update(table: str, assign: Mapping[str, str], where: Sequence[str] |
     )
 
 
+# The literal looked for and the call that replaces it.
+TIMESTAMP_LITERAL = r"TIMESTAMP '(\d{4}-\d{2}-\d{2}) \d{2}:\d{2}:\d{2}'"
+DATE_CALL = r"TO_DATE('$1', 'yyyy-MM-dd')"
+
+
 def rewrite_timestamps(c: Column | str) -> Column:
     """Turn ``TIMESTAMP 'Y-m-d H:M:S'`` literals into ``TO_DATE`` calls."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(
-        c,
-        r"TIMESTAMP '(\d{4}-\d{2}-\d{2}) \d{2}:\d{2}:\d{2}'",
-        r"TO_DATE('$1', 'yyyy-MM-dd')",
-    )
+    return F.regexp_replace(c, TIMESTAMP_LITERAL, DATE_CALL)

@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The yes/no spellings that count as one value.
 YES_WORDS = ("是", "Y")
@@ -40,12 +41,17 @@ def _text(c: Column | str, clean: bool) -> Column:
     return _col(c) if clean else norm(c)
 
 
-def norm(c: Column | str, nulls: Sequence[str] = (), ci: bool = False) -> Column:
-    """One spelling for "no value": null, NaN text and blanks become ``''``.
+def norm(c: Column | str, nulls: Sequence[str] = (), ci: bool = False, dtype: T.DataType | None = None) -> Column:
+    """One spelling for "no value": null and blanks become ``''``.
+
+    Pass the column's ``dtype`` when it is known: a NaN of a float column is
+    no value either.
 
     ``nulls`` lists further words that mean "no value" (``('None',)``, or
     ``('none', 'null')`` with ``ci=True`` to ignore case).
     """
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        c = F.nullif(_col(c), F.lit(float("nan")).cast(dtype))
     text = F.coalesce(strip(c), F.lit(""))
     if not nulls:
         return text

@@ -21,11 +21,24 @@ def clean_name(name: str) -> str:
     return re.sub(r"[*\s]+", "", name)
 
 
-def sanitize_name(name: str, length: int = 64) -> str:
-    name = re.sub(r"[^\w]", "_", name)
-    if name[:1].isdigit():
-        name = f"col_{name}"
-    return name[:length] or "unnamed_column"
+# What stands before a leading digit, for no name, and the longest name.
+DIGIT_PREFIX, NO_NAME, NAME_LENGTH = "col_", "unnamed_column", 64
+
+
+def sanitize_names(names: Sequence[str], length: int = NAME_LENGTH) -> list[str]:
+    """Distinct names of word characters; a repeated one gets a number within ``length``."""
+    taken: set[str] = set()
+    out = []
+    for name in names:
+        letters = "".join(c if c.isalnum() or c == "_" else "_" for c in name) or NO_NAME
+        base = (DIGIT_PREFIX if letters[0].isdigit() else "") + letters
+        candidate, n = base[:length], 1
+        while candidate.lower() in taken:
+            n += 1
+            candidate = f"{base[: length - len(str(n)) - 1]}_{n}"
+        taken.add(candidate.lower())
+        out.append(candidate)
+    return out
 
 
 def clean_columns(df: DataFrame) -> DataFrame:
@@ -33,9 +46,9 @@ def clean_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[clean_name(c) for c in df.columns])
 
 
-def sanitize_columns(df: DataFrame, length: int = 64) -> DataFrame:
-    """Names made of word characters, not starting with a digit, at most ``length`` long."""
-    return df.toDF(*[sanitize_name(c, length) for c in df.columns])
+def sanitize_columns(df: DataFrame, length: int = NAME_LENGTH) -> DataFrame:
+    """Distinct names of word characters, not starting with a digit, at most ``length`` long."""
+    return df.toDF(*sanitize_names(df.columns, length))
 
 
 def select_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:

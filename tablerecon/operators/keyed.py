@@ -1,28 +1,28 @@
 """Joins of a big table with a key-unique one, safe against hot keys.
 
-No side is broadcast by hint.  A right side that the planner's size estimate
-puts under ``spark.sql.autoBroadcastJoinThreshold`` is broadcast by Spark
-itself.  Beyond that the join shuffles, and left keys heavy enough to swamp a
-task are found with one mergeable sketch pass and spread over several tasks,
-while the few right rows they meet are repeated.
+No side is broadcast by hint; Spark broadcasts what its own estimate allows.
+Beyond that the join shuffles, and adaptive execution splits the left
+partitions that hot keys swell.  It can do so only if both sides come straight
+from a shuffle made for the join.  A right side that was grouped by the key
+lies there already, so a hash of the key joins as a second equality: the small
+right side is shuffled once more and the left can be split.  Semi and anti
+joins take the plain key columns of the right side instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerecon.functions.names import col
-from tablerecon.session import broadcast_threshold, estimated_bytes
 
 On = Sequence[str | tuple[str, str]]
 
-_TRACKED_KEYS = 256
-_SKETCH_ITEMS = 65_536
-_HASH, _SLICE = "_key_hash", "_key_slice"
+_LEFT_HASH, _RIGHT_HASH = "_left_hash", "_right_hash"
 
 
 def key_pairs(on: On | str) -> list[tuple[str, str]]:
@@ -32,58 +32,30 @@ def key_pairs(on: On | str) -> list[tuple[str, str]]:
     return [(o, o) if isinstance(o, str) else (o[0], o[1]) for o in on]
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[Column], shuffle_partitions: int) -> dict[int, int]:
-    """Hash of each heavy key -> number of tasks its rows should spread over.
-
-    A key is heavy when it alone outweighs four average shuffle partitions.
-    Only the key columns are read, and each task ships one small sketch.
-    """
-    hashed = df.select(F.xxhash64(*keys).alias(_HASH))
-    row = hashed.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.expr(f"approx_top_k({_HASH}, {_TRACKED_KEYS}, {_SKETCH_ITEMS})").alias("top"),
-    ).first()
-    average = max(row["total"] / shuffle_partitions, 1.0)
-    return {t["item"]: -(-int(t["count"]) // int(average)) for t in row["top"] or [] if t["count"] > 4 * average}
-
-
-def _slices(hash_col: Column, heavy: dict[int, int]) -> Column:
-    pairs = [F.lit(x) for item in heavy.items() for x in item]
-    return F.coalesce(F.element_at(F.create_map(*pairs), hash_col), F.lit(1))
-
-
 def attach(
     left: DataFrame,
     right: DataFrame,
     on: On | str,
     how: str = "left",
-    unique_left: bool = False,
 ) -> DataFrame:
     """Join ``left`` with ``right``, whose rows are unique on the key.
 
-    ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.  The
-    right's key columns are dropped; its other columns must not clash with
-    the left's.  ``unique_left`` skips the search for heavy keys.
+    ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``; for the
+    last two ``right`` may repeat keys.  The right's key columns are dropped;
+    its other columns must not clash with the left's.
     """
     pairs = key_pairs(on)
     renamed = {r: f"_right_key_{i}" for i, (_, r) in enumerate(pairs)}
     right = right.select(*[col(c).alias(renamed.get(c, c)) for c in right.columns])
-    left_keys = [col(l) for l, _ in pairs]
-    right_keys = [F.col(renamed[r]) for _, r in pairs]
-    condition = left_keys[0] == right_keys[0]
-    for l, r in zip(left_keys[1:], right_keys[1:]):
-        condition = condition & (l == r)
-
-    spark = left.sparkSession
-    small = estimated_bytes(right) <= broadcast_threshold(spark)
-    if not small and not unique_left:
-        hashed = _hashable(left, right, [(l, renamed[r]) for l, r in pairs])
-        if hashed:
-            partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            heavy = heavy_keys(left, hashed[0], partitions)
-            if heavy:
-                return _sliced_join(left, right, hashed, condition, how, heavy).drop(*renamed.values())
-    return left.join(right, condition, how).drop(*renamed.values())
+    parts = [col(l) == F.col(renamed[r]) for l, r in pairs]
+    extra = []
+    hashed = _hashable(left, right, [(l, renamed[r]) for l, r in pairs]) if how in ("left", "inner") else None
+    if hashed:
+        extra = [_LEFT_HASH, _RIGHT_HASH]
+        left = left.withColumn(_LEFT_HASH, F.xxhash64(*hashed[0]))
+        right = right.withColumn(_RIGHT_HASH, F.xxhash64(*hashed[1]))
+        parts.append(F.col(_LEFT_HASH) == F.col(_RIGHT_HASH))
+    return left.join(right, reduce(lambda x, y: x & y, parts), how).drop(*renamed.values(), *extra)
 
 
 def _hashable(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> tuple[list[Column], list[Column]] | None:
@@ -103,19 +75,6 @@ def _hashable(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]
     return out
 
 
-def _sliced_join(left, right, hashed, condition, how, heavy) -> DataFrame:
-    # The input partition's number spreads a heavy key's rows, identical ones
-    # too, and stays the same when a lost task runs again.
-    wide = left.withColumn(_HASH, F.xxhash64(*hashed[0]))
-    wide = wide.withColumn(_SLICE, F.pmod(F.spark_partition_id(), _slices(F.col(_HASH), heavy)))
-    repeated = right.withColumn(_HASH, F.xxhash64(*hashed[1]))
-    repeated = repeated.withColumn(
-        "_right_slice", F.explode(F.sequence(F.lit(0), _slices(F.col(_HASH), heavy) - 1))
-    ).drop(_HASH)
-    joined = wide.join(repeated, condition & (F.col(_SLICE) == F.col("_right_slice")), how)
-    return joined.drop(_HASH, _SLICE, "_right_slice")
-
-
 def first_per_key(
     df: DataFrame,
     keys: Sequence[str],

@@ -34,7 +34,7 @@ def reciprocal_totals(
         *[col(c).alias(b) for c, b in back_names.items()],
     )
     # Both sides are unique by construction.
-    out = attach(totals, back, [(peer, "_back_own"), (own, "_back_peer")], unique_left=True)
+    out = attach(totals, back, [(peer, "_back_own"), (own, "_back_peer")])
     types = {f.name: f.dataType for f in totals.schema.fields}
     return out.withColumns({b: F.coalesce(col(b), F.lit(0).cast(types[c])) for c, b in back_names.items()})
 

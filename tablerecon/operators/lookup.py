@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +14,13 @@ from tablerecon.operators.keyed import On, attach, first_per_key, key_pairs
 
 
 def _keys_of(b: DataFrame, on: On | str) -> DataFrame:
-    return b.select(*[col(r) for _, r in key_pairs(on)]).distinct()
+    """Key columns as they are: a semi or anti join needs no distinct ones."""
+    return b.select(*[col(r) for _, r in key_pairs(on)])
 
 
 def flag_exists(a: DataFrame, b: DataFrame, on: On | str, name: str = "found") -> DataFrame:
     """Every row of ``a`` with a flag: does its key occur in ``b``?"""
-    known = _keys_of(b, on).withColumn(name, F.lit(True))
+    known = _keys_of(b, on).distinct().withColumn(name, F.lit(True))
     return attach(a, known, on).withColumn(name, F.coalesce(col(name), F.lit(False)))
 
 
@@ -131,19 +133,25 @@ def map_composite(
 
 
 def build_multimap(
-    df: DataFrame, key: str, value: str, sep: str = "|", header_words: Sequence[str] = ()
+    df: DataFrame, key: str, value: str, sep: str = "|", header_words: Sequence[str] = (), order: str | None = None
 ) -> DataFrame:
     """Allowed values per key as distinct rows ``(key, value)``.
 
     Cells hold several values split by ``sep``.  Rows with a blank on either
-    side are left out, and so are rows that repeat the header: those whose
-    key or value contains one of ``header_words``.  The pairs stay rows, so a
-    key may have any number of values.
+    side are left out.  The first row by ``order`` is taken for a repeated
+    header if its key or value contains one of ``header_words``; later rows
+    never are.  The pairs stay rows, so a key may have any number of values.
     """
-    pairs = df.select(norm(col(key)).alias("key"), norm(col(value)).alias("value"))
+    pairs = df.select(norm(col(key)).alias("key"), norm(col(value)).alias("value"), *([col(order).alias("_order")] if order else []))
+    if header_words:
+        if order is None:
+            raise ValueError("header words need the column that orders the rows")
+        named = reduce(
+            lambda x, y: x | y, [F.contains(c, F.lit(w)) for w in header_words for c in (F.col("key"), F.col("value"))]
+        )
+        first = df.agg(F.min(col(order))).scalar()
+        pairs = pairs.where(~(F.col("_order").eqNullSafe(first) & named))
     pairs = pairs.where((F.col("key") != "") & (F.col("value") != ""))
-    for word in header_words:
-        pairs = pairs.where(~(F.contains("key", F.lit(word)) | F.contains("value", F.lit(word))))
     return pairs.select("key", F.explode(F.split("value", f"[{sep}]")).alias("value")).distinct()
 
 

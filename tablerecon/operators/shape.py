@@ -51,9 +51,14 @@ def value_counts(df: DataFrame, name: str) -> DataFrame:
 def split_by_value(df: DataFrame, name: str, part: str = "part", length: int = 200) -> DataFrame:
     """Rows with a non-blank value and the name of the part they belong to.
 
-    Write the result with ``write_parts``, which keeps hot values spread out.
+    One part per value: where cleaning or cutting changed a name, a hash of
+    the whole value follows it.  Write the result with ``write_parts``, which
+    keeps hot values spread out.
     """
-    return df.where(norm(col(name)) != "").withColumn(part, safe_name(col(name), length))
+    value = col(name).cast("string")
+    plain = safe_name(value, length)
+    marked = F.concat(F.substring(plain, 1, length - 17), F.lit("~"), F.substring(F.sha2(value, 256), 1, 16))
+    return df.where(norm(col(name)) != "").withColumn(part, F.when(plain == value, plain).otherwise(marked))
 
 
 def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:

@@ -178,12 +178,14 @@ def compare(
     options: Options = Options(),
     keep_all: bool = False,
     keys_complete: bool = False,
+    keys_unique: bool = False,
 ) -> Comparison:
     """Compare two tables by rules; see ``Comparison`` for what comes back.
 
-    The keys are expected to be unique per side; ``reconcile`` checks that
-    first.  ``keep_all`` carries columns without a rule along for reports,
-    ``keys_complete`` says that no key is blank.
+    A key that repeats on a side fails the job unless the options ask for
+    fan-out.  ``keep_all`` carries columns without a rule along for reports,
+    ``keys_complete`` says that no key is blank and ``keys_unique`` that none
+    repeats; ``reconcile`` knows both from its gate.
     """
     a, b, lacking = prepare(a, b, rules, options, keep_all)
     keys = [r.source for r in key_rules(rules)]
@@ -199,6 +201,7 @@ def compare(
         blank_keys_match=options.mode != "sql",
         on_duplicates=options.on_duplicates,
         keys_complete=keys_complete,
+        keys_unique=keys_unique,
     )
     types = {f.name: f.dataType for f in frame.schema.fields}
     sides: dict[str, tuple[str, str]] = {}
@@ -211,7 +214,7 @@ def compare(
     # Normalized texts are used several times over: as columns of their own
     # they are made once per row, and the comparisons stay short.
     texts = {
-        _text_name(c): norm(col(c), options.null_words, options.null_words_any_case)
+        _text_name(c): norm(col(c), options.null_words, options.null_words_any_case, types[c])
         for rule in checked
         for c in sides[rule.source]
         if _is_text(rule, types[c])

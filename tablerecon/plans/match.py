@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +38,7 @@ def key_columns(
             right.append(col(k) if ta == tb else col(k).cast("long"))
             texts.append(False)
             continue
-        pair = [norm(col(k)), norm(col(k))]
+        pair = [norm(col(k), dtype=ta), norm(col(k), dtype=tb)]
         if integral_keys:
             pair = [F.regexp_replace(p, r"^([+-]?\d+)\.0+$", "$1") for p in pair]
         left.append(pair[0])
@@ -79,6 +79,7 @@ def match(
     blank_keys_match: bool = True,
     on_duplicates: str = "stop",
     keys_complete: bool = False,
+    keys_unique: bool = False,
 ) -> DataFrame:
     """Every key of either table with the row of both sides.
 
@@ -90,8 +91,10 @@ def match(
     the join is on the bare key columns, and tables bucketed or already
     partitioned on whole-number keys are not shuffled again.
 
-    The keys must be unique per side (the gate makes sure), so no join key
-    can be hot.  ``on_duplicates='fanout'`` accepts repeated keys and pairs
+    The keys must be unique per side, so that no join key can be hot: a
+    repeated one fails the job, found on the shuffle and sort that the join
+    needs anyway.  ``keys_unique`` says that the gate has made sure already.
+    ``on_duplicates='fanout'`` accepts repeated keys and pairs
     their rows as an SQL join does; copies of one row are counted first
     instead of paired one by one, and the pairs come from an inner join,
     whose hot partitions adaptive execution can split on both sides.
@@ -112,7 +115,13 @@ def match(
         lone_left, left = left.where(blank_left), left.where(~blank_left)
         lone_right, right = right.where(blank_right), right.where(~blank_right)
     null_safe = blank_keys_match and not keys_complete
-    joined = left.join(right, _condition(names, other, texts, null_safe), "full")
+    if keys_unique:
+        joined = left.join(right, _condition(names, other, texts, null_safe), "full")
+    else:
+        left, left_on = _unique(left, names, texts, null_safe, "_left_on")
+        right, right_on = _unique(right, other, texts, null_safe, "_right_on")
+        on = [F.col(x) == F.col(y) for x, y in zip(left_on, right_on)]
+        joined = left.join(right, reduce(lambda x, y: x & y, on), "full").drop(*left_on, *right_on)
     out = _finish(joined, names, other).withColumn(PAIRS, F.lit(1).cast("long"))
     if lone_left is not None:
         lone = [lone_left.withColumn(IN_TGT, F.lit(False)), _named(lone_right, names, other).withColumn(IN_SRC, F.lit(False))]
@@ -121,6 +130,25 @@ def match(
     return out
 
 
+def _unique(df: DataFrame, names, texts, null_safe: bool, tag: str) -> tuple[DataFrame, list[str]]:
+    """Columns to join on, and rows that fail the job where a key comes a second time.
+
+    A whole-number key that may be null joins as a value and a null mark, so
+    that the check and the join want the same partitioning and order.
+    """
+    on: dict[str, Column] = {}
+    for i, (n, text) in enumerate(zip(names, texts)):
+        if null_safe and not text:
+            on[f"{tag}_{i}"], on[f"{tag}_null_{i}"] = F.coalesce(F.col(n), F.lit(0)), F.col(n).isNull()
+        else:
+            on[f"{tag}_{i}"] = F.col(n)
+    place = F.row_number().over(Window.partitionBy(*on).orderBy(*on))
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in on])
+    repeated = F.raise_error(F.concat(F.lit("a key repeats: "), F.to_json(F.struct(*names)))).cast("boolean")
+    marked = df.withColumns(on).withColumn("_place", place)
+    return marked.where(F.when(known & (F.col("_place") > 1), repeated).otherwise(F.lit(True))).drop("_place"), list(on)
+
+
 def _condition(names, other, texts, null_safe: bool) -> Column:
     parts = []
     for n, o, text in zip(names, other, texts):
@@ -148,17 +176,18 @@ def _fanout(left, right, names, other, blank_keys_match) -> DataFrame:
         return df.withColumns(keys if blank_keys_match else {c: F.nullif(k, F.lit("")) for c, k in keys.items()})
 
     left, right = texts(left, names), texts(right, other)
+    known = left.select(*names)
     left = left.groupBy(*[col(c) for c in left.columns]).agg(F.count(F.lit(1)).alias(n_left))
     right = right.groupBy(*[col(c) for c in right.columns]).agg(F.count(F.lit(1)).alias(n_right))
+    # The outer join gives the pairs and the lone source rows; the lone target
+    # rows are those without one of the plain source keys.
     condition = reduce(lambda x, y: x & y, [F.col(n) == F.col(o) for n, o in zip(names, other)])
-    paired = left.join(right, condition, "inner").withColumn(PAIRS, F.col(n_left) * F.col(n_right))
+    paired = left.join(right, condition, "left")
+    paired = paired.withColumn(PAIRS, F.col(n_left) * F.coalesce(F.col(n_right), F.lit(1)))
     out = _finish(paired, names, other).drop(n_left, n_right)
-    lone_left = attach(left, right.select(*other).distinct(), list(zip(names, other)), "left_anti")
-    lone_right = attach(right, left.select(*names).distinct(), list(zip(other, names)), "left_anti")
-    lone_left = lone_left.withColumnRenamed(n_left, PAIRS).withColumn(IN_TGT, F.lit(False))
+    lone_right = attach(right, known, list(zip(other, names)), "left_anti")
     lone_right = _named(lone_right.withColumnRenamed(n_right, PAIRS), names, other).withColumn(IN_SRC, F.lit(False))
-    for lone in (lone_left, lone_right):
-        out = out.unionByName(_pad(lone, out))
+    out = out.unionByName(_pad(lone_right, out))
     return out.withColumns({n: F.coalesce(F.col(n), F.lit("")) for n in names})
 
 
@@ -172,11 +201,10 @@ def common_rows(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, _condition(names, other, texts, True), "inner").drop(*other)
 
 
-def missing_rows(a: DataFrame, b: DataFrame, keys: Sequence[str], unique_keys: bool = False) -> DataFrame:
+def missing_rows(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Source rows without a target key, all columns kept.
 
-    Blank keys match each other, whether null or empty text.  ``unique_keys``
-    says that no source key repeats, so none has to be checked for being hot.
+    Blank keys match each other, whether null or empty text.
     """
     left_keys, right_keys, texts = key_columns(a, b, keys)
     names = [key_name(i) for i in range(len(keys))]
@@ -191,13 +219,13 @@ def missing_rows(a: DataFrame, b: DataFrame, keys: Sequence[str], unique_keys: b
         chosen = [p.alias(n) for p, n in zip(parts + extra, names + marks)]
         return df.select(*(["*"] if keep else []), *chosen)
 
-    known = keyed(b, right_keys, False).distinct()
-    return attach(keyed(a, left_keys, True), known, names + marks, "left_anti", unique_left=unique_keys).drop(*names, *marks)
+    known = keyed(b, right_keys, False)
+    return attach(keyed(a, left_keys, True), known, names + marks, "left_anti").drop(*names, *marks)
 
 
-def extra_rows(a: DataFrame, b: DataFrame, keys: Sequence[str], unique_keys: bool = False) -> DataFrame:
+def extra_rows(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Target rows without a source key."""
-    return missing_rows(b, a, keys, unique_keys)
+    return missing_rows(b, a, keys)
 
 
 def key_sets(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

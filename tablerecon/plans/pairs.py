@@ -32,7 +32,8 @@ _NO_NUMBER = -(1 << 62)
 def _is_loose(rule: Rule, options: Options) -> bool:
     """Is the rule's equality more than that of one canonical value?"""
     if rule.kind == "number":
-        return rule.tolerance is not None
+        same = rule.tolerance == 0 and (options.mode == "sql" or options.one_sided_null == "differs")
+        return rule.tolerance is not None and not same
     if rule.kind == "date":
         return options.date_mode == "sql"
     return rule.comparator == "allowed"
@@ -43,10 +44,12 @@ def _canonical(rule: Rule, options: Options, name: str, dtype: T.DataType, is_so
     if rule.kind == "number":
         value = to_num(col(name), dtype)
         value = F.abs(value) if is_absolute(rule, options) else value
-        return F.coalesce(value, F.lit(0.0)) if options.mode == "sql" else value
+        value = F.coalesce(value, F.lit(0.0)) if options.mode == "sql" else value
+        rounded = options.mode == "sql" and rule.round_digits is not None and rule.tolerance is not None
+        return F.round(value, rule.round_digits) if rounded else value
     if rule.kind == "date":
         return comparable_date(col(name), rule.precision, options.default_precision, options.date_mode, dtype)
-    text = norm(col(name), options.null_words, options.null_words_any_case)
+    text = norm(col(name), options.null_words, options.null_words_any_case, dtype)
     match rule.comparator:
         case "last_segment":
             return last_segment(text, rule.separators[0 if is_source else 1], clean=True)
@@ -76,15 +79,17 @@ def _bucket(rule: Rule, options: Options, name: str, dtype: T.DataType) -> Colum
     return F.coalesce(F.floor(place), F.lit(_NO_NUMBER))
 
 
+def _pair_keys(keys: Sequence[str], options: Options, tag: str = "") -> list[Column]:
+    """A null key equals nothing, which is what an unmatched blank needs."""
+    texts = [norm(col(k)) for k in keys]
+    return [(F.nullif(t, F.lit("")) if options.mode == "sql" else t).alias(f"{tag}key_{i}") for i, t in enumerate(texts)]
+
+
 def _groups(df: DataFrame, keys, checked, options, tag: str, bucket_rule: Rule | None) -> DataFrame:
     """Rows by key, canonical values and loose values, with their number."""
     is_source = tag == SRC
     types = {f.name: f.dataType for f in df.schema.fields}
-    columns = []
-    for i, k in enumerate(keys):
-        key = norm(col(k))
-        # A null key equals nothing, which is what an unmatched blank needs.
-        columns.append((F.nullif(key, F.lit("")) if options.mode == "sql" else key).alias(f"{tag}key_{i}"))
+    columns = _pair_keys(keys, options, tag)
     for i, rule in enumerate(checked):
         helper = f"_code_{rule.source}" if is_source else f"_against_{rule.source}"
         name = helper if helper in types else rule.source
@@ -140,9 +145,10 @@ def pair_summary(a: DataFrame, b: DataFrame, rules: Sequence[Rule], options: Opt
     right = _groups(b, keys, checked, options, TGT, bucket_rule)
 
     names = [f"key_{i}" for i in range(len(keys))]
+    # From the key columns alone, combined in the map tasks.
     sides = [
-        left.select(*[F.col(SRC + n).alias(n) for n in names], F.col(f"{SRC}n").alias("s"), F.lit(0).alias("t")),
-        right.select(*[F.col(TGT + n).alias(n) for n in names], F.lit(0).alias("s"), F.col(f"{TGT}n").alias("t")),
+        a.select(*_pair_keys(keys, options), F.lit(1).cast("long").alias("s"), F.lit(0).cast("long").alias("t")),
+        b.select(*_pair_keys(keys, options), F.lit(0).cast("long").alias("s"), F.lit(1).cast("long").alias("t")),
     ]
     per_key = sides[0].unionByName(sides[1]).groupBy(*names).agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     lone = reduce(lambda x, y: x | y, [F.col(n).isNull() for n in names])
@@ -159,8 +165,10 @@ def pair_summary(a: DataFrame, b: DataFrame, rules: Sequence[Rule], options: Opt
         total(F.when(~lone, s * t)).alias("common"),
     )
     equal = _equal_pairs(left, right, len(keys), checked, options, bucket_rule is not None)
-    # One row beside one row.
-    both = counts.withColumn("_one", F.lit(1)).join(equal.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # Two rows of sums, added up.
+    both = counts.unionByName(equal, allowMissingColumns=True).agg(
+        *[F.sum(F.coalesce(col(c), F.lit(0))).alias(c) for c in [*counts.columns, "equal"]]
+    )
     differing = F.col("common") - F.col("equal")
     return both.select(
         F.lit(" + ".join(keys)).alias("primary_key"),

@@ -119,4 +119,4 @@ def reconcile(
     if report.stopped:
         return Reconciliation(report, None)
     blank = report.counts["blank_any_source"] or report.counts["blank_any_target"]
-    return Reconciliation(report, compare(a, b, rules, options, keep_all, keys_complete=not blank))
+    return Reconciliation(report, compare(a, b, rules, options, keep_all, keys_complete=not blank, keys_unique=options.on_duplicates == "stop"))

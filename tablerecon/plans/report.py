@@ -75,14 +75,13 @@ def field_counts(result: Comparison) -> DataFrame:
 
 
 def _shown(result: Comparison, tag: str, field: str) -> Column:
-    return norm(col(tag + field))
+    return norm(col(tag + field), dtype=result.frame.schema[tag + field].dataType)
 
 
 def diff_records(result: Comparison) -> DataFrame:
     """One row per differing field: key, field, both values.
 
-    The fields are unfolded without filtering the rows first: a filter would
-    evaluate every comparison a second time below the match.
+    Only differences are unfolded, so equal rows make no rows here.
     """
     entries = [
         F.when(
@@ -95,8 +94,9 @@ def diff_records(result: Comparison) -> DataFrame:
         )
         for f in result.fields
     ]
-    rows = result.frame.select(*result.key_columns, F.explode(F.array(*entries)).alias("_record"))
-    return rows.where(F.col("_record").isNotNull()).select(*[col(k) for k in result.keys], "_record.*")
+    found = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    rows = result.frame.where(F.col(IN_SRC) & F.col(IN_TGT)).select(*result.key_columns, F.explode(found).alias("_record"))
+    return rows.select(*[col(k) for k in result.keys], "_record.*")
 
 
 def diff_pairs(result: Comparison) -> DataFrame:
@@ -190,7 +190,7 @@ def preview(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*[col(o) for o in order]).limit(n)
 
 
-def cap_details(result: Comparison, n: int = 10_000, labels: Labels = LABELS) -> DataFrame:
+def cap_details(result: Comparison, n: int, labels: Labels = LABELS) -> DataFrame:
     """The first ``n`` differing keys in key order, and a line saying how many follow.
 
     Only what is shown is capped; counts and reports always cover all rows.

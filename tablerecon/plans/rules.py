@@ -16,8 +16,6 @@ KIND_WORDS = {"文本": "text", "数值": "number", "日期": "date"}
 # Fixed value: the rule sheet's mark for a key field.
 KEY_WORD = "是"
 
-_MAX_RULES = 10_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -99,9 +97,7 @@ def load_rules(df: DataFrame) -> list[Rule]:
         df = df.orderBy(*places).drop(*places)
     names = [f"_{i}" for i in range(len(df.columns))]
     sheet = df.toDF(*names).select(*[norm(n).alias(n) for n in names])
-    rows = sheet.where((F.col("_0") != "") & (F.col("_1") != "")).limit(_MAX_RULES + 1).collect()
-    if len(rows) > _MAX_RULES:
-        raise ValueError(f"a rule sheet holds at most {_MAX_RULES} rules")
+    rows = sheet.where((F.col("_0") != "") & (F.col("_1") != "")).collect()
     rules: dict[str, Rule] = {}
     for row in rows:
         source, target, kind, strictness, mark = row[:5]

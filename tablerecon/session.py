@@ -46,16 +46,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="tablerecon-")
     context.setCheckpointDir(folder)
     return folder
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The planner's size estimate, the same figure it picks broadcasts by."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_threshold(spark: SparkSession) -> int:
-    """``spark.sql.autoBroadcastJoinThreshold`` in bytes; -1 when switched off."""
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
-    units = {"k": 10, "m": 20, "g": 30, "t": 40}
-    text = text.removesuffix("b")
-    return int(text[:-1]) << units[text[-1]] if text[-1:] in units else int(text)

@@ -23,7 +23,7 @@ def generate_like(df: DataFrame, key: str, total: int, seed: int = 0) -> DataFra
     rows = df.sparkSession.range(missing)
     fresh = rows.withColumn(key, F.sha2(F.concat_ws(":", F.lit(str(seed)), "id"), 256))
     taken = df.select(col(key).cast("string").alias("_taken")).distinct().withColumn("_is_taken", F.lit(True))
-    fresh = attach(fresh, taken, [(key, "_taken")], unique_left=True)
+    fresh = attach(fresh, taken, [(key, "_taken")])
     again = F.sha2(F.concat_ws(":", F.lit(f"{seed} again"), "id"), 512)
     fresh = fresh.withColumn(key, F.when(F.col("_is_taken"), again).otherwise(col(key)))
     letters = F.array(*[F.lit(v) for v in VALUES])

@@ -36,7 +36,8 @@ def probe_encodings(spark: SparkSession, paths: Sequence[str], encodings: Sequen
     """
     lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), "value")
     as_bytes = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    # Counted in bytes: read as UTF-8, a GBK lead byte can swallow a quote.
+    quotes = F.length(as_bytes) - F.length(F.replace(as_bytes, F.lit('"'), F.lit("")))
     # UTF-16 files start with a byte order mark, which no other encoding allows.
     checks = {
         "utf-8": F.bool_and(F.is_valid_utf8("value")),

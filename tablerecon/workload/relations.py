@@ -18,16 +18,25 @@ from tablerecon.workload import sqltext as sq
 from tablerecon.workload.fixtures import table
 from tablerecon.workload.registry import query
 
+def _disturbed(df, name: str, every: int):
+    """The whole table with every ``every``-th key made one that nothing has: its negative."""
+    return df.withColumn(name, F.when(F.col(name) % every == 0, -F.col(name) - 1).otherwise(F.col(name)))
+
+
+def _disturbed_sql(name: str, every: int) -> str:
+    return f"CASE WHEN {name} % {every} = 0 THEN -{name} - 1 ELSE {name} END"
+
+
 # --- membership -----------------------------------------------------------------------------------------------------
 
 
 @query(
     "flag_exists",
-    "SELECT doc_id, source, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS found FROM documents",
+    f"SELECT doc_id, source, doc_id IN (SELECT {_disturbed_sql('doc_id', 3)} FROM labels) AS found FROM documents",
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source")
-    return lo.flag_exists(docs, table(spark, sf, "labels").where("quality = 1"), "doc_id")
+    return lo.flag_exists(docs, _disturbed(table(spark, sf, "labels"), "doc_id", 3), "doc_id")
 
 
 @query(
@@ -43,49 +52,49 @@ def _(spark, sf):
 
 @query(
     "not_found",
-    "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    f"SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT {_disturbed_sql('o_custkey', 5)} FROM orders)",
 )
 def _(spark, sf):
-    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
-    return lo.not_found(table(spark, sf, "customer").select("c_custkey", "c_name"), urgent, [("c_custkey", "o_custkey")])
+    orders = _disturbed(table(spark, sf, "orders"), "o_custkey", 5)
+    return lo.not_found(table(spark, sf, "customer").select("c_custkey", "c_name"), orders, [("c_custkey", "o_custkey")])
 
 
 @query(
     "not_found_count",
-    """SELECT count(*) AS n FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'N'
-      AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)""",
+    f"""SELECT count(*) AS n FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'N'
+      AND l_partkey NOT IN (SELECT {_disturbed_sql('p_partkey', 3)} FROM part)""",
 )
 def _(spark, sf):
     lines = table(spark, sf, "lineitem").where("l_linestatus = 'O' AND l_returnflag = 'N'")
-    return lo.not_found(lines, table(spark, sf, "part").where("p_size > 25"), [("l_partkey", "p_partkey")]).agg(
+    return lo.not_found(lines, _disturbed(table(spark, sf, "part"), "p_partkey", 3), [("l_partkey", "p_partkey")]).agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
 @query(
     "keep_known",
-    "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+    f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT {_disturbed_sql('c_custkey', 3)} FROM customer)",
 )
 def _(spark, sf):
-    building = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
-    return lo.keep_known(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), building, [("o_custkey", "c_custkey")])
+    known = _disturbed(table(spark, sf, "customer"), "c_custkey", 3)
+    return lo.keep_known(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), known, [("o_custkey", "c_custkey")])
 
 
 @query(
     "prefix_not_found",
-    "SELECT s_suppkey, s_name FROM supplier WHERE s_name LIKE 'Supplier#%' AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09 AND l_tax > 0.07)",
+    f"SELECT s_suppkey, s_name FROM supplier WHERE s_name LIKE 'Supplier#%' AND s_suppkey NOT IN (SELECT {_disturbed_sql('l_suppkey', 4)} FROM lineitem)",
 )
 def _(spark, sf):
     s = table(spark, sf, "supplier").where(F.col("s_name").startswith("Supplier#")).select("s_suppkey", "s_name")
-    return lo.not_found(s, table(spark, sf, "lineitem").where("l_quantity > 49 AND l_discount > 0.09D AND l_tax > 0.07D"), [("s_suppkey", "l_suppkey")])
+    return lo.not_found(s, _disturbed(table(spark, sf, "lineitem"), "l_suppkey", 4), [("s_suppkey", "l_suppkey")])
 
 
 @query(
     "rows_for_keys",
-    "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    f"SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT {_disturbed_sql('c_custkey', 2)} FROM customer)",
 )
 def _(spark, sf):
-    keys = table(spark, sf, "customer").where("c_acctbal < 0")
+    keys = _disturbed(table(spark, sf, "customer"), "c_custkey", 2)
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
     return lo.rows_for_keys(events, keys, [("user_id", "c_custkey")])
 
@@ -106,30 +115,33 @@ def _(spark, sf):
 
 @query(
     "map_values",
-    """WITH m AS (SELECT p_type, min_by(p_brand, p_partkey) AS code FROM part WHERE p_type <> 'ECONOMY' GROUP BY 1)
+    """WITH m AS (SELECT CASE WHEN p_type = 'ECONOMY' THEN 'economy' ELSE p_type END AS p_type, min_by(p_brand, p_partkey) AS code
+      FROM part GROUP BY 1)
     SELECT p_partkey, coalesce(code, p.p_type) AS p_type FROM part p LEFT JOIN m ON p.p_type = m.p_type""",
 )
 def _(spark, sf):
     part = table(spark, sf, "part")
-    mapping = part.where("p_type <> 'ECONOMY'")
+    mapping = part.withColumn("p_type", F.when(F.col("p_type") == "ECONOMY", F.lit("economy")).otherwise(F.col("p_type")))
     return lo.map_values(part.select("p_partkey", "p_type"), "p_type", mapping, "p_type", "p_brand", ["p_partkey"])
 
 
 @query(
     "map_values_preferring",
-    """WITH m AS (SELECT p_type AS k, p_brand AS code, p_name || '-' || p_size AS txt, p_partkey AS o FROM part WHERE p_type <> 'PROMO'),
-      used AS (SELECT DISTINCT p_name || '-' || p_size AS txt FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_quantity > 45),
+    f"""WITH m AS (SELECT CASE WHEN p_type = 'PROMO' THEN 'promo' ELSE p_type END AS k, p_brand AS code,
+        p_name || '-' || p_size AS txt, p_partkey AS o FROM part),
+      used AS (SELECT DISTINCT p_name || '-' || p_size AS txt FROM part WHERE p_partkey IN (SELECT {_disturbed_sql('l_partkey', 7)} FROM lineitem)),
       best AS (SELECT k, code FROM m LEFT JOIN used USING (txt)
         QUALIFY row_number() OVER (PARTITION BY k ORDER BY used.txt IS NULL, o) = 1)
     SELECT p_partkey, left(code, 7) AS code FROM part LEFT JOIN best ON p_type = k""",
 )
 def _(spark, sf):
     part = table(spark, sf, "part")
-    lines = table(spark, sf, "lineitem").where("l_quantity > 45")
+    lines = _disturbed(table(spark, sf, "lineitem"), "l_partkey", 7)
+    mapping = part.withColumn("p_type", F.when(F.col("p_type") == "PROMO", F.lit("promo")).otherwise(F.col("p_type")))
     in_use = lo.keep_known(part, lines, [("p_partkey", "l_partkey")])
     target = in_use.select(F.concat_ws("-", "p_name", "p_size").alias("txt"))
     out = lo.map_values_preferring(
-        part.select("p_partkey", "p_type"), "p_type", part.where("p_type <> 'PROMO'"), "p_type", "p_brand",
+        part.select("p_partkey", "p_type"), "p_type", mapping, "p_type", "p_brand",
         ["p_name", "p_size"], target, "txt", ["p_partkey"], 7, "code",
     )
     return out.drop("p_type")
@@ -137,8 +149,8 @@ def _(spark, sf):
 
 @query(
     "map_composite",
-    """WITH m AS (SELECT n_name || '-' || n_regionkey AS txt, min_by(CAST(n_nationkey + 1000 AS VARCHAR), n_nationkey) AS code
-        FROM nation WHERE n_regionkey <> 2 GROUP BY 1),
+    """WITH m AS (SELECT CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END || '-' || n_regionkey AS txt,
+        min_by(CAST(n_nationkey + 1000 AS VARCHAR), n_nationkey) AS code FROM nation GROUP BY 1),
       c AS (SELECT c_custkey, n_name || '-' || n_regionkey AS v FROM customer JOIN nation ON c_nationkey = n_nationkey)
     SELECT c_custkey, left(coalesce(code, v), 4) AS v FROM c LEFT JOIN m ON v = txt""",
 )
@@ -146,19 +158,29 @@ def _(spark, sf):
     nation = table(spark, sf, "nation")
     c = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     c = c.select("c_custkey", F.concat_ws("-", "n_name", "n_regionkey").alias("v"))
-    mapping = nation.where("n_regionkey <> 2").withColumn("code", F.col("n_nationkey") + 1000)
+    mapping = nation.withColumn("code", F.col("n_nationkey") + 1000).withColumn(
+        "n_name", F.when(F.col("n_regionkey") == 2, F.lower("n_name")).otherwise(F.col("n_name"))
+    )
     return lo.map_composite(c, "v", mapping, ["n_name", "n_regionkey"], "code", ["n_nationkey"])
 
 
-# Brands and names seen with each part type, as `|`-separated cells.
+# Brands and names seen with each part type, as `|`-separated cells.  Every
+# row holds the header word, but only the first is a header.
 MULTIMAP_SQL = """m AS (SELECT DISTINCT p_type AS key, unnest(string_split(p_brand || '|' || p_name, '|')) AS value
-  FROM part WHERE p_size > 45 AND p_name NOT LIKE '%ring%')"""
+  FROM part WHERE p_partkey <> (SELECT min(p_partkey) FROM part))"""
 
 
 def _multimap(spark, sf):
-    part = table(spark, sf, "part").where("p_size > 45")
-    cells = part.select("p_type", F.concat_ws("|", "p_brand", "p_name").alias("codes"))
-    return lo.build_multimap(cells, "p_type", "codes", header_words=("ring",))
+    cells = table(spark, sf, "part").select("p_partkey", "p_type", F.concat_ws("|", "p_brand", "p_name").alias("codes"))
+    return lo.build_multimap(cells, "p_type", "codes", header_words=("Brand",), order="p_partkey")
+
+
+# Each third part has a brand that no type allows.
+ODD_BRAND_SQL = "CASE WHEN p_partkey % 3 = 0 THEN p_brand || '0' ELSE p_brand END"
+
+
+def _odd_brand():
+    return F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit("0"))).otherwise(F.col("p_brand"))
 
 
 @query("build_multimap", f"WITH {MULTIMAP_SQL} SELECT key, value FROM m")
@@ -168,39 +190,39 @@ def _(spark, sf):
 
 @query(
     "allowed_match",
-    f"WITH {MULTIMAP_SQL} SELECT p_partkey, (p_type, p_brand) IN (SELECT (key, value) FROM m) AS allowed FROM part",
+    f"WITH {MULTIMAP_SQL} SELECT p_partkey, (p_type, {ODD_BRAND_SQL}) IN (SELECT (key, value) FROM m) AS allowed FROM part",
 )
 def _(spark, sf):
-    part = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand")
+    part = table(spark, sf, "part").select("p_partkey", "p_type", _odd_brand().alias("p_brand"))
     return lo.allowed_match(part, "p_type", "p_brand", _multimap(spark, sf)).select("p_partkey", "allowed")
 
 
 @query(
     "coded_match",
-    """SELECT c_custkey, CASE WHEN c_nationkey % 4 = 0 THEN n_name ELSE CAST(c_nationkey AS VARCHAR) END = n_name AS by_source,
-      CASE WHEN c_nationkey % 4 = 0 THEN false ELSE true END AS by_target FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    """SELECT c_custkey, c_nationkey % 4 <> 0 AND c_nationkey % 3 <> 0 AS by_source, c_nationkey % 4 <> 0 AS by_target
+      FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 )
 def _(spark, sf):
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("code"), "n_name", "n_nationkey")
     c = table(spark, sf, "customer")
     c = c.join(nation, c.c_nationkey == nation.n_nationkey).select(
         "c_custkey", "n_name", "code", F.when(F.col("c_nationkey") % 4 == 0, "none").otherwise(F.col("code")).alias("some_code"),
-        F.when(F.col("c_nationkey") % 4 == 0, F.col("n_name")).otherwise(F.col("code")).alias("name_or_code"),
+        F.when(F.col("c_nationkey") % 3 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("some_name"),
     )
     # name -> code on the source side, code -> name on the target side
-    out = lo.coded_match(c, "name_or_code", "n_name", nation.where("false"), "n_name", "code", name="by_source")
+    out = lo.coded_match(c, "some_name", "some_code", nation, "n_name", "code", name="by_source")
     out = lo.coded_match(out, "n_name", "some_code", nation, "code", "n_name", translate="target", name="by_target")
     return out.select("c_custkey", "by_source", "by_target")
 
 
 @query(
     "apply_updates",
-    """WITH u AS (SELECT l_orderkey, max_by(l_quantity, (l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity)) AS q
-      FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+    f"""WITH u AS (SELECT {_disturbed_sql('l_orderkey', 4)} AS l_orderkey, max_by(l_quantity, (l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity)) AS q
+      FROM lineitem GROUP BY 1)
     SELECT o_orderkey, CASE WHEN l_orderkey IS NULL THEN o_totalprice ELSE q END AS o_totalprice FROM orders LEFT JOIN u ON o_orderkey = l_orderkey""",
 )
 def _(spark, sf):
-    updates = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(
+    updates = _disturbed(table(spark, sf, "lineitem"), "l_orderkey", 4).select(
         F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").alias("o_totalprice"),
         "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
     )
@@ -293,12 +315,12 @@ def _(spark, sf):
 @query(
     "comparator_allowed",
     f"WITH {MULTIMAP_SQL} " + _record_sql(
-        "p_partkey", "codes", "p_type", "p_brand", "(p_type, p_brand) NOT IN (SELECT (key, value) FROM m)", "part"),
+        "p_partkey", "codes", "p_type", ODD_BRAND_SQL, f"(p_type, {ODD_BRAND_SQL}) NOT IN (SELECT (key, value) FROM m)", "part"),
 )
 def _(spark, sf):
     p = table(spark, sf, "part")
     a = p.select("p_partkey", F.col("p_type").alias("codes"))
-    b = p.select("p_partkey", F.col("p_brand").alias("codes"))
+    b = p.select("p_partkey", _odd_brand().alias("codes"))
     return _records(a, b, Rule("codes", comparator="allowed", lookup=_multimap(spark, sf)), "p_partkey")
 
 
@@ -463,10 +485,15 @@ def _(spark, sf):
 
 @query(
     "split_by_value",
-    f"WITH {fx.ORDERS_SQL} SELECT key, trim(replace(priority, '-', '_'), '. ') AS part FROM b WHERE {sq.norm('priority')} <> ''",
+    # Two values that clean to one name are two parts.
+    f"""WITH {fx.ORDERS_SQL}, v AS (SELECT key, replace(priority, '-', CASE WHEN key % 2 = 0 THEN '/' ELSE ':' END) AS value FROM b),
+      c AS (SELECT *, trim(replace(replace(value, '/', '_'), ':', '_'), '. ') AS plain FROM v)
+    SELECT key, CASE WHEN plain = value THEN plain ELSE plain || '~' || substr(sha256(value), 1, 16) END AS part
+    FROM c WHERE {sq.norm('value')} <> ''""",
 )
 def _(spark, sf):
-    b = fx.orders_target(spark, sf).select("key", F.replace("priority", F.lit("-"), F.lit("/")).alias("priority"))
+    sign = F.when(F.col("key") % 2 == 0, F.lit("/")).otherwise(F.lit(":"))
+    b = fx.orders_target(spark, sf).select("key", F.replace("priority", F.lit("-"), sign).alias("priority"))
     return sh.split_by_value(b, "priority").drop("priority")
 
 

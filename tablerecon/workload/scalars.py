@@ -86,11 +86,11 @@ def _(spark, sf):
 
 @query(
     "set_columns",
-    "SELECT c_custkey, '1700' AS compid, c_custkey AS internal_id, 'FURNITURE' AS c_mktsegment FROM customer",
+    "SELECT c_custkey, 'C01' AS compid, c_custkey AS internal_id, 'FURNITURE' AS c_mktsegment FROM customer",
 )
 def _(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    return co.set_columns(c, {"compid": "1700", "internal_id": F.col("c_custkey"), "c_mktsegment": "FURNITURE"})
+    return co.set_columns(c, {"compid": "C01", "internal_id": F.col("c_custkey"), "c_mktsegment": "FURNITURE"})
 
 
 @query("filter_equal", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")

@@ -239,3 +239,29 @@ def test_pair_summary_against_the_pairs(spark, options):
         for name in ("missing", "extra", "common", "differing", "equal"):
             assert got[name] == want[name], (name, n_rules)
         assert (got["total_source"], got["total_target"]) == (120, 90)
+
+
+def test_a_repeated_key_stops_the_job(frame):
+    from tablerecon.plans.compare import compare, compare_text
+
+    a, b = frame("k, v", [("1", "x")] * 3), frame("k, v", [("1", "x"), ("2", "y")])
+    rules = [Rule("k", key=True), Rule("v")]
+    for left, right in ((a, b), (b, a)):
+        with pytest.raises(Exception, match="a key repeats"):
+            rep.field_counts(compare(left, right, rules)).collect()
+        with pytest.raises(Exception, match="a key repeats"):
+            rep.summarize(compare_text(left, right, ["k"])).collect()
+    whole = [x.withColumn("k", F.col("k").cast("int")) for x in (b, b)]
+    assert rep.summarize(compare(*whole, rules)).first().common == 2
+    nulls = frame("k, v", [(None, "x"), (None, "y")]).withColumn("k", F.col("k").cast("int"))
+    with pytest.raises(Exception, match="a key repeats"):
+        rep.summarize(compare(nulls, whole[0], rules)).collect()
+
+
+def test_nan_is_no_value(spark):
+    from tablerecon.plans.compare import compare
+
+    a = spark.createDataFrame([(1, float("nan")), (2, 1.0)], "k int, v double")
+    b = spark.createDataFrame([(1, None), (2, float("nan"))], "k int, v double")
+    got = rep.diff_records(compare(a, b, [Rule("k", key=True), Rule("v")])).collect()
+    assert [(r.k, r.source_value, r.target_value) for r in got] == [(2, "1.0", "")]

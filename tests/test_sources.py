@@ -103,7 +103,7 @@ def test_write_parts_keeps_every_row(spark, tmp_path):
     tf.write_parts(split_by_value(df, "v"), out, rows_per_file=7)
     back = spark.read.parquet(out)
     assert back.count() == 90
-    assert {r.part for r in back.select("part").distinct().collect()} == {"v_0", "v_1", "v_2"}
+    assert {r.part for r in back.select("part").distinct().collect()} == set(split_by_value(df, "v").toPandas().part)
 
 
 def test_rule_sheet(spark, tmp_path):
@@ -143,3 +143,12 @@ def test_generate_like_replaces_taken_keys(spark, frame):
     taken = generate_like(frame("key, a", []), "key", 1, seed=9).first().key
     made = generate_like(frame("key, a", [(taken, "x")]), "key", 3, seed=9)
     assert made.select("key").distinct().count() == 3
+
+
+def test_quotes_after_gbk_lead_bytes(spark, tmp_path):
+    from tablerecon.sources import textfiles as tf
+
+    path = tmp_path / "g.csv"
+    path.write_bytes('a,b\n"洹","x"\n"郦y",z\n'.encode("gbk"))
+    row = tf.probe_encodings(spark, [str(path)]).first()
+    assert (row.encoding, row.multiline) == ("gbk", False)
