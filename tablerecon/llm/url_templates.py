@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablerecon.llm.common import fold_case
+from tablerecon.llm.common import cut, fold_case
 
 #: (verdict, host, path): a rule fits its host and all below it, and paths that begin so.
 Rule = tuple[str, str, str]
@@ -67,7 +67,9 @@ def templates(paths: DataFrame, levels: int, least_share: float, z: float) -> Da
 
     ``paths`` is already one row per host and path.  The branch of a row grows
     by one segment a level; each level is two aggregations with partial sums
-    and one join, whose hash lets adaptive execution split a large branch.
+    and one join, whose hash lets adaptive execution split a large branch.  A
+    level reads the one before it three times, so each is cut off from its
+    lineage: else the plan would triple with every level.
     """
     rows = paths.withColumn("parts", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("branch", F.lit(""))
     for level in range(levels):
@@ -104,6 +106,7 @@ def templates(paths: DataFrame, levels: int, least_share: float, z: float) -> Da
             .withColumn("branch", F.concat("branch", F.lit("/"), "kept"))
             .drop("_host", "_branch", "_segment", "_hash", "hash", "kept", "segment")
         )
+        rows = cut(rows)
     deeper = F.when(F.size("parts") > levels, F.lit("/**")).otherwise(F.lit(""))
     return rows.withColumn("template", F.concat("branch", deeper)).drop("parts", "branch")
 
@@ -130,15 +133,12 @@ def filter_urls(
     # Paths that differ in digits only are one row, so that the tree grows with
     # the number of forms, not of pages.
     shape = F.regexp_replace("path", "[0-9]+", "0")
-    counted = (
-        parsed.groupBy("host", shape.alias("path"))
-        .agg(
-            F.count("*").alias("n"),
-            F.count("ruled").alias("labelled"),
-            F.count_if(F.col("ruled") == "block").alias("blocked"),
-        )
+    counted = parsed.groupBy("host", shape.alias("path")).agg(
+        F.count("*").alias("n"),
+        F.count("ruled").alias("labelled"),
+        F.count_if(F.col("ruled") == "block").alias("blocked"),
     )
-    tree = templates(counted, levels, least_share, z)
+    tree = templates(cut(counted), levels, least_share, z)
     sums = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
     hosts = tree.groupBy(F.col("host").alias("_host")).agg(*[s.alias(f"host_{c}") for s, c in zip(sums, ("labelled", "blocked"))])
     host_purity = _smoothed(F.col("host_blocked"), F.col("host_labelled"), F.lit(0.5), smoothing)
