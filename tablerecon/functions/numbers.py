@@ -67,18 +67,26 @@ def rounded_differs(a: Column, b: Column, digits: int, threshold: float) -> Colu
 
 # Spreadsheet date tokens and their Spark pattern letters.
 _DATE_TOKENS = {"yyyy": "yyyy", "yy": "yy", "mm": "MM", "m": "M", "dd": "dd", "d": "d", "hh": "HH", "h": "H", "ss": "ss"}
-_TOKEN = re.compile("yyyy|yy|mm|m|dd|d|hh|h|ss|.", re.DOTALL)
+_TOKEN = re.compile("yyyy|yy|mm|m|dd|d|hh|h|ss|AM/PM|am/pm|.", re.DOTALL)
 
 
 def spreadsheet_date_pattern(fmt: str) -> str:
-    """A spreadsheet date format as a Spark pattern; ``mm`` after ``hh`` is minutes."""
+    """A spreadsheet date format as a Spark pattern.
+
+    ``mm`` after hours or before seconds is minutes; with AM/PM hours run to 12.
+    """
+    tokens = _TOKEN.findall(fmt.split(";")[0])
+    half_days = any(t.lower() == "am/pm" for t in tokens)
     out, after_hour = [], False
-    for token in _TOKEN.findall(fmt.split(";")[0]):
-        if token in ("mm", "m") and after_hour:
+    for i, token in enumerate(tokens):
+        following = next((t for t in tokens[i + 1 :] if t in _DATE_TOKENS), "")
+        if token in ("mm", "m") and (after_hour or following == "ss"):
             out.append("mm")
             after_hour = False
+        elif token.lower() == "am/pm":
+            out.append("a")
         elif token in _DATE_TOKENS:
-            out.append(_DATE_TOKENS[token])
+            out.append(token if half_days and token in ("hh", "h") else _DATE_TOKENS[token])
             after_hour = token in ("hh", "h") or after_hour and token == "ss"
         else:
             out.append(f"'{token}'" if token.isalpha() else token)
@@ -86,7 +94,7 @@ def spreadsheet_date_pattern(fmt: str) -> str:
 
 
 def is_date_format(fmt: str) -> bool:
-    return any(t in fmt.lower() for t in ("yy", "dd", "d/", "/d", "hh", "ss"))
+    return any(t in fmt.lower() for t in ("yy", "dd", "d/", "/d", "hh", "ss", "h:", ":mm"))
 
 
 def decimals_of(fmt: str) -> int:

@@ -106,6 +106,8 @@ def test_rounded_differs(spark):
 
 def test_number_formats(spark):
     assert nu.spreadsheet_date_pattern("yyyy-mm-dd hh:mm:ss") == "yyyy-MM-dd HH:mm:ss"
+    for fmt, pattern in (("h:mm", "H:mm"), ("mm:ss", "mm:ss"), ("h:mm AM/PM", "h:mm a")):
+        assert nu.is_date_format(fmt) and nu.spreadsheet_date_pattern(fmt) == pattern
     assert nu.spreadsheet_date_pattern("yyyy年m月d日;@").replace("'", "") == "yyyy年M月d日"
     render = lambda f, **k: values(spark, nu.render_number_format("v", f, **k), [1234.5, None], "double")
     assert render("#,##0.00") == ["1234.50", ""]
