@@ -64,6 +64,12 @@ def once(key: str, make: Callable[[], object], kept: int = 4) -> object:
     return _made[key]
 
 
+def forget() -> None:
+    """Drop what operators before this one keep in the worker, and hand free memory back."""
+    _made.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def arrow_type(field: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablerecon.llm.common import cut
+from tablerecon.llm.common import cut, forget
 from tablerecon.llm.components import components
 from tablerecon.llm.wordhash import Words, words_of
 
 WIDTH = 4
 PERCENT = 85
 #: N-grams a task gathers before it sends them on.
-GATHERED = 2_000_000
+GATHERED = 500_000
 #: Members of a block; a task of the block stage holds two blocks.
 BLOCK = 256
 #: Hash ranges of a set by which the suffix filter bounds an overlap.
@@ -103,6 +103,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, size of the n-gram set, and the set's name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sizes, keys = [], []
             for _, words in words_of(batch.column(1), lower=True):
@@ -125,6 +126,7 @@ def shared_grams(docs: DataFrame, width: int, percent: int, parts: int) -> DataF
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[int] = set()
         kept: list[np.ndarray] = []
         keys: list[int] = []
@@ -157,6 +159,7 @@ def shared_grams(docs: DataFrame, width: int, percent: int, parts: int) -> DataF
             yield flush()
 
     def count(table: pa.Table) -> pa.Table:
+        forget()
         got = [_unpack(d.as_py(), np.uint64) for d in table.column("data")]
         keys = np.concatenate([np.repeat(g[0], g[2]) for g in got])
         sizes = np.concatenate([np.repeat(g[1], g[2]) for g in got])
@@ -176,6 +179,7 @@ def shared_grams(docs: DataFrame, width: int, percent: int, parts: int) -> DataF
         return pa.Table.from_batches([_dealt(back, keys[on], sizes[on], grams[on], times[on].astype(np.int32))])
 
     def gather(table: pa.Table) -> pa.Table:
+        forget()
         got = [_unpack(d.as_py(), np.uint64, np.int32) for d in table.column("data")]
         keys = np.concatenate([np.repeat(g[0], g[2]) for g in got])
         sizes = np.concatenate([np.repeat(g[1], g[2]) for g in got])
