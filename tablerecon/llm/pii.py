@@ -5,9 +5,10 @@ are the protected entities.  Terms near an entity are tested for how strongly
 they reveal it: over the whole corpus, the pointwise mutual information of
 term and entity, log2(P(t, e) / (P(t) P(e))), is compared with the entity's own
 information, -log2 P(e).  A term that gives away at least the share
-``disclosure`` of it, in ``support`` documents or more, is a further span
-wherever it stands near that entity.  Redaction generalises base spans to
-their kind and removes terms.
+``disclosure`` of it is a further span wherever it stands near that entity.  No
+number of documents is asked for: P(e | t) is smoothed towards P(e) instead, so
+that a term is found that stands only with an entity of one document.
+Redaction generalises base spans to their kind and removes terms.
 
 Defined cases: a null or empty text has no spans; repeated rows count as
 documents of their own and get equal spans; a null id is kept; no rows give no
@@ -30,8 +31,8 @@ from tablerecon.llm.common import add_columns, cut
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of an entity that count as near.
 NEAR = 8
-#: Documents in which term and entity must stand together.
-SUPPORT = 3
+#: Documents' worth of the entity's own share that is added to those of a term.
+SMOOTHING = 0.25
 #: Share of an entity's information a term may not give away.
 DISCLOSURE = 0.9
 #: Terms a task counts before it sends the counts on.
@@ -155,16 +156,20 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing(found: DataFrame, counts: DataFrame, support: int, disclosure: float) -> DataFrame:
+def _gives(both: Column, n_term: Column, n_entity: Column, total: int, disclosure: float) -> Column:
+    """Whether a term of ``n_term`` documents, ``both`` of them the entity's, gives the entity away."""
+    share = n_entity / F.lit(float(total))
+    known = (both + SMOOTHING * share) / (n_term + SMOOTHING)
+    return (share < 1) & (F.log2(known / share) >= disclosure * -F.log2(share))
+
+
+def disclosing(found: DataFrame, counts: DataFrame, disclosure: float) -> DataFrame:
     """Pairs of entity and term of which the term gives the entity away."""
     total = found.count()
     pairs = found.select(F.explode("context").alias("c")).groupBy("c.entity", "c.term").agg(F.count("*").alias("n_both"))
-    pairs = pairs.where(F.col("n_both") >= support)
     named = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     joined = pairs.join(named, "entity").join(counts, "term")
-    own = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    shared = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    return joined.where((own > 0) & (shared >= disclosure * own)).select("entity", "term")
+    return joined.where(_gives(F.col("n_both"), F.col("n_term"), F.col("n_entity"), total, disclosure)).select("entity", "term")
 
 
 def _row(id_col: str, text_col: str) -> Column:
@@ -177,13 +182,12 @@ def detect(
     id_col: str = "doc_id",
     text_col: str = "text",
     near: int = NEAR,
-    support: int = SUPPORT,
     disclosure: float = DISCLOSURE,
 ) -> DataFrame:
     """doc_id, base spans and term spans of every row, with ``row``, a hash of id and text."""
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), _row(id_col, text_col).alias("row"))
     found = cut(find(own, near, keep=["doc_id", "row"]))
-    pairs = disclosing(found, term_counts(own), support, disclosure)
+    pairs = disclosing(found, term_counts(own), disclosure)
     pairs = pairs.select(F.col("entity").alias("_e"), F.col("term").alias("_t"), F.xxhash64("entity", "term").alias("_h"))
     # One row for each entity and term of a text: as many as stand near it.
     held = found.select("row", F.explode("context").alias("c")).select("row", "c.*").withColumn("h", F.xxhash64("entity", "term"))

@@ -1,8 +1,10 @@
 import math
+import os
 import random
 import re
 from collections import defaultdict
 
+import corpus_pipeline
 from tablerecon.llm import pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -110,3 +112,16 @@ def test_terms_match_brute_force(docs):
 
 def test_redaction_of_overlapping_spans():
     assert pii.redact("ab +1 2 cd", [(3, 3, 7), (2, 4, 8), (4, 0, 2)]) == " [PHONE]cd"
+
+
+def test_terms_of_an_entity_in_one_document(docs):
+    rows = [f"common words stand here{' Zelda wrote from z@ex.org' if i == 7 else ''} and there" for i in range(40)]
+    got = {r.doc_id: [rows[r.doc_id][s:e] for _, s, e in r.terms] for r in pii.detect(docs(rows)).collect()}
+    assert got == {i: ["Zelda", "wrote", "from"] if i == 7 else [] for i in range(40)}
+
+
+def test_terms_are_found_once_copies_are_removed(spark, sf_dir):
+    large = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.1")
+    kept = corpus_pipeline.keep_one_of_a_group(spark, spark.read.parquet(f"{large}/documents.parquet"), large)
+    found = pii.detect(kept).where("size(base) > 0").collect()
+    assert sum(bool(r.terms) for r in found) > len(found) / 2
