@@ -1,11 +1,11 @@
 """Operator 4: personal data by patterns, and terms that give it away.
 
 Base spans are e-mail and IP addresses, card and phone numbers.  Their values
-are the protected entities.  Terms near an entity are tested for how strongly
-they reveal it: over the whole corpus, the pointwise mutual information of
+are the protected entities.  Every term of a document with an entity is tested
+for how strongly it reveals it: over the whole corpus, the pointwise mutual information of
 term and entity, log2(P(t, e) / (P(t) P(e))), is compared with the entity's own
 information, -log2 P(e).  A term that gives away at least the share
-``disclosure`` of it is a further span wherever it stands near that entity.  No
+``disclosure`` of it is a further span at all its places, in every document.  No
 number of documents is asked for: P(e | t) is smoothed towards P(e) instead, so
 that a term is found that stands only with an entity of one document.
 Redaction generalises base spans to their kind and removes terms.
@@ -18,25 +18,30 @@ rows.  Other columns are not read, and kept by ``sanitise``.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablerecon.llm.common import add_columns, cut
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity that count as near.
-NEAR = 8
 #: Documents' worth of the entity's own share that is added to those of a term.
 SMOOTHING = 0.25
 #: Share of an entity's information a term may not give away.
 DISCLOSURE = 0.9
 #: Terms a task counts before it sends the counts on.
 COUNTED = 400_000
+#: Bits of the map that says which terms may disclose; a join decides on its hits.
+BITS = 1 << 26
+#: Terms of which a worker remembers whether they are in the map.
+KNOWN = 200_000
 
 #: Fixed patterns, from the definition of the kinds.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -96,42 +101,32 @@ def entity(text: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind == 0 else value if kind == 1 else _digits(value)}"
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]], near: int) -> dict[tuple[str, str], list[tuple[int, int]]]:
-    """Spans of the terms near each entity, but not within any base span."""
-    terms = [m.span() for m in _TERM.finditer(text)]
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Terms in lower case with start and end, but not within any base span."""
     taken = sorted((s, e) for _, s, e in spans)
-    free = []
-    for s, e in terms:
+    for m in _TERM.finditer(text):
+        s, e = m.span()
         i = bisect_left(taken, (e, -1))
         if not any(b > s for _, b in taken[max(0, i - len(KINDS)) : i]):
-            free.append((s, e))
-    starts = [s for s, _ in free]
-    found: dict[tuple[str, str], set] = {}
-    for span in spans:
-        name, left, right = entity(text, span), bisect_left(starts, span[1]), bisect_right(starts, span[2] - 1)
-        for s, e in free[max(0, left - near) : left] + free[right : right + near]:
-            found.setdefault((name, text[s:e].lower()), set()).add((s, e))
-    return {k: sorted(v) for k, v in found.items()}
+            yield m[0].lower(), s, e
 
 
 _SPAN = "struct<kind:int,start:int,end:int>"
 
 
-def find(docs: DataFrame, near: int, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Base spans of each text and the terms near them."""
+def find(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Base spans of each text, its entities, and the terms of a text that has any."""
 
     def run(column: pa.Array) -> list:
-        spans, context, names = [], [], []
+        spans, terms, names = [], [], []
         for text in column.to_pylist():
             own = base_spans(text) if text else []
             spans.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
-            terms = near_terms(text, own, near) if own else {}
-            context.append([{"entity": n, "term": t, "at": [{"start": s, "end": e} for s, e in v]} for (n, t), v in terms.items()])
+            terms.append(sorted({t for t, _, _ in free_terms(text, own)}) if own else [])
             names.append(sorted({entity(text, s) for s in own}))
-        return [spans, context, names]
+        return [spans, terms, names]
 
-    added = f"base array<{_SPAN}>, context array<struct<entity:string,term:string,at:array<struct<start:int,end:int>>>>, entities array<string>"
-    return add_columns(docs, [text_col], added, run, keep)
+    return add_columns(docs, [text_col], f"base array<{_SPAN}>, held array<string>, entities array<string>", run, keep)
 
 
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -147,7 +142,7 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(set(_TERM.findall(text.lower())) if text else ())
+                counts.update({t.lower() for t in set(_TERM.findall(text))} if text else ())
                 if len(counts) > COUNTED:
                     yield flush()
         yield flush()
@@ -164,12 +159,69 @@ def _gives(both: Column, n_term: Column, n_entity: Column, total: int, disclosur
 
 
 def disclosing(found: DataFrame, counts: DataFrame, disclosure: float) -> DataFrame:
-    """Pairs of entity and term of which the term gives the entity away."""
+    """Terms that give an entity away.
+
+    Entities that stand in the same documents count as one, and a pair is formed
+    only if the term could give the entity away were all its documents the
+    entity's; neither changes the result.
+    """
     total = found.count()
-    pairs = found.select(F.explode("context").alias("c")).groupBy("c.entity", "c.term").agg(F.count("*").alias("n_both"))
-    named = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    joined = pairs.join(named, "entity").join(counts, "term")
-    return joined.where(_gives(F.col("n_both"), F.col("n_term"), F.col("n_entity"), total, disclosure)).select("entity", "term")
+    rows = found.where(F.size("entities") > 0).groupBy("row").agg(F.count("*").alias("m"), F.first("entities").alias("entities"), F.first("held").alias("held"))
+    rows = cut(rows)
+    stood = F.sum(F.col("m") * F.xxhash64("row", F.lit(1)).cast("decimal(20,0)")), F.sum(F.col("m") * F.col("row").cast("decimal(20,0)"))
+    named = rows.select("row", "m", F.explode("entities").alias("entity"))
+    sets = named.groupBy("entity").agg(F.sum("m").alias("n_entity"), F.sha2(F.concat_ws(",", *stood), 256).alias("set"))
+    sets = sets.select(F.col("entity").alias("_e"), F.xxhash64("entity").alias("_h"), "n_entity", "set")
+    named = named.withColumn("h", F.xxhash64("entity")).join(sets, (F.col("entity") == F.col("_e")) & (F.col("h") == F.col("_h")))
+    named = named.select(F.col("row").alias("_row"), "set", "n_entity").distinct()
+    counts = counts.select(F.col("term").alias("_t"), F.xxhash64("term").alias("_th"), "n_term")
+    held = rows.select("row", "m", F.explode("held").alias("term")).withColumn("th", F.xxhash64("term"))
+    held = held.join(counts, (F.col("term") == F.col("_t")) & (F.col("th") == F.col("_th"))).select("row", "m", "term", "n_term")
+    able = _gives(F.least("n_term", "n_entity"), F.col("n_term"), F.col("n_entity"), total, disclosure)
+    pairs = held.join(named, (F.col("row") == F.col("_row")) & able)
+    both = pairs.groupBy("set", "n_entity", "term", "n_term").agg(F.sum("m").alias("n_both"))
+    return both.where(_gives(F.col("n_both"), F.col("n_term"), F.col("n_entity"), total, disclosure)).select("term").distinct()
+
+
+def _bit(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BITS
+
+
+def bit_map(terms: DataFrame) -> bytes:
+    """BITS bits, of which those of the terms are set."""
+    bit = F.crc32(F.col("term").cast("binary")) % BITS
+    words = terms.select((bit % 64).cast("int").alias("at"), F.floor(bit / 64).cast("int").alias("word")).groupBy("word")
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits")).toArrow()
+    made = np.zeros(BITS // 64, "<i8")
+    made[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return made.tobytes()
+
+
+def places(docs: DataFrame, bits: Broadcast, text_col: str = "text") -> DataFrame:
+    """Row, term and spans of the terms in the map, wherever they stand outside base spans."""
+    known: dict[str, bool] = {}
+
+    def set_(held: bytes, word: str) -> bool:
+        if (hit := known.get(word)) is None:
+            if len(known) >= KNOWN:
+                known.clear()
+            bit = _bit(word.lower())
+            hit = known[word] = bool(held[bit >> 3] >> (bit & 7) & 1)
+        return hit
+
+    def run(column: pa.Array) -> list:
+        held, made = bits.value, []
+        for text in column.to_pylist():
+            at: dict[str, list] = {}
+            if text and any(set_(held, w) for w in set(_TERM.findall(text))):
+                for term, s, e in free_terms(text, base_spans(text)):
+                    if set_(held, term):
+                        at.setdefault(term, []).append({"start": s, "end": e})
+            made.append([{"term": t, "at": v} for t, v in at.items()])
+        return [made]
+
+    added = add_columns(docs, [text_col], "at array<struct<term:string,at:array<struct<start:int,end:int>>>>", run, ["row"])
+    return added.select("row", F.explode("at").alias("c")).select("row", "c.*")
 
 
 def _row(id_col: str, text_col: str) -> Column:
@@ -181,18 +233,17 @@ def detect(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    near: int = NEAR,
     disclosure: float = DISCLOSURE,
 ) -> DataFrame:
     """doc_id, base spans and term spans of every row, with ``row``, a hash of id and text."""
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), _row(id_col, text_col).alias("row"))
-    found = cut(find(own, near, keep=["doc_id", "row"]))
-    pairs = disclosing(found, term_counts(own), disclosure)
-    pairs = pairs.select(F.col("entity").alias("_e"), F.col("term").alias("_t"), F.xxhash64("entity", "term").alias("_h"))
-    # One row for each entity and term of a text: as many as stand near it.
-    held = found.select("row", F.explode("context").alias("c")).select("row", "c.*").withColumn("h", F.xxhash64("entity", "term"))
+    found = cut(find(own, keep=["doc_id", "row"]))
+    terms = cut(disclosing(found, term_counts(own), disclosure))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(terms))
+    terms = terms.select(F.col("term").alias("_t"), F.xxhash64("term").alias("_h"))
+    held = places(own, bits).withColumn("h", F.xxhash64("term"))
     extra = (
-        held.join(pairs, (F.col("entity") == F.col("_e")) & (F.col("term") == F.col("_t")) & (F.col("h") == F.col("_h")))
+        held.join(terms, (F.col("term") == F.col("_t")) & (F.col("h") == F.col("_h")))
         .select("row", F.explode("at").alias("s"))
         .distinct()
         .groupBy("row")

@@ -125,3 +125,12 @@ def test_terms_are_found_once_copies_are_removed(spark, sf_dir):
     kept = corpus_pipeline.keep_one_of_a_group(spark, spark.read.parquet(f"{large}/documents.parquet"), large)
     found = pii.detect(kept).where("size(base) > 0").collect()
     assert sum(bool(r.terms) for r in found) > len(found) / 2
+
+
+def test_terms_far_from_the_entity_and_without_it(docs):
+    filler = " ".join(["common words stand here and there"] * 4)
+    rows = [f"{filler} now Quill {filler} q@ex.org and {filler} quill" for _ in range(12)]
+    rows += [f"{filler} now quill"] + [f"{filler} now" for _ in range(47)]
+    got = {r.doc_id: [rows[r.doc_id][s:e] for _, s, e in r.terms] for r in pii.detect(docs(rows)).collect()}
+    assert got == {i: ["Quill", "quill"] if i < 12 else ["quill"] if i == 12 else [] for i in range(60)}
+    assert "quill" not in "".join(r.text.lower() for r in pii.sanitise(docs(rows)).collect())
