@@ -2,10 +2,10 @@
 
 Urls are counted by host and path; the counts hold how many of them the given
 rules block or allow, which are the labels.  Level by level below each host, a
-segment becomes a wildcard if it is variable: it has digits in every place, or
-it holds too small a share of its branch.  Sibling branches whose labelled
-purity does not differ from that of all siblings together, by a two-sided
-z-test, are merged into the wildcard too.  Each template's purity is smoothed
+segment becomes a wildcard if it has digits in every place.  Sibling branches
+whose labelled purity does not differ from that of all siblings together, by a
+two-sided z-test, are merged into the wildcard too, whatever their share; so are
+those without labels.  Each template's purity is smoothed
 towards its host's, and a host's towards one half; templates at or above a
 threshold are rejected.
 
@@ -28,8 +28,6 @@ Rule = tuple[str, str, str]
 
 #: Levels of a path that are told apart; what lies deeper is one wildcard.
 LEVELS = 4
-#: A segment with a smaller share of its branch is variable.
-LEAST_SHARE = 0.02
 #: Sibling branches merge unless their purity differs by more than so many standard errors.
 Z = 1.96
 #: Rows' worth of the parent's purity that is added to a branch.
@@ -62,7 +60,7 @@ def _smoothed(blocked: Column, labelled: Column, towards: Column, weight: float)
     return (blocked + weight * towards) / (labelled + weight)
 
 
-def templates(paths: DataFrame, levels: int, least_share: float, z: float) -> DataFrame:
+def templates(paths: DataFrame, levels: int, z: float) -> DataFrame:
     """Adds ``template`` to rows of host, path, n, labelled, blocked.
 
     ``paths`` is already one row per host and path.  The branch of a row grows
@@ -76,23 +74,22 @@ def templates(paths: DataFrame, levels: int, least_share: float, z: float) -> Da
         raw = F.get("parts", F.lit(level))
         segment = F.when(raw.rlike(r"^[0-9]+(\.[a-z0-9]+)?$"), F.concat(F.lit("*"), F.regexp_extract(raw, r"(\.[a-z0-9]+)$", 1))).otherwise(raw)
         rows = rows.withColumn("segment", F.coalesce(segment, F.lit("")))
-        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+        sums = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
         children = rows.groupBy("host", "branch", "segment").agg(*sums)
         siblings = children.groupBy(F.col("host").alias("_host"), F.col("branch").alias("_branch")).agg(
-            F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
+            F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
         )
         both = children.join(siblings, (F.col("host") == F.col("_host")) & (F.col("branch") == F.col("_branch")))
         pooled = _smoothed(F.col("all_blocked"), F.col("all_labelled"), F.lit(0.5), 1.0)
         own = _smoothed(F.col("blocked"), F.col("labelled"), pooled, 1.0)
         error = F.sqrt(pooled * (1 - pooled) / (F.col("labelled") + 1))
         alike = (F.abs(own - pooled) <= z * error) | (F.col("labelled") == 0)
-        variable = F.col("n") < least_share * F.col("all_n")
         named = both.select(
             F.col("host").alias("_host"),
             F.col("branch").alias("_branch"),
             F.col("segment").alias("_segment"),
             F.xxhash64("host", "branch", "segment").alias("_hash"),
-            F.when((alike | variable) & (F.col("segment") != ""), F.lit("*")).otherwise(F.col("segment")).alias("kept"),
+            F.when(alike & (F.col("segment") != ""), F.lit("*")).otherwise(F.col("segment")).alias("kept"),
         )
         rows = (
             rows.withColumn("hash", F.xxhash64("host", "branch", "segment"))
@@ -118,7 +115,6 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     levels: int = LEVELS,
-    least_share: float = LEAST_SHARE,
     z: float = Z,
     smoothing: float = SMOOTHING,
     threshold: float = THRESHOLD,
@@ -138,7 +134,7 @@ def filter_urls(
         F.count("ruled").alias("labelled"),
         F.count_if(F.col("ruled") == "block").alias("blocked"),
     )
-    tree = templates(cut(counted), levels, least_share, z)
+    tree = templates(cut(counted), levels, z)
     sums = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
     hosts = tree.groupBy(F.col("host").alias("_host")).agg(*[s.alias(f"host_{c}") for s, c in zip(sums, ("labelled", "blocked"))])
     host_purity = _smoothed(F.col("host_blocked"), F.col("host_labelled"), F.lit(0.5), smoothing)

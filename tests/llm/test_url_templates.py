@@ -64,6 +64,15 @@ def test_purity_of_a_template_decides(spark):
     assert templates == {"/ads/*.html", "/news/*.html"} or all("*" in t for t in templates)
 
 
+def test_sections_of_small_share_keep_their_verdict(spark):
+    sections = [f"s{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    rules = [("block" if i % 2 else "allow", "h.test", f"/{s}/p") for i, s in enumerate(sections)]
+    urls = [f"http://h.test/{s}/{page}{i}" for s in sections for page in "pq" for i in range(40)]
+    got = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    of = {s: {r.verdict for r in got if r.path.startswith(f"/{s}/q")} for s in sections}
+    assert of == {s: {"block" if i % 2 else "allow"} for i, s in enumerate(sections)}
+
+
 def test_plan_is_native(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     plan = filter_urls(pages, URL_RULES)._jdf.queryExecution().toString()
