@@ -17,6 +17,7 @@ labels near it is allowed; no rows give no rows.  Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,6 @@ from tablerecon.llm.common import cut, fold_case
 #: (verdict, host, path): a rule fits its host and all below it, and paths that begin so.
 Rule = tuple[str, str, str]
 
-#: Levels of a path that are told apart; what lies deeper is one wildcard.
-LEVELS = 4
 #: Sibling branches merge unless their purity differs by more than so many standard errors.
 Z = 1.96
 #: Rows' worth of the parent's purity that is added to a branch.
@@ -60,24 +59,28 @@ def _smoothed(blocked: Column, labelled: Column, towards: Column, weight: float)
     return (blocked + weight * towards) / (labelled + weight)
 
 
-def templates(paths: DataFrame, levels: int, z: float) -> DataFrame:
+def templates(paths: DataFrame, z: float) -> DataFrame:
     """Adds ``template`` to rows of host, path, n, labelled, blocked.
 
     ``paths`` is already one row per host and path.  The branch of a row grows
     by one segment a level; each level is two aggregations with partial sums
     and one join, whose hash lets adaptive execution split a large branch.  A
     level reads the one before it three times, so each is cut off from its
-    lineage: else the plan would triple with every level.
+    lineage: else the plan would triple with every level.  A row leaves when its
+    segments end, and when no other row is left in its branch: one row alone
+    never differs from its siblings, so all its further segments are wildcards.
     """
     rows = paths.withColumn("parts", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("branch", F.lit(""))
-    for level in range(levels):
+    finished, level = [], 0
+    while True:
         raw = F.get("parts", F.lit(level))
+        rest = F.array_join(F.transform(F.slice("parts", level + 1, F.size("parts")), lambda p: F.when(p == "", "").otherwise("*")), "/")
         segment = F.when(raw.rlike(r"^[0-9]+(\.[a-z0-9]+)?$"), F.concat(F.lit("*"), F.regexp_extract(raw, r"(\.[a-z0-9]+)$", 1))).otherwise(raw)
         rows = rows.withColumn("segment", F.coalesce(segment, F.lit("")))
         sums = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
-        children = rows.groupBy("host", "branch", "segment").agg(*sums)
+        children = rows.groupBy("host", "branch", "segment").agg(*sums, F.count("*").alias("forms"))
         siblings = children.groupBy(F.col("host").alias("_host"), F.col("branch").alias("_branch")).agg(
-            F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
+            F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"), F.sum("forms").alias("all_forms")
         )
         both = children.join(siblings, (F.col("host") == F.col("_host")) & (F.col("branch") == F.col("_branch")))
         pooled = _smoothed(F.col("all_blocked"), F.col("all_labelled"), F.lit(0.5), 1.0)
@@ -90,6 +93,7 @@ def templates(paths: DataFrame, levels: int, z: float) -> DataFrame:
             F.col("segment").alias("_segment"),
             F.xxhash64("host", "branch", "segment").alias("_hash"),
             F.when(alike & (F.col("segment") != ""), F.lit("*")).otherwise(F.col("segment")).alias("kept"),
+            (F.col("all_forms") == 1).alias("alone"),
         )
         rows = (
             rows.withColumn("hash", F.xxhash64("host", "branch", "segment"))
@@ -100,12 +104,18 @@ def templates(paths: DataFrame, levels: int, z: float) -> DataFrame:
                 & (F.col("segment") == F.col("_segment"))
                 & (F.col("hash") == F.col("_hash")),
             )
-            .withColumn("branch", F.concat("branch", F.lit("/"), "kept"))
-            .drop("_host", "_branch", "_segment", "_hash", "hash", "kept", "segment")
+            .withColumn("branch", F.concat("branch", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.col("kept"))))
+            .withColumn("done", F.col("alone") | (F.size("parts") <= level + 1))
+            .drop("_host", "_branch", "_segment", "_hash", "hash", "kept", "segment", "alone")
         )
         rows = cut(rows)
-    deeper = F.when(F.size("parts") > levels, F.lit("/**")).otherwise(F.lit(""))
-    return rows.withColumn("template", F.concat("branch", deeper)).drop("parts", "branch")
+        done, left = rows.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+        if done or not left:
+            finished.append(rows.where("done"))
+        if not left:
+            break
+        rows, level = rows.where(~F.col("done")).drop("done"), level + 1
+    return reduce(DataFrame.unionByName, finished).withColumnRenamed("branch", "template").drop("parts", "done")
 
 
 def filter_urls(
@@ -114,7 +124,6 @@ def filter_urls(
     *,
     id_col: str = "page_id",
     url_col: str = "url",
-    levels: int = LEVELS,
     z: float = Z,
     smoothing: float = SMOOTHING,
     threshold: float = THRESHOLD,
@@ -134,7 +143,7 @@ def filter_urls(
         F.count("ruled").alias("labelled"),
         F.count_if(F.col("ruled") == "block").alias("blocked"),
     )
-    tree = templates(cut(counted), levels, z)
+    tree = templates(cut(counted), z)
     sums = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
     hosts = tree.groupBy(F.col("host").alias("_host")).agg(*[s.alias(f"host_{c}") for s, c in zip(sums, ("labelled", "blocked"))])
     host_purity = _smoothed(F.col("host_blocked"), F.col("host_labelled"), F.lit(0.5), smoothing)

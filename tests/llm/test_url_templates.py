@@ -73,6 +73,13 @@ def test_sections_of_small_share_keep_their_verdict(spark):
     assert of == {s: {"block" if i % 2 else "allow"} for i, s in enumerate(sections)}
 
 
+def test_branches_that_part_at_a_deep_level(spark):
+    rules = [(v, "h.test", f"/a/b/c/d/e/f/{s}/p") for v, s in (("block", "casino"), ("allow", "news"))]
+    urls = [f"http://h.test/a/b/c/d/e/f/{s}/{page}{c}" for s in ("casino", "news") for page in "pq" for c in "abcdefghijklmnopqrstuvwxyz"]
+    got = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert len(got) == len(urls) and {(r.path.split("/")[7], r.verdict) for r in got} == {("casino", "block"), ("news", "allow")}
+
+
 def test_plan_is_native(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     plan = filter_urls(pages, URL_RULES)._jdf.queryExecution().toString()
