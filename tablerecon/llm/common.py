@@ -107,3 +107,10 @@ def add_columns(
         *[F.col(f"`{c}`").alias(s) for c, s in zip(inputs, slots)], *[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept)]
     )
     return source.mapInArrow(run, T.StructType(list(carried) + list(new)))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read again: several readers, pruned columns, no lineage."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)

@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerecon.llm import decontaminate, hnsw, jaccard_join, packing, pii, quality, substring_dedup, toxicity, url_templates, warc
+from tablerecon.llm import (
+    decontaminate,
+    hnsw,
+    jaccard_join,
+    packing,
+    pii,
+    prefix_trie,
+    quality,
+    substring_dedup,
+    toxicity,
+    url_templates,
+    warc,
+)
 from tablerecon.llm.common import new_folder, table
 from tablerecon.llm.sampling import fold
 
@@ -125,3 +137,50 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_hnsw")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+#: CRC-32 of a text of ASCII characters, bit by bit.
+_CRC32_SQL = (
+    "xor(list_reduce(list_transform(range(length({t})), lambda i: CAST(unicode(substr({t}, CAST(i + 1 AS BIGINT), 1)) AS BIGINT)), lambda crc, byte: "
+    "list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, byte)), 4294967295), 4294967295)"
+)
+
+
+@query(
+    "op11_prefix_trie",
+    f"""
+    WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL),
+    n AS (SELECT c, c - c % 5 AS b, {_CRC32_SQL.format(t="CAST(c AS VARCHAR)")} % 9 AS h, count(*) AS turns FROM t GROUP BY c),
+    made AS (SELECT n.c, t.p AS d, t.r, t.x FROM n JOIN t ON t.c = n.b WHERE t.p <= n.h
+        UNION ALL SELECT n.c, least(n.h, coalesce(f.turns, 0)) + t.p - n.h, t.r, t.x
+        FROM n JOIN t ON t.c = n.c LEFT JOIN n AS f ON f.c = n.b WHERE t.p > n.h),
+    pre AS (SELECT c, 0 AS d, '' AS k, NULL AS pk, 0 AS bytes FROM n
+        UNION ALL SELECT c, d, k, coalesce(lag(k) OVER (PARTITION BY c ORDER BY d), ''), bytes FROM (
+            SELECT c, d, strlen(x) AS bytes, sha256(CAST(to_json(list([r, x]) OVER (PARTITION BY c ORDER BY d)) AS VARCHAR)) AS k FROM made)),
+    node AS (SELECT d, k, any_value(pk) AS pk, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved FROM pre GROUP BY d, k),
+    child AS (SELECT pk AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY pk),
+    below AS (SELECT DISTINCT a.k AS top, b.k FROM pre AS a JOIN pre AS b ON a.c = b.c AND a.d <= b.d),
+    tree AS (SELECT below.top AS k, count_if(child.k IS NULL) AS n_leaves, sum(node.saved) AS saved
+        FROM below JOIN node ON node.k = below.k LEFT JOIN child ON child.k = below.k GROUP BY below.top),
+    ends AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS digest FROM pre
+        WHERE d = (SELECT max(d) FROM pre AS q WHERE q.c = pre.c) GROUP BY k)
+    SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, node.n_convs,
+        coalesce(child.n_children, 0) AS n_children, CAST(tree.n_leaves AS BIGINT) AS n_leaves, CAST(tree.saved AS BIGINT) AS saved_tokens,
+        coalesce(ends.digest, sha256('')) AS ends_sha256
+    FROM node JOIN tree ON tree.k = node.k LEFT JOIN child ON child.k = node.k LEFT JOIN ends ON ends.k = node.k
+        LEFT JOIN node AS parent ON node.d > 0 AND parent.k = node.pk""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    digests = prefix_trie.end_digests(trie.ends)
+    return trie.nodes.join(digests, ["depth", "k1", "k2"], "left").select(
+        "conv_id",
+        "depth",
+        "parent_conv_id",
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        F.col("saved_bytes").alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
+    )
