@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tablerecon.llm import (
     decontaminate,
+    filter_audit,
     hnsw,
+    imatch,
     jaccard_join,
     packing,
     pii,
@@ -184,3 +186,47 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("saved_bytes").alias("saved_tokens"),
         F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
     )
+
+
+_FILTERS_SQL = "['A', 'B', 'C', 'D', 'E']"
+
+
+@query(
+    "op12_filter_audit",
+    rf"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+        length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capitals, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+    f AS (SELECT doc_id, part, list_filter({_FILTERS_SQL}, lambda x: CASE x
+            WHEN 'A' THEN len(ws) < 200 WHEN 'B' THEN 100 * len(list_distinct(ws)) < 50 * len(ws) WHEN 'C' THEN 100 * capitals > 2 * length(t)
+            WHEN 'D' THEN regexp_matches(t, '[#$%&*|]') ELSE coalesce(doc_id > first, false) END) AS fails FROM w),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+    c AS (SELECT part, fails, count(*) AS n, count_if(coalesce(good, false)) AS good, count_if(coalesce(bad, false)) AS bad
+        FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, fails),
+    x AS (SELECT unnest({_FILTERS_SQL}) AS x),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x AS a, x AS b, x AS c, x AS d, x AS e
+        WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    r AS (SELECT *, list_min(list_transform(fails, lambda y: instr(filter_order, y))) AS gone FROM c, o),
+    s AS (SELECT part, filter_order, s.step, substr(filter_order, s.step, 1) AS x,
+            sum(CASE WHEN gone IS NULL OR gone > s.step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = s.step THEN n ELSE 0 END) AS removed,
+            sum(CASE WHEN gone < s.step AND list_contains(fails, substr(filter_order, s.step, 1)) THEN n ELSE 0 END) AS redundant,
+            sum(CASE WHEN fails = [substr(filter_order, s.step, 1)] THEN n ELSE 0 END) AS unique_fails,
+            sum(CASE WHEN gone = s.step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN gone = s.step THEN bad ELSE 0 END) AS toxic_lost
+        FROM r, (SELECT unnest([1, 2, 3, 4, 5]) AS step) AS s GROUP BY part, filter_order, s.step)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+        CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+        CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM s""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = filter_audit.fail_masks(table(spark, sf_dir, "documents"))
+    labelled = filter_audit.with_labels(masked, table(spark, sf_dir, "labels"), ["quality", "toxic"])
+    found = filter_audit.audit(labelled, labels=["quality", "toxic"])
+    return found.withColumnsRenamed({"lost_quality": "good_lost", "lost_toxic": "toxic_lost"})
+
+
+@query("op13_imatch")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.fingerprint_with_next(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
