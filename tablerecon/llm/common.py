@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablerecon.llm import wordhash
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column's name begins so, in any case."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = "_" + name
+    return name
+
+
 def fold_case(text: Column) -> Column:
     """A-Z in lower case, everything else unchanged."""
     upper = "".join(map(chr, range(65, 91)))
@@ -64,9 +73,15 @@ def once(key: str, make: Callable[[], object], kept: int = 4) -> object:
     return _made[key]
 
 
-def forget() -> None:
-    """Drop what operators before this one keep in the worker, and hand free memory back."""
-    _made.clear()
+def forget(*kept: str) -> None:
+    """Drop what operators before this one keep in the worker, but for the keys named, and hand free memory back.
+
+    Spark reuses Python workers from one operator to the next, so every map
+    starts with this: what it finds in memory is its own.
+    """
+    for key in [k for k in _made if k not in kept]:
+        del _made[key]
+    wordhash.forget_powers()
     pa.default_memory_pool().release_unused()
 
 
@@ -82,12 +97,14 @@ def add_columns(
     added: str,
     fn: Callable[..., list],
     keep: list[str] | None = None,
+    uses: Sequence[str] = (),
 ) -> DataFrame:
     """Append columns that Python computes from whole Arrow batches.
 
     ``fn`` gets the Arrow arrays of ``inputs`` and returns one array or list
     for each field of ``added``.  ``keep`` names the columns carried over (all
     by default); a carried column that bears an added name gives way to it.
+    ``uses`` names what ``fn`` keeps in the worker by ``once``.
     """
     new = T.StructType.fromDDL(added)
     names = [c for c in (df.columns if keep is None else keep) if c not in new.names]
@@ -97,6 +114,7 @@ def add_columns(
     types = [arrow_type(f.dataType) for f in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(*uses)
         for batch in batches:
             made = fn(*[batch.column(s) for s in slots])
             arrays = [batch.column(k) for k in kept]

@@ -136,4 +136,4 @@ def decontaminate(
 
     fields = "n_words long, n_hit long, n_items long, item_ids array<string>, hit_spans array<struct<start:int,end:int>>"
     fields = ", ".join(prefix + f for f in fields.split(", "))
-    return add_columns(docs, [text_col], fields, run, keep)
+    return add_columns(docs, [text_col], fields, run, keep, uses=[key for key, _ in shared])

@@ -3,7 +3,14 @@
 Every document is its token ids and an end id.  It is cut into pieces whose
 lengths are the binary digits of its length, full sequences first, so a piece
 is a sequence of its own: no sequence crosses documents and none is padded.
-Pieces of equal length form a bucket, in which sequences are numbered.
+Pieces of equal length form a bucket, in which sequences are numbered by task
+and by their place in it, so that packing is one map without a shuffle.  The
+numbers are the same in every run over a table that was written; rows that
+come in changing order, as after a shuffle, should be stored first.
+
+Token ids are looked up by word.  That is exact for tokenizers that drop white
+space and cut between letters and other signs after normalising; a tokenizer
+is tried on samples of that, and if it cuts otherwise, whole texts are encoded.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are
 packed as often as they occur; a null id stays null; no rows give no rows.
@@ -20,29 +27,34 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablerecon.llm.common import once
+from tablerecon.llm.common import forget, once
 
 MAX_LENGTH = 2048
 END_ID = 1
-#: Parts into which a bucket is dealt for numbering.
-CHUNKS = 1024
-#: Words whose ids a worker keeps, and bytes of text it looks up at once.
-KEPT_WORDS = 1_000_000
-LOOKUP_BYTES = 4 << 20
+#: Memory of the words a worker keeps, by estimate, and text it looks up at once.
+KEPT_BYTES = 96 << 20
+LOOKUP_BYTES = 1 << 20
+#: Bytes of a kept word besides its own and its ids'.
+ENTRY_BYTES = 200
 #: Signs that are looked up apart when they end a word.
 SIGNS = ".,;:!?"
+#: Bits of a sequence's number for its length and its task.
+LENGTH_BITS, TASK_BITS = 6, 26
+
+#: Letters before signs and spaces as a word tokenizer must cut them.
+_SAMPLES = [["Word", "."], ["don't", "!?"], ["é", "..."], ["漢字", ","], ["a1b", ";"], ["x", ":"], ["Б", "?!"]]
 
 
 class WordIds:
     """Token ids of texts, encoding each distinct run of non-space only once.
 
-    Exact for tokenizers that lower letters, drop white space and end a token
-    run between letters and other signs: no token then reaches across a space,
-    nor from a letter into the punctuation after it.  Only ASCII white space is
-    cut and only ASCII letters are lowered here; the rest is left to the tokenizer.
+    Punctuation is cut off a word only behind a letter, judged after the
+    tokenizer's own normalising: that may split a letter into a letter and a
+    mark, and marks stay with the punctuation that follows.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,13 +62,29 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {"": b""}
+        self.kept: dict[str, bytes] = {}
+        self.size = 0
+        self.by_word = self._cuts_words()
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _cuts_words(self) -> bool:
+        whole = self._ids(" ".join(a + b for a, b in _SAMPLES))
+        lines = self._ids("\n".join(a + "\t" + b + " \r" for a, b in _SAMPLES))
+        return whole == lines == b"".join(self._ids(a) + self._ids(b) for a, b in _SAMPLES)
 
-    def _encode_stems(self, stems: list[str]) -> None:
+    def _ends_in_letter(self, stem: str) -> bool:
+        if stem.isascii():
+            return stem[-1:].isalpha()
+        normalizer = self.encoder.normalizer
+        return (normalizer.normalize_str(stem) if normalizer else stem)[-1:].isalpha()
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         # A run of letters is one unit of the tokenizer, so many go in one call.
-        letters = [s for s in stems if s.isalpha()]
-        others = [s for s in stems if not s.isalpha()]
+        letters = [w for w in words if w.isalpha()]
+        others = [w for w in words if not w.isalpha()]
+        made: dict[str, bytes] = {}
         for at in range(0, len(letters), 1024):
             part = letters[at : at + 1024]
             encoding = self.encoder.encode(" ".join(part), add_special_tokens=False)
@@ -65,29 +93,35 @@ class WordIds:
             if len(starts) == len(part):
                 cuts = [*(starts * 4).tolist(), len(ids) * 4]
                 data = ids.tobytes()
-                self.stems.update((s, data[a:b]) for s, a, b in zip(part, cuts, cuts[1:]))
+                made.update((w, data[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
             else:
                 others += part
-        for stem in others:
-            self.stems[stem] = array("I", self.encoder.encode(stem, add_special_tokens=False).ids).tobytes()
+        made.update((w, self._ids(w)) for w in others)
+        return made
 
     def learn(self, split: list[list[str]]) -> None:
-        used = set().union(*split)
-        if len(self.known) + len(used) > KEPT_WORDS:
-            self.known.clear()
-        if len(self.stems) + len(used) > KEPT_WORDS:
-            self.stems = {"": b""}
-        words = list(used.difference(self.known))
+        """Have the ids of all words of these texts kept."""
+        if self.size > KEPT_BYTES:
+            self.kept, self.size = {}, 0
+        words = list(set().union(*split).difference(self.kept))
         bare = [w.rstrip(SIGNS) for w in words]
-        bare = [b if b[-1:].isalpha() else w for b, w in zip(bare, words)]
-        stems = [b.lower() if b.isascii() else b for b in bare]
+        bare = [b if b is w or self._ends_in_letter(b) else w for b, w in zip(bare, words)]
         signs = [w[len(b) :] for b, w in zip(bare, words)]
-        self._encode_stems(list(set(stems).union(signs).difference(self.stems)))
-        get = self.stems.__getitem__
-        self.known.update(zip(words, map(add, map(get, stems), map(get, signs))))
+        made = self._encode_words(list(set(bare).union(signs).difference(self.kept)))
+        self._keep(made)
+        get = self.kept.__getitem__
+        ended = [(w, b, s) for w, b, s in zip(words, bare, signs) if s]
+        self._keep({w: add(get(b), get(s)) for w, b, s in ended})
+
+    def _keep(self, made: dict[str, bytes]) -> None:
+        self.kept.update(made)
+        self.size += sum(len(w) + len(i) for w, i in made.items()) + ENTRY_BYTES * len(made)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.by_word:
+            yield from (self._ids(t or "") for t in texts)
+            return
         at = 0
         while at < len(texts):
             size, split = 0, []
@@ -97,7 +131,7 @@ class WordIds:
                 split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
                 at += 1
             self.learn(split)
-            get = self.known.__getitem__
+            get = self.kept.__getitem__
             for words in split:
                 yield b"".join(map(get, words))
 
@@ -108,7 +142,7 @@ def piece_lengths(total: int, longest: int) -> list[int]:
     return [longest] * (total // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def decompose(
+def pack(
     docs: DataFrame,
     tokenizer: str,
     *,
@@ -118,58 +152,60 @@ def decompose(
     end_id: int = END_ID,
     with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens and, if wanted, the ids."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, the ids.
+
+    Each piece is a sequence; a sequence's number holds its place among those
+    of its length in the task, the task and the length.
+    """
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(tokenizer)
         words = once(tokenizer, lambda: WordIds(tokenizer))
+        task = TaskContext.get().partitionId() << LENGTH_BITS
+        numbers = [0] * (longest.bit_length())
         for batch in batches:
-            row, start, length, crc, tokens, ids = [], [], [], [], [], []
+            row: list[int] = []
+            columns: list[list[int]] = [[] for _ in range(5)]
+            data: list[bytes] = []
+            size = 0
+
+            def made() -> pa.RecordBatch:
+                start, length, crc, tokens, number = (pa.array(c, pa.int64()) for c in columns)
+                zeros = pa.array(np.zeros(len(row), np.int64))
+                out = [batch.column(0).take(pa.array(row, pa.int64())), start, length, crc, tokens, number, zeros]
+                if with_ids:
+                    cuts = np.concatenate([[0], np.cumsum(columns[1])]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(cuts, np.frombuffer(b"".join(data), "<i4")))
+                return pa.RecordBatch.from_arrays(out, names=names)
+
             for r, got in enumerate(words.encode(batch.column(1).to_pylist())):
-                data = memoryview(got + end)
-                total, at = len(data) // 4, 0
+                whole = memoryview(got + end)
+                total, at = len(whole) // 4, 0
                 for n in piece_lengths(total, longest):
-                    piece = data[at * 4 : (at + n) * 4]
+                    digit = n.bit_length() - 1
                     row.append(r)
-                    start.append(at)
-                    length.append(n)
-                    crc.append(zlib.crc32(piece))
-                    tokens.append(total)
-                    if with_ids:
-                        ids.append(np.frombuffer(piece, "<u4").astype(np.int32))
+                    number = numbers[digit] << LENGTH_BITS + TASK_BITS | task | digit
+                    for column, value in zip(columns, (at, n, zlib.crc32(whole[at * 4 : (at + n) * 4]), total, number)):
+                        column.append(value)
+                    numbers[digit] += 1
                     at += n
-            out = [batch.column(0).take(pa.array(row, pa.int64()))]
-            out += [pa.array(x, pa.int64()) for x in (start, length, crc, tokens)]
-            if with_ids:
-                out.append(pa.array(ids, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(out, names=names)
+                if with_ids:
+                    data.append(whole)
+                size += total
+                if size >= LOOKUP_BYTES:
+                    yield made()
+                    row.clear()
+                    data.clear()
+                    size = 0
+                    for column in columns:
+                        column.clear()
+            if row:
+                yield made()
 
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     names = [f.split()[0] for f in schema.split(", ")]
     return source.mapInArrow(run, schema)
-
-
-def bucket(pieces: DataFrame, chunks: int = CHUNKS) -> DataFrame:
-    """Number the sequences of each length.
-
-    A bucket is dealt by a hash of its pieces into ``chunks`` parts, so that
-    the numbering needs no sort of a whole bucket.  The number holds rank,
-    part and length, hence is unique and does not depend on task order.
-    """
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(chunks))
-    rank = F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "start", "ids_crc32")) - 1
-    digit = F.round(F.log2("length")).cast("long")
-    return (
-        pieces.withColumn("_part", part)
-        .withColumn("sequence_id", (rank.cast("long") * chunks + F.col("_part")) * 64 + digit)
-        .withColumn("offset", F.lit(0).cast("long"))
-        .drop("_part")
-    )
-
-
-def pack(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
-    """Cut documents into power-of-two pieces and bucket them by length."""
-    return bucket(decompose(docs, tokenizer, **options))

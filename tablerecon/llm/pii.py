@@ -1,18 +1,26 @@
 """Operator 4: personal data by patterns, and terms that give it away.
 
 Base spans are e-mail and IP addresses, card and phone numbers.  Their values
-are the protected entities.  Every term of a document with an entity is tested
-for how strongly it reveals it: over the whole corpus, the pointwise mutual information of
-term and entity, log2(P(t, e) / (P(t) P(e))), is compared with the entity's own
-information, -log2 P(e).  A term that gives away at least the share
-``disclosure`` of it is a further span at all its places, in every document.  No
-number of documents is asked for: P(e | t) is smoothed towards P(e) instead, so
-that a term is found that stands only with an entity of one document.
-Redaction generalises base spans to their kind and removes terms.
-
-Defined cases: a null or empty text has no spans; repeated rows count as
-documents of their own and get equal spans; a null id is kept; no rows give no
-rows.  Other columns are not read, and kept by ``sanitise``.
+are the protected entities; values of one e-mail domain, network, card issuer
+or phone prefix are a group, which stands in for values too rare to learn from.
+Every term of a document with an entity is tested for how strongly it reveals
+it over the whole corpus: the pointwise mutual information of term and entity,
+log2(P(e | t) / P(e)), is compared with the entity's own information,
+-log2 P(e).  P(e | t) is not the observed share but its lower confidence bound
+(Wilson's), and the document a term is tried in is not evidence for it: it is
+estimated from the others.  So what stands together once says nothing, and how
+many documents are asked for follows from the sizes of corpus and entity.
+
+A term that gives away at least the share ``disclosure`` of an entity's
+information is a further span at all its places, in every document: of kind
+``term`` if it reveals a value, of kind ``hint`` if only a group.  Redaction
+generalises base spans and hints to their kind and removes terms.
+
+Equal texts are one document to the estimates, as copies are no evidence.
+
+Defined cases: a null or empty text has no spans; repeated rows and equal
+texts get equal spans; a null id is kept; no rows give no rows.  Other columns
+are not read, whatever their names, and kept by ``sanitise``.
 """
 
 from __future__ import annotations
@@ -22,6 +30,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +38,20 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablerecon.llm.common import add_columns, cut
+from tablerecon.llm.common import add_columns, cut, forget, unused
 
-KINDS = ("email", "ip", "card", "phone", "term")
-#: Documents' worth of the entity's own share that is added to those of a term.
-SMOOTHING = 0.25
+KINDS = ("email", "ip", "card", "phone", "term", "hint")
+TERM, HINT = 4, 5
+#: Standard errors between a share and its lower bound.
+CONFIDENCE = 1.96
 #: Share of an entity's information a term may not give away.
 DISCLOSURE = 0.9
 #: Terms a task counts before it sends the counts on.
 COUNTED = 400_000
-#: Bits of the map that says which terms may disclose; a join decides on its hits.
-BITS = 1 << 26
-#: Terms of which a worker remembers whether they are in the map.
+#: Bits a term has in the map that says which terms matter, and the largest map's
+#: bits, as a power of two: 64 MB.  A join decides on its hits, so a full map costs time only.
+TERM_BITS, MOST_BITS = 16, 29
+#: Words of which a worker remembers the terms that matter.
 KNOWN = 200_000
 
 #: Fixed patterns, from the definition of the kinds.
@@ -101,6 +112,18 @@ def entity(text: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind == 0 else value if kind == 1 else _digits(value)}"
 
 
+def group(name: str) -> str:
+    """What an entity has in common with others: domain, network, issuer or prefix."""
+    kind, value = name.split(":", 1)
+    if kind == "email":
+        shared = value.split("@", 1)[1]
+    elif kind == "ip":
+        shared = ".".join(value.split(".")[:2])
+    else:
+        shared = value[: 6 if kind == "card" else 4]
+    return f"{kind}*:{shared}"
+
+
 def free_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
     """Terms in lower case with start and end, but not within any base span."""
     taken = sorted((s, e) for _, s, e in spans)
@@ -115,7 +138,7 @@ _SPAN = "struct<kind:int,start:int,end:int>"
 
 
 def find(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Base spans of each text, its entities, and the terms of a text that has any."""
+    """Base spans of each text, its entities and their groups, and the terms of a text that has any."""
 
     def run(column: pa.Array) -> list:
         spans, terms, names = [], [], []
@@ -123,16 +146,54 @@ def find(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
             own = base_spans(text) if text else []
             spans.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
             terms.append(sorted({t for t, _, _ in free_terms(text, own)}) if own else [])
-            names.append(sorted({entity(text, s) for s in own}))
+            values = {entity(text, s) for s in own}
+            names.append(sorted(values.union(map(group, values))))
         return [spans, terms, names]
 
     return add_columns(docs, [text_col], f"base array<{_SPAN}>, held array<string>, entities array<string>", run, keep)
 
 
-def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Number of documents that hold each term, counted in the tasks first."""
+class Mattering(dict):
+    """Lower-cased terms of a word that are in a bit map; a word is a run of non-space."""
+
+    def __init__(self, held: bytes) -> None:
+        super().__init__()
+        self.held, self.bits = held, len(held) * 8
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= KNOWN:
+            self.clear()
+        terms = {t.lower() for t in _TERM.findall(word)}
+        found = self[word] = tuple(t for t in terms if self.held[(b := _bit(t, self.bits)) >> 3] >> (b & 7) & 1)
+        return found
+
+    def of(self, text: str) -> set[str]:
+        """Of a text; no term reaches across white space."""
+        return set(chain.from_iterable(map(self.__getitem__, set(text.split()))))
+
+
+def _bit(term: str, bits: int) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % bits
+
+
+def bit_map(terms: DataFrame) -> bytes:
+    """A map of some bits per term, of which those of the terms are set."""
+    wanted = terms.count() * TERM_BITS
+    bits = 1 << min(max(wanted.bit_length(), 10), MOST_BITS)
+    bit = F.crc32(F.col("term").cast("binary")) % bits
+    words = terms.select((bit % 64).cast("int").alias("at"), F.floor(bit / 64).cast("int").alias("word")).groupBy("word")
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits")).toArrow()
+    made = np.zeros(bits // 64, "<i8")
+    made[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return made.tobytes()
+
+
+def term_counts(docs: DataFrame, bits: Broadcast, text_col: str = "text") -> DataFrame:
+    """Number of documents that hold each term of the map, counted in the tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        mattering = Mattering(bits.value)
         counts: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -142,7 +203,7 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update({t.lower() for t in set(_TERM.findall(text))} if text else ())
+                counts.update(mattering.of(text) if text else ())
                 if len(counts) > COUNTED:
                     yield flush()
         yield flush()
@@ -151,81 +212,85 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
+def _lower_bound(hits: Column, trials: Column) -> Column:
+    """Wilson's lower bound of the share that ``hits`` of ``trials`` stand for; 0 of no trials."""
+    z2 = CONFIDENCE * CONFIDENCE
+    spread = CONFIDENCE * F.sqrt(hits * (trials - hits) / F.greatest(trials, F.lit(1)) + z2 / 4)
+    return F.when(trials > 0, (hits + z2 / 2 - spread) / (trials + z2)).otherwise(F.lit(0.0))
+
+
 def _gives(both: Column, n_term: Column, n_entity: Column, total: int, disclosure: float) -> Column:
     """Whether a term of ``n_term`` documents, ``both`` of them the entity's, gives the entity away."""
     share = n_entity / F.lit(float(total))
-    known = (both + SMOOTHING * share) / (n_term + SMOOTHING)
-    return (share < 1) & (F.log2(known / share) >= disclosure * -F.log2(share))
+    known = _lower_bound(both - 1, n_term - 1)
+    return (share < 1) & (both > 1) & (F.log2(F.greatest(known, F.lit(1e-300)) / share) >= disclosure * -F.log2(share))
 
 
-def disclosing(found: DataFrame, counts: DataFrame, disclosure: float) -> DataFrame:
-    """Terms that give an entity away.
+def disclosing(found: DataFrame, docs: DataFrame, disclosure: float) -> DataFrame:
+    """Terms that give an entity away, with ``exact``: a value, not only a group.
 
+    Terms and entities of a single document give nothing away and go first.
     Entities that stand in the same documents count as one, and a pair is formed
     only if the term could give the entity away were all its documents the
     entity's; neither changes the result.
     """
-    total = found.count()
+    total = found.agg(F.count_distinct("row")).first()[0]
     rows = found.where(F.size("entities") > 0).groupBy("row").agg(F.count("*").alias("m"), F.first("entities").alias("entities"), F.first("held").alias("held"))
     rows = cut(rows)
-    stood = F.sum(F.col("m") * F.xxhash64("row", F.lit(1)).cast("decimal(20,0)")), F.sum(F.col("m") * F.col("row").cast("decimal(20,0)"))
-    named = rows.select("row", "m", F.explode("entities").alias("entity"))
-    sets = named.groupBy("entity").agg(F.sum("m").alias("n_entity"), F.sha2(F.concat_ws(",", *stood), 256).alias("set"))
+    held = rows.select("row", "m", F.explode("held").alias("term"))
+    # Copies beyond the first, by which the counts over all rows are too high.
+    tried = cut(held.groupBy("term").agg(F.count("*").alias("n_held"), F.sum(F.col("m") - 1).alias("copies")).where("n_held > 1"))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(tried))
+    counts = tried.join(term_counts(docs, bits), "term").select(
+        F.col("term").alias("_t"), F.xxhash64("term").alias("_th"), (F.col("n_term") - F.col("copies")).alias("n_term")
+    )
+
+    named = rows.select("row", F.explode("entities").alias("entity"))
+    stood = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(20,0)")) for k in (1, 2)]
+    sets = named.groupBy("entity").agg(F.count("*").alias("n_entity"), F.sha2(F.concat_ws(",", *stood), 256).alias("set")).where("n_entity > 1")
     sets = sets.select(F.col("entity").alias("_e"), F.xxhash64("entity").alias("_h"), "n_entity", "set")
     named = named.withColumn("h", F.xxhash64("entity")).join(sets, (F.col("entity") == F.col("_e")) & (F.col("h") == F.col("_h")))
-    named = named.select(F.col("row").alias("_row"), "set", "n_entity").distinct()
-    counts = counts.select(F.col("term").alias("_t"), F.xxhash64("term").alias("_th"), "n_term")
-    held = rows.select("row", "m", F.explode("held").alias("term")).withColumn("th", F.xxhash64("term"))
-    held = held.join(counts, (F.col("term") == F.col("_t")) & (F.col("th") == F.col("_th"))).select("row", "m", "term", "n_term")
+    exact = F.bool_or(~F.substring_index("entity", ":", 1).endswith("*")).alias("exact")
+    named = named.groupBy(F.col("row").alias("_row"), "set", "n_entity").agg(exact)
+
+    held = held.select("row", "term", F.xxhash64("term").alias("th"))
+    held = held.join(counts, (F.col("term") == F.col("_t")) & (F.col("th") == F.col("_th"))).select("row", "term", "n_term")
     able = _gives(F.least("n_term", "n_entity"), F.col("n_term"), F.col("n_entity"), total, disclosure)
     pairs = held.join(named, (F.col("row") == F.col("_row")) & able)
-    both = pairs.groupBy("set", "n_entity", "term", "n_term").agg(F.sum("m").alias("n_both"))
-    return both.where(_gives(F.col("n_both"), F.col("n_term"), F.col("n_entity"), total, disclosure)).select("term").distinct()
-
-
-def _bit(term: str) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BITS
-
-
-def bit_map(terms: DataFrame) -> bytes:
-    """BITS bits, of which those of the terms are set."""
-    bit = F.crc32(F.col("term").cast("binary")) % BITS
-    words = terms.select((bit % 64).cast("int").alias("at"), F.floor(bit / 64).cast("int").alias("word")).groupBy("word")
-    words = words.agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits")).toArrow()
-    made = np.zeros(BITS // 64, "<i8")
-    made[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return made.tobytes()
+    both = pairs.groupBy("set", "n_entity", "term", "n_term").agg(F.count("*").alias("n_both"), F.bool_or("exact").alias("exact"))
+    gives = both.where(_gives(F.col("n_both"), F.col("n_term"), F.col("n_entity"), total, disclosure))
+    return gives.groupBy("term").agg(F.bool_or("exact").alias("exact"))
 
 
 def places(docs: DataFrame, bits: Broadcast, text_col: str = "text") -> DataFrame:
     """Row, term and spans of the terms in the map, wherever they stand outside base spans."""
-    known: dict[str, bool] = {}
-
-    def set_(held: bytes, word: str) -> bool:
-        if (hit := known.get(word)) is None:
-            if len(known) >= KNOWN:
-                known.clear()
-            bit = _bit(word.lower())
-            hit = known[word] = bool(held[bit >> 3] >> (bit & 7) & 1)
-        return hit
 
-    def run(column: pa.Array) -> list:
-        held, made = bits.value, []
-        for text in column.to_pylist():
-            at: dict[str, list] = {}
-            if text and any(set_(held, w) for w in set(_TERM.findall(text))):
-                for term, s, e in free_terms(text, base_spans(text)):
-                    if set_(held, term):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        mattering = Mattering(bits.value)
+        for batch in batches:
+            rows, terms, spans = [], [], []
+            for r, text in enumerate(batch.column(1).to_pylist()):
+                hits = mattering.of(text) if text else ()
+                at: dict[str, list] = {}
+                for term, s, e in free_terms(text, base_spans(text)) if hits else ():
+                    if term in hits:
                         at.setdefault(term, []).append({"start": s, "end": e})
-            made.append([{"term": t, "at": v} for t, v in at.items()])
-        return [made]
+                rows += [r] * len(at)
+                terms += at.keys()
+                spans += at.values()
+            if rows:
+                out = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(spans, span)]
+                yield pa.RecordBatch.from_arrays(out, names=["row", "term", "at"])
 
-    added = add_columns(docs, [text_col], "at array<struct<term:string,at:array<struct<start:int,end:int>>>>", run, ["row"])
-    return added.select("row", F.explode("at").alias("c")).select("row", "c.*")
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    own = docs.select("row", F.col(f"`{text_col}`"))
+    return own.mapInArrow(run, "row string, term string, at array<struct<start:int,end:int>>")
 
 
-def _row(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.lit(4), F.col(f"`{id_col}`").cast("string"), F.lit(0), f"`{text_col}`")
+def _row(text_col: str) -> Column:
+    """What equal texts have in common."""
+    return F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
 
 
 def detect(
@@ -235,24 +300,29 @@ def detect(
     text_col: str = "text",
     disclosure: float = DISCLOSURE,
 ) -> DataFrame:
-    """doc_id, base spans and term spans of every row, with ``row``, a hash of id and text."""
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), _row(id_col, text_col).alias("row"))
+    """doc_id, base spans and spans of terms and hints of every row, with ``row``, a hash of the text."""
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), _row(text_col).alias("row"))
     found = cut(find(own, keep=["doc_id", "row"]))
-    terms = cut(disclosing(found, term_counts(own), disclosure))
+    terms = cut(disclosing(found, own, disclosure))
     bits = docs.sparkSession.sparkContext.broadcast(bit_map(terms))
-    terms = terms.select(F.col("term").alias("_t"), F.xxhash64("term").alias("_h"))
+    kind = F.when(F.col("exact"), F.lit(TERM)).otherwise(F.lit(HINT))
+    terms = terms.select(F.col("term").alias("_t"), F.xxhash64("term").alias("_h"), kind.alias("kind"))
     held = places(own, bits).withColumn("h", F.xxhash64("term"))
     extra = (
         held.join(terms, (F.col("term") == F.col("_t")) & (F.col("h") == F.col("_h")))
-        .select("row", F.explode("at").alias("s"))
+        .select("row", "kind", F.explode("at").alias("s"))
         .distinct()
         .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct(F.lit(4).alias("kind"), "s.start", "s.end"))).alias("terms"))
+        .agg(F.sort_array(F.collect_list(F.struct("kind", "s.start", "s.end"))).alias("terms"))
         .withColumnRenamed("row", "_row")
     )
     empty = F.array().cast(f"array<{_SPAN}>")
-    return found.join(extra, F.col("row") == F.col("_row"), "left").select(
-        "doc_id", "row", "base", F.coalesce("terms", empty).alias("terms")
+    # A very frequent text is one row on the right: its hash as second key lets the left be split.
+    extra = extra.withColumn("_h", F.xxhash64("_row"))
+    return (
+        found.withColumn("h", F.xxhash64("row"))
+        .join(extra, (F.col("row") == F.col("_row")) & (F.col("h") == F.col("_h")), "left")
+        .select("doc_id", "row", "base", F.coalesce("terms", empty).alias("terms"))
     )
 
 
@@ -263,11 +333,11 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """Base spans become their kind in brackets, terms vanish; of overlapping spans the first counts."""
+    """Terms vanish, other spans become their kind in brackets; of overlapping spans the first counts."""
     out, at = [], 0
     for start, end, kind in sorted((s, -e, k) for k, s, e in spans):
         if start >= at:
-            out.append(text[at:start] + ("" if kind == 4 else f"[{KINDS[kind].upper()}]"))
+            out.append(text[at:start] + ("" if kind == TERM else f"[{KINDS[kind].upper()}]"))
         at = max(at, -end)
     return "".join(out) + text[at:]
 
@@ -275,15 +345,17 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows given with personal data taken out of their texts."""
     found = detect(docs, id_col=id_col, text_col=text_col, **options)
+    own, hit, held, clean = (unused(docs, n) for n in ("own_row", "hit_row", "held_spans", "clean_text"))
     spans = F.concat("base", "terms")
-    # Rows without spans need no join; of equal rows one is enough.
-    hits = found.where(F.size(spans) > 0).groupBy("row").agg(F.first(spans).alias("_spans"))
-    joined = docs.withColumn("_row", _row(id_col, text_col)).join(hits, F.col("_row") == F.col("row"), "left")
-    columns = list(docs.columns)
+    # Rows without spans need no join; of equal texts one is enough.
+    hits = found.where(F.size(spans) > 0).groupBy(F.col("row").alias(hit)).agg(F.first(spans).alias(held))
+    hits = hits.withColumn(hit + "_h", F.xxhash64(hit))
+    joined = docs.withColumn(own, _row(text_col)).withColumn(own + "_h", F.xxhash64(own))
+    joined = joined.join(hits, (F.col(own) == F.col(hit)) & (F.col(own + "_h") == F.col(hit + "_h")), "left")
 
     def run(texts: pa.Array, held: pa.Array) -> list:
         rows = zip(texts.to_pylist(), held.to_pylist())
         return [[t if not h else redact(t, [(s["kind"], s["start"], s["end"]) for s in h]) for t, h in rows]]
 
-    made = add_columns(joined, [text_col, "_spans"], "_clean string", run, keep=columns)
-    return made.withColumn(text_col, F.col("_clean")).select(*[f"`{c}`" for c in columns])
+    made = add_columns(joined, [text_col, held], f"{clean} string", run, keep=docs.columns)
+    return made.withColumn(text_col, F.col(clean)).select(*[F.col(f"`{c}`") for c in docs.columns])

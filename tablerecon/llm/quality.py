@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablerecon.llm.common import add_columns, once, texts
+from tablerecon.llm.common import add_columns, forget, once, texts
 from tablerecon.llm.sampling import bounded, one_label
 
 #: Bound on the labelled documents a model is fitted on.
@@ -38,8 +38,8 @@ EPOCHS = 6
 LEAST_STEPS = 12_000
 RATE = 4.0
 NGRAMS = (3, 4)
-#: Distinct words whose value a worker keeps.
-KEPT_WORDS = 400_000
+#: Distinct words whose value a worker keeps, about 250 bytes each.
+KEPT_WORDS = 200_000
 
 
 #: Feature of a word that equals the one before it.
@@ -139,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, *, text_col: str = "text
     sample = bounded(own.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y"), rows, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         documents, ys = [], []
         for batch in batches:
             documents += [_document(t) for t in texts(batch.column(0))]
@@ -170,4 +171,4 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
             out.append(m.prior if z is None else 1 / (1 + math.exp(-max(-60.0, min(60.0, z)))))
         return [out]
 
-    return add_columns(docs, [text_col], f"{name} double", run, keep)
+    return add_columns(docs, [text_col], f"{name} double", run, keep, uses=[key])

@@ -193,4 +193,4 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
         totals = [math.fsum(m.weights[f] for f in set(chain.from_iterable(map(known, words(t))))) for t in column.to_pylist()]
         return [[1 / (1 + math.exp(-max(-60.0, min(60.0, z + m.bias)))) for z in totals]]
 
-    return add_columns(docs, [text_col], f"{name} double", run, keep)
+    return add_columns(docs, [text_col], f"{name} double", run, keep, uses=[key])

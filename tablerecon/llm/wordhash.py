@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -42,6 +42,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def forget_powers() -> None:
+    """Drop the kept powers: a long text leaves a large table of them."""
+    _powers.clear()
+
+
 @dataclass
 class Words:
     """Words of consecutive texts: ``hashes[at[d]:at[d + 1]]`` are those of text ``d``.

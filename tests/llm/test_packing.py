@@ -1,3 +1,5 @@
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -38,7 +40,45 @@ def test_repeated_null_and_no_rows(docs):
     assert len({r.sequence_id for r in rows}) == len(rows) == 1 + 2 * 1
     assert packing.pack(docs([]), PATH).count() == 0
     with pytest.raises(ValueError):
-        packing.decompose(docs([]), PATH, longest=1000)
+        packing.pack(docs([]), PATH, longest=1000)
+
+
+def test_words_of_every_letter_and_mark_before_signs():
+    """Normalising can end a letter in a mark, which then stands with the signs after it."""
+    encoder = Tokenizer.from_file(PATH)
+    words = packing.WordIds(PATH)
+    assert words.by_word
+    letters = [c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] in "LMN"]
+    excluded = [c for c in letters if len(unicodedata.normalize("NFC", c)) > 1 or len(c.lower()) > 1]
+    assert len(excluded) > 50
+    texts = [f"{c}{s}" for c in excluded for s in (".", ",;", "!", "?.", ":")]
+    texts += [f"a{c}{s} {c}{s}" for c in letters for s in (".", "!?")]
+    texts += ["पढ़. বড়. טּ, ששׁ! İ. İstanbul, ŉ; ǰ: ΐ? straẞe. Σ. ΣΑΣ, a\u0301. e\u0323\u0302! ﬀ. 'S. x's. '’s, 1. 1, ½. ²! a\u200d. \u200b."]
+    rng = random.Random(0)
+    pool = letters[::37] + excluded + list(".,;:!?'-_ \n\t\r\x0b\x85\u3000\u0301\u0338#") * 8
+    texts += ["".join(rng.choices(pool, k=20)) for _ in range(6000)]
+    for text, got in zip(texts, words.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == encoder.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    plain = Tokenizer(models.WordLevel({"a.": 0, "b": 1, "[UNK]": 2}, unk_token="[UNK]"))
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    plain.save(str(tmp_path / "t.json"))
+    words = packing.WordIds(str(tmp_path / "t.json"))
+    assert not words.by_word and [np.frombuffer(x, "<u4").tolist() for x in words.encode(["a. b", None])] == [[0, 1], []]
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_BYTES", 50_000)
+    monkeypatch.setattr(packing, "LOOKUP_BYTES", 1000)
+    words = packing.WordIds(PATH)
+    texts = [f"w{i}x, w{i}y" for i in range(5000)]
+    ids = [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)]
+    assert words.size < 120_000
+    assert ids[::500] == [words.encoder.encode(t, add_special_tokens=False).ids for t in texts[::500]]
 
 
 def test_piece_lengths():

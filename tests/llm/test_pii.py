@@ -2,9 +2,10 @@ import math
 import os
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tablerecon.llm import pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -49,88 +50,140 @@ def test_base_spans_match_the_patterns():
     assert pii.base_spans(FIXED[5]) == [] and pii.base_spans(FIXED[6]) == [(1, 0, 5006)]
 
 
-def brute_terms(rows, near=8, support=3, disclosure=0.9):
-    both, named, held = defaultdict(int), defaultdict(int), defaultdict(int)
-    context = []
+def names_of(text, spans):
+    """Entities of a text and their groups."""
+    out = set()
+    for k, s, e in spans:
+        v = text[s:e].lower() if k == 0 else text[s:e] if k == 1 else re.sub(r"\D", "", text[s:e])
+        shared = v.split("@")[-1] if k == 0 else tuple(v.split(".")[:2]) if k == 1 else v[: 6 if k == 2 else 4]
+        out |= {(k, "value", v), (k, "group", shared)}
+    return out
+
+
+def wilson(hits, trials, z=1.96):
+    if not trials:
+        return 0.0
+    p, q = hits / trials, z * z / trials
+    return (p + q / 2 - z * math.sqrt(p * (1 - p) / trials + q / (4 * trials))) / (1 + q)
+
+
+def brute_terms(rows, disclosure=0.9):
+    """Base spans and further spans of each row, by the rule as stated, over sets of distinct texts."""
+    words = re.compile(r"[^\W\d_]{2,}")
+    texts = sorted({t or "" for _, t in rows})
+    bases = {t: brute(t) for t in texts}
+    free = {t: [m for m in words.finditer(t) if not any(m.start() < e and s < m.end() for _, s, e in bases[t])] for t in texts}
+    holding = defaultdict(set)
+    for t in texts:
+        for name in names_of(t, bases[t]):
+            holding[name].add(t)
+    with_entity = {t for t in texts if bases[t]}
+    copies = Counter(t or "" for _, t in rows)
+    kinds = {}
+    for term in {m[0].lower() for t in with_entity for m in free[t]}:
+        near = {t for t in with_entity if any(m[0].lower() == term for m in free[t])}
+        # Copies count once where an entity stands, which is where evidence comes from.
+        held = sum(copies[t] for t in texts if any(w.lower() == term for w in words.findall(t))) - sum(copies[t] - 1 for t in near)
+        for (k, level, v), there in holding.items():
+            both, share = len(near & there), len(there) / len(texts)
+            if both < 2 or share >= 1:
+                continue
+            bound = wilson(both - 1, held - 1)
+            if bound > 0 and math.log2(bound / share) >= -disclosure * math.log2(share):
+                kinds[term] = 4 if level == "value" or kinds.get(term) == 4 else 5
+    out = []
     for _, text in rows:
         text = text or ""
-        base = brute(text)
-        terms = [m for m in re.finditer(r"[^\W\d_]{2,}", text)]
-        for t in {m[0].lower() for m in terms}:
-            held[t] += 1
-        free = [m for m in terms if not any(m.start() < e and s < m.end() for _, s, e in base)]
-        found = defaultdict(set)
-        for k, s, e in base:
-            v = text[s:e]
-            name = (k, v.lower() if k == 0 else v if k == 1 else re.sub(r"\D", "", v))
-            around = [m for m in free if m.end() <= s][-near:] + [m for m in free if m.start() >= e][:near]
-            for m in around:
-                found[name, m[0].lower()].add((4, *m.span()))
-            found[name, None] |= set()
-        for name, t in found:
-            if t is None:
-                named[name] += 1
-            else:
-                both[name, t] += 1
-        context.append(found)
-    n = len(rows)
-    out = []
-    for (_, text), found in zip(rows, context):
-        spans = set()
-        for (name, t), at in found.items():
-            if t is not None and both[name, t] >= support and n > named[name]:
-                pmi = math.log2(both[name, t] * n / (named[name] * held[t]))
-                if pmi >= disclosure * math.log2(n / named[name]):
-                    spans |= at
-        out.append((brute(text or ""), sorted(spans)))
-    return out
+        out.append((bases[text], sorted((kinds[m[0].lower()], *m.span()) for m in free[text] if m[0].lower() in kinds)))
+    return out, kinds
 
 
-def test_terms_match_brute_force(docs):
-    rng = random.Random(1)
-    common = [f"word{chr(97 + i)}" for i in range(20)]
+def planted(seed):
+    """Rows with terms that always, mostly, once, or by chance stand with an entity or its group."""
+    rng = random.Random(seed)
+    common = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(5)]
     rows = []
-    for i in range(60):
+    for i in range(480):
         words = rng.choices(common, k=25)
-        if i % 3 == 0:
-            words[5:5] = ["Zelda", ["anna", "bert"][i % 2], f"user{i % 6}@ex.org", "fitzgerald", rng.choice(common)]
-        if i % 7 == 0:
-            words[1:1] = ["+49", "30", "12345678"]
+        if i % 4 == 0:
+            who = i % 3
+            words[5:5] = ["Zelda", ["anna", "bert", "carl"][who], f"user{who}@ex{who}.org", "fitzgerald", f"only{chr(97 + i % 26)}{chr(97 + i // 26)}"]
+        if i % 9 == 0:
+            words[1:1] = ["dial", f"+49 30 12345{i:03d}"]
+        if i % 10 == 1:
+            words[1:1] = ["host", f"10.7.{i % 250}.1", "router"]
+        if i % 30 == 2:
+            words.insert(3, "anna")
         rows.append((i, " ".join(words)))
-    rows += [(70, None), (71, ""), (None, rows[0][1]), (0, rows[0][1]), (72, "x@y.zz")]
-    got = pii.detect(docs(rows, "base string, terms int")).collect()
-    key = lambda r: (str(r[0]), str(r[1]))
-    made = sorted(((r.doc_id, [tuple(s) for s in r.base], [tuple(s) for s in r.terms]) for r in got), key=str)
-    expected = sorted(((doc, base, terms) for (doc, _), (base, terms) in zip(rows, brute_terms(rows))), key=str)
-    assert made == expected and key
-    assert any(t for _, _, t in made)
-    clean = pii.sanitise(docs(rows, "score int")).collect()
-    assert len(clean) == len(rows) and not any("@" in (r.text or "") for r in clean)
-    assert {r.text for r in clean if r.doc_id == 70} == {None}
-    assert pii.detect(docs([])).count() == 0
+    rows += [(900, None), (901, ""), (None, rows[0][1]), (0, rows[0][1]), (0, rows[0][1]), (902, "x@y.zz"), (903, rows[13][1])]
+    return rows
+
+
+def test_terms_match_brute_force(docs):
+    for seed in (1, 2):
+        rows = planted(seed)
+        got = pii.detect(docs(rows, "base string, terms int")).collect()
+        made = sorted(((r.doc_id, [tuple(s) for s in r.base], [tuple(s) for s in r.terms]) for r in got), key=str)
+        lines, kinds = brute_terms(rows)
+        assert made == sorted(((doc, base, terms) for (doc, _), (base, terms) in zip(rows, lines)), key=str)
+        assert {"bert", "carl"} <= {t for t, k in kinds.items() if k == 4}, kinds
+        assert {"router", "dial"} <= {t for t, k in kinds.items() if k == 5}, kinds
+        assert not any(t.startswith(("only", "word")) or t in ("zelda", "fitzgerald") for t in kinds), kinds
+
+
+def test_sanitised_rows(docs):
+    rows = planted(1)
+    names = "row int, _spans string, _row string, _clean int, own_row int, hit_row string, held_spans int, clean_text string, base int"
+    given = docs(rows, names)
+    clean = pii.sanitise(given)
+    assert clean.schema == given.schema
+    out = clean.collect()
+    assert len(out) == len(rows) and not any("@" in (r.text or "") for r in out)
+    assert {r.text for r in out if r.doc_id == 900} == {None}
+    one = next(r.text for r in out if r.doc_id == 4).split()
+    assert "[EMAIL]" in one and "bert" not in one and "Zelda" in one
+    assert "[HINT]" in next(r.text for r in out if r.doc_id == 1)
+    assert pii.detect(docs([])).count() == 0 and pii.sanitise(docs([])).count() == 0
 
 
 def test_redaction_of_overlapping_spans():
     assert pii.redact("ab +1 2 cd", [(3, 3, 7), (2, 4, 8), (4, 0, 2)]) == " [PHONE]cd"
 
 
-def test_terms_of_an_entity_in_one_document(docs):
+def test_one_joint_occurrence_and_copies_are_no_evidence(docs):
     rows = [f"common words stand here{' Zelda wrote from z@ex.org' if i == 7 else ''} and there" for i in range(40)]
-    got = {r.doc_id: [rows[r.doc_id][s:e] for _, s, e in r.terms] for r in pii.detect(docs(rows)).collect()}
-    assert got == {i: ["Zelda", "wrote", "from"] if i == 7 else [] for i in range(40)}
+    rows += [rows[7]] * 30
+    assert not any(r.terms for r in pii.detect(docs(rows)).collect())
+
+
+def test_few_words_go_from_documents_without_copies(spark, sf_dir):
+    """Personal data of these documents stands among unrelated words, so hardly any may go."""
+    large = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.1")
+    docs = spark.read.parquet(f"{large}/documents.parquet").dropDuplicates(["text"]).cache()
+    found = pii.detect(docs).where("size(base) > 0").collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    words = sum(len(texts[r.doc_id].split()) for r in found)
+    assert len(found) > 300 and sum(len(r.terms) for r in found) < words / 200
 
 
-def test_terms_are_found_once_copies_are_removed(spark, sf_dir):
+def test_terms_are_found_among_real_documents(spark, sf_dir):
+    """A name that stands with an address is found wherever it is planted, and words around it stay."""
     large = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.1")
-    kept = corpus_pipeline.keep_one_of_a_group(spark, spark.read.parquet(f"{large}/documents.parquet"), large)
-    found = pii.detect(kept).where("size(base) > 0").collect()
-    assert sum(bool(r.terms) for r in found) > len(found) / 2
+    docs = spark.read.parquet(f"{large}/documents.parquet").dropDuplicates(["text"])
+    name = F.when(F.col("doc_id") % 500 == 3, F.lit(" Quillfeather q.f@planted.org")).when(F.col("doc_id") == 17, F.lit(" quillfeather"))
+    given = docs.withColumn("text", F.concat("text", F.coalesce(name, F.lit("")))).cache()
+    found = pii.detect(given).collect()
+    planted_ids = {r.doc_id for r in given.where("text like '%Quillfeather%'").select("doc_id").collect()}
+    texts = {r.doc_id: r.text for r in given.collect()}
+    hits = {(r.doc_id, texts[r.doc_id][s:e].lower()) for r in found for k, s, e in r.terms if k == 4}
+    assert len(planted_ids) > 15 and {(i, "quillfeather") for i in planted_ids} | {(17, "quillfeather")} <= hits
+    assert len({t for _, t in hits}) < 30
 
 
 def test_terms_far_from_the_entity_and_without_it(docs):
     filler = " ".join(["common words stand here and there"] * 4)
-    rows = [f"{filler} now Quill {filler} q@ex.org and {filler} quill" for _ in range(12)]
-    rows += [f"{filler} now quill"] + [f"{filler} now" for _ in range(47)]
+    rows = [f"{filler} now Quill {filler} q@ex.org and {filler} quill {chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(60)]
+    rows += [f"{filler} now quill"] + [f"{filler} now {chr(97 + i // 26)}{chr(97 + i % 26)}y" for i in range(239)]
     got = {r.doc_id: [rows[r.doc_id][s:e] for _, s, e in r.terms] for r in pii.detect(docs(rows)).collect()}
-    assert got == {i: ["Quill", "quill"] if i < 12 else ["quill"] if i == 12 else [] for i in range(60)}
+    assert got == {i: ["Quill", "quill"] if i < 60 else ["quill"] if i == 60 else [] for i in range(300)}
     assert "quill" not in "".join(r.text.lower() for r in pii.sanitise(docs(rows)).collect())
