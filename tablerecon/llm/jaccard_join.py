@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablerecon.llm.common import cut, forget
+from tablerecon.llm.common import add_columns, cut, forget
 from tablerecon.llm.components import components
 from tablerecon.llm.wordhash import Words, words_of
 
@@ -100,20 +100,17 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, size of the n-gram set, and the set's name."""
+    """Size of the n-gram set and the set's name, beside all columns but the text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        for batch in batches:
-            sizes, keys = [], []
-            for _, words in words_of(batch.column(1), lower=True):
-                for grams in shingle_sets(words, width):
-                    sizes.append(len(grams))
-                    keys.append(set_key(grams))
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "key"])
+    def run(column: pa.Array) -> list:
+        sizes, keys = [], []
+        for _, words in words_of(column, lower=True):
+            for grams in shingle_sets(words, width):
+                sizes.append(len(grams))
+                keys.append(set_key(grams))
+        return [sizes, keys]
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long")
+    return add_columns(docs, ["text"], "n_shingles long, key long", run, [c for c in docs.columns if c != "text"])
 
 
 def shared_grams(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
@@ -335,25 +332,30 @@ def near_duplicates(
     percent: int = PERCENT,
     block: int = BLOCK,
     parts: int | None = None,
+    carry: str | None = None,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id reachable by links, of each row.
 
-    ``parts`` is the number of hash ranges the n-grams are counted in, by
+    ``carry`` names a column that goes along, as does then ``component``, a
+    name of the component that is null for an empty set.  ``parts`` is the number of hash ranges the n-grams are counted in, by
     default the number of shuffle partitions (64 at least): a range should fit
     in a task's memory.
     """
     spark = docs.sparkSession
     parts = parts or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sets = cut(sets_of(own, width))
+    own_columns = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
+    own = docs.select(*own_columns)
+    carried = [F.col(f"`{carry}`").alias("carried")] if carry else []
+    sets = cut(sets_of(docs.select(*own_columns, *carried), width))
     classes = cut(shared_grams(own, width, percent, parts))
     joined = components(class_links(classes, percent, block))
     least = sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = least.join(joined, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("label", "key").alias("label"))
     totals = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    result = named.join(totals, "label").select(F.col("key").alias("_key"), F.xxhash64("key").alias("_h"), "component_id")
+    result = named.join(totals, "label").select(F.col("key").alias("_key"), F.xxhash64("key").alias("_h"), "component_id", "label")
+    more = [F.col("carried").alias(carry), F.col("label").alias("component")] if carry else []
     return (
         sets.withColumn("h", F.xxhash64("key"))
         .join(result, (F.col("key") == F.col("_key")) & (F.col("h") == F.col("_h")), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *more)
     )
