@@ -1,13 +1,16 @@
 """Operator 7: url filters from a tree of path templates, in DataFrame operations only.
 
-Urls are counted by host and path; the counts hold how many of them the given
-rules block or allow, which are the labels.  Level by level below each host, a
-segment becomes a wildcard if it has digits in every place.  Sibling branches
-whose labelled purity does not differ from that of all siblings together, by a
-two-sided z-test, are merged into the wildcard too, whatever their share; so are
-those without labels.  Each template's purity is smoothed
-towards its host's, and a host's towards one half; templates at or above a
-threshold are rejected.
+Urls are counted by host and whole path; the counts hold how many of them the
+given rules block or allow, which are the labels.  Below each host a tree of
+path segments grows.  Segments that all urls of a branch share are taken
+together, without a test, so the number of rounds is that of branchings on a
+path, not of its segments.  Where a branch parts, sibling segments are compared
+by the labelled purity of what lies below them: one that differs from all
+siblings together, by a two-sided z-test, keeps a branch of its own.  The others
+are folded to their form, with runs of digits as ``#``; a form that differs, as
+a whole, keeps its branch; what is left, few labels included, is merged into the
+wildcard ``*``.  Each template's purity is smoothed towards its host's, and a
+host's towards one half; templates at or above a threshold are rejected.
 
 Defined cases: a null url, or one without ``://``, has empty host and path;
 repeated rows are counted and judged each; a null id is kept; a url without
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablerecon.llm.common import cut, fold_case
+from tablerecon.operators.keyed import attach
 
 #: (verdict, host, path): a rule fits its host and all below it, and paths that begin so.
 Rule = tuple[str, str, str]
@@ -59,63 +63,74 @@ def _smoothed(blocked: Column, labelled: Column, towards: Column, weight: float)
     return (blocked + weight * towards) / (labelled + weight)
 
 
+def _alike(blocked: Column, labelled: Column, z: float) -> Column:
+    """Whether a branch's purity is that of all its siblings, as far as its labels can tell."""
+    pooled = _smoothed(F.col("all_blocked"), F.col("all_labelled"), F.lit(0.5), 1.0)
+    own = _smoothed(blocked, labelled, pooled, 1.0)
+    return (F.abs(own - pooled) <= z * F.sqrt(pooled * (1 - pooled) / (labelled + 1))) | (labelled == 0)
+
+
+def _shared(first: Column, last: Column) -> Column:
+    """How many leading segments two lists share; for the least and greatest of a set, all of it does."""
+    n = F.least(F.size(first), F.size(last))
+    apart = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | ~F.get(first, i).eqNullSafe(F.get(last, i)))
+    return F.get(apart, F.lit(0))
+
+
+def _segment_names(rows: DataFrame, z: float) -> DataFrame:
+    """host, branch, segment and the name under which its branch goes on."""
+    sums = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
+    branch = ["host", "branch"]
+    children = rows.groupBy(*branch, "all_labelled", "all_blocked", "segment").agg(*sums)
+    form = F.regexp_replace("segment", "[0-9]+", "#")
+    tested = children.withColumn("alike", _alike(F.col("blocked"), F.col("labelled"), z)).withColumn("form", form)
+    forms = tested.where("alike").groupBy(*branch, "all_labelled", "all_blocked", "form").agg(*sums)
+    merged = forms.select(*branch, "form", _alike(F.col("blocked"), F.col("labelled"), z).alias("merged"))
+    literal = F.when(F.col("segment") == "*", F.lit("%2A")).otherwise(F.col("segment"))
+    # Neither ``#`` nor a lone ``*`` is a segment's own name, as paths end at a ``#``.
+    kept = F.when(~F.col("alike") | (F.col("segment") == ""), literal).when(F.col("merged"), F.lit("*")).otherwise(F.col("form"))
+    return attach(tested, merged, [*branch, "form"]).select(*branch, "segment", kept.alias("kept"))
+
+
 def templates(paths: DataFrame, z: float) -> DataFrame:
-    """Adds ``template`` to rows of host, path, n, labelled, blocked.
-
-    ``paths`` is already one row per host and path.  The branch of a row grows
-    by one segment a level; each level is two aggregations with partial sums
-    and one join, whose hash lets adaptive execution split a large branch.  A
-    level reads the one before it three times, so each is cut off from its
-    lineage: else the plan would triple with every level.  A row leaves when its
-    segments end, and when no other row is left in its branch: one row alone
-    never differs from its siblings, so all its further segments are wildcards.
+    """Adds ``template`` to rows of host, path, labelled, blocked.
+
+    ``paths`` is one row per host and path.  In every round each branch's rows
+    first go down the segments that all of them share, found from the least
+    and greatest rest of a path, and then one segment further, under the name
+    that the comparison of siblings gives it.  A round is a few aggregations
+    with partial sums and joins that adaptive execution can split.  Its rows
+    are read several times, so each is cut off from its lineage.  Rows leave when
+    their segments end.
     """
-    rows = paths.withColumn("parts", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("branch", F.lit(""))
-    finished, level = [], 0
+    rows = paths.withColumn("rest", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("branch", F.lit(""))
+    finished = []
     while True:
-        raw = F.get("parts", F.lit(level))
-        rest = F.array_join(F.transform(F.slice("parts", level + 1, F.size("parts")), lambda p: F.when(p == "", "").otherwise("*")), "/")
-        segment = F.when(raw.rlike(r"^[0-9]+(\.[a-z0-9]+)?$"), F.concat(F.lit("*"), F.regexp_extract(raw, r"(\.[a-z0-9]+)$", 1))).otherwise(raw)
-        rows = rows.withColumn("segment", F.coalesce(segment, F.lit("")))
-        sums = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
-        children = rows.groupBy("host", "branch", "segment").agg(*sums, F.count("*").alias("forms"))
-        siblings = children.groupBy(F.col("host").alias("_host"), F.col("branch").alias("_branch")).agg(
-            F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"), F.sum("forms").alias("all_forms")
-        )
-        both = children.join(siblings, (F.col("host") == F.col("_host")) & (F.col("branch") == F.col("_branch")))
-        pooled = _smoothed(F.col("all_blocked"), F.col("all_labelled"), F.lit(0.5), 1.0)
-        own = _smoothed(F.col("blocked"), F.col("labelled"), pooled, 1.0)
-        error = F.sqrt(pooled * (1 - pooled) / (F.col("labelled") + 1))
-        alike = (F.abs(own - pooled) <= z * error) | (F.col("labelled") == 0)
-        named = both.select(
-            F.col("host").alias("_host"),
-            F.col("branch").alias("_branch"),
-            F.col("segment").alias("_segment"),
-            F.xxhash64("host", "branch", "segment").alias("_hash"),
-            F.when(alike & (F.col("segment") != ""), F.lit("*")).otherwise(F.col("segment")).alias("kept"),
-            (F.col("all_forms") == 1).alias("alone"),
+        branches = rows.groupBy("host", "branch").agg(
+            F.min("rest").alias("first"), F.max("rest").alias("last"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
         )
-        rows = (
-            rows.withColumn("hash", F.xxhash64("host", "branch", "segment"))
-            .join(
-                named,
-                (F.col("host") == F.col("_host"))
-                & (F.col("branch") == F.col("_branch"))
-                & (F.col("segment") == F.col("_segment"))
-                & (F.col("hash") == F.col("_hash")),
+        branches = branches.withColumn("shared", _shared(F.col("first"), F.col("last"))).drop("first", "last")
+        rows = attach(rows, branches, ["host", "branch"])
+        literal = F.transform(F.slice("rest", F.lit(1), F.col("shared")), lambda p: F.when(p == "*", F.lit("%2A")).otherwise(p))
+        rows = rows.withColumn("branch", F.concat("branch", F.array_join(F.transform(literal, lambda p: F.concat(F.lit("/"), p)), "")))
+        rest = F.when(F.size("rest") > F.col("shared"), F.slice("rest", F.col("shared") + 1, F.size("rest"))).otherwise(F.slice("rest", 1, 0))
+        rows = cut(rows.withColumn("rest", rest).withColumn("segment", F.get("rest", F.lit(0))).drop("shared"))
+        ended = F.col("segment").isNull()
+        finished.append(rows.where(ended).select("host", "path", "labelled", "blocked", F.col("branch").alias("template")))
+        rows = rows.where(~ended)
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, finished)
+        named = attach(rows.drop("all_labelled", "all_blocked"), _segment_names(rows, z), ["host", "branch", "segment"])
+        rows = cut(
+            named.select(
+                "host",
+                "path",
+                "labelled",
+                "blocked",
+                F.expr("slice(rest, 2, size(rest))").alias("rest"),
+                F.concat("branch", F.lit("/"), "kept").alias("branch"),
             )
-            .withColumn("branch", F.concat("branch", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.col("kept"))))
-            .withColumn("done", F.col("alone") | (F.size("parts") <= level + 1))
-            .drop("_host", "_branch", "_segment", "_hash", "hash", "kept", "segment", "alone")
         )
-        rows = cut(rows)
-        done, left = rows.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
-        if done or not left:
-            finished.append(rows.where("done"))
-        if not left:
-            break
-        rows, level = rows.where(~F.col("done")).drop("done"), level + 1
-    return reduce(DataFrame.unionByName, finished).withColumnRenamed("branch", "template").drop("parts", "done")
 
 
 def filter_urls(
@@ -135,32 +150,16 @@ def filter_urls(
     )
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumn("rule", rule).withColumn("ruled", verdict)
-    # Paths that differ in digits only are one row, so that the tree grows with
-    # the number of forms, not of pages.
-    shape = F.regexp_replace("path", "[0-9]+", "0")
-    counted = parsed.groupBy("host", shape.alias("path")).agg(
-        F.count("*").alias("n"),
-        F.count("ruled").alias("labelled"),
-        F.count_if(F.col("ruled") == "block").alias("blocked"),
-    )
+    counted = parsed.groupBy("host", "path").agg(F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     tree = templates(cut(counted), z)
     sums = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
     hosts = tree.groupBy(F.col("host").alias("_host")).agg(*[s.alias(f"host_{c}") for s, c in zip(sums, ("labelled", "blocked"))])
     host_purity = _smoothed(F.col("host_blocked"), F.col("host_labelled"), F.lit(0.5), smoothing)
     purity = _smoothed(F.col("blocked"), F.col("labelled"), host_purity, smoothing)
-    judged = (
-        tree.groupBy("host", "template")
-        .agg(*sums)
-        .join(hosts, F.col("host") == F.col("_host"))
-        .select(F.col("host").alias("_host"), F.col("template").alias("_template"), purity.alias("purity"))
-    )
-    named = tree.join(judged, (F.col("host") == F.col("_host")) & (F.col("template") == F.col("_template"))).select(
-        F.col("host").alias("_h"), F.col("path").alias("_shape"), F.xxhash64("host", "path").alias("_hash"), "template", "purity"
-    )
+    judged = tree.groupBy("host", "template").agg(*sums)
+    judged = attach(judged, hosts, [("host", "_host")]).select("host", "template", purity.alias("purity"))
+    named = attach(tree.select("host", "path", "template"), judged, ["host", "template"])
     method = F.when(F.col("purity") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return (
-        parsed.withColumn("shape", shape)
-        .withColumn("hash", F.xxhash64("host", "shape"))
-        .join(named, (F.col("host") == F.col("_h")) & (F.col("shape") == F.col("_shape")) & (F.col("hash") == F.col("_hash")), "left")
-        .select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "template", "purity")
+    return attach(parsed, named, ["host", "path"]).select(
+        "page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "template", "purity"
     )
