@@ -1,9 +1,11 @@
 """Spreadsheet workbooks (.xlsx) as text tables.
 
-The files are read with Spark's ``binaryFile`` source, so they may lie on any
-storage Spark reads, and are parsed inside the tasks with the standard
-library's zip and XML readers.  Meant for many workbooks: one file is the
-unit of work, and a sheet has at most 1,048,576 rows by its format.
+Spark lists the files; a task opens a workbook where it lies, by random access
+into the archive, and reads the heads of its sheets.  Each sheet is then a row
+of its own, (file, sheet, columns), dealt to the tasks that stream its XML in
+pieces and send on Arrow batches.  So no task holds a file or a sheet, and only
+wanted columns are turned into text.  Stores that Python cannot open go through
+Spark's ``binaryFile`` source instead, one file a cell.
 """
 
 from __future__ import annotations
@@ -12,9 +14,11 @@ import datetime
 import io
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +27,11 @@ from pyspark.sql import functions as F
 from tablerecon.functions.numbers import decimals_of, is_date_format
 from tablerecon.operators.columns import clean_name
 
-_BATCH_ROWS = 5_000
+#: Cells of a batch, and bytes of XML that are parsed at once.
+_BATCH_CELLS = 100_000
+_CHUNK = 256 << 10
+#: Schemes that are opened from Python, and the name it has for them.
+_OPENED = {"file": "file", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
 
 # Built-in number formats that a workbook does not spell out.
 _BUILTIN_FORMATS = {
@@ -74,11 +82,51 @@ def _column_index(reference: str) -> int:
     return n - 1
 
 
+def _parser(start: Callable, end: Callable | None = None, chars: Callable | None = None):
+    """An expat parser whose handlers get names without a prefix."""
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler = lambda tag, attrs: start(tag.rpartition(":")[2], attrs)
+    if end:
+        parser.EndElementHandler = lambda tag: end(tag.rpartition(":")[2])
+    parser.CharacterDataHandler = chars
+    return parser
+
+
+class _Strings:
+    """Shared strings as one run of bytes and their ends: a few bytes beside the text of each."""
+
+    def __init__(self, stream) -> None:
+        self.data, self.ends = bytearray(), array("Q")
+        depth = {"rPh": 0, "t": 0}
+
+        def start(tag: str, attrs: dict) -> None:
+            if tag in depth:
+                depth[tag] += 1
+
+        def end(tag: str) -> None:
+            if tag in depth:
+                depth[tag] -= 1
+            elif tag == "si":
+                self.ends.append(len(self.data))
+
+        def chars(text: str) -> None:
+            if depth["t"] and not depth["rPh"]:
+                self.data += text.encode()
+
+        parser = _parser(start, end, chars)
+        while chunk := stream.read(_CHUNK):
+            parser.Parse(chunk)
+
+    def __getitem__(self, i: int) -> str:
+        return self.data[self.ends[i - 1] if i else 0 : self.ends[i]].decode()
+
+
 class _Book:
     """One open workbook: sheet parts, shared strings, number formats."""
 
-    def __init__(self, content: bytes):
-        self.zip = zipfile.ZipFile(io.BytesIO(content))
+    def __init__(self, source) -> None:
+        self.zip = zipfile.ZipFile(source)
         names = set(self.zip.namelist())
         book = ElementTree.fromstring(self.zip.read("xl/workbook.xml"))
         links = ElementTree.fromstring(self.zip.read("xl/_rels/workbook.xml.rels"))
@@ -91,17 +139,15 @@ class _Book:
             if _local(e.tag) == "sheet":
                 target = targets[_attr(e, "id")]
                 self.sheets[e.attrib["name"]] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-        self.strings = self._strings() if "xl/sharedStrings.xml" in names else []
         self.formats = self._formats() if "xl/styles.xml" in names else []
+        self._strings: _Strings | None = None
 
-    def _strings(self) -> list[str]:
-        out = []
-        with self.zip.open("xl/sharedStrings.xml") as f:
-            for _, e in ElementTree.iterparse(f):
-                if _local(e.tag) == "si":
-                    out.append(_plain_text(e))
-                    e.clear()
-        return out
+    def strings(self) -> _Strings:
+        """Shared strings, read when a wanted cell first needs one."""
+        if self._strings is None:
+            with self.zip.open("xl/sharedStrings.xml") as f:
+                self._strings = _Strings(f)
+        return self._strings
 
     def _formats(self) -> list[str]:
         styles = ElementTree.fromstring(self.zip.read("xl/styles.xml"))
@@ -114,75 +160,99 @@ class _Book:
         return [own.get(i, _BUILTIN_FORMATS.get(i, "General")) for i in used]
 
     def merged(self, sheet: str) -> list[tuple[int, int, int]]:
-        """Merged ranges as (first row, first column, last column)."""
-        out = []
+        """Merged ranges as (first row, first column, last column).
+
+        They come after all rows, which are passed over as bytes.
+        """
+        out, rest = [], b""
+        mark = re.compile(rb"<(?:\w+:)?mergeCell\s[^>]*?ref\s*=\s*[\"']([A-Za-z0-9:$]+)[\"'][^>]*>")
         with self.zip.open(self.sheets[sheet]) as f:
-            for _, e in ElementTree.iterparse(f):
-                if _local(e.tag) == "mergeCell":
-                    a, _, b = e.attrib["ref"].partition(":")
+            while chunk := f.read(_CHUNK):
+                rest += chunk
+                done = 0
+                for found in mark.finditer(rest):
+                    a, _, b = found[1].decode().replace("$", "").partition(":")
                     out.append((int(re.sub(r"\D", "", a)), _column_index(a), _column_index(b or a)))
-                elif _local(e.tag) == "row":
-                    e.clear()
+                    done = found.end()
+                # What may be the beginning of another one stays.
+                rest = rest[max(done, rest.rfind(b"<"), 0) :]
         return out
 
     def width(self, sheet: str) -> int:
         """Columns the sheet uses: as it declares, or else by looking at every row."""
-        widest = 0
+        declared: list[int] = []
+
+        def start(tag: str, attrs: dict) -> None:
+            if tag == "dimension":
+                declared.append(_column_index(attrs["ref"].rpartition(":")[2]) + 1)
+            elif tag == "sheetData" and not declared:
+                declared.append(0)
+
+        parser = _parser(start)
         with self.zip.open(self.sheets[sheet]) as f:
-            for _, e in ElementTree.iterparse(f):
-                if _local(e.tag) == "dimension":
-                    return _column_index(e.attrib["ref"].rpartition(":")[2]) + 1
-                if _local(e.tag) == "row":
-                    last = next((c for c in reversed(e) if _local(c.tag) == "c"), None)
-                    if last is not None:
-                        widest = max(widest, _column_index(last.attrib["r"]) + 1 if "r" in last.attrib else len(e))
-                    e.clear()
-        return widest
-
-    def rows(self, sheet: str, display: bool) -> Iterator[tuple[int, list[str | None]]]:
+            while not declared and (chunk := f.read(1 << 14)):
+                parser.Parse(chunk)
+        if declared and declared[0]:
+            return declared[0]
+        return max((width for _, _, width in self.rows(sheet, False, frozenset())), default=0)
+
+    def rows(self, sheet: str, display: bool, wanted: frozenset[int] | None = None) -> Iterator[tuple[int, dict[int, str | None], int]]:
+        """Number, cells by column and width of each row; only ``wanted`` columns, if given, are read as text."""
+        done: list[tuple[int, dict[int, str | None], int]] = []
+        number, at, kind, style = 0, -1, "n", "0"
+        cells: dict[int, str | None] = {}
+        parts: list[str] | None = None
+        taking = phonetic = False
+
+        def start(tag: str, attrs: dict) -> None:
+            nonlocal number, at, kind, style, cells, parts, taking, phonetic
+            if tag == "c":
+                at = _column_index(attrs["r"]) if "r" in attrs else at + 1
+                kind, style = attrs.get("t", "n"), attrs.get("s", "0")
+                parts = [] if kind == "inlineStr" else None
+            elif tag == "row":
+                number, at, cells = int(attrs.get("r", number + 1)), -1, {}
+            elif tag == "v":
+                parts, taking = [], True
+            elif tag == "t":
+                taking = not phonetic
+            elif tag == "rPh":
+                phonetic = True
+
+        def chars(text: str) -> None:
+            if taking and parts is not None:
+                parts.append(text)
+
+        def end(tag: str) -> None:
+            nonlocal taking, phonetic
+            if tag == "c":
+                if parts is not None and (wanted is None or at in wanted):
+                    cells[at] = self._cell("".join(parts), kind, style, display)
+            elif tag == "row":
+                done.append((number, cells, at + 1))
+            elif tag in ("v", "t"):
+                taking = False
+            elif tag == "rPh":
+                phonetic = False
+
+        parser = _parser(start, end, chars)
         with self.zip.open(self.sheets[sheet]) as f:
-            number = 0
-            for _, e in ElementTree.iterparse(f):
-                if _local(e.tag) != "row":
-                    continue
-                number = int(e.attrib.get("r", number + 1))
-                cells: list[str | None] = []
-                for c in e:
-                    if _local(c.tag) != "c":
-                        continue
-                    i = _column_index(c.attrib["r"]) if "r" in c.attrib else len(cells)
-                    cells.extend([None] * (i + 1 - len(cells)))
-                    cells[i] = self._cell(c, display)
-                yield number, cells
-                e.clear()
-
-    def _cell(self, c, display: bool) -> str | None:
-        kind = c.attrib.get("t", "n")
-        if kind == "inlineStr":
-            return _plain_text(c)
-        value = next((x.text for x in c if _local(x.tag) == "v"), None)
-        if value is None:
-            return None
+            while chunk := f.read(_CHUNK):
+                parser.Parse(chunk)
+                yield from done
+                done.clear()
+
+    def _cell(self, value: str, kind: str, style: str, display: bool) -> str | None:
         if kind == "s":
-            return self.strings[int(value)]
+            return self.strings()[int(value)]
         if kind == "b":
             return "True" if value == "1" else "False"
         if kind != "n":
             return value
-        style = int(c.attrib.get("s", 0))
-        fmt = self.formats[style] if style < len(self.formats) else "General"
-        return cell_text(value, fmt, self.epoch, display)
-
-
-def _plain_text(e) -> str:
-    """All text runs of a string, without phonetic hints."""
-    parts = []
-    for child in e:
-        if _local(child.tag) == "t":
-            parts.append(child.text or "")
-        elif _local(child.tag) in ("r", "is"):
-            parts.append(_plain_text(child))
-    return "".join(parts)
+        if not value:
+            return None
+        i = int(style)
+        return cell_text(value, self.formats[i] if i < len(self.formats) else "General", self.epoch, display)
 
 
 def cell_text(value: str, fmt: str, epoch: datetime.datetime = _EPOCH_1900, display: bool = False) -> str:
@@ -204,17 +274,17 @@ def cell_text(value: str, fmt: str, epoch: datetime.datetime = _EPOCH_1900, disp
 def header_names(book: _Book, sheet: str, layout: Layout) -> list[str]:
     """Cleaned column names of a sheet; repeated and blank ones get a number."""
     wanted = {layout.header_row, layout.header_row + 1} if layout.two_level else {layout.header_row}
-    found: dict[int, list[str | None]] = {}
-    for number, cells in book.rows(sheet, False):
+    found: dict[int, list[str]] = {}
+    for number, cells, width in book.rows(sheet, False):
         if number in wanted:
-            found[number] = cells
+            found[number] = [cells.get(i) or "" for i in range(width)]
         if number >= max(wanted):
             break
-    top = [c or "" for c in found.get(layout.header_row, [])]
+    top = found.get(layout.header_row, [])
     # Data may reach further right than the header does.
     top += [""] * (book.width(sheet) - len(top))
     if layout.two_level:
-        low = [c or "" for c in found.get(layout.header_row + 1, [])]
+        low = found.get(layout.header_row + 1, [])
         width = max(len(top), len(low))
         top += [""] * (width - len(top))
         low += [""] * (width - len(low))
@@ -235,26 +305,56 @@ def header_names(book: _Book, sheet: str, layout: Layout) -> list[str]:
     return names
 
 
-def _files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+def _scheme(path: str) -> str:
+    return path.partition(":")[0].lower() if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else "file"
 
 
-def workbook_catalog(spark: SparkSession, paths: Sequence[str], layout: Layout = Layout()) -> DataFrame:
-    """Every sheet of every workbook with its column names."""
+def open_binary(path: str):
+    """A file as Spark names it, open for random access from Python."""
+    scheme = _scheme(path)
+    if scheme == "file":
+        return open(re.sub(r"^file:(//(?=/))?", "", path), "rb")
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(_OPENED[scheme] + path[path.index(":") :])
+    return system.open_input_file(inner)
+
+
+def _files(spark: SparkSession, paths: Sequence[str], through_spark: bool | None) -> DataFrame:
+    """path, and content where Python cannot open the store itself."""
+    files = spark.read.format("binaryFile").load(list(paths))
+    if through_spark is None:
+        through_spark = any(_scheme(p) not in _OPENED for p in map(str, files.inputFiles()[:1]))
+    return files.select("path", "content" if through_spark else F.lit(None).cast("binary").alias("content"))
+
+
+def _opened(path: str, content: bytes | None) -> _Book:
+    return _Book(open_binary(path) if content is None else io.BytesIO(content))
+
+
+def _catalog(files: DataFrame, layout: Layout, sheet: str | None = None) -> DataFrame:
+    """file, sheet and columns of every sheet, from the heads of the sheets; and the content that came along."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"file": [], "sheet": [], "columns": []}
             for path, content in zip(batch["path"], batch["content"]):
-                book = _Book(content.as_py())
-                for sheet in book.sheets:
-                    out["file"].append(path.as_py())
-                    out["sheet"].append(sheet)
-                    out["columns"].append(header_names(book, sheet, layout))
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+                book = _opened(path.as_py(), content.as_py())
+                rows = [
+                    {"file": path.as_py(), "sheet": s, "columns": header_names(book, s, layout), "content": content.as_py()}
+                    for s in book.sheets
+                    if sheet is None or s == sheet
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    schema = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("columns", pa.list_(pa.string())), ("content", pa.binary())])
+    return files.mapInArrow(scan, "file string, sheet string, columns array<string>, content binary")
 
-    schema = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("columns", pa.list_(pa.string()))])
-    return _files(spark, paths).mapInArrow(scan, "file string, sheet string, columns array<string>")
+
+def workbook_catalog(
+    spark: SparkSession, paths: Sequence[str], layout: Layout = Layout(), through_spark: bool | None = None
+) -> DataFrame:
+    """Every sheet of every workbook with its column names."""
+    return _catalog(_files(spark, paths, through_spark), layout).drop("content")
 
 
 def read_workbooks(
@@ -263,18 +363,19 @@ def read_workbooks(
     sheet: str | None = None,
     layout: Layout = Layout(),
     columns: Sequence[str] | None = None,
+    through_spark: bool | None = None,
 ) -> DataFrame:
     """Sheets of many workbooks as one table of text columns.
 
     ``_file``, ``_sheet`` and ``_row`` say where a row comes from.  Cached
     values are read, not formulas.  Columns are matched by cleaned name;
-    without ``columns`` the distinct names of all headers are looked up first.
-    ``sheet`` picks one sheet per file, otherwise all are read.
+    without ``columns`` the distinct names of all headers are looked up first,
+    which reads the sheets' heads only.  ``sheet`` picks one sheet per file,
+    otherwise all are read.  ``through_spark`` has the files read by Spark
+    instead of Python (by default where Python has no access to the store).
     """
+    catalog = _catalog(_files(spark, paths, through_spark), layout, sheet)
     if columns is None:
-        catalog = workbook_catalog(spark, paths, layout)
-        if sheet is not None:
-            catalog = catalog.where(F.col("sheet") == sheet)
         places = catalog.select(F.posexplode("columns").alias("place", "name"))
         # Distinct names only: a sheet has at most 16,384 columns.
         found = places.groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name").collect()
@@ -282,30 +383,37 @@ def read_workbooks(
     wanted = list(columns)
     fields = ["_file", "_sheet", "_row", *wanted]
     schema = pa.schema([(n, pa.int64() if n == "_row" else pa.string()) for n in fields])
+    batch_rows = max(1, _BATCH_CELLS // len(fields))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                yield from _sheet_batches(path.as_py(), _Book(content.as_py()))
-
-    def _sheet_batches(path: str, book: _Book) -> Iterator[pa.RecordBatch]:
-        for name in book.sheets:
-            if sheet is not None and name != sheet:
+            for path, name, names, content in zip(*(batch.column(c).to_pylist() for c in ("file", "sheet", "columns", "content"))):
+                yield from _sheet_batches(path, name, names, _opened(path, content))
+
+    def _sheet_batches(path: str, name: str, names: list[str], book: _Book) -> Iterator[pa.RecordBatch]:
+        places = {n: i for i, n in enumerate(names)}
+        picked = [places.get(n, -1) for n in wanted]
+        # Whether a row is blank shows in all its columns.
+        read = None if not layout.keep_blank_rows else frozenset(picked)
+        rows: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            arrays = [pa.array(c, t.type) for c, t in zip(zip(*rows), schema)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+        for number, cells, _ in book.rows(name, layout.display, read):
+            if number < layout.first_data_row:
+                continue
+            if not layout.keep_blank_rows and not any(cells.values()):
                 continue
-            places = {n: i for i, n in enumerate(header_names(book, name, layout))}
-            picked = [places.get(n) for n in wanted]
-            rows: list[tuple] = []
-            for number, cells in book.rows(name, layout.display):
-                if number < layout.first_data_row:
-                    continue
-                if not layout.keep_blank_rows and all(c in (None, "") for c in cells):
-                    continue
-                rows.append((path, name, number, *[cells[i] if i is not None and i < len(cells) else None for i in picked]))
-                if len(rows) == _BATCH_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+            rows.append((path, name, number, *map(cells.get, picked)))
+            if len(rows) == batch_rows:
+                yield made()
+        if rows:
+            yield made()
 
     ddl = ", ".join(f"`{n.replace('`', '``')}` {'bigint' if n == '_row' else 'string'}" for n in fields)
-    return _files(spark, paths).mapInArrow(load, ddl)
+    # One sheet is the unit of work; many of them share a task, one after the other.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return catalog.repartition(tasks, "file", "sheet").mapInArrow(load, ddl)

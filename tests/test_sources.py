@@ -1,3 +1,6 @@
+import tracemalloc
+import zipfile
+
 import pytest
 from workbook_writer import write_workbook
 
@@ -53,6 +56,63 @@ def test_known_columns_skip_the_header_pass(spark, tmp_path):
     assert df.select("v", "absent").collect()[0] == ("2", None)
 
 
+def test_many_workbooks(spark, tmp_path):
+    for i in range(60):
+        sheets = {f"s{j}": ([["k", f"only{i % 3}"], [f"{i}-{j}", i]], []) for j in range(3)}
+        write_workbook(tmp_path / f"工作 簿{i}.xlsx", sheets, shared=i % 2 == 0)
+    df = wb.read_workbooks(spark, [str(tmp_path)])
+    assert df.columns == ["_file", "_sheet", "_row", "k", "only0", "only1", "only2"]
+    rows = df.collect()
+    assert {r.k for r in rows} == {f"{i}-{j}" for i in range(60) for j in range(3)} and len(rows) == 180
+    assert all(r[f"only{int(r.k.split('-')[0]) % 3}"] == r.k.split("-")[0] for r in rows)
+    assert wb.workbook_catalog(spark, [str(tmp_path)]).count() == 180
+    # A store that only Spark reads: the files come along as cells.
+    same = wb.read_workbooks(spark, [str(tmp_path)], "s1", columns=["k"], through_spark=True)
+    assert {r.k for r in same.collect()} == {f"{i}-1" for i in range(60)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("Scan binaryFile")[1].split("]")[0]
+
+
+def test_sheet_details(spark, tmp_path):
+    body = (
+        '<x:worksheet xmlns:x="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><x:dimension ref="A1:D4"/><x:sheetData>'
+        '<x:row><x:c t="inlineStr"><x:is><x:r><x:t>a</x:t></x:r><x:rPh sb="0" eb="1"><x:t>no</x:t></x:rPh><x:r><x:t>&amp;b</x:t></x:r></x:is></x:c>'
+        '<x:c t="str"><x:f>"c"</x:f><x:v>c</x:v></x:c></x:row>'
+        '<x:row r="3"><x:c r="B3" t="e"><x:v>#N/A</x:v></x:c><x:c r="D3"><x:v>1e3</x:v></x:c></x:row>'
+        '<x:row r="4"><x:c r="A4" t="b"><x:v>0</x:v></x:c><x:c r="B4" s="9"/></x:row></x:sheetData>'
+        '<x:mergeCells><x:mergeCell ref="A1:B1"/></x:mergeCells></x:worksheet>'
+    )
+    path = tmp_path / "d.xlsx"
+    write_workbook(path, {"s": ([], [])}, parts={"xl/worksheets/sheet1.xml": body})
+    rows = wb.read_workbooks(spark, [str(path)]).orderBy("_row").collect()
+    assert [tuple(r)[2:] for r in rows] == [(3, None, "#N/A", None, "1000"), (4, "False", None, None, None)]
+    assert rows[0].__fields__[3:] == ["a&b", "c", "_column_3", "_column_4"]
+    with wb.open_binary(str(path)) as f:
+        assert wb._Book(f).merged("s") == [(1, 0, 1)]
+
+
+def test_a_long_sheet_streams(tmp_path):
+    """The memory that reading takes does not grow with the sheet."""
+    path = tmp_path / "long.xlsx"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        write_workbook(tmp_path / "small.xlsx", {"s": ([], [])})
+        with zipfile.ZipFile(tmp_path / "small.xlsx") as small:
+            for name in small.namelist():
+                if "sheet1" not in name:
+                    z.writestr(name, small.read(name))
+        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as f:
+            f.write(b'<worksheet><dimension ref="A1:H200000"/><sheetData>')
+            for r in range(1, 200_001):
+                f.write(f'<row r="{r}">{"".join(f"""<c r="{c}{r}"><v>{r * 7919}</v></c>""" for c in "ABCDEFGH")}</row>'.encode())
+            f.write(b"</sheetData></worksheet>")
+    tracemalloc.start()
+    with wb.open_binary(str(path)) as f:
+        n = sum(len(cells) for _, cells, _ in wb._Book(f).rows("s", False, frozenset([0, 7])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 400_000 and peak < 8 << 20
+
+
 def test_csv_encodings(spark, tmp_path):
     body = '编码,名称,备注\n1,"多行\n字段",\n2,"a ""q"" b",NA\n'
     for name, encoding in (("a", "utf-8"), ("b", "gbk"), ("c", "utf-16"), ("d", "utf-8-sig")):

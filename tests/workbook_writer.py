@@ -17,9 +17,9 @@ def _ref(row, col):
     return f"{letters}{row}"
 
 
-def write_workbook(path, sheets, formats=(), shared=True):
+def write_workbook(path, sheets, formats=(), shared=True, parts=None):
     """``sheets``: name -> (rows, merges).  A cell is None, text, bool, number or (number, style)."""
-    strings = []
+    strings, given = [], parts or {}
 
     def cell(r, c, v):
         ref = _ref(r, c)
@@ -58,6 +58,7 @@ def write_workbook(path, sheets, formats=(), shared=True):
     own = "".join(f'<numFmt numFmtId="{164 + i}" formatCode="{escape(f)}"/>' for i, f in enumerate(formats))
     xfs = '<xf numFmtId="0"/>' + "".join(f'<xf numFmtId="{164 + i}"/>' for i in range(len(formats)))
     parts["xl/styles.xml"] = f"{_HEAD}<styleSheet {_MAIN}><numFmts>{own}</numFmts><cellXfs>{xfs}</cellXfs></styleSheet>"
+    parts |= given
     with zipfile.ZipFile(path, "w") as z:
         for name, text in parts.items():
             z.writestr(name, text)
