@@ -48,14 +48,80 @@ def _parsed(text: Column) -> Column:
     )
 
 
+# Month names and how they may be cut, in order.
+MONTHS = (
+    "jan(?:uary)?", "feb(?:ruary)?", "mar(?:ch)?", "apr(?:il)?", "may", "june?",
+    "july?", "aug(?:ust)?", "sept?(?:ember)?", "oct(?:ober)?", "nov(?:ember)?", "dec(?:ember)?",
+)
+#: Years of two digits from here on are of the last century.
+PIVOT = 69
+
+_MONTH = f"({'|'.join(MONTHS)})\\.?"
+_DAY_NO, _YEAR = r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4}|\d{2})"
+_WEEKDAY = r"^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?[,.]? +"
+_TIME = r"(?:[ ,]+|(?<=\d)t)(\d{1,2}:\d{1,2}(?::\d{1,2})?)(?:\.\d+)? *([ap]m)? *(?:z|utc|gmt|[+-]\d{2}:?\d{2})?$"
+#: Shapes of a date in lower case, with the places of year, month and day (0: the first).
+_SHAPES = (
+    (r"^(\d{4})[-/. ](\d{1,2})[-/. ](\d{1,2})$", (1, 2, 3)),
+    (r"^(\d{4})年(\d{1,2})月(\d{1,2})日?$", (1, 2, 3)),
+    (r"^(\d{4})(\d{2})(\d{2})$", (1, 2, 3)),
+    (rf"^{_DAY_NO}[-/. ]*(?:of )?{_MONTH}[-/., ]*{_YEAR}$", (3, 2, 1)),
+    (rf"^{_MONTH}[-/. ]*{_DAY_NO}[-/., ]+{_YEAR}$", (3, 1, 2)),
+    (rf"^(\d{{4}})[-/. ]*{_MONTH}[-/. ]*(\d{{1,2}})$", (1, 2, 3)),
+    (rf"^{_MONTH}[-/., ]*(\d{{4}})$", (2, 1, 0)),
+    (r"^(\d{4})[-/.](\d{1,2})$", (1, 2, 0)),
+    (r"^(\d{4})年(\d{1,2})月$", (1, 2, 0)),
+    (r"^(\d{4})$", (1, 0, 0)),
+)
+#: Two numbers before the year: month first, unless it cannot be one.
+_NUMBERS = rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2{_YEAR}$"
+
+
+def _month_number(name: Column) -> Column:
+    """Number of a month given by number or by a name's beginning."""
+    known = F.array(*[F.lit(m[:3]) for m in MONTHS])
+    place = F.array_position(known, F.substring(name, 1, 3))
+    return F.when(place > 0, place.cast("string")).otherwise(name)
+
+
 def _parsed_freely(text: Column) -> Column:
-    """As ``_parsed``, and year-first dates with any of ``- / .``, a ``T`` or a time of day.
+    """As ``_parsed``, and what people write besides.
 
-    Fractions of a second and a zone may follow the time.
+    The shape of a date's tokens decides: year first, month first, or day
+    first where the first number cannot be a month; months by name; years of
+    two digits; a month or a year alone is its first day.  A weekday may come
+    before, a time of day after, with fractions, am or pm and a zone, which is
+    left out: the wall clock counts.
     """
-    spelled = F.regexp_replace(text, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?=$|[ T])", "$1-$2-$3")
-    looks = text.rlike(r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:$|[ T]+\d{1,2}:\d{1,2}(?::\d{1,2})?)")
-    return F.coalesce(_parsed(text), F.when(looks, spelled.try_cast("timestamp")))
+    lower = F.regexp_replace(F.lower(text), _WEEKDAY, "")
+    clock, half = F.regexp_extract(lower, _TIME, 1), F.regexp_extract(lower, _TIME, 2)
+    date = F.regexp_replace(lower, _TIME, "")
+
+    def part(shape: str, group: int) -> Column:
+        return F.regexp_extract(date, shape, group) if group else F.lit("1")
+
+    first, second = F.regexp_extract(date, _NUMBERS, 1), F.regexp_extract(date, _NUMBERS, 3)
+    day_first = first.try_cast("int") > 12
+    numbers = F.array(
+        F.regexp_extract(date, _NUMBERS, 4), F.when(day_first, second).otherwise(first), F.when(day_first, first).otherwise(second)
+    )
+    found = F.when(date.rlike(_NUMBERS), numbers)
+    for shape, (year, month, day) in _SHAPES:
+        found = found.when(date.rlike(shape), F.array(part(shape, year), _month_number(part(shape, month)), part(shape, day)))
+
+    def moment(x: Column) -> Column:
+        year = F.when(F.length(x[0]) == 2, F.when(x[0].cast("int") < PIVOT, F.concat(F.lit("20"), x[0])).otherwise(F.concat(F.lit("19"), x[0])))
+        day = F.concat_ws("-", F.coalesce(year, x[0]), x[1], x[2])
+        second = F.when(F.length(F.regexp_replace(clock, "[^:]", "")) == 1, F.concat(clock, F.lit(":0"))).otherwise(clock)
+        return (
+            F.when(clock == "", F.try_to_timestamp(day, F.lit("yyyy-M-d")))
+            .when(half == "", F.try_to_timestamp(F.concat(day, F.lit(" "), second), F.lit("yyyy-M-d H:m:s")))
+            .otherwise(F.try_to_timestamp(F.concat(day, F.lit(" "), second, F.lit(" "), F.upper(half)), F.lit("yyyy-M-d h:m:s a")))
+        )
+
+    # One value per row: the parts are found once and then read several times.
+    free = F.get(F.transform(F.array(found), moment), F.lit(0))
+    return F.coalesce(_parsed(text), free)
 
 
 def parse_date(

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablerecon.functions.names import col
+
 # The yes/no spellings that count as one value.
 YES_WORDS = ("是", "Y")
 NO_WORDS = ("否", "N")
@@ -41,17 +43,26 @@ def _text(c: Column | str, clean: bool) -> Column:
     return _col(c) if clean else norm(c)
 
 
+def plain_number(c: Column, dtype: T.DataType) -> Column:
+    """A float as text without an exponent, where 12 decimals and 26 digits before them can show it."""
+    text = c.cast("string")
+    exact = text.try_cast("decimal(38,12)")
+    digits = F.regexp_replace(exact.cast("string"), r"(\.\d+?)0*$", "$1")
+    return F.when(F.contains(text, F.lit("E")) & (exact.cast(dtype) == c), digits).otherwise(text)
+
+
 def norm(c: Column | str, nulls: Sequence[str] = (), ci: bool = False, dtype: T.DataType | None = None) -> Column:
     """One spelling for "no value": null and blanks become ``''``.
 
     Pass the column's ``dtype`` when it is known: a NaN of a float column is
-    no value either.
+    no value either, and its numbers are written out.
 
     ``nulls`` lists further words that mean "no value" (``('None',)``, or
     ``('none', 'null')`` with ``ci=True`` to ignore case).
     """
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        c = F.nullif(_col(c), F.lit(float("nan")).cast(dtype))
+        number = _col(c)
+        c = plain_number(F.nullif(number, F.lit(float("nan")).cast(dtype)), dtype)
     text = F.coalesce(strip(c), F.lit(""))
     if not nulls:
         return text
@@ -60,6 +71,11 @@ def norm(c: Column | str, nulls: Sequence[str] = (), ci: bool = False, dtype: T.
     return F.when(probe.isin(words), F.lit("")).otherwise(text)
 
 
+def norm_of(df: DataFrame, name: str, nulls: Sequence[str] = (), ci: bool = False) -> Column:
+    """``norm`` of a column, by the type it has in ``df``."""
+    return norm(col(name), nulls, ci, df.schema[name].dataType)
+
+
 def strip_all_space(c: Column | str) -> Column:
     """Drop every whitespace character, inner ones too."""
     return F.translate(_col(c).cast("string"), WHITESPACE, "")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablerecon.functions.text import norm
+from tablerecon.functions.text import norm_of
 from tablerecon.functions.names import col
 
 
@@ -128,7 +128,7 @@ def rename_by_position(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def non_blank(df: DataFrame, name: str) -> DataFrame:
-    return df.where(norm(col(name)) != "")
+    return df.where(norm_of(df, name) != "")
 
 
 def dedup_columns(df: DataFrame, keys: Sequence[str], calculated: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablerecon.functions.names import col
-from tablerecon.functions.text import norm
+from tablerecon.functions.text import norm_of
 from tablerecon.operators.keyed import On, attach, first_per_key, key_pairs
 
 
@@ -64,13 +64,13 @@ def map_values(
 ) -> DataFrame:
     """Translate a column by the first match; an unmatched value stays (or is null)."""
     small = map_df.select(
-        norm(col(key)).alias("_map_key"),
+        norm_of(map_df, key).alias("_map_key"),
         col(value).cast("string").alias("_map_value"),
         *[col(o).alias(f"_map_order_{i}") for i, o in enumerate(order)],
     ).where(F.col("_map_key") != "")
     orders = [f"_map_order_{i}" for i in range(len(order))] or ["_map_value"]
     first = first_per_key(small, ["_map_key"], ["_map_value"], orders)
-    probe = df.withColumn("_probe", norm(col(name)))
+    probe = df.withColumn("_probe", norm_of(df, name))
     out = attach(probe, first, [("_probe", "_map_key")])
     found = F.col("_map_value")
     result = F.coalesce(found, col(name).cast("string")) if keep_unmatched else found
@@ -142,7 +142,7 @@ def build_multimap(
     header if its key or value contains one of ``header_words``; later rows
     never are.  The pairs stay rows, so a key may have any number of values.
     """
-    pairs = df.select(norm(col(key)).alias("key"), norm(col(value)).alias("value"), *([col(order).alias("_order")] if order else []))
+    pairs = df.select(norm_of(df, key).alias("key"), norm_of(df, value).alias("value"), *([col(order).alias("_order")] if order else []))
     if header_words:
         if order is None:
             raise ValueError("header words need the column that orders the rows")
@@ -162,7 +162,7 @@ def allowed_match(
     pairs = multimap.select(
         F.col("key").alias("_allowed_key"), F.col("value").alias("_allowed_value")
     ).distinct().withColumn(name, F.lit(True))
-    probe = df.withColumns({"_probe_key": norm(col(source)), "_probe_value": norm(col(target))})
+    probe = df.withColumns({"_probe_key": norm_of(df, source), "_probe_value": norm_of(df, target)})
     out = attach(probe, pairs, [("_probe_key", "_allowed_key"), ("_probe_value", "_allowed_value")])
     both_blank = (F.col("_probe_key") == "") & (F.col("_probe_value") == "")
     return out.withColumn(name, both_blank | F.coalesce(col(name), F.lit(False))).drop("_probe_key", "_probe_value")
@@ -182,7 +182,7 @@ def coded_match(
     """Are both values equal after translating one side by the map?"""
     side, other = (source, target) if translate == "source" else (target, source)
     out = map_values(df, side, map_df, key, value, order, into="_translated")
-    return out.withColumn(name, norm("_translated") == norm(col(other))).drop("_translated")
+    return out.withColumn(name, norm_of(out, "_translated") == norm_of(out, other)).drop("_translated")
 
 
 def apply_updates(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablerecon.functions.text import norm, strip_all_space
+from tablerecon.functions.text import norm_of, strip_all_space
 from tablerecon.functions.names import col
 
 
@@ -33,7 +33,7 @@ def duplicate_examples(df: DataFrame, keys: Sequence[str], n: int = 5) -> DataFr
 
 def blank_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: blank values per key column, and rows with any blank part."""
-    blank = {k: norm(col(k)) == "" for k in keys}
+    blank = {k: norm_of(df, k) == "" for k in keys}
     any_blank = None
     for b in blank.values():
         any_blank = b if any_blank is None else any_blank | b

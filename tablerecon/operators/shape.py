@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablerecon.functions.text import norm, safe_name
+from tablerecon.functions.text import norm_of, plain_number, safe_name
 from tablerecon.functions.names import col
 from tablerecon.session import ensure_checkpoint_dir
 
@@ -44,7 +45,7 @@ def append_rows(df: DataFrame, more: DataFrame) -> DataFrame:
 
 def value_counts(df: DataFrame, name: str) -> DataFrame:
     """Rows per non-blank value of a column (what a split by it would write)."""
-    value = norm(col(name))
+    value = norm_of(df, name)
     return df.where(value != "").groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -55,10 +56,11 @@ def split_by_value(df: DataFrame, name: str, part: str = "part", length: int = 2
     the whole value follows it.  Write the result with ``write_parts``, which
     keeps hot values spread out.
     """
-    value = col(name).cast("string")
+    dtype = df.schema[name].dataType
+    value = plain_number(col(name), dtype) if isinstance(dtype, (T.FloatType, T.DoubleType)) else col(name).cast("string")
     plain = safe_name(value, length)
     marked = F.concat(F.substring(plain, 1, length - 17), F.lit("~"), F.substring(F.sha2(value, 256), 1, 16))
-    return df.where(norm(col(name)) != "").withColumn(part, F.when(plain == value, plain).otherwise(marked))
+    return df.where(norm_of(df, name) != "").withColumn(part, F.when(plain == value, plain).otherwise(marked))
 
 
 def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
@@ -105,5 +107,5 @@ def fill_right(df: DataFrame, row: Sequence[str], position: str, value: str, nam
         .orderBy(col(position))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    shown = F.when(norm(col(value)) != "", col(value))
+    shown = F.when(norm_of(df, value) != "", col(value))
     return df.withColumn(name, F.last(shown, ignorenulls=True).over(w))

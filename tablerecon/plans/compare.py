@@ -18,10 +18,10 @@ from pyspark.sql import types as T
 from tablerecon.functions.dates import date_differs
 from tablerecon.functions.names import col
 from tablerecon.functions.numbers import num_differs, rounded_differs, to_num
-from tablerecon.functions.text import last_segment, norm, norm_bool, norm_synonym, prefix
+from tablerecon.functions.text import last_segment, norm, norm_bool, norm_of, norm_synonym, prefix
 from tablerecon.operators.columns import clean_columns, fill_missing_columns
 from tablerecon.operators.keyed import attach
-from tablerecon.operators.lookup import map_frame, map_values
+from tablerecon.operators.lookup import map_composite, map_frame, map_values, map_values_preferring
 from tablerecon.plans.match import IN_SRC, IN_TGT, PAIRS, SRC, TGT, key_name, match
 from tablerecon.plans.prepare import is_absolute, prepare
 from tablerecon.plans.rules import Options, Rule, field_rules, key_rules
@@ -33,6 +33,16 @@ def differs_name(field: str) -> str:
     return f"_differs_{field}"
 
 
+def code_name(field: str) -> str:
+    """The column of a field's looked-up code."""
+    return f"_code_{field}"
+
+
+def against_name(field: str) -> str:
+    """The target column a field is compared with but not shown by."""
+    return f"_against_{field}"
+
+
 @dataclass(frozen=True)
 class Comparison:
     """Matched rows with one difference mark per compared field.
@@ -97,7 +107,7 @@ def text_differs(left: Column, right: Column, rule: Rule, options: Options) -> C
         case "prefix":
             n, digits = rule.length, rule.digits_only
             return prefix(left, n, digits, clean=True) != prefix(right, n, digits, clean=True)
-        case "coded":
+        case "coded" | "category":
             return unequal
         case "synonym":
             words = rule.synonyms
@@ -158,10 +168,34 @@ def coded_source(a: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         if rule.lookup is not None and rule.comparator in ("coded", "prefix"):
             table = _lookup_frame(a, rule)
             order = ["ord"] if "ord" in table.columns else []
-            a = map_values(a, rule.source, table, order=order, into=f"_code_{rule.source}")
+            a = map_values(a, rule.source, table, order=order, into=code_name(rule.source))
     return a
 
 
+def category_codes(a: DataFrame, b: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+    """Add the codes that category fields are compared by to both sides.
+
+    Where the mapping has several codes for a source value, the first whose
+    name the target uses anywhere counts; the values themselves stay, so that
+    reports show them as they were.
+    """
+    for rule in rules:
+        if rule.comparator != "category":
+            continue
+        c, into = rule.category, code_name(rule.source)
+        if c is None:
+            raise ValueError(f"the category rule for {rule.source} has no mapping")
+        compared = against_name(rule.source) if rule.against else rule.source
+        used = b.select(norm_of(b, compared).alias("_used_name"))
+        a = a.withColumn("_named", norm_of(a, rule.source))
+        a = map_values_preferring(
+            a, "_named", c.table, c.key, c.code, c.parts, used, "_used_name", c.order, c.length, into
+        ).drop("_named")
+        b = b.withColumn("_named", norm_of(b, compared))
+        b = map_composite(b, "_named", c.table, c.parts, c.target_code, c.order, c.length, into).drop("_named")
+    return a, b
+
+
 def allowed_flag(frame: DataFrame, rule: Rule, source: str, target: str) -> DataFrame:
     """Mark the pairs of values that a rule's multimap allows."""
     table = _lookup_frame(frame, rule)
@@ -193,6 +227,7 @@ def compare(
         raise ValueError("no rule is marked as key")
     checked = field_rules(rules, options)
     a = coded_source(a, checked)
+    a, b = category_codes(a, b, checked)
     frame = match(
         a,
         b,
@@ -206,10 +241,11 @@ def compare(
     types = {f.name: f.dataType for f in frame.schema.fields}
     sides: dict[str, tuple[str, str]] = {}
     for rule in checked:
-        coded = f"{SRC}_code_{rule.source}"
+        coded, target_coded = SRC + code_name(rule.source), TGT + code_name(rule.source)
+        target = TGT + (against_name(rule.source) if rule.against else rule.source)
         sides[rule.source] = (
             coded if coded in types else SRC + rule.source,
-            f"{TGT}_against_{rule.source}" if rule.against else TGT + rule.source,
+            target_coded if target_coded in types else target,
         )
     # Normalized texts are used several times over: as columns of their own
     # they are made once per row, and the comparisons stay short.

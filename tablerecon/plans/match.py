@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerecon.functions.names import col
-from tablerecon.functions.text import display_key, norm
+from tablerecon.functions.text import display_key, norm, norm_of
 from tablerecon.operators.keyed import attach
 
 SRC, TGT = "src_", "tgt_"
@@ -171,7 +171,7 @@ def _fanout(left, right, names, other, blank_keys_match) -> DataFrame:
     n_left, n_right = "_n_src", "_n_tgt"
 
     def texts(df: DataFrame, cols: list[str]) -> DataFrame:
-        keys = {c: norm(c) for c in cols}
+        keys = {c: norm_of(df, c) for c in cols}
         # A null key equals nothing, which is what an unmatched blank needs.
         return df.withColumns(keys if blank_keys_match else {c: F.nullif(k, F.lit("")) for c, k in keys.items()})
 

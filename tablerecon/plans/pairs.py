@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from tablerecon.functions.dates import comparable_date, date_differs
 from tablerecon.functions.names import col
 from tablerecon.functions.numbers import to_num
-from tablerecon.functions.text import last_segment, norm, norm_bool, norm_synonym, prefix
-from tablerecon.plans.compare import allowed_flag, coded_source, number_differs
+from tablerecon.functions.text import last_segment, norm, norm_bool, norm_of, norm_synonym, prefix
+from tablerecon.plans.compare import against_name, allowed_flag, category_codes, code_name, coded_source, number_differs
 from tablerecon.plans.match import SRC, TGT
 from tablerecon.plans.prepare import is_absolute, prepare
 from tablerecon.plans.rules import Options, Rule, field_rules, key_rules
@@ -57,7 +57,7 @@ def _canonical(rule: Rule, options: Options, name: str, dtype: T.DataType, is_so
             return prefix(text, rule.length, rule.digits_only, clean=True)
         case "synonym":
             return norm_synonym(text, rule.synonyms, clean=True)
-        case "coded":
+        case "coded" | "category":
             return text
     return norm_bool(text, clean=True) if options.yes_no or rule.comparator == "bool" else text
 
@@ -79,9 +79,9 @@ def _bucket(rule: Rule, options: Options, name: str, dtype: T.DataType) -> Colum
     return F.coalesce(F.floor(place), F.lit(_NO_NUMBER))
 
 
-def _pair_keys(keys: Sequence[str], options: Options, tag: str = "") -> list[Column]:
+def _pair_keys(df: DataFrame, keys: Sequence[str], options: Options, tag: str = "") -> list[Column]:
     """A null key equals nothing, which is what an unmatched blank needs."""
-    texts = [norm(col(k)) for k in keys]
+    texts = [norm_of(df, k) for k in keys]
     return [(F.nullif(t, F.lit("")) if options.mode == "sql" else t).alias(f"{tag}key_{i}") for i, t in enumerate(texts)]
 
 
@@ -89,14 +89,14 @@ def _groups(df: DataFrame, keys, checked, options, tag: str, bucket_rule: Rule |
     """Rows by key, canonical values and loose values, with their number."""
     is_source = tag == SRC
     types = {f.name: f.dataType for f in df.schema.fields}
-    columns = _pair_keys(keys, options, tag)
+    columns = _pair_keys(df, keys, options, tag)
     for i, rule in enumerate(checked):
-        helper = f"_code_{rule.source}" if is_source else f"_against_{rule.source}"
-        name = helper if helper in types else rule.source
+        helpers = [code_name(rule.source)] + ([] if is_source else [against_name(rule.source)])
+        name = next((h for h in helpers if h in types), rule.source)
         if not _is_loose(rule, options):
             columns.append(_canonical(rule, options, name, types[name], is_source).alias(f"{tag}canon_{i}"))
             continue
-        value = norm(col(name)) if rule.kind == "text" else col(name)
+        value = norm(col(name), dtype=types[name]) if rule.kind == "text" else col(name)
         columns.append(value.alias(f"{tag}loose_{i}"))
         if rule is bucket_rule:
             columns.append(_bucket(rule, options, name, types[name]).alias(f"{tag}bucket"))
@@ -139,7 +139,7 @@ def pair_summary(a: DataFrame, b: DataFrame, rules: Sequence[Rule], options: Opt
     a, b, lacking = prepare(a, b, rules, options)
     keys = [r.source for r in key_rules(rules)]
     checked = field_rules(rules, options)
-    a = coded_source(a, checked)
+    a, b = category_codes(coded_source(a, checked), b, checked)
     bucket_rule = next((r for r in checked if _bucketed(r, options)), None)
     left = _groups(a, keys, checked, options, SRC, bucket_rule)
     right = _groups(b, keys, checked, options, TGT, bucket_rule)
@@ -147,8 +147,8 @@ def pair_summary(a: DataFrame, b: DataFrame, rules: Sequence[Rule], options: Opt
     names = [f"key_{i}" for i in range(len(keys))]
     # From the key columns alone, combined in the map tasks.
     sides = [
-        a.select(*_pair_keys(keys, options), F.lit(1).cast("long").alias("s"), F.lit(0).cast("long").alias("t")),
-        b.select(*_pair_keys(keys, options), F.lit(0).cast("long").alias("s"), F.lit(1).cast("long").alias("t")),
+        a.select(*_pair_keys(a, keys, options), F.lit(1).cast("long").alias("s"), F.lit(0).cast("long").alias("t")),
+        b.select(*_pair_keys(b, keys, options), F.lit(0).cast("long").alias("s"), F.lit(1).cast("long").alias("t")),
     ]
     per_key = sides[0].unionByName(sides[1]).groupBy(*names).agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     lone = reduce(lambda x, y: x | y, [F.col(n).isNull() for n in names])

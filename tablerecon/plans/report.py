@@ -27,6 +27,8 @@ class Labels:
     target: str = "ERP表"
     field: str = "列"
     more: str = "...还有 {} 条差异记录未显示..."
+    more_lines: str = "...（还有 {} 条消息未显示）"
+    key: str = "主键："
     pair_source: str = "文件1_"
     pair_target: str = "文件2_"
 
@@ -171,17 +173,21 @@ def annotate(result: Comparison, side: str = "source", labels: Labels = LABELS)
     )
 
 
-def log_lines(result: Comparison, labels: Labels = LABELS) -> DataFrame:
-    """A log line per difference, showing values as they were before any lookup."""
-    records = diff_records(result)
-    line = F.concat(
+def _log_line(field: Column, source_value: Column, target_value: Column, labels: Labels) -> Column:
+    return F.concat(
         F.lit(f" - {labels.field} ["),
-        F.col("field"),
+        field,
         F.lit(f"] {labels.differs}：{labels.source}="),
-        F.col("source_value"),
+        source_value,
         F.lit(f", {labels.target}="),
-        F.col("target_value"),
+        target_value,
     )
+
+
+def log_lines(result: Comparison, labels: Labels = LABELS) -> DataFrame:
+    """A log line per difference, showing values as they were before any lookup."""
+    records = diff_records(result)
+    line = _log_line(F.col("field"), F.col("source_value"), F.col("target_value"), labels)
     return records.select(display_key([col(k) for k in result.keys]).alias("display_key"), "field", line.alias("line"))
 
 
@@ -190,18 +196,62 @@ def preview(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*[col(o) for o in order]).limit(n)
 
 
+#: Keys and lines a log shows at most.
+MAX_KEYS, MAX_LINES = 10_000, 5_000
+
+
+def _note(pattern: str, n: Column) -> Column:
+    before, after = pattern.split("{}")
+    return F.concat(F.lit(before), n.cast("string"), F.lit(after))
+
+
+def _first_keys(result: Comparison, n: int, lines: Column) -> DataFrame:
+    """One row: ``shown``, the first ``n`` differing keys in key order with their lines, and ``total``, how many differ.
+
+    The differing rows are shuffled once; both the top-n and the count read
+    that shuffle, so the comparison is joined once.
+    """
+    names = [key_name(i) for i in range(len(result.keys))]
+    rows = result.differing().select(*names, display_key(names).alias("_shown_key"), lines.alias("_lines")).repartition(*names)
+    top = rows.orderBy(*names).limit(n).select(F.struct(*names, "_shown_key", "_lines").alias("top"), F.lit(0).cast("long").alias("n"))
+    # The keys are counted by what the shuffle holds, so that both readers want the same of it.
+    held = F.struct(*names, "_shown_key", "_lines").isNotNull().cast("long")
+    count = rows.select(held.alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    both = top.unionByName(count, allowMissingColumns=True)
+    return both.agg(F.sort_array(F.collect_list("top")).alias("shown"), F.sum("n").alias("total"))
+
+
+def capped_log(result: Comparison, max_keys: int = MAX_KEYS, max_lines: int = MAX_LINES, labels: Labels = LABELS) -> DataFrame:
+    """The difference log as people read it: ``line_no`` from 1, and ``line``.
+
+    Each differing key in key order has a line of its own and one per
+    differing field, with values as they were before any lookup.  Beyond
+    ``max_keys`` keys a note says how many follow, and beyond ``max_lines``
+    lines another.  What is shown is bounded by the caps; the notes count all.
+    """
+    fields = [
+        F.when(col(differs_name(f)), _log_line(F.lit(f), _shown(result, SRC, f), _shown(result, TGT, f), labels)) for f in result.fields
+    ]
+    first = _first_keys(result, max_keys, F.filter(F.array(*fields), lambda x: x.isNotNull()))
+    of_key = F.transform("shown", lambda x: F.concat(F.array(F.concat(F.lit(labels.key), x["_shown_key"])), x["_lines"]))
+    hidden = F.col("total") - F.size("shown")
+    lines = F.concat(F.flatten(of_key), F.filter(F.array(F.when(hidden > 0, _note(labels.more, hidden))), lambda x: x.isNotNull()))
+    size = F.size("lines")
+    cut = F.concat(F.slice("lines", 1, max_lines), F.array(_note(labels.more_lines, size - max_lines)))
+    shown = first.select(lines.alias("lines")).select(F.posexplode(F.when(size > max_lines, cut).otherwise(F.col("lines"))).alias("place", "line"))
+    return shown.select((F.col("place") + 1).alias("line_no"), "line")
+
+
 def cap_details(result: Comparison, n: int, labels: Labels = LABELS) -> DataFrame:
     """The first ``n`` differing keys in key order, and a line saying how many follow.
 
     Only what is shown is capped; counts and reports always cover all rows.
     """
-    names = [key_name(i) for i in range(len(result.keys))]
-    shown = result.differing().select(*names, display_key(names).alias("line"))
-    first = preview(shown, names, n).select(F.lit(0).alias("is_note"), "line")
-    count = shown.agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > n)
-    before, after = labels.more.split("{}")
-    note = F.concat(F.lit(before), (F.col("total") - F.lit(n)).cast("string"), F.lit(after))
-    return first.unionByName(count.select(F.lit(1).alias("is_note"), note.alias("line")))
+    first = _first_keys(result, n, F.array().cast("array<string>"))
+    hidden = F.col("total") - F.size("shown")
+    keys = F.transform("shown", lambda x: F.struct(F.lit(0).alias("is_note"), x["_shown_key"].alias("line")))
+    note = F.filter(F.array(F.when(hidden > 0, F.struct(F.lit(1).alias("is_note"), _note(labels.more, hidden).alias("line")))), lambda x: x.isNotNull())
+    return first.select(F.inline(F.concat(keys, note)))
 
 
 def report_rows(result: Comparison) -> DataFrame:

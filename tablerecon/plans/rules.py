@@ -17,14 +17,33 @@ KIND_WORDS = {"文本": "text", "数值": "number", "日期": "date"}
 KEY_WORD = "是"
 
 
+@dataclass(frozen=True)
+class Category:
+    """How two sides name the same category, as rows of a mapping table.
+
+    ``key`` is the source's name and ``code`` its code.  The target writes
+    ``parts`` joined by ``-``, whose code is ``target_code``.  Codes agree if
+    their first ``length`` characters do.  ``order`` says which row is first.
+    """
+
+    table: DataFrame
+    key: str
+    code: str
+    parts: tuple[str, ...]
+    target_code: str
+    order: tuple[str, ...]
+    length: int = 4
+
+
 @dataclass(frozen=True)
 class Rule:
     """How one source field compares with one target field.
 
     ``comparator`` refines text rules: ``bool``, ``synonym``,
-    ``last_segment``, ``prefix``, ``allowed`` or ``coded``.  The last two,
-    and ``prefix`` when codes must be looked up first, take a ``lookup``
-    table with the columns ``key`` and ``value`` (a mapping works as well).
+    ``last_segment``, ``prefix``, ``allowed``, ``coded`` or ``category``.
+    ``allowed`` and ``coded``, and ``prefix`` when codes must be looked up
+    first, take a ``lookup`` table with the columns ``key`` and ``value`` (a
+    mapping works as well); ``category`` takes a ``Category`` instead.
     ``against`` names another target column to compare with, while the field's
     own target column is still the one shown.
     """
@@ -38,6 +57,7 @@ class Rule:
     calc: str | None = None
     comparator: str | None = None
     lookup: DataFrame | Mapping[str, str] | None = None
+    category: Category | None = None
     synonyms: Mapping[str, str] = field(default_factory=dict)
     length: int = 2
     digits_only: bool = True

@@ -20,7 +20,7 @@ from tablerecon.workload.registry import query
 ASCII_LABELS = rep.Labels(
     equal="equal", differs="differs", not_in_target="not in target", not_in_source="not in source",
     status="status", source="source", target="target", field="field", more="{} more",
-    pair_source="a_", pair_target="b_",
+    pair_source="a_", pair_target="b_", more_lines="{} more lines", key="key ",
 )
 
 
@@ -193,6 +193,29 @@ def _(spark, sf):
     return rep.cap_details(orders(spark, sf), 100, ASCII_LABELS)
 
 
+def capped_log_sql(max_keys: int, max_lines: int) -> str:
+    """The log with its caps and notes, from all records."""
+    order = ", ".join(f"'{f}'" for f, *_ in FIELDS)
+    return f""", rec AS ({RECORDS}), ranked AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS n FROM (SELECT DISTINCT o_orderkey FROM rec)),
+      lines AS (SELECT n, 0 AS f, 'key ' || k AS line FROM ranked WHERE n <= {max_keys}
+        UNION ALL SELECT n, list_position([{order}], field), ' - field [' || field || '] differs：source=' || source_value || ', target=' || target_value
+          FROM rec JOIN ranked ON k = o_orderkey WHERE n <= {max_keys}
+        UNION ALL SELECT {max_keys} + 1, 0, CAST(count(*) - {max_keys} AS VARCHAR) || ' more' FROM ranked HAVING count(*) > {max_keys}),
+      numbered AS (SELECT row_number() OVER (ORDER BY n, f) AS line_no, line FROM lines)
+    SELECT CAST(line_no AS INTEGER) AS line_no, line FROM numbered WHERE line_no <= {max_lines}
+      UNION ALL SELECT {max_lines} + 1, CAST(count(*) - {max_lines} AS VARCHAR) || ' more lines' FROM numbered HAVING count(*) > {max_lines}"""
+
+
+@query("orders_capped_log", marked() + capped_log_sql(500, 700))
+def _(spark, sf):
+    return rep.capped_log(orders(spark, sf), 500, 700, ASCII_LABELS)
+
+
+@query("orders_capped_log_keys", marked() + capped_log_sql(100, 5000))
+def _(spark, sf):
+    return rep.capped_log(orders(spark, sf), 100, 5000, ASCII_LABELS)
+
+
 @query("orders_preview_missing", marked() + " SELECT k AS o_orderkey, o_totalprice FROM r WHERE NOT in_b ORDER BY k LIMIT 5")
 def _(spark, sf):
     return rep.preview(orders(spark, sf).missing(), ["o_orderkey"], 5).select("o_orderkey", "o_totalprice")
@@ -264,10 +287,13 @@ def _(spark, sf):
 @query(
     "missing_rows_text_key",
     f"""WITH {fx.ORDERS_SQL} SELECT o_orderkey, o_orderpriority FROM a
-      WHERE o_orderpriority NOT IN (SELECT {sq.norm('priority')} FROM b WHERE price > 499900)""",
+      WHERE o_orderpriority NOT IN (SELECT {sq.norm('priority')} || CASE WHEN {sq.norm('priority')} LIKE '%-%O%' THEN '~' ELSE '' END FROM b)""",
 )
 def _(spark, sf):
-    b = _target(spark, sf).where("o_totalprice > 499900")
+    # The whole target, in which some priorities are spelled as the source never does.
+    b = _target(spark, sf)
+    odd = F.concat(F.trim("o_orderpriority"), F.lit("~"))
+    b = b.withColumn("o_orderpriority", F.when(F.col("o_orderpriority").like("%-%O%"), odd).otherwise(F.col("o_orderpriority")))
     return m.missing_rows(fx.orders_source(spark, sf), b, ["o_orderpriority"]).select("o_orderkey", "o_orderpriority")
 
 
@@ -473,6 +499,40 @@ def _(spark, sf):
     return rep.diff_records(cmp.compare_text(a, b, ["o_orderkey"]))
 
 
+# --- numbers as text -------------------------------------------------------------------------------------------------
+
+# Doubles above 10^7, some of them NaN, which is no value.
+AMOUNTS_SQL = """WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'nan'::DOUBLE ELSE o_orderkey * 4099 + 12345678.5::DOUBLE END AS x FROM orders),
+  t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 = 0 THEN 'nan'::DOUBLE ELSE o_orderkey * 4099 + 12345678.5::DOUBLE + CASE WHEN o_orderkey % 3 = 0 THEN 0.25 ELSE 0 END END AS x FROM orders),
+  r AS (SELECT s.k, CASE WHEN isnan(s.x) THEN NULL ELSE s.x END AS x, CASE WHEN isnan(t.x) THEN NULL ELSE t.x END AS y FROM s JOIN t ON s.k = t.k),
+  d AS (SELECT k, coalesce(CAST(x AS VARCHAR), '') AS x, coalesce(CAST(y AS VARCHAR), '') AS y FROM r WHERE x IS DISTINCT FROM y)"""
+
+
+def _amounts(spark, sf) -> cmp.Comparison:
+    k = F.col("o_orderkey")
+    amount, nan = k * 4099 + F.lit(12345678.5), F.lit(float("nan"))
+    raised = amount + F.when(k % 3 == 0, F.lit(0.25)).otherwise(F.lit(0.0))
+    orders_ = fx.table(spark, sf, "orders")
+    a = orders_.select(k.alias("k"), F.when(k % 11 == 0, nan).otherwise(amount).alias("x"))
+    b = orders_.select(k.alias("k"), F.when(k % 13 == 0, nan).otherwise(raised).alias("x"))
+    return cmp.compare(a, b, [Rule("k", key=True), Rule("x", kind="number")], keys_unique=True)
+
+
+@query("amounts_diff_records", AMOUNTS_SQL + " SELECT k, 'x' AS field, x AS source_value, y AS target_value FROM d")
+def _(spark, sf):
+    return rep.diff_records(_amounts(spark, sf))
+
+
+@query("amounts_detail_columns", AMOUNTS_SQL + f" SELECT s.k, coalesce({detail_sql('d.x', 'd.y', 'd.k IS NOT NULL')}, '') AS x FROM s LEFT JOIN d ON s.k = d.k")
+def _(spark, sf):
+    return rep.detail_columns(_amounts(spark, sf), "source", ASCII_LABELS)
+
+
+@query("amounts_log_lines", AMOUNTS_SQL + " SELECT CAST(k AS VARCHAR) AS display_key, 'x' AS field, ' - field [x] differs：source=' || x || ', target=' || y AS line FROM d")
+def _(spark, sf):
+    return rep.log_lines(_amounts(spark, sf), ASCII_LABELS)
+
+
 # --- gate -----------------------------------------------------------------------------------------------------------
 
 

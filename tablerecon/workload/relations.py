@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablerecon.functions.text import last_segment, prefix
+from tablerecon.operators.columns import non_blank
 from tablerecon.operators import ledger as le
 from tablerecon.operators import lookup as lo
 from tablerecon.operators import quality as qu
 from tablerecon.operators import shape as sh
 from tablerecon.plans import compare as cmp
 from tablerecon.plans import report as rep
-from tablerecon.plans.rules import Options, Rule
+from tablerecon.plans.rules import Category, Options, Rule
 from tablerecon.sources.datagen import generate_like
 from tablerecon.workload import fixtures as fx
 from tablerecon.workload import sqltext as sq
@@ -340,6 +341,45 @@ def _(spark, sf):
     return _records(a, b, Rule("nation", comparator="coded", lookup=codes), "c_custkey")
 
 
+# Each part type has several codes; the target writes name-size and uses some of them only.
+CATEGORY_SQL = f"""WITH m AS (SELECT p_type AS k, p_partkey AS o, 'c' || (p_partkey % 7) AS code, 'c' || ((p_partkey + p_partkey % 3) % 7) AS target_code,
+    p_name || '-' || p_size AS txt FROM part WHERE p_partkey % 4 <> 0),
+  a AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN ' ' || p_type || ' ' ELSE p_type END AS v FROM part),
+  b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name || '-' || p_size ELSE 'c' || (p_partkey % 7) || 'x' END AS v FROM part WHERE p_partkey % 5 <> 0),
+  best AS (SELECT k, left(code, 2) AS code FROM m LEFT JOIN (SELECT DISTINCT v FROM b) AS used ON v = txt
+    QUALIFY row_number() OVER (PARTITION BY k ORDER BY v IS NULL, o) = 1),
+  named AS (SELECT txt, left(min_by(target_code, o), 2) AS code FROM m GROUP BY txt),
+  r AS (SELECT a.id, trim(a.v) AS x, b.v AS y, coalesce(best.code, '') AS cx, coalesce(named.code, left(b.v, 2)) AS cy
+    FROM a JOIN b ON a.id = b.id LEFT JOIN best ON best.k = trim(a.v) LEFT JOIN named ON named.txt = b.v)"""
+
+
+def _category(spark, sf, compared: str = "v"):
+    part = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    name = F.concat_ws("-", "p_name", "p_size")
+    mapping = part.where(k % 4 != 0).select(
+        "p_type", "p_partkey", "p_name", "p_size",
+        F.concat(F.lit("c"), k % 7).alias("code"), F.concat(F.lit("c"), (k + k % 3) % 7).alias("target_code"),
+    )
+    a = part.select(k.alias("id"), F.when(k % 9 == 0, F.concat(F.lit(" "), "p_type", F.lit(" "))).otherwise(F.col("p_type")).alias("v"))
+    code = F.concat(F.lit("c"), k % 7, F.lit("x"))
+    b = part.where(k % 5 != 0).select(k.alias("id"), F.when(k % 2 == 0, name).otherwise(code).alias(compared), F.lit("shown").alias("label"))
+    category = Category(mapping, "p_type", "code", ("p_name", "p_size"), "target_code", ("p_partkey",), 2)
+    return a, b, category
+
+
+@query("comparator_category", CATEGORY_SQL + " SELECT id, 'v' AS field, x AS source_value, y AS target_value FROM r WHERE cx <> cy")
+def _(spark, sf):
+    a, b, category = _category(spark, sf)
+    return _records(a, b, Rule("v", comparator="category", category=category), "id")
+
+
+@query("comparator_category_against", CATEGORY_SQL + " SELECT id, 'v' AS field, x AS source_value, 'shown' AS target_value FROM r WHERE cx <> cy")
+def _(spark, sf):
+    a, b, category = _category(spark, sf, "sap")
+    return _records(a, b, Rule("v", "label", comparator="category", category=category, against="sap"), "id")
+
+
 # --- key quality ----------------------------------------------------------------------------------------------------
 
 
@@ -370,6 +410,37 @@ def _(spark, sf):
     return qu.blank_keys(b.select("priority", "status"), ["priority", "status"])
 
 
+# Prices of which some are NaN: no value, whatever its type.
+NAN_SQL = "WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'nan'::DOUBLE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderkey % 50 AS DOUBLE) * 1000000 END AS price FROM orders)"
+
+
+def _nan_prices(spark, sf):
+    k = F.col("o_orderkey")
+    price = F.when(k % 7 == 0, F.lit(float("nan"))).when(k % 11 == 0, F.lit(None)).otherwise((k % 50).cast("double") * 1000000)
+    return table(spark, sf, "orders").select("o_orderkey", price.alias("price"))
+
+
+@query("filter_non_blank_nan", NAN_SQL + " SELECT o_orderkey, price FROM p WHERE price IS NOT NULL AND NOT isnan(price)")
+def _(spark, sf):
+    return non_blank(_nan_prices(spark, sf), "price")
+
+
+@query("blank_keys_nan", NAN_SQL + """ SELECT 0 AS blank_o_orderkey, count_if(price IS NULL OR isnan(price)) AS blank_price,
+  count_if(price IS NULL OR isnan(price)) AS blank_any FROM p""")
+def _(spark, sf):
+    return qu.blank_keys(_nan_prices(spark, sf), ["o_orderkey", "price"])
+
+
+@query("value_counts_nan", NAN_SQL + " SELECT CAST(price AS VARCHAR) AS value, count(*) AS n_rows FROM p WHERE price IS NOT NULL AND NOT isnan(price) GROUP BY 1")
+def _(spark, sf):
+    return sh.value_counts(_nan_prices(spark, sf), "price")
+
+
+@query("split_by_value_nan", NAN_SQL + " SELECT o_orderkey, CAST(price AS VARCHAR) AS part FROM p WHERE price IS NOT NULL AND NOT isnan(price)")
+def _(spark, sf):
+    return sh.split_by_value(_nan_prices(spark, sf), "price").drop("price")
+
+
 @query("dedup_keep_first", f"WITH {fx.LINES_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM a")
 def _(spark, sf):
     return fx.lines_source(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
@@ -433,11 +504,11 @@ def _(spark, sf):
 
 @query(
     "net_vouchers",
-    f"WITH {ENTRIES_SQL}, k AS (SELECT * FROM e WHERE voucher IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')), "
+    f"WITH {ENTRIES_SQL}, k AS (SELECT * FROM e WHERE voucher IN (SELECT {_disturbed_sql('o_orderkey', 3)} FROM orders)), "
     + NETTED.format(src="k"),
 )
 def _(spark, sf):
-    known = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("voucher"))
+    known = _disturbed(table(spark, sf, "orders"), "o_orderkey", 3).select(F.col("o_orderkey").alias("voucher"))
     return le.net_vouchers(known, _entries(spark, sf), "voucher", "own", "peer", ["debit", "credit"])
 
 

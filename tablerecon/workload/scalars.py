@@ -309,6 +309,39 @@ def _(spark, sf):
     )
 
 
+# Spellings by event_id % 12: Spark's pattern, DuckDB's, and the forms that it is read by, the first that fits.
+FREE_SPELLINGS = [
+    ("d MMMM yyyy", "%-d %B %Y", ["%d %B %Y"]),
+    ("dd-MMM-yyyy", "%d-%b-%Y", ["%d-%b-%Y"]),
+    ("MMMM d, yyyy HH:mm", "%B %-d, %Y %H:%M", ["%B %d, %Y %H:%M"]),
+    ("dd/MM/yyyy", "%d/%m/%Y", ["%m/%d/%Y", "%d/%m/%Y"]),
+    ("M/d/yyyy H:m:s", "%-m/%-d/%Y %-H:%-M:%-S", ["%m/%d/%Y %H:%M:%S", "%d/%m/%Y %H:%M:%S"]),
+    ("dd.MM.yyyy HH:mm", "%d.%m.%Y %H:%M", ["%m.%d.%Y %H:%M", "%d.%m.%Y %H:%M"]),
+    ("EEE, d MMM yyyy", "%a, %-d %b %Y", ["%a, %d %b %Y"]),
+    ("yyyy.M.d hh:mm a", "%Y.%-m.%-d %I:%M %p", ["%Y.%m.%d %I:%M %p"]),
+    ("yyyy-MM-dd'T'HH:mm:ss'+02:00'", "%Y-%m-%dT%H:%M:%S+02:00", ["%Y-%m-%dT%H:%M:%S+02:00"]),
+    ("MMM yyyy", "%b %Y", ["%b %Y"]),
+    ("yyyyMMdd HH:mm:ss", "%Y%m%d %H:%M:%S", ["%Y%m%d %H:%M:%S"]),
+    ("'about 'yyyy", "about %Y", ["%Y"]),
+]
+_FREE_TEXT_SQL = " ".join(f"WHEN event_id % 12 = {i} THEN strftime(ts, '{f}')" for i, (_, f, _) in enumerate(FREE_SPELLINGS))
+_FREE_READ_SQL = " ".join(f"WHEN event_id % 12 = {i} THEN try_strptime(d, {forms})" for i, (_, _, forms) in enumerate(FREE_SPELLINGS))
+
+
+@query(
+    "parse_dates_free",
+    f"""WITH t AS (SELECT event_id, CASE {_FREE_TEXT_SQL} END AS d FROM events), p AS (SELECT event_id, d, CASE {_FREE_READ_SQL} END AS moment FROM t)
+    SELECT event_id, d, strftime(moment, '%Y-%m-%d') AS day, strftime(moment, '%Y-%m-%d %H:%M:%S') AS second FROM p""",
+)
+def _(spark, sf):
+    spelled = None
+    for i, (pattern, _, _) in enumerate(FREE_SPELLINGS):
+        text = F.date_format("ts", pattern)
+        spelled = F.when(F.col("event_id") % 12 == i, text) if spelled is None else spelled.when(F.col("event_id") % 12 == i, text)
+    t = table(spark, sf, "events").select("event_id", spelled.alias("d"))
+    return t.select("*", dt.parse_date("d", "free").alias("day"), dt.parse_date("d", "free", keep_time=True).alias("second"))
+
+
 @query(
     "norm_date_digits",
     rf"""WITH {fx.ORDERS_SQL}, t AS (SELECT key, order_dt AS d, regexp_replace(order_dt, '\D', '', 'g') AS g FROM b)

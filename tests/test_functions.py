@@ -164,3 +164,18 @@ def test_months_and_days_of_one_digit(spark):
     df = spark.createDataFrame([(s,) for s in free], "d string")
     assert [r[0] for r in df.select(parse_date("d", "free")).collect()] == ["2024-01-05"] * 4 + [None] * 2
     assert [r[0] for r in df.select(parse_date("d", "strict")).collect()][1] is None
+
+
+def test_dates_as_people_write_them(spark):
+    spelled = {
+        "5 January 2024": "2024-01-05 00:00:00", "5th of Jan. 2024": "2024-01-05 00:00:00", "Jan 5, 2024 3:04 pm": "2024-01-05 15:04:00",
+        "SEPT-5-24": "2024-09-05 00:00:00", "13/01/2024": "2024-01-13 00:00:00", "01/13/2024": "2024-01-13 00:00:00",
+        "1/5/2024 03:04": "2024-01-05 03:04:00", "31.12.99": "1999-12-31 00:00:00", "5.1.68 1:02:03": "2068-05-01 01:02:03",
+        "Friday, 5 jan 2024": "2024-01-05 00:00:00", "2024-Jan-05": "2024-01-05 00:00:00", "2024/1/5 12:00:01 AM": "2024-01-05 00:00:01",
+        "2024-01-05T03:04:05.123Z": "2024-01-05 03:04:05", "2024-01-05 03:04:05+09:30": "2024-01-05 03:04:05",
+        "2024年1月": "2024-01-01 00:00:00", "January 2024": "2024-01-01 00:00:00", "2024-02": "2024-02-01 00:00:00", "2024": "2024-01-01 00:00:00",
+        "20240105 1:2": "2024-01-05 01:02:00", "30 Feb 2024": None, "13/13/2024": None, "Janus 5 2024": None, "5 January": None,
+        "1/5-2024": None, "25:00": None, "2024-01-05 25:00": None, "2024-01-05 13:00 pm": None, "12": None, "tomorrow": None, "": None,
+    }
+    df = spark.createDataFrame([(s,) for s in spelled], "d string")
+    assert dict(df.select("d", dt.parse_date("d", "free", keep_time=True)).collect()) == spelled
