@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerecon.functions.text import norm_of, plain_number, safe_name
 from tablerecon.functions.names import col
-from tablerecon.session import ensure_checkpoint_dir
 
 
 def merge_tables(tables: Sequence[DataFrame]) -> DataFrame:
@@ -63,31 +62,56 @@ def split_by_value(df: DataFrame, name: str, part: str = "part", length: int = 2
     return df.where(norm_of(df, name) != "").withColumn(part, F.when(plain == value, plain).otherwise(marked))
 
 
+#: Rows of a range that are sorted together, and sampled rows by which a range is found.
+_RANGE_ROWS, _SAMPLED = 1_000_000, 16
+
+
+def _bounds(df: DataFrame, place: Column) -> tuple[str, int]:
+    """Places that cut ``df`` into ranges of about equal size: a JSON list in order, and their number.
+
+    Any bounds give right row numbers, as long as they are fixed; a sample
+    gives even ones.
+    """
+    spark = df.sparkSession
+    total = df.count()
+    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // _RANGE_ROWS))
+    share = min(1.0, _SAMPLED * ranges / max(total, 1))
+    sample = df.select(place.alias("place")).sample(share, seed=17).orderBy("place").select(F.to_json("place")).collect()
+    step = max(1, len(sample) // ranges)
+    picked = [r[0] for r in sample[step::step]]
+    return f"[{','.join(picked)}]", len(picked)
+
+
+def _range_of(place: Column, bounds: Column, n: int) -> Column:
+    """How many of ``n`` ordered bounds lie at or below a place, found in two steps of about sqrt(n)."""
+    step = max(1, int(n**0.5))
+    coarse = F.filter(bounds, lambda _, i: i % step == step - 1)
+    whole = F.size(F.filter(coarse, lambda b: b <= place)) * step
+    return whole + F.size(F.filter(F.slice(bounds, whole + 1, F.lit(step)), lambda b: b <= place))
+
+
 def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
     """A gapless 1-based row number in ``order``, without a one-task window.
 
-    The rows are range-sorted once and checkpointed, because sorting again
-    could cut the ranges elsewhere.  Then each partition's row count gives
-    the next one's start: only one number per partition is gathered.
-
-    Rows with the same place in ``order`` may be many: their contents and
-    their input partition cut them into further ranges.
+    Fixed bounds, taken from a sample of (order, hash of the row), cut the
+    rows into ranges.  A range's rows are numbered by a window of its own; the
+    ranges before it add what they hold.  So there is one shuffle of the rows,
+    by range, and one of a count per range.  Rows with the same place in
+    ``order`` may be many: the hash cuts them into further ranges, and orders
+    them.  The rows given must come out alike when they are read again.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    ties = {"_tie_hash": F.xxhash64(*[col(c) for c in df.columns]), "_tie_part": F.spark_partition_id()}
-    ordered = df.withColumns(ties).orderBy(*[col(o) for o in order], *ties).drop(*ties).checkpoint()
-    placed = ordered.withColumn("_part", F.spark_partition_id()).withColumn(
-        "_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    )
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()
-    starts, total = {}, 0
-    for row in sorted(counts, key=lambda r: r["_part"]):
-        starts[row["_part"]] = total
-        total += row["n"]
-    offsets = df.sparkSession.createDataFrame(list(starts.items()) or [(0, 0)], "_part int, _start long")
-    # One row per partition: bounded by the number of tasks.
-    out = placed.join(F.broadcast(offsets), "_part")
-    return out.withColumn(name, F.col("_start") + F.col("_pos") + 1).drop("_part", "_pos", "_start")
+    order_by = [*[col(o) for o in order], F.col("_tie")]
+    tied, place = df.withColumn("_tie", F.xxhash64(*[col(c) for c in df.columns])), F.struct(*order_by)
+    text, n = _bounds(tied, place)
+    bounds = F.from_json(F.lit(text), T.ArrayType(tied.select(place.alias("p")).schema["p"].dataType))
+    ranged = tied.withColumn("_range", _range_of(place, bounds, n) if n else F.lit(0))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per range, so the one task that adds them up is bounded.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by))
+    numbered = ranged.withColumn("_no", inside).join(starts, F.col("_range") == F.col("_of"))
+    return numbered.withColumn(name, F.col("_start") + F.col("_no")).drop("_tie", "_range", "_of", "_start", "_no")
 
 
 def split_by_rows(df: DataFrame, rows: int, order: Sequence[str], part: str = "part") -> DataFrame:

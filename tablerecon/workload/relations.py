@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablerecon.functions.text import last_segment, prefix
-from tablerecon.operators.columns import non_blank
+from tablerecon.operators.columns import (
+    SchemaError,
+    dedup_columns,
+    non_blank,
+    require_columns,
+    require_rows,
+    require_same_schema,
+    require_some_value,
+)
 from tablerecon.operators import ledger as le
 from tablerecon.operators import lookup as lo
 from tablerecon.operators import quality as qu
@@ -13,7 +21,8 @@ from tablerecon.operators import shape as sh
 from tablerecon.plans import compare as cmp
 from tablerecon.plans import report as rep
 from tablerecon.plans.rules import Category, Options, Rule
-from tablerecon.sources.datagen import generate_like
+from tablerecon.operators.keyed import attach
+from tablerecon.sources.datagen import VALUES, generate_like
 from tablerecon.workload import fixtures as fx
 from tablerecon.workload import sqltext as sq
 from tablerecon.workload.fixtures import table
@@ -441,6 +450,81 @@ def _(spark, sf):
     return sh.split_by_value(_nan_prices(spark, sf), "price").drop("price")
 
 
+# --- guards ---------------------------------------------------------------------------------------------------------
+
+
+def _refused(guard, *args) -> str:
+    """What a guard says, or that it lets the table pass."""
+    try:
+        guard(*args)
+    except SchemaError as e:
+        return str(e)
+    return "passed"
+
+
+def _guarded(table_, findings: dict[str, str]):
+    """The table's rows under each finding."""
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("guard"), F.lit(v).alias("finding")) for k, v in findings.items()]))
+    return table_.select(rows.alias("g")).groupBy("g.guard", "g.finding").agg(F.count("*").alias("n_rows"))
+
+
+def _guarded_sql(name: str, findings: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS guard, '{v}' AS finding, count(*) AS n_rows FROM {name}" for k, v in findings.items())
+
+
+@query(
+    "guard_columns",
+    _guarded_sql("orders", {"both": "source lacks amount, name; target lacks l_name", "one": "source lacks name", "none": "passed"}),
+)
+def _(spark, sf):
+    o, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    return _guarded(o, {
+        "both": _refused(require_columns, o, ["amount", "o_orderkey", "name"], lines, ["l_orderkey", "l_name"]),
+        "one": _refused(require_columns, o, ["name"], lines, ["l_tax"]),
+        "none": _refused(require_columns, o, o.columns, lines, lines.columns),
+    })
+
+
+@query(
+    "guard_schema",
+    _guarded_sql("nation", {"same": "passed", "order": "columns differ: [n_nationkey, n_name, n_regionkey] and [n_name, n_nationkey, n_regionkey]"}),
+)
+def _(spark, sf):
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    turned = n.select("n_name", "n_nationkey", "n_regionkey")
+    return _guarded(n, {"same": _refused(require_same_schema, n, n), "order": _refused(require_same_schema, n, turned).replace("'", "")})
+
+
+@query(
+    "guard_values",
+    _guarded_sql("customer", {"rows": "passed", "no rows": "customer has no rows", "values": "passed", "no value": "no value at all in c_phone, c_fax"}),
+)
+def _(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", F.lit(None).cast("string").alias("c_phone"), F.lit(None).cast("int").alias("c_fax"))
+    none = c.where(F.col("c_custkey") < F.lit(0))
+    return _guarded(c, {
+        "rows": _refused(require_rows, c, "customer"),
+        "no rows": _refused(require_rows, none, "customer"),
+        "values": _refused(require_some_value, c, ["c_custkey", "c_name"]),
+        "no value": _refused(require_some_value, c, ["c_phone", "c_name", "c_fax"]),
+    })
+
+
+@query(
+    "dedup_columns",
+    """SELECT c_custkey AS id, c_name AS name, n_name AS name_2, n_nationkey + 1000 AS code FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+)
+def _(spark, sf):
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    # The key came twice and counts first; the calculated code came twice and counts last; other names stay twice.
+    code = F.col("n_nationkey")
+    twice = c.select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), code.alias("code"), F.lit(-1).alias("id"),
+        F.col("n_name").alias("name"), (code + 1000).alias("code"),
+    )
+    return dedup_columns(twice, ["id", "code"], calculated=["code"]).toDF("id", "name", "name_2", "code")
+
+
 @query("dedup_keep_first", f"WITH {fx.LINES_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM a")
 def _(spark, sf):
     return fx.lines_source(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
@@ -582,7 +666,30 @@ def _(spark, sf):
     return sh.fill_right(cells, ["p_partkey"], "pos", "title").drop("title")
 
 
+def _generated(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("key"), "o_orderpriority", "o_orderstatus")
+    return generate_like(orders, "key", times=3, seed=7)
+
+
 @query("generate_like")
 def _(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("key"), "o_orderpriority", "o_orderstatus")
-    return generate_like(orders, "key", 3 * orders.count(), seed=7)
+    return _generated(spark, sf)
+
+
+@query(
+    "generate_like_summary",
+    """SELECT 3 * count(*) AS n_rows, 3 * count(DISTINCT o_orderkey) AS distinct_keys, count(*) AS kept_rows,
+      2 * count(*) AS new_rows, 0.2::DOUBLE AS share_a, 0.2::DOUBLE AS share_b, 0.2::DOUBLE AS share_c, 0.2::DOUBLE AS share_d, 0.2::DOUBLE AS share_e FROM orders""",
+)
+def _(spark, sf):
+    made = _generated(spark, sf)
+    kept = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.lit(True).alias("_kept"))
+    rows = attach(made, kept, ["key"])
+    new = F.col("_kept").isNull()
+    letters = [
+        F.round(F.count_if(new & (F.col("o_orderpriority") == v)) / F.count_if(new), 1).alias(f"share_{v.lower()}") for v in VALUES
+    ]
+    return rows.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("key").alias("distinct_keys"), F.count("_kept").alias("kept_rows"),
+        F.count_if(new).alias("new_rows"), *letters,
+    )

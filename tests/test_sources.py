@@ -2,12 +2,13 @@ import tracemalloc
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 from workbook_writer import write_workbook
 
 from tablerecon.plans.rules import load_rules
 from tablerecon.sources import textfiles as tf
 from tablerecon.sources import workbooks as wb
-from tablerecon.sources.datagen import generate_like
+from tablerecon.sources.datagen import generate_like, permuted
 
 
 def test_workbooks_single_header(spark, tmp_path):
@@ -199,10 +200,21 @@ def test_generate_like(spark, frame):
     assert generate_like(df, "key", 5).count() == 10
 
 
-def test_generate_like_replaces_taken_keys(spark, frame):
-    taken = generate_like(frame("key, a", []), "key", 1, seed=9).first().key
-    made = generate_like(frame("key, a", [(taken, "x")]), "key", 3, seed=9)
-    assert made.select("key").distinct().count() == 3
+def test_generated_keys_are_distinct_whatever_is_taken(spark, frame):
+    first = generate_like(frame("key, a", []), "key", 3000, seed=9)
+    assert first.select("key").distinct().count() == 3000
+    # Keys of an earlier run are taken; the new ones are longer than any of them.
+    more = generate_like(first, "key", times=2, seed=9)
+    assert more.count() == 6000 and more.select("key").distinct().count() == 6000
+    with pytest.raises(ValueError):
+        generate_like(first, "key")
+
+
+def test_numbers_are_shuffled_one_to_one(spark):
+    numbers = spark.range(1 << 16).select("id", permuted(F.col("id"), 8, 3).alias("p"), permuted(F.col("id"), 8, 4).alias("q"))
+    rows = numbers.collect()
+    assert {r.p for r in rows} == {r.q for r in rows} == set(range(1 << 16))
+    assert sum(r.p == r.id for r in rows) < 20 and sum(r.p == r.q for r in rows) < 20
 
 
 def test_quotes_after_gbk_lead_bytes(spark, tmp_path):
