@@ -8,8 +8,9 @@ it over the whole corpus: the pointwise mutual information of term and entity,
 log2(P(e | t) / P(e)), is compared with the entity's own information,
 -log2 P(e).  P(e | t) is not the observed share but its lower confidence bound
 (Wilson's), and the document a term is tried in is not evidence for it: it is
-estimated from the others.  So what stands together once says nothing, and how
-many documents are asked for follows from the sizes of corpus and entity.
+estimated from the others.  So what stands together once says nothing.  The
+bound must also make the entity more likely than not: else, the larger the
+corpus, the less evidence its rarer entities would ask for.
 
 A term that gives away at least the share ``disclosure`` of an entity's
 information is a further span at all its places, in every document: of kind
@@ -26,7 +27,6 @@ are not read, whatever their names, and kept by ``sanitise``.
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +34,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,13 +45,13 @@ KINDS = ("email", "ip", "card", "phone", "term", "hint")
 TERM, HINT = 4, 5
 #: Standard errors between a share and its lower bound.
 CONFIDENCE = 1.96
-#: Share of an entity's information a term may not give away.
-DISCLOSURE = 0.9
+#: Share of an entity's information a term may not give away, and the likelihood it needs besides.
+DISCLOSURE, LIKELY = 0.9, 0.5
 #: Terms a task counts before it sends the counts on.
 COUNTED = 400_000
-#: Bits a term has in the map that says which terms matter, and the largest map's
-#: bits, as a power of two: 64 MB.  A join decides on its hits, so a full map costs time only.
-TERM_BITS, MOST_BITS = 16, 29
+#: Bits a term has in the map that says which terms matter, and the least and the largest
+#: map's bits, as powers of two: 64 MB.  A join decides on its hits, so a full map costs time only.
+TERM_BITS, LEAST_BITS, MOST_BITS = 64, 20, 29
 #: Words of which a worker remembers the terms that matter.
 KNOWN = 200_000
 
@@ -164,7 +165,7 @@ class Mattering(dict):
         if len(self) >= KNOWN:
             self.clear()
         terms = {t.lower() for t in _TERM.findall(word)}
-        found = self[word] = tuple(t for t in terms if self.held[(b := _bit(t, self.bits)) >> 3] >> (b & 7) & 1)
+        found = self[word] = tuple(t for t in terms if all(self.held[b >> 3] >> (b & 7) & 1 for b in _bits(t, self.bits)))
         return found
 
     def of(self, text: str) -> set[str]:
@@ -172,16 +173,20 @@ class Mattering(dict):
         return set(chain.from_iterable(map(self.__getitem__, set(text.split()))))
 
 
-def _bit(term: str, bits: int) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % bits
+def _bits(term: str, bits: int) -> tuple[int, int]:
+    """The two places of a term in a map, from the halves of Spark's ``xxhash64``."""
+    h = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), 42)
+    return h % bits, (h >> 32) % bits
 
 
 def bit_map(terms: DataFrame) -> bytes:
-    """A map of some bits per term, of which those of the terms are set."""
+    """A map of some bits per term, of which the two places of each term are set."""
     wanted = terms.count() * TERM_BITS
-    bits = 1 << min(max(wanted.bit_length(), 10), MOST_BITS)
-    bit = F.crc32(F.col("term").cast("binary")) % bits
-    words = terms.select((bit % 64).cast("int").alias("at"), F.floor(bit / 64).cast("int").alias("word")).groupBy("word")
+    bits = 1 << min(max(wanted.bit_length(), LEAST_BITS), MOST_BITS)
+    h = F.xxhash64("term")
+    places = F.array(*[x.bitwiseAND(F.lit(bits - 1)) for x in (h, F.shiftrightunsigned(h, 32))])
+    bit = terms.select(F.explode(places).alias("bit"))
+    words = bit.select((F.col("bit") % 64).cast("int").alias("at"), F.shiftright("bit", 6).cast("int").alias("word")).groupBy("word")
     words = words.agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits")).toArrow()
     made = np.zeros(bits // 64, "<i8")
     made[words["word"].to_numpy()] = words["bits"].to_numpy()
@@ -223,7 +228,7 @@ def _gives(both: Column, n_term: Column, n_entity: Column, total: int, disclosur
     """Whether a term of ``n_term`` documents, ``both`` of them the entity's, gives the entity away."""
     share = n_entity / F.lit(float(total))
     known = _lower_bound(both - 1, n_term - 1)
-    return (share < 1) & (both > 1) & (F.log2(F.greatest(known, F.lit(1e-300)) / share) >= disclosure * -F.log2(share))
+    return (share < 1) & (known >= LIKELY) & (F.log2(known / share) >= disclosure * -F.log2(share))
 
 
 def disclosing(found: DataFrame, docs: DataFrame, disclosure: float) -> DataFrame:

@@ -89,7 +89,7 @@ def brute_terms(rows, disclosure=0.9):
             if both < 2 or share >= 1:
                 continue
             bound = wilson(both - 1, held - 1)
-            if bound > 0 and math.log2(bound / share) >= -disclosure * math.log2(share):
+            if bound >= 0.5 and math.log2(bound / share) >= -disclosure * math.log2(share):
                 kinds[term] = 4 if level == "value" or kinds.get(term) == 4 else 5
     out = []
     for _, text in rows:
