@@ -156,7 +156,7 @@ def _is_text(rule: Rule, dtype: T.DataType) -> bool:
     return rule.kind == "text" or rule.kind == "date" and isinstance(dtype, T.StringType)
 
 
-def _lookup_frame(df: DataFrame, rule: Rule) -> DataFrame:
+def lookup_frame(df: DataFrame, rule: Rule) -> DataFrame:
     if isinstance(rule.lookup, Mapping):
         return map_frame(df.sparkSession, rule.lookup)
     return rule.lookup
@@ -166,7 +166,7 @@ def coded_source(a: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Add the looked-up code of each coded field; the raw value stays for display."""
     for rule in rules:
         if rule.lookup is not None and rule.comparator in ("coded", "prefix"):
-            table = _lookup_frame(a, rule)
+            table = lookup_frame(a, rule)
             order = ["ord"] if "ord" in table.columns else []
             a = map_values(a, rule.source, table, order=order, into=code_name(rule.source))
     return a
@@ -198,7 +198,7 @@ def category_codes(a: DataFrame, b: DataFrame, rules: Sequence[Rule]) -> tuple[D
 
 def allowed_flag(frame: DataFrame, rule: Rule, source: str, target: str) -> DataFrame:
     """Mark the pairs of values that a rule's multimap allows."""
-    table = _lookup_frame(frame, rule)
+    table = lookup_frame(frame, rule)
     left, right = f"_allow_key_{rule.source}", f"_allow_value_{rule.source}"
     pairs = table.select(norm("key").alias(left), norm("value").alias(right)).distinct()
     pairs = pairs.withColumn(f"_allow_{rule.source}", F.lit(True))

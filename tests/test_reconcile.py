@@ -1,6 +1,8 @@
 """Rules, gate, comparison and reports on hand-written rows, and what must always hold."""
 
 import random
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,6 +243,28 @@ def test_pair_summary_against_the_pairs(spark, options):
         assert (got["total_source"], got["total_target"]) == (120, 90)
 
 
+def test_pairs_of_a_hot_key_are_not_formed(spark):
+    """10^5 rows on either side of one key: 10^10 pairs, of which those equal are counted from groups."""
+    n = 100_000
+    day = F.when(F.col("id") % 4 == 0, "soon").otherwise(F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 5 + 1).cast("string"), 2, "0")))
+    side = spark.range(n).select(F.lit("k").alias("k"), day.alias("d"), F.when(F.col("id") % 3 > 0, F.col("id") % 10).cast("string").alias("n"))
+    rules = [Rule("k", key=True), Rule("d", kind="date"), Rule("n", kind="number", tolerance=0.5)]
+    options = Options(on_duplicates="fanout", one_sided_null="ignore", date_mode="sql")
+    start = time.monotonic()
+    got = pair_summary(side, side, rules, options).first()
+    assert time.monotonic() - start < 30
+    kinds = Counter((None if i % 4 == 0 else i % 5, i % 10 if i % 3 else None) for i in range(n))
+    equal = sum(
+        x * y
+        for (d, v), x in kinds.items()
+        for (e, w), y in kinds.items()
+        if (d is None or e is None or d == e) and (v is None or w is None or v == w)
+    )
+    assert (got.common, got.equal, got.differing) == (n * n, equal, n * n - equal)
+    plan = pair_summary(side, side, rules, options)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
 def test_a_repeated_key_stops_the_job(frame):
     from tablerecon.plans.compare import compare, compare_text
 
