@@ -47,32 +47,43 @@ def attach(
     pairs = key_pairs(on)
     renamed = {r: f"_right_key_{i}" for i, (_, r) in enumerate(pairs)}
     right = right.select(*[col(c).alias(renamed.get(c, c)) for c in right.columns])
-    parts = [col(l) == F.col(renamed[r]) for l, r in pairs]
+    lefts, rights = [], []
+    for l, r in pairs:
+        tl, tr = left.schema[l].dataType, right.schema[renamed[r]].dataType
+        common = common_type(tl, tr)
+        lefts.append(col(l) if tl == common else col(l).try_cast(common))
+        rights.append(F.col(renamed[r]) if tr == common else F.col(renamed[r]).try_cast(common))
     extra = []
-    hashed = _hashable(left, right, [(l, renamed[r]) for l, r in pairs]) if how in ("left", "inner") else None
-    if hashed:
+    if how in ("left", "inner"):
         extra = [_LEFT_HASH, _RIGHT_HASH]
-        left = left.withColumn(_LEFT_HASH, F.xxhash64(*hashed[0]))
-        right = right.withColumn(_RIGHT_HASH, F.xxhash64(*hashed[1]))
-        parts.append(F.col(_LEFT_HASH) == F.col(_RIGHT_HASH))
+        left = left.withColumn(_LEFT_HASH, F.xxhash64(*lefts))
+        right = right.withColumn(_RIGHT_HASH, F.xxhash64(*rights))
+    parts = [x == y for x, y in zip(lefts + [F.col(e) for e in extra[:1]], rights + [F.col(e) for e in extra[1:]])]
     return left.join(right, reduce(lambda x, y: x & y, parts), how).drop(*renamed.values(), *extra)
 
 
-def _hashable(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> tuple[list[Column], list[Column]] | None:
-    """Key columns of both sides whose hashes agree when the keys are equal.
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type in which two keys are compared.
 
-    That needs equal types; whole numbers are brought to one.  ``None`` when
-    other types would have to be converted for the comparison.
+    Whole numbers meet as ``bigint``, other numbers as decimals or doubles,
+    and a text meets numbers, dates and booleans as what they are.
     """
-    out: tuple[list[Column], list[Column]] = ([], [])
-    for l, r in keys:
-        tl, tr = left.schema[l].dataType, right.schema[r].dataType
-        whole = isinstance(tl, T.IntegralType) and isinstance(tr, T.IntegralType)
-        if tl != tr and not whole:
-            return None
-        out[0].append(col(l).cast("long") if whole else col(l))
-        out[1].append(col(r).cast("long") if whole else col(r))
-    return out
+    if a == b:
+        return a
+    kinds = [t for t in (a, b) if not isinstance(t, (T.StringType, T.CharType, T.VarcharType))]
+    if len(kinds) == 1:
+        return T.LongType() if isinstance(kinds[0], T.IntegralType) else kinds[0]
+    if not kinds:
+        return T.StringType()
+    if all(isinstance(t, T.IntegralType) for t in kinds):
+        return T.LongType()
+    if all(isinstance(t, (T.IntegralType, T.DecimalType)) for t in kinds):
+        return T.DecimalType(38, max(t.scale for t in kinds if isinstance(t, T.DecimalType)))
+    if all(isinstance(t, T.NumericType) for t in kinds):
+        return T.DoubleType()
+    if all(isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) for t in kinds):
+        return next(t for t in kinds if not isinstance(t, T.DateType))
+    return T.StringType()
 
 
 def first_per_key(

@@ -1,7 +1,9 @@
 """Columns, lookups, quality, shaping and ledgers on small fixtures; joins with hot keys."""
 
+import datetime
 import random
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +127,23 @@ def shuffled_joins(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+@pytest.fixture
+def split_joins(spark, shuffled_joins):
+    """Partitions of a few KB already count as skewed."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "50",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
 @pytest.fixture
 def hot(spark):
     """A third of all rows share one key, another third has none."""
@@ -269,6 +288,40 @@ def test_bucketed_tables_are_not_shuffled(spark, sf_dir, tmp_path):
         spark.sql("DROP TABLE right_orders")
 
 
+def test_keys_of_unlike_types(spark):
+    kinds = {
+        "string": ["1", "2.0", "x", None], "bigint": [1, 2, 3, None], "int": [1, 2, 3, None], "double": [1.0, 2.5, float("nan"), None],
+        "decimal(10,2)": [Decimal("1.00"), Decimal("2.50"), Decimal("7.00"), None], "boolean": [True, False, None], "date": [datetime.date(2024, 1, 5), None],
+        "timestamp_ntz": [datetime.datetime(2024, 1, 5), datetime.datetime(2024, 1, 5, 1), None],
+    }
+    def pairs(a, b):
+        left = spark.createDataFrame([(x,) for x in kinds[a]], f"k {a}")
+        right = spark.createDataFrame([(x,) for x in kinds[b]], f"k {b}")
+        out = {str(r.k) for r in lo.flag_exists(left, right, "k").where("found").collect()}
+        assert out == {str(r.k) for r in lo.keep_known(left, right, "k").collect()}
+        return out
+
+    assert pairs("bigint", "string") == {"1"} and pairs("string", "bigint") == {"1"}
+    assert pairs("int", "bigint") == {"1", "2", "3"} and pairs("double", "bigint") == {"1.0"}
+    assert pairs("string", "double") == {"1"} and pairs("decimal(10,2)", "double") == {"1.00", "2.50"}
+    assert pairs("decimal(10,2)", "int") == {"1.00"} and pairs("date", "timestamp_ntz") == {"2024-01-05"}
+    assert pairs("boolean", "boolean") == {"True", "False"} and pairs("string", "date") == set()
+
+
+def test_hot_keys_of_unlike_types_are_split(spark, split_joins):
+    big = spark.range(60_000).select(F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id")).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    small = spark.range(0, 60_000, 3).select(F.col("id").cast("string").alias("t"))
+    for run in (lambda: lo.flag_exists(big, small, [("k", "t")]), lambda: lo.lookup_left(big, small.withColumn("w", F.lit(1)), [("k", "t")], ["w"], ["w"])):
+        out = run()
+        rows = out.collect()
+        assert len(rows) == 60_000
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    updates = small.select(F.col("t").alias("k"), F.lit("new").alias("v"))
+    out = lo.apply_updates(big, updates, ["k"], ["v"])
+    assert sum(r.v == "new" for r in out.collect()) == big.where("k % 3 = 0").count()
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_names_with_dots(frame):
     from tablerecon.plans.compare import compare
     from tablerecon.plans.report import annotate, diff_records, field_counts, summarize
