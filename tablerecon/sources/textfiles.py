@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablerecon.functions.names import col
@@ -152,10 +152,37 @@ def csv_catalog(spark: SparkSession, paths: Sequence[str], encodings: Sequence[s
     )
 
 
-def write_csv_bom(df: DataFrame, path: str) -> None:
-    """CSV with a byte order mark in front of the header of each part file."""
-    first = df.columns[0]
-    df.withColumnRenamed(first, BOM + first).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+# How rows become lines.
+_LINE_OPTIONS = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}
+
+
+def _csv_line(values: Sequence[Column]) -> Column:
+    texts = F.struct(*[v.cast("string").alias(f"c{i}") for i, v in enumerate(values)])
+    return F.to_csv(texts, _LINE_OPTIONS)
+
+
+def write_csv_bom(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """One CSV with a byte order mark and one header, as part files in order.
+
+    The first part holds the mark and the header and no other has either, so
+    the parts, one after the other, are the file; nothing is gathered for it.
+    ``single_file`` writes it with one task.  Read it with ``read_csv_parts``.
+    """
+    header = df.sparkSession.range(1, numPartitions=1).select(F.concat(F.lit(BOM), _csv_line([F.lit(c) for c in df.columns])).alias("value"))
+    lines = header.unionAll(df.select(_csv_line([col(c) for c in df.columns]).alias("value")))
+    (lines.coalesce(1) if single_file else lines).write.mode("overwrite").text(path)
+
+
+def read_csv_parts(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_csv_bom`` wrote, as text columns: the header stands in the first part only."""
+    rows = spark.read.option("escape", '"').option("multiLine", True).option("nullValue", "\0")
+    rows = rows.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    name, file = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    first = spark.read.text(path).agg(F.min_by(file, name)).first()[0]
+    names = [n.removeprefix(BOM) for n in rows.option("header", True).csv(first).columns]
+    rows = rows.schema(", ".join(f"`c{i}` string" for i in range(len(names)))).option("enforceSchema", True)
+    rest = rows.option("header", False).csv(path).where(file != first)
+    return rows.option("header", True).csv(first).unionAll(rest).na.fill("").toDF(*names)
 
 
 def write_statements(df: DataFrame, path: str, name: str = "statement") -> None:

@@ -1,3 +1,5 @@
+import csv
+import io
 import tracemalloc
 import zipfile
 
@@ -142,13 +144,31 @@ def test_csv_without_fitting_encoding(spark, tmp_path):
 def test_csv_bom_sink_round_trip(spark, tmp_path, frame):
     df = frame("编码, 值", [("1", 'a,"b"'), ("2", "x\ny")])
     out = str(tmp_path / "out")
-    tf.write_csv_bom(df.coalesce(1), out)
-    part = next((tmp_path / "out").glob("part-*.csv"))
-    assert part.read_bytes().startswith("﻿编码,值\n".encode("utf-8"))
+    tf.write_csv_bom(df.coalesce(1), out, single_file=True)
+    (part,) = (tmp_path / "out").glob("part-*")
+    assert part.read_bytes().startswith("\ufeff编码,值\n".encode("utf-8"))
     back = tf.read_csv_text(spark, [str(part)])
     assert {tuple(r)[:2] for r in back.collect()} == {tuple(r) for r in df.collect()}
 
 
+def test_csv_bom_has_one_mark_and_one_header(spark, tmp_path):
+    df = spark.range(0, 1000, numPartitions=7).select(
+        F.concat(F.lit(" "), "id").alias('a,"b'), F.when(F.col("id") % 3 > 0, F.concat(F.lit('say "'), "id", F.lit('", then\n'))).alias("备注"), F.lit("").alias("c")
+    )
+    out = tmp_path / "out"
+    tf.write_csv_bom(df, str(out))
+    tf.write_csv_bom(df, str(out))  # replaces what was there
+    parts = sorted(out.glob("part-*"))
+    assert len(parts) == 8
+    whole = b"".join(p.read_bytes() for p in parts)
+    assert whole.startswith('\ufeff"a,""b",备注,c\n'.encode()) and whole.count("\ufeff".encode()) == 1
+    rows = list(csv.reader(io.StringIO(whole.decode("utf-8-sig"), newline="")))
+    assert rows[0] == ['a,"b', "备注", "c"]
+    assert rows[1:] == [[x or "" for x in r] for r in df.collect()]
+    back = tf.read_csv_parts(spark, str(out))
+    assert back.columns == rows[0] and sorted(map(list, back.collect())) == sorted(rows[1:])
+
+
 def test_statement_sink_overwrites(spark, tmp_path, frame):
     out = str(tmp_path / "sql")
     tf.write_statements(frame("statement", [("A;",), ("B;",)]), out)
