@@ -1,82 +1,197 @@
-"""CSV files in mixed encodings, and text sinks."""
+"""CSV files in mixed encodings, and text sinks.
+
+A file is read in ranges of bytes, each by the task it is dealt to, which opens
+the file where it lies.  A range begins after the first line break in it and
+ends with the first one after it, so that it holds whole characters in every
+encoding.  The first pass tries the encodings on each range and counts quotes;
+what a file's ranges found is put together in a DataFrame: its encoding, and
+whether a range begins inside a quoted field.  The second pass parses the
+records that begin in a range.  No file is held whole, and none is listed on
+the driver.
+"""
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablerecon.functions.names import col
+from tablerecon.sources.files import listed, opened
 
 # The order in which encodings are tried.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "utf-16")
 
-# Each byte as one character; two-byte codes must pair a lead and a trail byte.
-_GBK_LINE = r"^(?:[\x00-\x7f]|[\x81-\xfe][\x40-\x7e\x80-\xfe])*+$"
-_GB2312_LINE = r"^(?:[\x00-\x7f]|[\xa1-\xf7][\xa1-\xfe])*+$"
+#: Bytes of a range, of what is read at once, and of a header at most.
+RANGE_BYTES, _CHUNK, _HEAD = 64 << 20, 1 << 20, 1 << 20
+_BATCH_ROWS = 5_000
 
 BOM = "\ufeff"
+_MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 
 
 class EncodingError(ValueError):
     """Files none of the encodings can read."""
 
 
-def probe_encodings(spark: SparkSession, paths: Sequence[str], encodings: Sequence[str] = ENCODINGS) -> DataFrame:
-    """The first encoding that reads the whole of each file.
-
-    Gives ``file``, ``encoding`` (null if none fits) and ``multiline``: does a
-    quoted field hold a line break?  Lines are checked as bytes wherever the
-    files' blocks are read, and one small row per file is combined.
-    """
-    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), "value")
-    as_bytes = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    # Counted in bytes: read as UTF-8, a GBK lead byte can swallow a quote.
-    quotes = F.length(as_bytes) - F.length(F.replace(as_bytes, F.lit('"'), F.lit("")))
-    # UTF-16 files start with a byte order mark, which no other encoding allows.
-    checks = {
-        "utf-8": F.bool_and(F.is_valid_utf8("value")),
-        "gbk": F.bool_and(as_bytes.rlike(_GBK_LINE)),
-        "gb2312": F.bool_and(as_bytes.rlike(_GB2312_LINE)),
-        "utf-16": F.bool_or(as_bytes.rlike(r"^(?:\xff\xfe|\xfe\xff)")),
-    }
-    chosen = None
-    for e in encodings:
-        fits = checks[e]
-        chosen = F.when(fits, F.lit(e)) if chosen is None else chosen.when(fits, F.lit(e))
-    return lines.groupBy("file").agg(
-        chosen.alias("encoding"), F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("multiline")
+def _mark(f) -> tuple[int, str | None]:
+    """Length of the byte order mark and the encoding it stands for."""
+    f.seek(0)
+    start = f.read(3)
+    return next(((len(m), e) for m, e in _MARKS if start.startswith(m)), (0, None))
+
+
+def _units(chunk: bytes, mark: str | None) -> np.ndarray:
+    """Bytes, or the two-byte units of UTF-16."""
+    kind = {"utf-16-le": "<u2", "utf-16-be": ">u2"}.get(mark, "u1")
+    return np.frombuffer(chunk, kind, len(chunk) // np.dtype(kind).itemsize)
+
+
+def _after_break(f, at: int, length: int, mark: str | None) -> int:
+    """The place after the first line break at or behind ``at``."""
+    f.seek(at)
+    while at < length and (chunk := f.read(_CHUNK)):
+        units = _units(chunk, mark)
+        found = np.flatnonzero(units == 10)
+        if len(found):
+            return at + (int(found[0]) + 1) * units.itemsize
+        at += len(chunk)
+    return length
+
+
+def _bounds(f, part: int, length: int, range_bytes: int) -> tuple[int, int, str | None]:
+    """Begin and end of a range, and the encoding a mark gives."""
+    skip, mark = _mark(f)
+    begin = _after_break(f, part * range_bytes, length, mark) if part else skip
+    last = (part + 1) * range_bytes >= length
+    return begin, max(begin, length if last else _after_break(f, (part + 1) * range_bytes, length, mark)), mark
+
+
+def _decoder(encoding: str, mark: str | None):
+    if encoding == "utf-16":
+        return codecs.getincrementaldecoder(mark)() if mark and mark != "utf-8" else None
+    return None if mark and mark != "utf-8" else codecs.getincrementaldecoder(encoding)()
+
+
+def _scan(f, part: int, length: int, range_bytes: int, encodings: Sequence[str]) -> dict:
+    """What one range says: which encodings read it, its quotes, and line breaks after an even and an odd number of them."""
+    begin, end, mark = _bounds(f, part, length, range_bytes)
+    tried = {e: _decoder(e, mark) for e in encodings}
+    fits = {e: d is not None for e, d in tried.items()}
+    quotes, breaks, at = 0, [0, 0], begin
+    head = b""
+    f.seek(begin)
+    while at < end and (chunk := f.read(min(_CHUNK, end - at))):
+        at += len(chunk)
+        head += chunk[: _HEAD - len(head)] if part == 0 else b""
+        for e in encodings:
+            try:
+                if fits[e]:
+                    tried[e].decode(chunk, at >= end)
+            except UnicodeDecodeError:
+                fits[e] = False
+        units = _units(chunk, mark)
+        seen = quotes + np.cumsum(units == 34)
+        odd = int((seen[units == 10] & 1).sum())
+        breaks[1] += odd
+        breaks[0] += int((units == 10).sum()) - odd
+        quotes = int(seen[-1]) if len(seen) else quotes
+    return {"begin": begin, "end": end, "quotes": quotes, "breaks": breaks, "fits": [fits[e] for e in encodings], "head": head, "mark": mark}
+
+
+def _ranges(spark: SparkSession, paths: Sequence[str], encodings: Sequence[str], range_bytes: int, through_spark: bool | None) -> DataFrame:
+    """One row per range: file, part, length, begin, end, head, mark, ``inside`` (a quoted field), ``encoding`` and ``multiline``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, length, part, content in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "part", "content"))):
+                with opened(path, content) as f:
+                    rows.append({"file": path, "length": length, "part": part, "content": content} | _scan(f, part, length, range_bytes, encodings))
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    files = listed(spark, paths, through_spark)
+    # A file that came along as a cell is one range, as it is held whole already.
+    last = F.when(F.col("content").isNull(), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / range_bytes)).otherwise(F.lit(0))
+    parts = files.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("part"))
+    types = {"file": pa.string(), "length": pa.int64(), "part": pa.int64(), "content": pa.binary(), "begin": pa.int64(), "end": pa.int64(), "quotes": pa.int64()}
+    types |= {"breaks": pa.list_(pa.int64()), "fits": pa.list_(pa.bool_()), "head": pa.binary(), "mark": pa.string()}
+    schema = pa.schema(list(types.items()))
+    ddl = (
+        "file string, length long, part long, content binary, begin long, end long, quotes long, breaks array<long>, fits array<boolean>, head binary, mark string"
     )
+    scanned = parts.repartition(_tasks(spark), "path", "part").mapInArrow(run, ddl)
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    chosen = F.lit(None).cast("string")
+    for i, e in reversed(list(enumerate(encodings))):
+        chosen = F.when(F.bool_and(F.get("fits", F.lit(i))).over(whole), F.lit(e)).otherwise(chosen)
+    placed = scanned.withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).withColumn("encoding", chosen)
+    quoted = F.get("breaks", F.when(F.col("inside"), 0).otherwise(1))
+    return placed.withColumn("multiline", F.sum(quoted).over(whole) > 0).drop("fits", "breaks", "quotes")
 
 
-# Encodings Spark's CSV reader has no charset for.
-_DECODED_LATER = ("gbk", "gb2312")
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
-def _decoder(encoding: str):
-    """Bytes that were read as Latin-1 characters, decoded batch by batch."""
-
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: v.encode("latin-1").decode(encoding), na_action="ignore")
-
-    return decode
-
+def probe_encodings(
+    spark: SparkSession, paths: Sequence[str], encodings: Sequence[str] = ENCODINGS, range_bytes: int = RANGE_BYTES, through_spark: bool | None = None
+) -> DataFrame:
+    """The first encoding that reads the whole of each file.
 
-def _reader(spark: SparkSession, encoding: str, multiline: bool):
-    # In these encodings commas, quotes and line ends are never part of
-    # another character, so the fields can be cut as Latin-1 and decoded after.
-    return (
-        spark.read.option("encoding", "ISO-8859-1" if encoding in _DECODED_LATER else encoding)
-        .option("multiLine", multiline or encoding == "utf-16")
-        .option("escape", '"')
-        .option("inferSchema", False)
-    )
+    Gives ``file``, ``encoding`` (null if none fits) and ``multiline``: does a
+    quoted field hold a line break?  A UTF-16 file starts with a byte order
+    mark, and no other encoding reads such a file.
+    """
+    return _ranges(spark, paths, encodings, range_bytes, through_spark).where("part = 0").select("file", "encoding", "multiline")
+
+
+def _lines(f, begin: int, encoding: str, mark: str | None) -> Iterator[tuple[str, int]]:
+    """Lines with their line breaks, and their lengths in bytes."""
+    f.seek(begin)
+    if encoding != "utf-16":
+        for raw in f:
+            yield raw.decode(encoding), len(raw)
+        return
+    decoder, rest = codecs.getincrementaldecoder(mark)(), ""
+    while chunk := f.read(_CHUNK):
+        *whole, rest = (rest + decoder.decode(chunk)).split("\n")
+        yield from ((line + "\n", len((line + "\n").encode(mark))) for line in whole)
+    if rest:
+        yield rest, len(rest.encode(mark))
+
+
+def _records(f, begin: int, end: int, inside: bool, encoding: str, mark: str | None) -> Iterator[str]:
+    """The records that begin in a range; the last one may reach beyond it."""
+    at, open_quote, held = begin, inside, []
+    skipping = inside
+    for line, size in _lines(f, begin, encoding, mark):
+        if at >= end and not held and not skipping:
+            return
+        at += size
+        open_quote ^= line.count('"') % 2 == 1
+        if skipping:
+            skipping = open_quote
+            if not skipping and at >= end:
+                return
+            continue
+        held.append(line)
+        if not open_quote:
+            yield "".join(held)
+            held = []
+    if held:
+        yield "".join(held)
+
+
+def _fields(records: Iterator[str]) -> Iterator[list[str]]:
+    return csv.reader(line for record in records for line in io.StringIO(record, newline=""))
 
 
 def read_csv_text(
@@ -84,72 +199,67 @@ def read_csv_text(
     paths: Sequence[str],
     encodings: Sequence[str] = ENCODINGS,
     header_from: str | None = None,
+    range_bytes: int = RANGE_BYTES,
+    through_spark: bool | None = None,
 ) -> DataFrame:
     """CSV files as text columns, whatever their encodings.
 
     The header of the first file given (or of ``header_from``) names the
     columns of all files by position, nothing is taken for null, and ``_file`` says
-    where a row comes from.  The files' list is the only thing gathered.
+    where a row comes from.  ``through_spark`` has the files read by Spark
+    instead of Python (by default where Python has no access to the store).
     """
-    probed = probe_encodings(spark, paths, encodings).collect()
-    unread = [r["file"] for r in probed if r["encoding"] is None]
+    ranges = _ranges(spark, paths, encodings, range_bytes, through_spark)
+    first = ranges.where("part = 0")
+    unread = [r["file"] for r in first.where("encoding IS NULL").select("file").limit(20).collect()]
     if unread:
         raise EncodingError(f"no encoding of {', '.join(encodings)} reads {', '.join(unread)}")
-    by_file = {r["file"]: (r["encoding"], r["multiline"]) for r in probed}
     last_part = (header_from or paths[0]).rstrip("/").rsplit("/", 1)[-1]
-    first = min([f for f in by_file if f.rsplit("/", 1)[-1] == last_part] or by_file)
-    encoding, multiline = by_file[first]
-    names = _reader(spark, encoding, multiline).option("header", True).csv(first).columns
-    if encoding in _DECODED_LATER:
-        names = [n.encode("latin-1").decode(encoding) for n in names]
-    names = [n.removeprefix(BOM) for n in names]
-    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    groups: dict[tuple[str, bool], list[str]] = {}
-    for file, kind in sorted(by_file.items()):
-        groups.setdefault(kind, []).append(file)
-    parts = []
-    for (encoding, multiline), files in groups.items():
-        rows = _reader(spark, encoding, multiline).option("header", True).option("enforceSchema", True).schema(schema)
-        decode = _decoder(encoding) if encoding in _DECODED_LATER else (lambda c: c)
-        texts = [F.coalesce(decode(col(n)), F.lit("")).alias(n) for n in names]
-        parts.append(rows.csv(files).select(*texts, F.col("_metadata.file_path").alias("_file")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _header(text: str) -> list[str]:
-    first = next(csv.reader(io.StringIO(text.removeprefix(BOM), newline="")), [])
-    return [n for n in first if n.strip()]
-
-
-def csv_catalog(spark: SparkSession, paths: Sequence[str], encodings: Sequence[str] = ENCODINGS) -> DataFrame:
-    """Every CSV file with its encoding and its non-blank header columns.
-
-    Headers are first lines; only UTF-16 files, whose bytes cannot be cut at
-    line ends, are opened as a whole.
-    """
+    wanted = F.element_at(F.split("file", "/"), -1) != last_part
+    top = first.orderBy(wanted, "file").select("head", "encoding", "mark").first()
+    names = _header(bytes(top["head"]), top["encoding"], top["mark"], blank=True) if top else []
+    schema = pa.schema([(f"c{i}", pa.string()) for i in range(len(names) + 1)])
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        needed = ("file", "part", "begin", "end", "inside", "encoding", "mark", "content")
+        for batch in batches:
+            for path, part, begin, end, inside, encoding, mark, content in zip(*(batch.column(c).to_pylist() for c in needed)):
+                with opened(path, content) as f:
+                    rows: list[list[str]] = []
+                    for i, fields in enumerate(r for r in _fields(_records(f, begin, end, inside, encoding, mark)) if r):
+                        if i or part:
+                            rows.append([*fields[: len(names)], *[""] * (len(names) - len(fields)), path])
+                        if len(rows) == _BATCH_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=schema)
+                            rows = []
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=schema)
+
+    dealt = ranges.drop("head").repartition(_tasks(spark), "file", "part")
+    loaded = dealt.mapInArrow(load, ", ".join(f"c{i} string" for i in range(len(names) + 1)))
+    return loaded.toDF(*names, "_file")
+
+
+def _header(head: bytes, encoding: str, mark: str | None, blank: bool = False) -> list[str]:
+    """Column names from the beginning of a file; blank ones only if asked for."""
+    text = head.decode(mark if encoding == "utf-16" else encoding, "ignore")
+    names = next(csv.reader(io.StringIO(text, newline="")), [])
+    return [n for n in names if blank or n.strip()]
+
+
+def csv_catalog(
+    spark: SparkSession, paths: Sequence[str], encodings: Sequence[str] = ENCODINGS, through_spark: bool | None = None
+) -> DataFrame:
+    """Every CSV file with its encoding and its non-blank header columns."""
 
-    @F.pandas_udf("array<string>")
-    def of_line(line: pd.Series, encoding: pd.Series) -> pd.Series:
-        return pd.Series([_header(t.encode("latin-1").decode(e)) for t, e in zip(line, encoding)])
-
-    @F.pandas_udf("array<string>")
-    def of_file(content: pd.Series) -> pd.Series:
-        return content.map(lambda c: _header(c.decode("utf-16")))
-
-    known = probe_encodings(spark, paths, encodings).where("encoding IS NOT NULL").select("file", "encoding")
-    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
-    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("line"))
-    as_latin = F.decode(F.col("line").cast("binary"), "ISO-8859-1")
-    out = known.where("encoding <> 'utf-16'").join(first, "file")
-    out = out.select("file", "encoding", of_line(as_latin, "encoding").alias("columns"))
-    wide = [r["file"] for r in known.where("encoding = 'utf-16'").collect()]
-    if not wide:
-        return out
-    whole = spark.read.format("binaryFile").load(wide)
-    return out.unionByName(
-        whole.select(F.col("_metadata.file_path").alias("file"), F.lit("utf-16").alias("encoding"), of_file("content").alias("columns"))
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = zip(*(batch.column(c).to_pylist() for c in ("head", "encoding", "mark")))
+            names = pa.array([_header(h, e, m) for h, e, m in heads], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("encoding"), names], names=["file", "encoding", "columns"])
+
+    first = _ranges(spark, paths, encodings, RANGE_BYTES, through_spark).where("part = 0 AND encoding IS NOT NULL")
+    return first.select("file", "encoding", "mark", "head").mapInArrow(run, "file string, encoding string, columns array<string>")
 
 
 # How rows become lines.

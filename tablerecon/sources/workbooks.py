@@ -11,7 +11,6 @@ Spark's ``binaryFile`` source instead, one file a cell.
 from __future__ import annotations
 
 import datetime
-import io
 import re
 import zipfile
 from array import array
@@ -26,13 +25,11 @@ from pyspark.sql import functions as F
 
 from tablerecon.functions.numbers import decimals_of, is_date_format
 from tablerecon.operators.columns import clean_name
+from tablerecon.sources.files import listed, opened
 
 #: Cells of a batch, and bytes of XML that are parsed at once.
 _BATCH_CELLS = 100_000
 _CHUNK = 256 << 10
-#: Schemes that are opened from Python, and the name it has for them.
-_OPENED = {"file": "file", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
-
 # Built-in number formats that a workbook does not spell out.
 _BUILTIN_FORMATS = {
     0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 14: "yyyy-mm-dd",
@@ -305,31 +302,8 @@ def header_names(book: _Book, sheet: str, layout: Layout) -> list[str]:
     return names
 
 
-def _scheme(path: str) -> str:
-    return path.partition(":")[0].lower() if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else "file"
-
-
-def open_binary(path: str):
-    """A file as Spark names it, open for random access from Python."""
-    scheme = _scheme(path)
-    if scheme == "file":
-        return open(re.sub(r"^file:(//(?=/))?", "", path), "rb")
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(_OPENED[scheme] + path[path.index(":") :])
-    return system.open_input_file(inner)
-
-
-def _files(spark: SparkSession, paths: Sequence[str], through_spark: bool | None) -> DataFrame:
-    """path, and content where Python cannot open the store itself."""
-    files = spark.read.format("binaryFile").load(list(paths))
-    if through_spark is None:
-        through_spark = any(_scheme(p) not in _OPENED for p in map(str, files.inputFiles()[:1]))
-    return files.select("path", "content" if through_spark else F.lit(None).cast("binary").alias("content"))
-
-
 def _opened(path: str, content: bytes | None) -> _Book:
-    return _Book(open_binary(path) if content is None else io.BytesIO(content))
+    return _Book(opened(path, content))
 
 
 def _catalog(files: DataFrame, layout: Layout, sheet: str | None = None) -> DataFrame:
@@ -354,7 +328,7 @@ def workbook_catalog(
     spark: SparkSession, paths: Sequence[str], layout: Layout = Layout(), through_spark: bool | None = None
 ) -> DataFrame:
     """Every sheet of every workbook with its column names."""
-    return _catalog(_files(spark, paths, through_spark), layout).drop("content")
+    return _catalog(listed(spark, paths, through_spark), layout).drop("content")
 
 
 def read_workbooks(
@@ -374,7 +348,7 @@ def read_workbooks(
     otherwise all are read.  ``through_spark`` has the files read by Spark
     instead of Python (by default where Python has no access to the store).
     """
-    catalog = _catalog(_files(spark, paths, through_spark), layout, sheet)
+    catalog = _catalog(listed(spark, paths, through_spark), layout, sheet)
     if columns is None:
         places = catalog.select(F.posexplode("columns").alias("place", "name"))
         # Distinct names only: a sheet has at most 16,384 columns.

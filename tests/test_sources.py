@@ -11,6 +11,7 @@ from tablerecon.plans.rules import load_rules
 from tablerecon.sources import textfiles as tf
 from tablerecon.sources import workbooks as wb
 from tablerecon.sources.datagen import generate_like, permuted
+from tablerecon.sources.files import open_binary
 
 
 def test_workbooks_single_header(spark, tmp_path):
@@ -90,7 +91,7 @@ def test_sheet_details(spark, tmp_path):
     rows = wb.read_workbooks(spark, [str(path)]).orderBy("_row").collect()
     assert [tuple(r)[2:] for r in rows] == [(3, None, "#N/A", None, "1000"), (4, "False", None, None, None)]
     assert rows[0].__fields__[3:] == ["a&b", "c", "_column_3", "_column_4"]
-    with wb.open_binary(str(path)) as f:
+    with open_binary(str(path)) as f:
         assert wb._Book(f).merged("s") == [(1, 0, 1)]
 
 
@@ -109,7 +110,7 @@ def test_a_long_sheet_streams(tmp_path):
                 f.write(f'<row r="{r}">{"".join(f"""<c r="{c}{r}"><v>{r * 7919}</v></c>""" for c in "ABCDEFGH")}</row>'.encode())
             f.write(b"</sheetData></worksheet>")
     tracemalloc.start()
-    with wb.open_binary(str(path)) as f:
+    with open_binary(str(path)) as f:
         n = sum(len(cells) for _, cells, _ in wb._Book(f).rows("s", False, frozenset([0, 7])))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
@@ -135,6 +136,31 @@ def test_csv_encodings(spark, tmp_path):
     assert df.count() == 9
 
 
+def test_csv_ranges_cut_anywhere(spark, tmp_path):
+    """Records are whole and in no range twice, wherever ranges cut them, in every encoding."""
+    rows = [["编码", "名 称", "note"]]
+    for i in range(300):
+        rows.append([str(i), ["洹水", 'say "郦"', "两行\n文字\n三", "", "x,y", "q\r\nz"][i % 6], ["", "a", "\u3000", '""'][i % 4] * (i % 9)])
+    text = io.StringIO(newline="")
+    csv.writer(text, lineterminator="\n").writerows(rows)
+    for name, encoding in (("a", "utf-8"), ("b", "gbk"), ("c", "utf-16"), ("d", "utf-8-sig"), ("e", "utf-16-be")):
+        mark = "\ufeff" if encoding == "utf-16-be" else ""
+        (tmp_path / f"{name}.csv").write_bytes((mark + text.getvalue()).encode(encoding))
+    (tmp_path / "f.csv").write_bytes(b"")
+    (tmp_path / "g.csv").write_bytes("only,a,header".encode())
+    expected = sorted(map(tuple, rows[1:]))
+    for size in (10, 64, 1000, 1 << 20):
+        df = tf.read_csv_text(spark, [str(tmp_path)], header_from="a.csv", range_bytes=size)
+        assert df.columns == ["编码", "名 称", "note", "_file"]
+        got = df.collect()
+        for name in "abcde":
+            assert sorted(tuple(r)[:3] for r in got if r["_file"].endswith(f"/{name}.csv")) == expected, (name, size)
+        assert len(got) == 5 * 300
+    whole = tf.read_csv_text(spark, [str(tmp_path)], header_from="a.csv", through_spark=True)
+    assert whole.count() == 5 * 300
+    assert tf.read_csv_text(spark, [str(tmp_path / "f.csv")]).columns == ["_file"]
+
+
 def test_csv_without_fitting_encoding(spark, tmp_path):
     (tmp_path / "bad.csv").write_bytes(b"k\n\xff\x01\xfa\n")
     with pytest.raises(tf.EncodingError):
