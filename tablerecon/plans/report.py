@@ -83,7 +83,7 @@ def _shown(result: Comparison, tag: str, field: str) -> Column:
 def diff_records(result: Comparison) -> DataFrame:
     """One row per differing field: key, field, both values.
 
-    Only differences are unfolded, so equal rows make no rows here.
+    Equal rows are dropped first, so values are written out for differing ones only.
     """
     entries = [
         F.when(
@@ -97,7 +97,7 @@ def diff_records(result: Comparison) -> DataFrame:
         for f in result.fields
     ]
     found = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    rows = result.frame.where(F.col(IN_SRC) & F.col(IN_TGT)).select(*result.key_columns, F.explode(found).alias("_record"))
+    rows = result.differing().select(*result.key_columns, F.explode(found).alias("_record"))
     return rows.select(*[col(k) for k in result.keys], "_record.*")
 
 
