@@ -43,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def parts_for(texts: DataFrame, text_col: str, part_bytes: int) -> int:
+    """Into how many parts work on texts is dealt, so that a part's share of them has about ``part_bytes``.
+
+    At least as many as shuffle partitions, and 64.
+    """
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("long")), F.lit(0))).first()[0]
+    return max(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column's name begins so, in any case."""
     while any(c.lower().startswith(name.lower()) for c in df.columns):

@@ -3,9 +3,14 @@
 Vectors are dealt by their id into shards of bounded size.  A shard builds one
 hierarchical navigable small-world graph: nodes enter in random order, each is
 linked to near and mutually far nodes among those before it, and levels thin
-out geometrically.  Neighbours are stored as flat arrays, padded with -1.
-Queries, packed in blocks, are searched in every shard; the shards' results
-are merged by exact distance.
+out geometrically.  The candidates for these links are exact: distances to all
+earlier nodes of the shard, a matrix product that the shard's size bounds.
+Neighbours are stored as flat arrays, padded with -1, and written to the
+shared folder, so that no graph is built twice.  Queries, packed in blocks, are
+searched in every shard; a task holds one graph and a bounded number of blocks,
+however many queries there are.  The shards' results are merged by exact
+distance.  The number of searches is queries times shards: give larger shards
+to larger tables, as far as a task's memory goes.
 
 Equal vectors are one node of a shard, which keeps its smallest ids only as
 far as a query can need them, so copies neither crowd a neighbour list nor
@@ -21,6 +26,7 @@ wanted all are found; no rows give no rows.  Other columns are not read.
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 from heapq import heappop, heappush, heapreplace
 
@@ -29,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablerecon.llm.common import forget, stored
+
 #: Rows of a shard, about.
-SHARD_ROWS = 4096
-#: Queries that travel together.
-QUERY_BLOCK = 512
+SHARD_ROWS = 16_384
+#: Queries that travel together, and blocks of them that a task holds at once.
+QUERY_BLOCK, BLOCKS_AT_ONCE = 512, 16
 LINKS = 16
 #: Candidates a new node picks its links from, and width of a search.
 BUILD_WIDTH = 64
@@ -195,31 +203,38 @@ def nearest(
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int"))
     packed = asked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("queries"))
-    # Every block of queries goes to every shard, as one row each time.
-    sent = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "queries")
+    # Every block of queries goes to every shard, as one row each time; every graph to every group of blocks.
+    group = F.floor(F.col("block") / BLOCKS_AT_ONCE).cast("int").alias("group")
+    sent = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), group, "queries")
+    groups = F.sequence(F.lit(0), F.lit((blocks - 1) // BLOCKS_AT_ONCE))
+
+    def make(table: pa.Table) -> pa.Table:
+        forget()
+        ids = table.column("vec_id").to_numpy()
+        values = table.column("vector").combine_chunks()
+        widths = np.diff(values.offsets.to_numpy())
+        if len(set(widths.tolist())) > 1:
+            raise ValueError("vectors differ in length")
+        x = values.flatten().to_numpy().reshape(len(ids), -1)
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], np.ascontiguousarray(x[order])
+        distinct, at = np.unique(x, axis=0, return_inverse=True)
+        mixed = np.random.default_rng(0).permutation(len(distinct))
+        graph = build(distinct[mixed])
+        # Ids of each node, smallest first, one more than wanted as one may be the query's own.
+        holders: list[list[int]] = [[] for _ in distinct]
+        place = np.empty(len(distinct), np.int64)
+        place[mixed] = np.arange(len(distinct))
+        for i, node in zip(ids.tolist(), place[at.ravel()].tolist()):
+            if len(holders[node]) <= wanted and i not in holders[node]:
+                holders[node].append(i)
+        data = pickle.dumps((graph, distinct[mixed], holders), 5)
+        return pa.table({"shard": table.column("shard").slice(0, 1), "graph": pa.array([data], pa.binary())})
 
-    def run(table: pa.Table, queries: pa.Table) -> pa.Table:
+    def run(graphs: pa.Table, queries: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if table.num_rows:
-            ids = table.column("vec_id").to_numpy()
-            values = table.column("vector").combine_chunks()
-            widths = np.diff(values.offsets.to_numpy())
-            if len(set(widths.tolist())) > 1:
-                raise ValueError("vectors differ in length")
-            x = values.flatten().to_numpy().reshape(len(ids), -1)
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], np.ascontiguousarray(x[order])
-            distinct, at = np.unique(x, axis=0, return_inverse=True)
-            mixed = np.random.default_rng(0).permutation(len(distinct))
-            graph = build(distinct[mixed])
-            # Ids of each node, smallest first, one more than wanted as one may be the query's own.
-            holders: list[list[int]] = [[] for _ in distinct]
-            place = np.empty(len(distinct), np.int64)
-            place[mixed] = np.arange(len(distinct))
-            for i, node in zip(ids.tolist(), place[at.ravel()].tolist()):
-                if len(holders[node]) <= wanted and i not in holders[node]:
-                    holders[node].append(i)
-            exact = distinct[mixed]
+        if graphs.num_rows and queries.num_rows:
+            graph, exact, holders = pickle.loads(graphs.column("graph")[0].as_py())
             for block in queries.column("queries"):
                 for query in block.as_py():
                     q = np.array(query["vector"])
@@ -234,7 +249,10 @@ def nearest(
                         out["score"].append(s)
         return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    found = rows.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(run, "query_id long, vec_id long, score double")
+    graphs = stored(rows.groupBy("shard").applyInArrow(make, "shard int, graph binary"), "graphs")
+    graphs = graphs.withColumn("group", F.explode(groups))
+    keys = ["shard", "group"]
+    found = graphs.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
     # A query of a repeated id counts once: its nearest of either vector.
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablerecon.llm.common import add_columns, cut, forget
+from tablerecon.llm.common import add_columns, cut, forget, parts_for
 from tablerecon.llm.components import components
 from tablerecon.llm.wordhash import Words, words_of
 
@@ -39,6 +39,8 @@ WIDTH = 4
 PERCENT = 85
 #: N-grams a task gathers before it sends them on.
 GATHERED = 500_000
+#: Text whose n-grams one hash range holds, about four times as much.
+PART_BYTES = 64 << 20
 #: Members of a block; a task of the block stage holds two blocks.
 BLOCK = 256
 #: Hash ranges of a set by which the suffix filter bounds an overlap.
@@ -337,12 +339,11 @@ def near_duplicates(
     """doc_id, n_shingles and component_id, the smallest id reachable by links, of each row.
 
     ``carry`` names a column that goes along, as does then ``component``, a
-    name of the component that is null for an empty set.  ``parts`` is the number of hash ranges the n-grams are counted in, by
-    default the number of shuffle partitions (64 at least): a range should fit
-    in a task's memory.
+    name of the component that is null for an empty set.  ``parts`` is the
+    number of hash ranges the n-grams are counted in, by default from the bytes
+    of text: a range should fit in a task's memory.
     """
-    spark = docs.sparkSession
-    parts = parts or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or parts_for(docs, text_col, PART_BYTES)
     own_columns = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
     own = docs.select(*own_columns)
     carried = [F.col(f"`{carry}`").alias("carried")] if carry else []

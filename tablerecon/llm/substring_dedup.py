@@ -38,11 +38,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablerecon.llm.common import parts_for
 from tablerecon.llm.wordhash import Words, mix, words_of
 
 WIDTH = 20
 #: Words of an anchor.
 ANCHOR = 5
+#: Text of a shard.
+PART_BYTES = 64 << 20
 #: Anchors and bytes of text a task gathers before it sends them on.
 GATHERED = 1_000_000
 GATHERED_BYTES = 32 << 20
@@ -369,11 +372,10 @@ def remove_repeats(
 ) -> DataFrame:
     """doc_id, n_words, removed spans (word numbers) and kept words, joined by a space, of every row.
 
-    ``parts`` is the number of shards, by default the number of shuffle
-    partitions (64 at least): a shard's repeated segments, or its documents,
-    should fit in a task's memory.
+    ``parts`` is the number of shards, by default from the bytes of text: a
+    shard's repeated segments, or its documents, should fit in a task's memory.
     """
-    parts = parts or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or parts_for(docs, text_col, PART_BYTES)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     texts = _documents(own, parts).groupBy("part")
     repeated = _repeated(own, width, anchor, parts).groupBy("part")

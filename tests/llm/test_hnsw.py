@@ -49,6 +49,18 @@ def test_recall_and_ties(spark):
     assert got[0] == [(0.0, i) for i in range(200, 210)]
 
 
+def test_blocks_of_queries_meet_each_graph(spark, monkeypatch):
+    """More groups of query blocks than one, over several shards: the same rows."""
+    rng = np.random.default_rng(5)
+    rows = list(zip(range(0, 60_000, 100), rng.normal(size=(600, 8)).astype(np.float32).tolist()))
+    expected = brute(rows, lambda q: True)
+    monkeypatch.setattr(hnsw, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(hnsw, "BLOCKS_AT_ONCE", 3)
+    got = run(spark, rows, shard_rows=150)
+    assert got.keys() == expected.keys()
+    assert sum(len(set(got[q]) & set(expected[q])) for q in expected) >= 0.97 * 6000
+
+
 def test_few_and_odd_vectors(spark):
     rows = [
         (0, [1.0, 0.0]),
