@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 from tablerecon.llm.common import forget, stored
 
 #: Rows of a shard, about.
-SHARD_ROWS = 16_384
+SHARD_ROWS = 8192
 #: Queries that travel together, and blocks of them that a task holds at once.
 QUERY_BLOCK, BLOCKS_AT_ONCE = 512, 16
 LINKS = 16
 #: Candidates a new node picks its links from, and width of a search.
 BUILD_WIDTH = 64
-SEARCH_WIDTH = 160
+SEARCH_WIDTH = 200
 
 
 @dataclass

@@ -13,7 +13,10 @@ form a segment; only segments whose anchor occurs twice are sent, to the shard
 of their anchor.  There an anchor's segments, in order of document and
 position, are streamed through the automaton of those before them and then
 added to it.  Copies of a segment are resolved before it is sent, so a passage
-that many documents share reaches its shard once from each task.
+that many documents share reaches its shard once from each task.  A frequent
+phrase would bring all its differing surroundings to one shard as an anchor:
+where one occurs more than HOT times, each window is a segment of its own, with
+the whole window as its anchor, and only windows that are equal meet.
 
 Words are compared by 64-bit hashes within a document's own task, and by 32
 bits each across the network: windows that differ in a word are taken as equal
@@ -44,6 +47,8 @@ from tablerecon.llm.wordhash import Words, mix, words_of
 WIDTH = 20
 #: Words of an anchor.
 ANCHOR = 5
+#: Occurrences of an anchor from which its segments are cut into windows.
+HOT = 50_000
 #: Text of a shard.
 PART_BYTES = 64 << 20
 #: Anchors and bytes of text a task gathers before it sends them on.
@@ -190,8 +195,8 @@ def _texts(table: pa.Table) -> Iterator[tuple[int | None, bytes]]:
         yield from pickle.loads(zstandard.decompress(data.as_py()))
 
 
-def _repeated(docs: DataFrame, width: int, anchor: int, parts: int) -> DataFrame:
-    """By document key: the first windows of segments whose anchor occurs twice or more."""
+def _repeated(docs: DataFrame, width: int, anchor: int, parts: int, hot: int) -> DataFrame:
+    """By document key: the first windows of segments whose anchor occurs twice or more, and whether it is hot."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -220,11 +225,10 @@ def _repeated(docs: DataFrame, width: int, anchor: int, parts: int) -> DataFrame
         order = np.argsort(anchors, kind="stable")
         ranked = anchors[order]
         same = ranked[1:] == ranked[:-1]
-        twice = np.zeros(len(ranked), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        on = order[twice]
-        rows = _rows(_part(keys[on], parts), keys[on], first[on])
+        starts = np.flatnonzero(np.concatenate([[True], ~same])) if len(ranked) else np.zeros(0, np.int64)
+        times = np.repeat(np.diff(np.append(starts, len(ranked))), np.diff(np.append(starts, len(ranked))))
+        on = order[times > 1]
+        rows = _rows(_part(keys[on], parts), keys[on], first[on], (times[times > 1] > hot).astype(np.uint32))
         return pa.Table.from_batches([_batch([(p, pickle.dumps(v, 5)) for p, v in rows])])
 
     return docs.mapInArrow(send, _PACKED).groupBy("part").applyInArrow(count, _PACKED)
@@ -256,13 +260,20 @@ def _send_segments(width: int, anchor: int, parts: int):
             if key not in wanted or key in done:
                 continue  # equal rows are one document
             done.add(key)
-            repeated = wanted[key][0]
+            repeated, hot = wanted[key][0], set(wanted[key][0][wanted[key][1] > 0].tolist())
             for _, words in words_of(pa.array([text], pa.binary())):
                 for _, anchors, first, count in segments(words, width, anchor):
                     short = (words.hashes >> np.uint64(32)).astype(np.uint32)
+                    whole = words.windows(width) if hot else None
+                    pieces = []
                     for i in np.flatnonzero(np.isin(first, repeated)).tolist():
                         start, n = int(first[i]), int(count[i])
-                        name = int(anchors[i]), short[start : start + n + width - 1].tobytes()
+                        if start in hot:
+                            pieces += [(int(whole[j]), j, 1) for j in range(start, start + n)]
+                        else:
+                            pieces.append((int(anchors[i]), start, n))
+                    for name, start, n in pieces:
+                        name = name, short[start : start + n + width - 1].tobytes()
                         new, old = (own, h, start, key, n), earliest.get(name)
                         if old is None or new < old:
                             earliest[name], new = new, old
@@ -369,6 +380,7 @@ def remove_repeats(
     width: int = WIDTH,
     anchor: int = ANCHOR,
     parts: int | None = None,
+    hot: int = HOT,
 ) -> DataFrame:
     """doc_id, n_words, removed spans (word numbers) and kept words, joined by a space, of every row.
 
@@ -378,7 +390,7 @@ def remove_repeats(
     parts = parts or parts_for(docs, text_col, PART_BYTES)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     texts = _documents(own, parts).groupBy("part")
-    repeated = _repeated(own, width, anchor, parts).groupBy("part")
+    repeated = _repeated(own, width, anchor, parts, hot).groupBy("part")
     sent = repeated.cogroup(texts).applyInArrow(_send_segments(width, anchor, parts), _PACKED)
     hits = sent.groupBy("part").applyInArrow(_match(width, parts), _PACKED).groupBy("part")
     return hits.cogroup(texts).applyInArrow(

@@ -40,6 +40,8 @@ def test_matches_brute_force(docs):
     rows += [(600, None), (601, ""), (602, " \x0b "), (603, "same " * 3000), (604, "a b c " * 40), (None, rows[0][1]), (605, " ".join(shared[0] * 3))]
     for parts, anchor in ((None, 5), (3, 5), (2, 20), (4, 1)):
         assert run(docs(rows, "kept string, n_words int"), parts=parts, anchor=anchor) == brute(rows, 20), (parts, anchor)
+    for hot in (0, 2, 40):  # all, many and a few anchors are hot
+        assert run(docs(rows), parts=3, hot=hot) == brute(rows, 20), hot
 
 
 def test_shared_passages_of_many_documents(docs):
