@@ -72,3 +72,46 @@ def test_queries_never_see_labels_of_held_out_rows(spark, sf_dir):
     got = QUERIES["op5_quality"](spark, sf_dir).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_scores_do_not_hang_on_labels_of_held_out_rows(spark, sf_dir, tmp_path):
+    """Turning every held-out label round, and adding rows for held-out documents, changes no score."""
+    held = {"op3_toxicity": (5, 0), "op5_quality": (3, 1)}
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    for name, (folds, out) in held.items():
+        changed = labels
+        for label in ("quality", "toxic"):
+            changed = changed.withColumn(label, F.when(fold(F.col("doc_id"), folds) == out, 1 - F.col(label)).otherwise(F.col(label)))
+        more = spark.read.parquet(f"{sf_dir}/documents.parquet").where(fold(F.col("doc_id"), folds) == out)
+        more = more.select("doc_id", F.lit(1).alias("quality"), F.lit(1).alias("toxic"))
+        folder = tmp_path / name
+        changed.unionByName(more).write.parquet(str(folder / "labels.parquet"))
+        spark.read.parquet(f"{sf_dir}/documents.parquet").write.parquet(str(folder / "documents.parquet"))
+        before = {r.doc_id: (r.score, r.predicted) for r in QUERIES[name](spark, sf_dir).collect()}
+        after = {r.doc_id: (r.score, r.predicted) for r in QUERIES[name](spark, str(folder)).collect()}
+        assert before == after and len(before) > 100
+
+
+def test_training_mends_what_counting_gets_wrong(monkeypatch):
+    """Five words that always come together are one piece of evidence; counting takes them for five."""
+    rng = np.random.default_rng(4)
+    group = [f"often{i}" for i in range(5)]
+
+    def row(toxic):
+        words = {f"w{i}" for i in rng.integers(0, 30, 12)}
+        words |= set(group) if rng.random() < (0.45 if toxic else 0.05) else set()
+        return words | ({"slur"} if toxic and rng.random() < 0.8 else set())
+
+    def errors(model):
+        wrong = 0
+        for toxic, rows in ((1, test[0]), (0, test[1])):
+            wrong += sum((sum(model.weights.get(w, 0) for w in r) + model.bias >= 0) != toxic for r in rows)
+        return wrong
+
+    known, mixed = [row(True) for _ in range(600)], [row(rng.random() < 0.1) for _ in range(3000)]
+    test = [row(True) for _ in range(200)], [row(False) for _ in range(1800)]
+    monkeypatch.setattr(toxicity, "LEAST_PURITY", 0.3)
+    trained = errors(toxicity.non_negative_pu(known, mixed, 0.1))
+    monkeypatch.setattr(toxicity, "EPOCHS", 0)
+    counted = errors(toxicity.non_negative_pu(known, mixed, 0.1))
+    assert trained < 0.8 * counted, (trained, counted)
