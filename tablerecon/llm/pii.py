@@ -26,6 +26,7 @@ are not read, whatever their names, and kept by ``sanitise``.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -52,8 +53,10 @@ COUNTED = 400_000
 #: Bits a term has in the map that says which terms matter, and the least and the largest
 #: map's bits, as powers of two: 64 MB.  A join decides on its hits, so a full map costs time only.
 TERM_BITS, LEAST_BITS, MOST_BITS = 64, 20, 29
-#: Words of which a worker remembers the terms that matter.
-KNOWN = 200_000
+#: Documents that an entity and a term must have in common for the bound to be able to reach LIKELY.
+LEAST_BOTH = 1 + math.ceil(LIKELY * CONFIDENCE**2 / (1 - LIKELY))
+#: Words of which a worker remembers the terms that matter, about 160 bytes each.
+KNOWN = 400_000
 
 #: Fixed patterns, from the definition of the kinds.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -164,10 +167,16 @@ class Mattering(dict):
     def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) >= KNOWN:
             self.clear()
-        terms = {t.lower() for t in _TERM.findall(word)}
-        found = self[word] = tuple(t for t in terms if all(self.held[b >> 3] >> (b & 7) & 1 for b in _bits(t, self.bits)))
+        # Most words are letters with a sign behind them, which no pattern is needed for.
+        bare = word.rstrip(".,;:!?")
+        terms = ((bare.lower(),) if len(bare) > 1 else ()) if bare.isalpha() else {t.lower() for t in _TERM.findall(word)}
+        found = self[word] = tuple(t for t in terms if self._holds(t))
         return found
 
+    def _holds(self, term: str) -> bool:
+        a, b = _bits(term, self.bits)
+        return bool(self.held[a >> 3] >> (a & 7) & 1) and bool(self.held[b >> 3] >> (b & 7) & 1)
+
     def of(self, text: str) -> set[str]:
         """Of a text; no term reaches across white space."""
         return set(chain.from_iterable(map(self.__getitem__, set(text.split()))))
@@ -234,7 +243,7 @@ def _gives(both: Column, n_term: Column, n_entity: Column, total: int, disclosur
 def disclosing(found: DataFrame, docs: DataFrame, disclosure: float) -> DataFrame:
     """Terms that give an entity away, with ``exact``: a value, not only a group.
 
-    Terms and entities of a single document give nothing away and go first.
+    Terms and entities of too few documents to give anything away go first.
     Entities that stand in the same documents count as one, and a pair is formed
     only if the term could give the entity away were all its documents the
     entity's; neither changes the result.
@@ -244,7 +253,7 @@ def disclosing(found: DataFrame, docs: DataFrame, disclosure: float) -> DataFram
     rows = cut(rows)
     held = rows.select("row", "m", F.explode("held").alias("term"))
     # Copies beyond the first, by which the counts over all rows are too high.
-    tried = cut(held.groupBy("term").agg(F.count("*").alias("n_held"), F.sum(F.col("m") - 1).alias("copies")).where("n_held > 1"))
+    tried = cut(held.groupBy("term").agg(F.count("*").alias("n_held"), F.sum(F.col("m") - 1).alias("copies")).where(F.col("n_held") >= LEAST_BOTH))
     bits = docs.sparkSession.sparkContext.broadcast(bit_map(tried))
     counts = tried.join(term_counts(docs, bits), "term").select(
         F.col("term").alias("_t"), F.xxhash64("term").alias("_th"), (F.col("n_term") - F.col("copies")).alias("n_term")
@@ -252,7 +261,7 @@ def disclosing(found: DataFrame, docs: DataFrame, disclosure: float) -> DataFram
 
     named = rows.select("row", F.explode("entities").alias("entity"))
     stood = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(20,0)")) for k in (1, 2)]
-    sets = named.groupBy("entity").agg(F.count("*").alias("n_entity"), F.sha2(F.concat_ws(",", *stood), 256).alias("set")).where("n_entity > 1")
+    sets = named.groupBy("entity").agg(F.count("*").alias("n_entity"), F.sha2(F.concat_ws(",", *stood), 256).alias("set")).where(F.col("n_entity") >= LEAST_BOTH)
     sets = sets.select(F.col("entity").alias("_e"), F.xxhash64("entity").alias("_h"), "n_entity", "set")
     named = named.withColumn("h", F.xxhash64("entity")).join(sets, (F.col("entity") == F.col("_e")) & (F.col("h") == F.col("_h")))
     exact = F.bool_or(~F.substring_index("entity", ":", 1).endswith("*")).alias("exact")
