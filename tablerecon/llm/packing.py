@@ -27,6 +27,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ from tablerecon.llm.common import forget, once
 MAX_LENGTH = 2048
 END_ID = 1
 #: Memory of the words a worker keeps, by estimate, and text it looks up at once.
-KEPT_BYTES = 96 << 20
-LOOKUP_BYTES = 1 << 20
+KEPT_BYTES = 128 << 20
+LOOKUP_BYTES = 8 << 20
 #: Bytes of a kept word besides its own and its ids'.
 ENTRY_BYTES = 200
 #: Signs that are looked up apart when they end a word.
@@ -84,7 +85,8 @@ class WordIds:
         # A run of letters is one unit of the tokenizer, so many go in one call.
         letters = [w for w in words if w.isalpha()]
         others = [w for w in words if not w.isalpha()]
-        made: dict[str, bytes] = {}
+        made = self._by_place([w for w in others if w.isascii() and w])
+        others = [w for w in others if w not in made]
         for at in range(0, len(letters), 1024):
             part = letters[at : at + 1024]
             encoding = self.encoder.encode(" ".join(part), add_special_tokens=False)
@@ -99,41 +101,73 @@ class WordIds:
         made.update((w, self._ids(w)) for w in others)
         return made
 
-    def learn(self, split: list[list[str]]) -> None:
-        """Have the ids of all words of these texts kept."""
+    def _by_place(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of ASCII words, many in a call, told apart by where in the text each token begins."""
+        made: dict[str, bytes] = {}
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
+            encoding = self.encoder.encode(" ".join(part), add_special_tokens=False)
+            begins = np.fromiter((a for a, _ in encoding.offsets), np.int64, len(encoding.ids))
+            if (np.diff(begins) < 0).any():
+                continue
+            lengths = np.fromiter(map(len, part), np.int64, len(part))
+            cuts = np.append(np.searchsorted(begins, np.cumsum(lengths + 1) - lengths - 1), len(begins)).tolist()
+            data = np.array(encoding.ids, "<u4").tobytes()
+            made.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:]))
+        return made
+
+    def learn(self, words: list[str]) -> None:
+        """Have the ids of these distinct words kept."""
         if self.size > KEPT_BYTES:
-            self.kept, self.size = {}, 0
-        words = list(set().union(*split).difference(self.kept))
+            # Words seen just now are the likeliest to come again.
+            kept, self.kept, self.size = self.kept, {}, 0
+            self._keep({w: kept[w] for w in words if w in kept})
+        words = [w for w in words if w not in self.kept]
         bare = [w.rstrip(SIGNS) for w in words]
         bare = [b if b is w or self._ends_in_letter(b) else w for b, w in zip(bare, words)]
         signs = [w[len(b) :] for b, w in zip(bare, words)]
-        made = self._encode_words(list(set(bare).union(signs).difference(self.kept)))
-        self._keep(made)
+        self._keep(self._encode_words(list(set(bare).union(signs).difference(self.kept))))
         get = self.kept.__getitem__
-        ended = [(w, b, s) for w, b, s in zip(words, bare, signs) if s]
-        self._keep({w: add(get(b), get(s)) for w, b, s in ended})
+        self._keep({w: add(get(b), get(s)) for w, b, s in zip(words, bare, signs) if s})
 
     def _keep(self, made: dict[str, bytes]) -> None:
         self.kept.update(made)
-        self.size += sum(len(w) + len(i) for w, i in made.items()) + ENTRY_BYTES * len(made)
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if not self.by_word:
-            yield from (self._ids(t or "") for t in texts)
-            return
-        at = 0
-        while at < len(texts):
-            size, split = 0, []
-            while at < len(texts) and (not split or size < LOOKUP_BYTES):
-                text = texts[at] or ""
-                size += len(text)
-                split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-                at += 1
-            self.learn(split)
-            get = self.kept.__getitem__
-            for words in split:
-                yield b"".join(map(get, words))
+        self.size += sum(map(len, made)) + sum(map(len, made.values())) + ENTRY_BYTES * len(made)
+
+    def encode(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For runs of texts: the first row, all ids with ``end`` after each text, and where each text begins.
+
+        Words are told apart and numbered by Arrow, so that Python only sees
+        the distinct ones of a run.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        upto = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+        first = 0
+        while first < len(texts):
+            last = max(int(np.searchsorted(upto, upto[first] + LOOKUP_BYTES, "right")) - 1, first + 1)
+            part = texts.slice(first, last - first)
+            if self.by_word:
+                split = pc.ascii_split_whitespace(part)
+                numbered = split.flatten().dictionary_encode()
+                word, at = numbered.indices.to_numpy(), split.offsets.to_numpy()
+                distinct = numbered.dictionary.to_pylist()
+                self.learn(distinct)
+                units = list(map(self.kept.__getitem__, distinct))
+            else:
+                units = [self._ids(t) for t in part.to_pylist()]
+                word, at = np.arange(len(units)), np.arange(len(units) + 1)
+            # The tokens of the words in turn, and of one more word, the end, after each text.
+            units.append(np.array([end], "<u4").tobytes())
+            lengths = np.fromiter(map(len, units), np.int64, len(units)) // 4
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(units), "<u4"))
+            word = np.insert(word, at[1:] - at[0], len(units) - 1)
+            taken = lists.take(pa.array(word, pa.int32()))
+            out = taken.flatten().to_numpy()
+            starts = taken.offsets.to_numpy()[at - at[0] + np.arange(last - first + 1)]
+            starts = starts - starts[0]
+            yield first, out, starts
+            first = last
 
 
 def piece_lengths(total: int, longest: int) -> list[int]:
@@ -159,51 +193,30 @@ def pack(
     """
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget(tokenizer)
         words = once(tokenizer, lambda: WordIds(tokenizer))
         task = TaskContext.get().partitionId() << LENGTH_BITS
-        numbers = [0] * (longest.bit_length())
+        numbers = [0] * longest.bit_length()
         for batch in batches:
-            row: list[int] = []
-            columns: list[list[int]] = [[] for _ in range(5)]
-            data: list[bytes] = []
-            size = 0
-
-            def made() -> pa.RecordBatch:
-                start, length, crc, tokens, number = (pa.array(c, pa.int64()) for c in columns)
-                zeros = pa.array(np.zeros(len(row), np.int64))
-                out = [batch.column(0).take(pa.array(row, pa.int64())), start, length, crc, tokens, number, zeros]
-                if with_ids:
-                    cuts = np.concatenate([[0], np.cumsum(columns[1])]).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(cuts, np.frombuffer(b"".join(data), "<i4")))
-                return pa.RecordBatch.from_arrays(out, names=names)
-
-            for r, got in enumerate(words.encode(batch.column(1).to_pylist())):
-                whole = memoryview(got + end)
-                total, at = len(whole) // 4, 0
-                for n in piece_lengths(total, longest):
-                    digit = n.bit_length() - 1
-                    row.append(r)
-                    number = numbers[digit] << LENGTH_BITS + TASK_BITS | task | digit
-                    for column, value in zip(columns, (at, n, zlib.crc32(whole[at * 4 : (at + n) * 4]), total, number)):
-                        column.append(value)
-                    numbers[digit] += 1
-                    at += n
+            for first, ids, starts in words.encode(batch.column(1), end_id):
+                rows: list[tuple[int, int, int, int, int, int]] = []
+                data = memoryview(ids).cast("B")
+                for r, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist()), first):
+                    at = a
+                    for n in piece_lengths(b - a, longest):
+                        digit = n.bit_length() - 1
+                        number = numbers[digit] << LENGTH_BITS + TASK_BITS | task | digit
+                        rows.append((r, at - a, n, zlib.crc32(data[4 * at : 4 * (at + n)]), b - a, number))
+                        numbers[digit] += 1
+                        at += n
+                row, start, length, crc, tokens, number = (pa.array(c, pa.int64()) for c in zip(*rows))
+                out = [batch.column(0).take(row), start, length, crc, tokens, number, pa.array(np.zeros(len(rows), np.int64))]
                 if with_ids:
-                    data.append(whole)
-                size += total
-                if size >= LOOKUP_BYTES:
-                    yield made()
-                    row.clear()
-                    data.clear()
-                    size = 0
-                    for column in columns:
-                        column.clear()
-            if row:
-                yield made()
+                    cuts = np.concatenate([[0], np.cumsum(length.to_numpy())]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(cuts, ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids

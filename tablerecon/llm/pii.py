@@ -244,20 +244,18 @@ def disclosing(found: DataFrame, docs: DataFrame, disclosure: float) -> DataFram
     """Terms that give an entity away, with ``exact``: a value, not only a group.
 
     Terms and entities of too few documents to give anything away go first.
-    Entities that stand in the same documents count as one, and a pair is formed
-    only if the term could give the entity away were all its documents the
-    entity's; neither changes the result.
+    Entities that stand in the same documents count as one.  A term is tried
+    among the documents with entities first: only if it gives one away there,
+    where it stands in fewer documents than in all, is it counted in all.  None
+    of this changes the result.
     """
     total = found.agg(F.count_distinct("row")).first()[0]
     rows = found.where(F.size("entities") > 0).groupBy("row").agg(F.count("*").alias("m"), F.first("entities").alias("entities"), F.first("held").alias("held"))
     rows = cut(rows)
     held = rows.select("row", "m", F.explode("held").alias("term"))
     # Copies beyond the first, by which the counts over all rows are too high.
-    tried = cut(held.groupBy("term").agg(F.count("*").alias("n_held"), F.sum(F.col("m") - 1).alias("copies")).where(F.col("n_held") >= LEAST_BOTH))
-    bits = docs.sparkSession.sparkContext.broadcast(bit_map(tried))
-    counts = tried.join(term_counts(docs, bits), "term").select(
-        F.col("term").alias("_t"), F.xxhash64("term").alias("_th"), (F.col("n_term") - F.col("copies")).alias("n_term")
-    )
+    tried = held.groupBy("term").agg(F.count("*").alias("n_held"), F.sum(F.col("m") - 1).alias("copies")).where(F.col("n_held") >= LEAST_BOTH)
+    tried = tried.select(F.col("term").alias("_t"), F.xxhash64("term").alias("_th"), "n_held", "copies")
 
     named = rows.select("row", F.explode("entities").alias("entity"))
     stood = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(20,0)")) for k in (1, 2)]
@@ -268,12 +266,15 @@ def disclosing(found: DataFrame, docs: DataFrame, disclosure: float) -> DataFram
     named = named.groupBy(F.col("row").alias("_row"), "set", "n_entity").agg(exact)
 
     held = held.select("row", "term", F.xxhash64("term").alias("th"))
-    held = held.join(counts, (F.col("term") == F.col("_t")) & (F.col("th") == F.col("_th"))).select("row", "term", "n_term")
-    able = _gives(F.least("n_term", "n_entity"), F.col("n_term"), F.col("n_entity"), total, disclosure)
+    held = held.join(tried, (F.col("term") == F.col("_t")) & (F.col("th") == F.col("_th"))).select("row", "term", "n_held", "copies")
+    able = _gives(F.least("n_held", "n_entity"), F.col("n_held"), F.col("n_entity"), total, disclosure)
     pairs = held.join(named, (F.col("row") == F.col("_row")) & able)
-    both = pairs.groupBy("set", "n_entity", "term", "n_term").agg(F.count("*").alias("n_both"), F.bool_or("exact").alias("exact"))
-    gives = both.where(_gives(F.col("n_both"), F.col("n_term"), F.col("n_entity"), total, disclosure))
-    return gives.groupBy("term").agg(F.bool_or("exact").alias("exact"))
+    both = pairs.groupBy("set", "n_entity", "term", "n_held", "copies").agg(F.count("*").alias("n_both"), F.bool_or("exact").alias("exact"))
+    near = cut(both.where(_gives(F.col("n_both"), F.col("n_held"), F.col("n_entity"), total, disclosure)))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(near.select("term").distinct()))
+    counted = near.join(term_counts(docs, bits), "term")
+    gives = _gives(F.col("n_both"), F.col("n_term") - F.col("copies"), F.col("n_entity"), total, disclosure)
+    return counted.where(gives).groupBy("term").agg(F.bool_or("exact").alias("exact"))
 
 
 def places(docs: DataFrame, bits: Broadcast, text_col: str = "text") -> DataFrame:
