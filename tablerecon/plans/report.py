@@ -214,9 +214,9 @@ def _first_keys(result: Comparison, n: int, lines: Column) -> DataFrame:
     names = [key_name(i) for i in range(len(result.keys))]
     rows = result.differing().select(*names, display_key(names).alias("_shown_key"), lines.alias("_lines")).repartition(*names)
     top = rows.orderBy(*names).limit(n).select(F.struct(*names, "_shown_key", "_lines").alias("top"), F.lit(0).cast("long").alias("n"))
-    # The keys are counted by what the shuffle holds, so that both readers want the same of it.
-    held = F.struct(*names, "_shown_key", "_lines").isNotNull().cast("long")
-    count = rows.select(held.alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    # Each row counts as 1, found from all its columns: only if both readers want the same of the shuffle is it made once.
+    one = F.pmod(F.xxhash64(*names, "_shown_key", "_lines"), F.lit(1)) + 1
+    count = rows.select(one.alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     both = top.unionByName(count, allowMissingColumns=True)
     return both.agg(F.sort_array(F.collect_list("top")).alias("shown"), F.sum("n").alias("total"))
 

@@ -7,14 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def recommended_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+def recommended_conf(input_bytes: int, partition_bytes: int = 256 << 20, shuffled_bytes: int | None = None) -> dict[str, str]:
     """Settings for a job over ``input_bytes`` of input.
 
     Shuffles start with about one partition per ``partition_bytes`` so that
     sorts fit in executor memory; adaptive execution merges what turns out
-    small and splits what turns out skewed.
+    small and splits what turns out skewed.  ``shuffled_bytes`` says what is
+    left of the input once columns are pruned, where that is known.
     """
-    partitions = max(200, -(-input_bytes // partition_bytes))
+    partitions = max(200, -(-(input_bytes if shuffled_bytes is None else shuffled_bytes) // partition_bytes))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -13,7 +13,7 @@ from tablerecon.plans import match as m
 from tablerecon.plans import report as rep
 from tablerecon.plans.pairs import pair_summary
 from tablerecon.plans.reconcile import gate, reconcile
-from tablerecon.plans.rules import Options, Rule
+from tablerecon.plans.rules import Category, Options, Rule
 from tablerecon.workload import fixtures as fx
 
 RULES = [Rule("k", key=True), Rule("n", "num", "number", tolerance=0.01), Rule("d", "day", "date"), Rule("t", "txt")]
@@ -66,6 +66,61 @@ def test_cap_says_how_many_follow(pair):
     assert [r.line for r in rep.cap_details(result, 5).collect()] == ["2"]
 
 
+def test_capped_log(spark, frame):
+    a = frame("k, v, w", [(f"k{i}", "1", "x") for i in range(9)])
+    b = frame("k, v, w", [(f"k{i}", "1" if i % 3 == 0 else "2", "x" if i % 2 else "y") for i in range(9)])
+    result = cmp.compare(a, b, [Rule("k", key=True), Rule("v"), Rule("w")])
+    expected = []
+    for i in range(9):
+        fields = [("v", "1", "2")] * (i % 3 > 0) + [("w", "x", "y")] * (i % 2 == 0)
+        if fields:
+            expected.append([f"主键：k{i}"] + [f" - 列 [{f}] 不一致：平台表={x}, ERP表={y}" for f, x, y in fields])
+    whole = [line for key in expected for line in key]
+
+    def log(keys, lines):
+        rows = sorted(rep.capped_log(result, keys, lines).collect())
+        assert [r.line_no for r in rows] == list(range(1, len(rows) + 1))
+        return [r.line for r in rows]
+
+    assert log(100, 100) == whole and log(len(expected), len(whole)) == whole
+    few = [line for key in expected[:3] for line in key] + [f"...还有 {len(expected) - 3} 条差异记录未显示..."]
+    assert log(3, 100) == few
+    assert log(3, 4) == few[:4] + [f"...（还有 {len(few) - 4} 条消息未显示）"]
+    assert log(0, 100) == [f"...还有 {len(expected)} 条差异记录未显示..."]
+    same = cmp.compare(a, a, [Rule("k", key=True), Rule("v"), Rule("w")])
+    assert rep.capped_log(same).collect() == [] and rep.cap_details(same, 3).collect() == []
+
+
+def test_capped_log_joins_once(spark, sf_dir):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        result = cmp.compare(fx.orders_source(spark, sf_dir), fx.orders_target(spark, sf_dir), fx.ORDER_RULES)
+        for out in (rep.capped_log(result, 20, 30), rep.cap_details(result, 20)):
+            out.collect()
+            final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert final.count("SortMergeJoin") == 1 and "ReusedExchange" in final
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_category_rule(frame):
+    """A code the target uses is preferred; labels are shown as they were."""
+    table = frame("name, code, big, detail, erp", [("pump", "1111a", "P", "x", "9999"), ("pump", "2222b", "P", "y", "2222c"), ("valve", "3333", "V", "z", "3333")])
+    category = Category(table.withColumn("o", F.monotonically_increasing_id()), "name", "code", ("big", "detail"), "erp", ("o",))
+    a = frame("k, 类", [("1", " pump "), ("2", "valve"), ("3", "pump"), ("4", "other"), ("5", None), ("6", "valve")])
+    b = frame("k, 类", [("1", "P-y"), ("2", "V-z"), ("3", "3333x"), ("4", "othe"), ("5", " "), ("6", "33331")])
+    result = cmp.compare(a, b, [Rule("k", key=True), Rule("类", comparator="category", category=category)])
+    records = {(r.k, r.source_value, r.target_value) for r in rep.diff_records(result).collect()}
+    assert records == {("3", "pump", "3333x"), ("4", "other", "othe")}
+    assert not any(c.startswith(("src__code", "tgt__code")) for c in result.side_columns("src_") + result.side_columns("tgt_"))
+    fan = Options(on_duplicates="fanout")
+    rules = [Rule("k", key=True), Rule("类", comparator="category", category=category)]
+    assert pair_summary(a, b, rules, fan).first().equal == counts(cmp.compare(a, b, rules, fan))["equal"] == 4
+    with pytest.raises(ValueError, match="no mapping"):
+        cmp.compare(a, b, [Rule("k", key=True), Rule("类", comparator="category")])
+
+
 def test_gate_stops_on_columns_rows_keys(pair, spark):
     a, b = pair
     assert "source lacks t" in gate(a.drop("t"), b, RULES).stopped
