@@ -2,9 +2,11 @@
 
 Headers are grouped by payload digest.  The page with the largest id of a
 digest keeps its payload as ``response``; every other one becomes a
-``revisit`` that names it.  Records are written through Spark's text sink,
-whose line separator is the blank lines that end a WARC record, and read back
-by their Content-Length.
+``revisit`` that names it.  Digests of several pages are written first, so
+that Spark knows how many there are: as long as they are few it joins them
+where the pages are read, and no payload is shuffled.  Records are written
+through Spark's text sink, whose line separator is the blank lines that end a
+WARC record, and read back by their Content-Length, one at a time.
 
 Defined cases: a null payload is an empty one; rows that share the largest id
 of a payload are all responses; a null id ranks below all others; null or
@@ -17,12 +19,16 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablerecon.llm.common import stored
+
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
@@ -30,11 +36,12 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 RECORDS_PER_FILE = 2000
+#: Payload that a reader hands on at once.
+BATCH_BYTES = 16 << 20
 
 
-def base32_sha1(data: Column) -> Column:
-    """SHA-1 in base 32: five hex digits make four letters."""
-    hexed = F.sha1(data)
+def base32(hexed: Column) -> Column:
+    """40 hex digits in base 32: five of them make four letters."""
 
     def letter(i: Column) -> Column:
         value = F.conv(F.substr(hexed, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
@@ -64,12 +71,14 @@ def resolve(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit(""))
     heads = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload")
-    ).select("*", F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload")).alias("digest"))
-    firsts = heads.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("original"))
-    firsts = firsts.select(F.col("digest").alias("_digest"), F.xxhash64("digest").alias("_hash"), "original")
-    joined = heads.withColumn("hash", F.xxhash64("digest")).join(
-        firsts, (F.col("digest") == F.col("_digest")) & (F.col("hash") == F.col("_hash")), "left"
+    ).select("*", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"))
+    several = heads.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
+    several = stored(several.where("n > 1").select("sha1", "original"), "digests")
+    several = several.select(F.col("sha1").alias("_sha1"), F.xxhash64("sha1").alias("_hash"), "original")
+    joined = heads.withColumn("hash", F.xxhash64("sha1")).join(
+        several, (F.col("sha1") == F.col("_sha1")) & (F.col("hash") == F.col("_hash")), "left"
     )
+    joined = joined.withColumn("digest", base32(F.col("sha1")))
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return joined.select("page_id", "url", "payload", "bytes", "digest", F.when(revisit, F.col("original")).alias("refers_to"))
 
@@ -111,20 +120,19 @@ def write_archives(pages: DataFrame, folder: str, *, written_at: str, records_pe
     )
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record, found by Content-Length."""
-    at = 0
-    while at < len(data):
-        body = data.index(b"\r\n\r\n", at) + 4
-        version, *lines = data[at : body - 4].decode().split("\r\n")
-        if version != VERSION:
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(line.split(": ", 1) for line in lines)
-        end = body + int(head["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
-        yield head, data[body:end]
-        at = end + 4
+def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record, found by Content-Length; no more than one is held."""
+    while version := stream.readline():
+        if version.rstrip(b"\r\n").decode() != VERSION:
+            raise ValueError("no WARC record where one should begin")
+        head: dict[str, str] = {}
+        while line := stream.readline().rstrip(b"\r\n"):
+            name, _, value = line.decode().partition(": ")
+            head[name] = value
+        block = stream.read(int(head["Content-Length"]))
+        if stream.read(4) != END.encode():
+            raise ValueError("a record does not end where its length says")
+        yield head, block
 
 
 def read_archives(spark, folder: str, *, payload: bool = True) -> DataFrame:
@@ -133,8 +141,9 @@ def read_archives(spark, folder: str, *, payload: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                rows = []
-                for head, block in parse(gzip.decompress(data.as_py())):
+                rows: list[dict] = []
+                size = 0
+                for head, block in parse(gzip.GzipFile(fileobj=io.BytesIO(data.as_py()))):
                     whole = head["WARC-Type"] == "response"
                     body = block[block.index(b"\r\n\r\n") + 4 :] if whole else None
                     page = head.get("X-Page-Id")
@@ -151,6 +160,10 @@ def read_archives(spark, folder: str, *, payload: bool = True) -> DataFrame:
                             "payload": body if payload else None,
                         }
                     )
+                    size += len(block) if payload else 200
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, arrow)
+                        rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
     schema = (
