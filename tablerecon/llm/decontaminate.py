@@ -108,15 +108,18 @@ def _share(items: DataFrame, parts: range) -> list[tuple[str, Broadcast]]:
     return [(uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast(v)) for v in held.values()]
 
 
-def _hits(shared: list[tuple[str, Broadcast]], width: int, split: list[list[bytes]]) -> tuple[list[np.ndarray], list[set]]:
-    """Which words of each text are hit (1) and by which items."""
-    marks = [np.zeros(len(w) + 1, np.int32) for w in split]
-    found: list[set] = [set() for _ in split]
-    for key, items in shared:
-        matcher = once(key, lambda items=items: Matcher(items.value, width), kept=AT_ONCE)
-        for words, mark, ids in zip(split, marks, found):
-            matcher.scan(words, mark, ids)
-    return [(np.cumsum(m)[:-1] > 0).astype(np.int8) for m in marks], found
+def _hits(shared: list[tuple[str, Broadcast]], width: int, rows: list[bytes]) -> tuple[list[np.ndarray], list[set]]:
+    """Which words of each text are hit (1) and by which items; the words of one text are held at a time."""
+    matchers = [once(key, lambda items=items: Matcher(items.value, width), kept=AT_ONCE) for key, items in shared]
+    hits, found = [], []
+    for text in rows:
+        words, ids = normal_words(text), set()
+        marks = np.zeros(len(words) + 1, np.int32)
+        for matcher in matchers:
+            matcher.scan(words, marks, ids)
+        hits.append((np.cumsum(marks)[:-1] > 0).astype(np.int8))
+        found.append(ids)
+    return hits, found
 
 
 def _runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
@@ -124,9 +127,9 @@ def _runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
     return edges[::2], edges[1::2]
 
 
-def _columns(rows: list[bytes], split: list[list[bytes]], hits: list[np.ndarray], found: list[set]) -> list[list]:
+def _columns(rows: list[bytes], hits: list[np.ndarray], found: list[set]) -> list[list]:
     return [
-        [len(w) for w in split],
+        [len(h) for h in hits],
         [int(h.sum()) for h in hits],
         [len(ids) for ids in found],
         [sorted(i for i in ids if i is not None) for ids in found],
@@ -140,7 +143,7 @@ def _round(docs: DataFrame, shared: list[tuple[str, Broadcast]], width: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget(*[key for key, _ in shared])
         for batch in batches:
-            hits, found = _hits(shared, width, [normal_words(t) for t in texts(batch.column(1))])
+            hits, found = _hits(shared, width, texts(batch.column(1)))
             on = [i for i, h in enumerate(hits) if h.any()]
             begins, ends = [list(x) for x in zip(*[_runs(hits[i]) for i in on])] or [[], []] if on else [[], []]
             ids = [sorted(found[i], key=lambda x: (x is None, x)) for i in on]
@@ -172,8 +175,7 @@ def decontaminate(
 
         def run(column: pa.Array) -> list:
             rows = texts(column)
-            split = [normal_words(t) for t in rows]
-            return _columns(rows, split, *_hits(shared, width, split))
+            return _columns(rows, *_hits(shared, width, rows))
 
         return add_columns(docs, [text_col], fields, run, keep, uses=[key for key, _ in shared])
 
@@ -194,14 +196,13 @@ def decontaminate(
 
     def merge(column: pa.Array, runs: pa.Array) -> list:
         rows = texts(column)
-        split = [normal_words(t) for t in rows]
-        marks = [np.zeros(len(w), np.int8) for w in split]
+        marks = [np.zeros(len(normal_words(t)), np.int8) for t in rows]
         found: list[set] = [set() for _ in rows]
         for mark, ids, held in zip(marks, found, runs.to_pylist()):
             for hit in held or ():
                 ids.update(hit["ids"])
                 for a, b in zip(hit["begins"], hit["ends"]):
                     mark[a:b] = 1
-        return _columns(rows, split, marks, found)
+        return _columns(rows, marks, found)
 
     return add_columns(joined, [text_col, at], fields, merge, docs.columns if keep is None else keep)
