@@ -22,7 +22,7 @@ from tablerecon.functions.text import last_segment, norm, norm_bool, norm_of, no
 from tablerecon.operators.columns import clean_columns, fill_missing_columns
 from tablerecon.operators.keyed import attach
 from tablerecon.operators.lookup import map_composite, map_frame, map_values, map_values_preferring
-from tablerecon.plans.match import IN_SRC, IN_TGT, PAIRS, SRC, TGT, key_name, match
+from tablerecon.plans.match import IN_SRC, IN_TGT, SRC, TGT, key_name, match
 from tablerecon.plans.prepare import is_absolute, prepare
 from tablerecon.plans.rules import Options, Rule, field_rules, key_rules
 

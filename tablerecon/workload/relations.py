@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablerecon.functions.text import last_segment, prefix
 from tablerecon.operators.columns import (
     SchemaError,
     dedup_columns,
