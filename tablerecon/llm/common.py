@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -72,10 +71,6 @@ def texts(column: pa.Array) -> list[bytes]:
 
 
 _made: dict = {}
-try:  # what numpy freed stays with the process until the C library is told
-    _libc = ctypes.CDLL("libc.so.6")
-except OSError:
-    _libc = None
 
 
 def once(key: str, make: Callable[[], object], kept: int = 4) -> object:
@@ -97,8 +92,6 @@ def forget(*kept: str) -> None:
         del _made[key]
     wordhash.forget_powers()
     pa.default_memory_pool().release_unused()
-    if _libc is not None:
-        _libc.malloc_trim(0)
 
 
 def arrow_type(field: T.DataType) -> pa.DataType:
