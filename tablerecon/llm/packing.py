@@ -37,8 +37,8 @@ from tablerecon.llm.common import forget, once
 MAX_LENGTH = 2048
 END_ID = 1
 #: Memory of the words a worker keeps, by estimate, and text it looks up at once.
-KEPT_BYTES = 128 << 20
-LOOKUP_BYTES = 8 << 20
+KEPT_BYTES = 160 << 20
+LOOKUP_BYTES = 12 << 20
 #: Bytes of a kept word besides its own and its ids'.
 ENTRY_BYTES = 200
 #: Signs that are looked up apart when they end a word.
