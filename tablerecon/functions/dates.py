@@ -60,28 +60,24 @@ _MONTH = f"({'|'.join(MONTHS)})\\.?"
 _DAY_NO, _YEAR = r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4}|\d{2})"
 _WEEKDAY = r"^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?[,.]? +"
 _TIME = r"(?:[ ,]+|(?<=\d)t)(\d{1,2}:\d{1,2}(?::\d{1,2})?)(?:\.\d+)? *([ap]m)? *(?:z|utc|gmt|[+-]\d{2}:?\d{2})?$"
-#: Shapes of a date in lower case, with the places of year, month and day (0: the first).
+#: Shapes of a date in lower case, and the year, month and day in them.  Of two
+#: numbers before the year the month is first, unless it cannot be one.
 _SHAPES = (
-    (r"^(\d{4})[-/. ](\d{1,2})[-/. ](\d{1,2})$", (1, 2, 3)),
-    (r"^(\d{4})年(\d{1,2})月(\d{1,2})日?$", (1, 2, 3)),
-    (r"^(\d{4})(\d{2})(\d{2})$", (1, 2, 3)),
-    (rf"^{_DAY_NO}[-/. ]*(?:of )?{_MONTH}[-/., ]*{_YEAR}$", (3, 2, 1)),
-    (rf"^{_MONTH}[-/. ]*{_DAY_NO}[-/., ]+{_YEAR}$", (3, 1, 2)),
-    (rf"^(\d{{4}})[-/. ]*{_MONTH}[-/. ]*(\d{{1,2}})$", (1, 2, 3)),
-    (rf"^{_MONTH}[-/., ]*(\d{{4}})$", (2, 1, 0)),
-    (r"^(\d{4})[-/.](\d{1,2})$", (1, 2, 0)),
-    (r"^(\d{4})年(\d{1,2})月$", (1, 2, 0)),
-    (r"^(\d{4})$", (1, 0, 0)),
+    (r"^(\d{4})[-/. ](\d{1,2})[-/. ](\d{1,2})$", "$1-$2-$3"),
+    (r"^(\d{4})年(\d{1,2})月(\d{1,2})日?$", "$1-$2-$3"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (rf"^(1[3-9]|[2-9]\d)([-/.])(\d{{1,2}})\2{_YEAR}$", "$4-$3-$1"),
+    (rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2{_YEAR}$", "$4-$1-$3"),
+    (rf"^{_DAY_NO}[-/. ]*(?:of )?{_MONTH}[-/., ]*{_YEAR}$", "$3-$2-$1"),
+    (rf"^{_MONTH}[-/. ]*{_DAY_NO}[-/., ]+{_YEAR}$", "$3-$1-$2"),
+    (rf"^(\d{{4}})[-/. ]*{_MONTH}[-/. ]*(\d{{1,2}})$", "$1-$2-$3"),
+    (rf"^{_MONTH}[-/., ]*(\d{{4}})$", "$2-$1-1"),
+    (r"^(\d{4})[-/.](\d{1,2})$", "$1-$2-1"),
+    (r"^(\d{4})年(\d{1,2})月$", "$1-$2-1"),
+    (r"^(\d{4})$", "$1-1-1"),
 )
-#: Two numbers before the year: month first, unless it cannot be one.
-_NUMBERS = rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2{_YEAR}$"
-
-
-def _month_number(name: Column) -> Column:
-    """Number of a month given by number or by a name's beginning."""
-    known = F.array(*[F.lit(m[:3]) for m in MONTHS])
-    place = F.array_position(known, F.substring(name, 1, 3))
-    return F.when(place > 0, place.cast("string")).otherwise(name)
+#: What stands before a date whose shape was found; no shape begins so.
+_FOUND = "~"
 
 
 def _parsed_freely(text: Column) -> Column:
@@ -94,33 +90,25 @@ def _parsed_freely(text: Column) -> Column:
     left out: the wall clock counts.
     """
     lower = F.regexp_replace(F.lower(text), _WEEKDAY, "")
-    clock, half = F.regexp_extract(lower, _TIME, 1), F.regexp_extract(lower, _TIME, 2)
     date = F.regexp_replace(lower, _TIME, "")
-
-    def part(shape: str, group: int) -> Column:
-        return F.regexp_extract(date, shape, group) if group else F.lit("1")
-
-    first, second = F.regexp_extract(date, _NUMBERS, 1), F.regexp_extract(date, _NUMBERS, 3)
-    day_first = first.try_cast("int") > 12
-    numbers = F.array(
-        F.regexp_extract(date, _NUMBERS, 4), F.when(day_first, second).otherwise(first), F.when(day_first, first).otherwise(second)
-    )
-    found = F.when(date.rlike(_NUMBERS), numbers)
-    for shape, (year, month, day) in _SHAPES:
-        found = found.when(date.rlike(shape), F.array(part(shape, year), _month_number(part(shape, month)), part(shape, day)))
+    for shape, order in _SHAPES:
+        date = F.regexp_replace(date, shape, f"{_FOUND}{order}")
+    names = F.array(*[F.lit(m[:3]) for m in MONTHS])
+    parts = F.split(F.substring(date, 2, 100), "-")
+    clock = F.regexp_replace(F.regexp_extract(lower, _TIME, 1), r"^(\d+:\d+)$", "$1:0")
+    found = F.struct(parts.alias("p"), clock.alias("clock"), F.upper(F.regexp_extract(lower, _TIME, 2)).alias("half"))
 
     def moment(x: Column) -> Column:
-        year = F.when(F.length(x[0]) == 2, F.when(x[0].cast("int") < PIVOT, F.concat(F.lit("20"), x[0])).otherwise(F.concat(F.lit("19"), x[0])))
-        day = F.concat_ws("-", F.coalesce(year, x[0]), x[1], x[2])
-        second = F.when(F.length(F.regexp_replace(clock, "[^:]", "")) == 1, F.concat(clock, F.lit(":0"))).otherwise(clock)
-        return (
-            F.when(clock == "", F.try_to_timestamp(day, F.lit("yyyy-M-d")))
-            .when(half == "", F.try_to_timestamp(F.concat(day, F.lit(" "), second), F.lit("yyyy-M-d H:m:s")))
-            .otherwise(F.try_to_timestamp(F.concat(day, F.lit(" "), second, F.lit(" "), F.upper(half)), F.lit("yyyy-M-d h:m:s a")))
-        )
+        year, month = F.get(x["p"], F.lit(0)), F.get(x["p"], F.lit(1))
+        century = F.when(F.length(year) > 2, F.lit("")).when(year < F.lit(str(PIVOT)), F.lit("20")).otherwise(F.lit("19"))
+        place = F.array_position(names, F.substring(month, 1, 3))
+        day = F.concat_ws("-", F.concat(century, year), F.when(place > 0, place.cast("string")).otherwise(month), F.get(x["p"], F.lit(2)))
+        whole = F.rtrim(F.concat_ws(" ", day, x["clock"], x["half"]))
+        pattern = F.when(x["clock"] == "", "yyyy-M-d").when(x["half"] == "", "yyyy-M-d H:m:s").otherwise("yyyy-M-d h:m:s a")
+        return F.try_to_timestamp(whole, pattern)
 
     # One value per row: the parts are found once and then read several times.
-    free = F.get(F.transform(F.array(found), moment), F.lit(0))
+    free = F.get(F.transform(F.array(F.when(F.startswith(date, F.lit(_FOUND)), found)), moment), F.lit(0))
     return F.coalesce(_parsed(text), free)
 
 
