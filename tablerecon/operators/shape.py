@@ -66,28 +66,32 @@ def split_by_value(df: DataFrame, name: str, part: str = "part", length: int = 2
 _RANGE_ROWS, _SAMPLED = 1_000_000, 16
 
 
-def _bounds(df: DataFrame, place: Column) -> tuple[str, int]:
-    """Places that cut ``df`` into ranges of about equal size: a JSON list in order, and their number.
+def _bounds(df: DataFrame, place: Column) -> list[str]:
+    """Places, as JSON and in order, that cut ``df`` into ranges of about equal size.
 
     Any bounds give right row numbers, as long as they are fixed; a sample
     gives even ones.
     """
-    spark = df.sparkSession
     total = df.count()
-    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // _RANGE_ROWS))
+    ranges = max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // _RANGE_ROWS))
     share = min(1.0, _SAMPLED * ranges / max(total, 1))
-    sample = df.select(place.alias("place")).sample(share, seed=17).orderBy("place").select(F.to_json("place")).collect()
+    ordered = F.sort_array(F.collect_list(place))
+    sample = df.sample(share, seed=17).agg(F.transform(ordered, lambda p: F.to_json(p))).first()[0]
     step = max(1, len(sample) // ranges)
-    picked = [r[0] for r in sample[step::step]]
-    return f"[{','.join(picked)}]", len(picked)
+    return sample[step::step]
 
 
-def _range_of(place: Column, bounds: Column, n: int) -> Column:
-    """How many of ``n`` ordered bounds lie at or below a place, found in two steps of about sqrt(n)."""
-    step = max(1, int(n**0.5))
-    coarse = F.filter(bounds, lambda _, i: i % step == step - 1)
-    whole = F.size(F.filter(coarse, lambda b: b <= place)) * step
-    return whole + F.size(F.filter(F.slice(bounds, whole + 1, F.lit(step)), lambda b: b <= place))
+def _range_of(place: Column, bounds: list[str], kind: T.DataType) -> Column:
+    """How many of the ordered bounds lie at or below a place, found in two steps of about the root of their number."""
+    if not bounds:
+        return F.lit(0)
+
+    def listed(texts: list[str]) -> Column:
+        return F.from_json(F.lit(f"[{','.join(texts)}]"), T.ArrayType(kind))
+
+    step = max(1, int(len(bounds) ** 0.5))
+    whole = F.size(F.filter(listed(bounds[step - 1 :: step]), lambda b: b <= place)) * step
+    return whole + F.size(F.filter(F.slice(listed(bounds), whole + 1, F.lit(step)), lambda b: b <= place))
 
 
 def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
@@ -102,9 +106,8 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_no") -
     """
     order_by = [*[col(o) for o in order], F.col("_tie")]
     tied, place = df.withColumn("_tie", F.xxhash64(*[col(c) for c in df.columns])), F.struct(*order_by)
-    text, n = _bounds(tied, place)
-    bounds = F.from_json(F.lit(text), T.ArrayType(tied.select(place.alias("p")).schema["p"].dataType))
-    ranged = tied.withColumn("_range", _range_of(place, bounds, n) if n else F.lit(0))
+    kind = tied.select(place.alias("p")).schema["p"].dataType
+    ranged = tied.withColumn("_range", _range_of(place, _bounds(tied, place), kind))
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # One row per range, so the one task that adds them up is bounded.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
