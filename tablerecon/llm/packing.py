@@ -65,6 +65,7 @@ class WordIds:
         self.encoder = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
         self.size = 0
+        self.ends: dict[str, bool] = {}
         self.by_word = self._cuts_words()
 
     def _ids(self, text: str) -> bytes:
@@ -76,10 +77,12 @@ class WordIds:
         return whole == lines == b"".join(self._ids(a) + self._ids(b) for a, b in _SAMPLES)
 
     def _ends_in_letter(self, stem: str) -> bool:
-        if stem.isascii():
-            return stem[-1:].isalpha()
-        normalizer = self.encoder.normalizer
-        return (normalizer.normalize_str(stem) if normalizer else stem)[-1:].isalpha()
+        """Whether the last character stays a letter; one that joins the character before it does too."""
+        last = stem[-1:]
+        if last not in self.ends:
+            normalizer = self.encoder.normalizer
+            self.ends[last] = last.isalpha() and (normalizer.normalize_str(last) if normalizer else last)[-1:].isalpha()
+        return self.ends[last]
 
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         # A run of letters is one unit of the tokenizer, so many go in one call.
