@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablerecon.llm import (
@@ -67,12 +67,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"]), 5, 0)
 
 
+def _spans_of(kind: int) -> Column:
+    """Number of base spans of a kind; a second argument of the lambda would be an element's place."""
+    return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long")
+
+
 @query("op4_pii")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS[:4])
-    ]
+    counts = [_spans_of(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS[:4])]
     return found.select(
         "doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.concat("base", "terms")).alias("spans")
     )

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import os
 import random
@@ -6,7 +7,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tablerecon.llm import pii
+from tablerecon.llm import pii, queries
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -131,6 +132,23 @@ def test_terms_match_brute_force(docs):
         assert not any(t.startswith(("only", "word")) or t in ("zelda", "fitzgerald") for t in kinds), kinds
 
 
+def test_query_counts_each_kind_by_itself(spark, docs, tmp_path):
+    """Against the patterns, with duplicate rows, null ids and null texts."""
+    rng = random.Random(7)
+    given = [" ".join(FIXED[:5]), "a@b.co 1.2.3.4 c@d.ef", "1.2.3.4", "4242424242424242", "+4930123456789", None, "", "none"]
+    given += [" ".join(rng.choices(["a@b.co", "1.2.3.4", "4242424242424242", "+49 30 1234567", "é😀"], k=rng.randint(0, 6))) for _ in range(60)]
+    rows = [*enumerate(given), (0, given[0]), (0, given[1]), (None, given[1])]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for doc, text in rows:
+        spans = brute(text or "")
+        shown = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in spans)
+        want.append((doc, *[sum(s[0] == k for s in spans) for k in range(4)], hashlib.sha256(shown.encode()).hexdigest()))
+    found = queries.op4(spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    assert [t for _, t in found.dtypes] == ["bigint"] * 5 + ["string"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
 def test_sanitised_rows(docs):
     rows = planted(1)
     names = "row int, _spans string, _row string, _clean int, own_row int, hit_row string, held_spans int, clean_text string, base int"
