@@ -1,6 +1,9 @@
+import json
 import random
+import string
 import unicodedata
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -72,6 +75,41 @@ def test_words_of_every_letter_and_mark_before_signs():
         assert got == encoder.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_of_one_stem_are_encoded_once():
+    """Neither case nor the signs after a word are a reason to run the tokenizer on it again."""
+    words = packing.WordIds(PATH)
+    stems = ["q" + "".join(random.Random(i).choices("abcdefgh", k=6)) for i in range(300)]
+    texts = [" ".join(f + s for f in (w, w.title(), w.upper())) for w in stems for s in ("", ".", "***", "$$$", ")", '",', "'")]
+    assert encoded(words, texts) == [words.encoder.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(words.kept) <= len(set(stems)) + 10
+
+
+def test_every_sign_next_to_words_and_added_tokens():
+    encoder = Tokenizer.from_file(PATH)
+    words = packing.WordIds(PATH)
+    assert not set(words.signs) & set("<|>") and set(words.signs) >= set(".,'\"$-_")
+    rng = random.Random(1)
+    pool = [*string.punctuation, *"aZéß1 \n", "don't", "X'S", "'Re", "İ", "J\u030c", "ड़", "\u0338", "漢", "<|endoftext|>", "<|ENDOFTEXT|>", "endoftext|>"]
+    texts = ["".join(rng.choices(pool, k=12)) for _ in range(8000)]
+    for text, got in zip(texts, encoded(words, texts), strict=True):
+        assert got == encoder.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("change", ["cased", "added"])
+def test_tokenizers_that_treat_letters_otherwise(tmp_path, change):
+    """Where case counts or a word is an added token, letters are not encoded apart from the rest."""
+    made = json.loads(Path(PATH).read_text())
+    if change == "cased":
+        made["normalizer"]["normalizers"].pop()
+    else:
+        made["added_tokens"] += [made["added_tokens"][0] | {"id": 49408 + i, "content": c, "special": False} for i, c in enumerate(["Abc", "e.g."])]
+    (tmp_path / "t.json").write_text(json.dumps(made))
+    words = packing.WordIds(str(tmp_path / "t.json"))
+    assert words.letters is None and words.by_word and ("." in words.signs) == (change == "cased")
+    texts = ["Word word, WORD. e.g., e.g. xe.g.x E.G. dogs'", "The word abc, and (ABC)! Abc. xAbcx Abc"]
+    assert encoded(words, texts) == [words.encoder.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_other_tokenizers_encode_whole_texts(tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
