@@ -55,6 +55,8 @@ COUNTED = 400_000
 TERM_BITS, LEAST_BITS, MOST_BITS = 64, 20, 29
 #: Documents that an entity and a term must have in common for the bound to be able to reach LIKELY.
 LEAST_BOTH = 1 + math.ceil(LIKELY * CONFIDENCE**2 / (1 - LIKELY))
+#: About as many documents of one entity have their terms counted together; those of larger entities are dealt into groups.
+BESIDE = 128
 #: Words of which a worker remembers the terms that matter, about 160 bytes each.
 KNOWN = 400_000
 
@@ -142,19 +144,19 @@ _SPAN = "struct<kind:int,start:int,end:int>"
 
 
 def find(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Base spans of each text, its entities and their groups, and the terms of a text that has any."""
+    """Base spans of each text, its entities and their groups, and the terms of a text that has any, with spaces between."""
 
     def run(column: pa.Array) -> list:
         spans, terms, names = [], [], []
         for text in column.to_pylist():
             own = base_spans(text) if text else []
             spans.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
-            terms.append(sorted({t for t, _, _ in free_terms(text, own)}) if own else [])
+            terms.append(" ".join(sorted({t for t, _, _ in free_terms(text, own)})) if own else "")
             values = {entity(text, s) for s in own}
             names.append(sorted(values.union(map(group, values))))
         return [spans, terms, names]
 
-    return add_columns(docs, [text_col], f"base array<{_SPAN}>, held array<string>, entities array<string>", run, keep)
+    return add_columns(docs, [text_col], f"base array<{_SPAN}>, held string, entities array<string>", run, keep)
 
 
 class Mattering(dict):
@@ -243,33 +245,43 @@ def _gives(both: Column, n_term: Column, n_entity: Column, total: int, disclosur
 def disclosing(found: DataFrame, docs: DataFrame, disclosure: float) -> DataFrame:
     """Terms that give an entity away, with ``exact``: a value, not only a group.
 
-    Terms and entities of too few documents to give anything away go first.
-    Entities that stand in the same documents count as one.  A term is tried
-    among the documents with entities first: only if it gives one away there,
-    where it stands in fewer documents than in all, is it counted in all.  None
-    of this changes the result.
+    ``found`` has an ``id`` for each row besides.  Entities that stand in the
+    same documents count as one; those of too few to be given away go first.
+    The terms of a document cross the network in one piece: to the document's
+    copies, then to those of the same entity, where they are counted and terms
+    in too few of them go.  A term is tried among the documents with entities
+    first: only if it gives one away there, where it stands in fewer documents
+    than in all, is it counted in all.  None of this changes the result.
     """
     total = found.agg(F.count_distinct("row")).first()[0]
-    rows = found.where(F.size("entities") > 0).groupBy("row").agg(F.count("*").alias("m"), F.first("entities").alias("entities"), F.first("held").alias("held"))
-    rows = cut(rows)
-    held = rows.select("row", "m", F.explode("held").alias("term"))
-    # Copies beyond the first, by which the counts over all rows are too high.
-    tried = held.groupBy("term").agg(F.count("*").alias("n_held"), F.sum(F.col("m") - 1).alias("copies")).where(F.col("n_held") >= LEAST_BOTH)
-    tried = tried.select(F.col("term").alias("_t"), F.xxhash64("term").alias("_th"), "n_held", "copies")
-
-    named = rows.select("row", F.explode("entities").alias("entity"))
-    stood = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(20,0)")) for k in (1, 2)]
+    with_any = found.where(F.size("entities") > 0)
+    # Of equal texts one.
+    rows = cut(with_any.groupBy("row").agg(F.count("*").alias("m"), F.min("id").alias("id"), F.first("entities").alias("entities")).drop("row"))
+    named = rows.select("id", F.explode("entities").alias("entity"))
+    stood = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(20,0)")) for k in (1, 2)]
     sets = named.groupBy("entity").agg(F.count("*").alias("n_entity"), F.sha2(F.concat_ws(",", *stood), 256).alias("set")).where(F.col("n_entity") >= LEAST_BOTH)
     sets = sets.select(F.col("entity").alias("_e"), F.xxhash64("entity").alias("_h"), "n_entity", "set")
     named = named.withColumn("h", F.xxhash64("entity")).join(sets, (F.col("entity") == F.col("_e")) & (F.col("h") == F.col("_h")))
     exact = F.bool_or(~F.substring_index("entity", ":", 1).endswith("*")).alias("exact")
-    named = named.groupBy(F.col("row").alias("_row"), "set", "n_entity").agg(exact)
+    named = named.groupBy("id", "set", "n_entity").agg(exact)
+    named = named.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("set", "n_entity", "exact")).alias("sets"))
+    rows = rows.select(F.col("id").alias("_own"), "m").join(named, F.col("_own") == F.col("_id"), "left").select("_own", "m", "sets")
+    rows = cut(with_any.select("id", "held").join(rows, F.col("id") == F.col("_own")).select("id", "m", "sets", "held"))
 
-    held = held.select("row", "term", F.xxhash64("term").alias("th"))
-    held = held.join(tried, (F.col("term") == F.col("_t")) & (F.col("th") == F.col("_th"))).select("row", "term", "n_held", "copies")
-    able = _gives(F.least("n_held", "n_entity"), F.col("n_held"), F.col("n_entity"), total, disclosure)
-    pairs = held.join(named, (F.col("row") == F.col("_row")) & able)
-    both = pairs.groupBy("set", "n_entity", "term", "n_held", "copies").agg(F.count("*").alias("n_both"), F.bool_or("exact").alias("exact"))
+    each = F.explode(F.split("held", " ")).alias("term")
+    # Copies beyond the first, by which the counts over all rows are too high.
+    tried = rows.where("held <> ''").select("m", each).groupBy("term").agg(F.count("*").alias("n_held"), F.sum(F.col("m") - 1).alias("copies"))
+    tried = tried.where(F.col("n_held") >= LEAST_BOTH).select(F.col("term").alias("_t"), F.xxhash64("term").alias("_th"), "n_held", "copies")
+
+    beside = rows.where("held <> ''").select("id", F.explode("sets").alias("s"), "held").select("id", "s.*", "held")
+    beside = beside.withColumn("groups", F.ceil(F.col("n_entity") / BESIDE))
+    beside = beside.select("set", F.pmod(F.xxhash64("id"), "groups").alias("nth"), "n_entity", "exact", "groups", "held").repartition("set", "nth")
+    both = beside.select("set", "nth", "n_entity", "exact", "groups", each)
+    both = both.groupBy("set", "nth", "n_entity", "exact", "groups", "term").agg(F.count("*").alias("n"))
+    both = both.where((F.col("groups") > 1) | (F.col("n") >= LEAST_BOTH))
+    both = both.groupBy("set", "n_entity", "exact", "term").agg(F.sum("n").alias("n_both")).where(F.col("n_both") >= LEAST_BOTH)
+    both = both.select("term", F.xxhash64("term").alias("th"), "n_entity", "exact", "n_both")
+    both = both.join(tried, (F.col("term") == F.col("_t")) & (F.col("th") == F.col("_th"))).drop("th", "_t", "_th")
     near = cut(both.where(_gives(F.col("n_both"), F.col("n_held"), F.col("n_entity"), total, disclosure)))
     bits = docs.sparkSession.sparkContext.broadcast(bit_map(near.select("term").distinct()))
     counted = near.join(term_counts(docs, bits), "term")
@@ -317,7 +329,7 @@ def detect(
 ) -> DataFrame:
     """doc_id, base spans and spans of terms and hints of every row, with ``row``, a hash of the text."""
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), _row(text_col).alias("row"))
-    found = cut(find(own, keep=["doc_id", "row"]))
+    found = cut(find(own, keep=["doc_id", "row"]).withColumn("id", F.monotonically_increasing_id()))
     terms = cut(disclosing(found, own, disclosure))
     bits = docs.sparkSession.sparkContext.broadcast(bit_map(terms))
     kind = F.when(F.col("exact"), F.lit(TERM)).otherwise(F.lit(HINT))

@@ -205,3 +205,43 @@ def test_terms_far_from_the_entity_and_without_it(docs):
     got = {r.doc_id: [rows[r.doc_id][s:e] for _, s, e in r.terms] for r in pii.detect(docs(rows)).collect()}
     assert got == {i: ["Quill", "quill"] if i < 60 else ["quill"] if i == 60 else [] for i in range(300)}
     assert "quill" not in "".join(r.text.lower() for r in pii.sanitise(docs(rows)).collect())
+
+def shuffled(spark):
+    """Bytes of each shuffle file that this session now has on disk."""
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_terms_cross_the_network_in_one_piece(spark, docs, monkeypatch):
+    """Shuffles for documents with an entity each, but no terms that give it away, take little more disk than two copies of the texts."""
+    rng = random.Random(11)
+    common = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(3000)]
+    rows = [f"{' '.join(rng.sample(common, 300))} u@ex{i % 40}.org" for i in range(600)]
+    given = docs(rows).cache()
+    made, cut = {}, pii.cut
+
+    def measured(df):
+        """While the plan is held, so that none of its files is removed meanwhile."""
+        before, out = shuffled(spark), cut(df)
+        made.update({name: n for name, n in shuffled(spark).items() if name not in before})
+        return out
+
+    monkeypatch.setattr(pii, "cut", measured)
+    # As at size, where no side of a join is small.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = pii.detect(given).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found) == len(rows) and sum(made.values()) < 2.5 * sum(map(len, rows))
+
+
+def test_entities_of_many_documents_are_counted_in_groups(docs, monkeypatch):
+    """Into however many groups the documents of an entity are dealt, the same terms are found."""
+    monkeypatch.setattr(pii, "BESIDE", 3)
+    rows = planted(3)
+    got = pii.detect(docs(rows)).collect()
+    made = sorted(((r.doc_id, [tuple(s) for s in r.base], [tuple(s) for s in r.terms]) for r in got), key=str)
+    lines, kinds = brute_terms(rows)
+    assert made == sorted(((doc, base, terms) for (doc, _), (base, terms) in zip(rows, lines)), key=str) and kinds
