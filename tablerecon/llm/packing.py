@@ -44,8 +44,8 @@ if TYPE_CHECKING:
 MAX_LENGTH = 2048
 END_ID = 1
 #: Memory of the words a worker keeps, by estimate, and text it looks up at once.
-KEPT_BYTES = 128 << 20
-LOOKUP_BYTES = 8 << 20
+KEPT_BYTES = 64 << 20
+LOOKUP_BYTES = 2 << 20
 #: Bytes of a kept word besides its own and its ids'.
 ENTRY_BYTES = 200
 #: Signs that are looked up apart when they end a word.
@@ -201,35 +201,42 @@ class WordIds:
     def encode(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For runs of texts: the first row, all ids with ``end`` after each text, and where each text begins.
 
-        Words are told apart and numbered by Arrow, so that Python only sees
-        the distinct ones of a run.
+        What a run needed on the way is dropped, and its memory handed back, before the next.
         """
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        upto = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
         first = 0
         while first < len(texts):
             last = max(int(np.searchsorted(upto, upto[first] + LOOKUP_BYTES, "right")) - 1, first + 1)
-            part = texts.slice(first, last - first)
-            if self.by_word:
-                split = pc.ascii_split_whitespace(part)
-                numbered = split.flatten().dictionary_encode()
-                word, at = numbered.indices.to_numpy(), split.offsets.to_numpy()
-                ids, offsets = self.learn(numbered.dictionary)
-            else:
-                units = [self._ids(t) for t in part.to_pylist()]
-                word, at = np.arange(len(units)), np.arange(len(units) + 1)
-                ids, offsets = np.concatenate(units), np.cumsum([0, *map(len, units)])
-            # The tokens of the words in turn, and of one more word, the end, after each text.
-            offsets = np.append(offsets, len(ids) + 1).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, np.append(ids, np.uint32(end)))
-            word = np.insert(word, at[1:] - at[0], len(lists) - 1)
-            taken = lists.take(pa.array(word, pa.int32()))
-            out = taken.flatten().to_numpy()
-            starts = taken.offsets.to_numpy()[at - at[0] + np.arange(last - first + 1)]
-            starts = starts - starts[0]
-            yield first, out, starts
+            ids, starts = self._run(pc.fill_null(texts.slice(first, last - first).cast(pa.large_string()), ""), end)
+            pa.default_memory_pool().release_unused()
+            yield first, ids, starts
+            del ids, starts
             first = last
 
+    def _run(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a run of texts with ``end`` after each, and where each text begins.
+
+        Words are told apart and numbered by Arrow, so that Python only sees
+        the distinct ones.
+        """
+        if self.by_word:
+            split = pc.ascii_split_whitespace(texts)
+            numbered = split.flatten().dictionary_encode()
+            word, at = numbered.indices.to_numpy(), split.offsets.to_numpy()
+            ids, offsets = self.learn(numbered.dictionary)
+        else:
+            units = [self._ids(t) for t in texts.to_pylist()]
+            word, at = np.arange(len(units)), np.arange(len(units) + 1)
+            ids, offsets = np.concatenate(units), np.cumsum([0, *map(len, units)])
+        # The tokens of the words in turn, and of one more word, the end, after each text.
+        offsets = np.append(offsets, len(ids) + 1).astype(np.int32)
+        lists = pa.ListArray.from_arrays(offsets, np.append(ids, np.uint32(end)))
+        word = np.insert(word, at[1:] - at[0], len(lists) - 1)
+        taken = lists.take(pa.array(word, pa.int32()))
+        starts = taken.offsets.to_numpy()[at - at[0] + np.arange(len(texts) + 1)]
+        return taken.flatten().to_numpy(), starts - starts[0]
+
 
 def _units(encoding: Encoding, words: list[str]) -> np.ndarray | None:
     """Where the ids of each word begin, if each is one unit of the tokenizer."""

@@ -130,6 +130,16 @@ def test_kept_words_are_bounded(monkeypatch):
     assert ids[::500] == [words.encoder.encode(t, add_special_tokens=False).ids for t in texts[::500]]
 
 
+def test_memory_does_not_grow_with_the_batch():
+    """A batch of texts is taken in short runs, and what a run needed is gone when its ids are given."""
+    words, rng = packing.WordIds(PATH), random.Random(2)
+    pool = ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(20_000)]
+    texts = pa.array([" ".join(rng.choices(pool, k=300)) for _ in range(8000)])
+    before = pa.total_allocated_bytes()
+    for _, ids, _ in words.encode(texts, 7):
+        assert pa.total_allocated_bytes() - before < 2 * ids.nbytes + (1 << 20) < texts.nbytes
+
+
 def test_piece_lengths():
     assert packing.piece_lengths(5000, 2048) == [2048, 2048, 512, 256, 128, 8]
     assert packing.piece_lengths(1, 2048) == [1]
